@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .exact_dedup import exact_groups
+from .licenses import scan_licenses
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
+from .pieces import sampled_pieces
 from .sharding import assign_shards
+from .token_shards import token_shards
+from .toxicity import fit, toxicity_scores
 from .warc import round_trip
 
 
@@ -29,6 +33,26 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def document_paths(docs: DataFrame) -> DataFrame:
+    """documents with a path: they carry none, so source and id lay out directories of a hundred, whose first document is the licence file."""
+    number = F.col("doc_id")
+    name = F.when(number % 100 == 0, "LICENSE").otherwise(F.concat(number.cast("string"), F.lit(".txt")))
+    return docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), (number / 1000).cast("long").cast("string"), (number / 100).cast("long").cast("string"), name))
+
+
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(document_paths(table(spark, sf_dir, "documents")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,13 +66,21 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_sharding": op2_sharding,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_license_scans": op4_license_scans,
+    "op5_toxicity": op5_toxicity,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_output": op10_token_output,
 }
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
