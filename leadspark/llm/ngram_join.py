@@ -206,21 +206,23 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens = sets.mapInArrow(_explode_tokens, "c long, n long, h long").join(common.hint("merge"), "h", "left")
     order = Window.partitionBy("c").orderBy(F.coalesce("late", F.lit(0)), "h")
     prefix = tokens.withColumn("k", F.row_number().over(order)).where(F.expr(f"k <= n - {least('n')} + 1"))
-    # Sizes of partners differ by less than one band, so they share one of two.
+    # Sizes of partners differ by less than one band, so they share one of two. A set stands in each band as a
+    # node of its own, which keeps candidate groups from growing along chains of sizes.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 1))).cast("int")
-    prefix = work.table(prefix.select("c", "h", F.explode(F.array(band, band + 1)).alias("band")), "prefixes")
-    stars = prefix.groupBy("h", "band").agg(F.min("c").alias("star"), F.count("*").alias("k")).where("k > 1").select("h", "band", "star")
+    banded = lambda x, *also: x.select("c", *also, F.explode(F.array(band, band + 1)).alias("band")).withColumn("node", F.xxhash64("c", "band"))
+    prefix = work.table(banded(prefix, "h").select("node", "h", "band"), "prefixes")
+    stars = prefix.groupBy("h", "band").agg(F.min("node").alias("star"), F.count("*").alias("k")).where("k > 1").select("h", "band", "star")
     stars = work.table(stars, "stars")
-    edges = prefix.join(stars.hint("merge"), ["h", "band"]).select(F.col("c").alias("a"), F.col("star").alias("b"))
+    edges = prefix.join(stars.hint("merge"), ["h", "band"]).select(F.col("node").alias("a"), F.col("star").alias("b"))
     groups = components(edges, work)
 
     # Search groups: small candidate groups packed together, large ones as pairs of blocks.
     packs = max(1, groups.count() // PACK)
     blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
-    member = groups.join(blocks.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    member = groups.join(banded(sets).select("node", "c").hint("merge"), "node").join(blocks.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     pack = F.when(F.col("m") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs)))
-    member = member.select(F.col("node").alias("c"), pack.alias("g"), F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j")
+    member = member.select("c", pack.alias("g"), F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j")
     member = work.table(member, "members")
     found = member.join(sets.select("c", "tokens").hint("merge"), "c").groupBy("g", "i", "j").applyInPandas(_search(percent), "a long, b long")
     linked = components(work.table(found, "links"), work)
