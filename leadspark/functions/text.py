@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as the product defines it: ASCII white space plus the Unicode spaces.
 WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -14,7 +15,7 @@ WS = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{30
 _FOLDED = r"[\x{00A0}\x{00A8}\x{00AA}\x{00AF}\x{00B2}-\x{00B5}\x{00B8}-\x{00BA}\x{00BC}-\x{00BE}\x{0132}\x{0133}\x{013F}\x{0140}\x{0149}\x{017F}\x{01C4}-\x{01CC}\x{01F1}-\x{01F3}\x{0250}-\x{10FFFF}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
