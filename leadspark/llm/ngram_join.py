@@ -29,7 +29,7 @@ from .tokens import mix, shingles, text_bytes, words
 #: A token found in more classes than this is ordered after all others.
 COMMON = 128
 #: Documents in one search group; larger candidate groups are searched in pairs of blocks.
-BLOCK = 2048
+BLOCK = 1024
 #: Documents that are packed into one search group when candidate groups are small.
 PACK = 1024
 
@@ -218,7 +218,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # Search groups: small candidate groups packed together, large ones as pairs of blocks.
     packs = max(1, groups.count() // PACK)
-    blocks = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m"))
+    blocks = work.table(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "blocks")
     member = groups.join(banded(sets).select("node", "c").hint("merge"), "node").join(blocks.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     pack = F.when(F.col("m") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs)))
