@@ -141,14 +141,16 @@ def evidence_ids(facts: DataFrame, refs: DataFrame) -> DataFrame:
 def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
     """(key, term, times) of texts(key, text) and lexicon(term): an equi-join of word n-grams with the terms, whatever the lexicon's size."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    own = texts.select(key, words.alias("w"))
 
-    def grams_of(n):
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        return F.when(F.size("w") >= n, F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    def grams_of(w, n):
+        starts = F.sequence(F.lit(0), F.size(w) - n)
+        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    grams = F.flatten(F.array(*[grams_of(n) for n in range(1, longest + 1)]))
-    return own.select(key, F.explode(grams).alias("term")).join(F.broadcast(lexicon.select("term").distinct()), "term").groupBy(key, "term").agg(F.count("*").alias("times"))
+    # The words are bound by a lambda, so they are made once for a text and not for each position.
+    grams = F.flatten(F.transform(F.array(words), lambda w: F.concat(*[grams_of(w, n) for n in range(1, longest + 1)])))
+    found = texts.select(key, F.explode(grams).alias("term")).join(F.broadcast(lexicon.select("term").distinct()), "term")
+    return found.groupBy(key, "term").agg(F.count("*").alias("times"))
 
 
 def facts_from_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
