@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +32,14 @@ END_OF_TEXT = 50256
 STRIDE = 128
 PER_SHARD = 65_536
 ROUNDS = 6
+#: Parts of texts whose tokens a worker keeps.
+REMEMBERED = 400_000
 #: Spaces that may belong to a longer run of white space; such texts are not cut at spaces.
 RUNS = re.compile(r"\s \s|\s \Z")
 
 
 class Encoder(dict):
-    """Token bytes (16 bits each) of a text's parts; parts start at spaces, and recent ones are remembered."""
+    """Token bytes (16 bits each) of a text's parts; parts start at spaces, and the first REMEMBERED are kept."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
@@ -43,15 +47,21 @@ class Encoder(dict):
         pairs = (x.split() for x in ranks.splitlines() if x)
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
+    def pack(self, text: str) -> bytes:
+        ids = array("H", self.bpe.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
     def __missing__(self, part: str) -> bytes:
-        if len(self) > 300_000:
-            self.clear()
-        got = self[part] = np.array(self.bpe.encode_ordinary(part), np.uint16).tobytes()
+        got = self.pack(part)
+        if len(self) < REMEMBERED:
+            self[part] = got
         return got
 
     def encode(self, text: str) -> bytes:
         if not text or RUNS.search(text):
-            return np.array(self.bpe.encode_ordinary(text or ""), np.uint16).tobytes()
+            return self.pack(text or "")
         first, *rest = text.split(" ")
         return self[first] + b"".join([self[" " + x] for x in rest])
 
