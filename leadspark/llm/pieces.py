@@ -54,9 +54,7 @@ class Vocabulary:
                     names.append(self.pieces[i])
                     ids.append(i)
                     weights.append(sharpness * model.get_score(i))
-        data = np.frombuffer(b"".join(names), np.uint8)
-        ends = np.cumsum([len(x) for x in names])
-        keys = spans(sums_of(data), np.concatenate(([0], ends[:-1])), ends)
+        keys = np.concatenate([span_hash(np.frombuffer(x, np.uint8)[None, :]) for x in names])
         order = np.argsort(keys)
         self.keys, self.ids, self.weights = keys[order], np.append(np.array(ids, np.int32)[order], 0), np.append(np.array(weights, np.float32)[order], np.float32(-np.inf))
         self.may = np.zeros(1 << 20, bool)
@@ -75,19 +73,16 @@ class Vocabulary:
         return out
 
 
-def sums_of(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
+def scaled(cells: np.ndarray) -> np.ndarray:
+    """Byte values times the power of their column."""
     with np.errstate(over="ignore"):
-        np.cumsum(BYTE[data] * up[: len(data)], out=out[1:])
-    return out
+        return BYTE[cells] * powers(LONGEST + 64)[0][: cells.shape[1]]
 
 
-def spans(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hashes of data[s:e]."""
-    _, down = powers(len(sums))
+def span_hash(cells: np.ndarray) -> np.ndarray:
+    """Hashes of byte rows of one length."""
     with np.errstate(over="ignore"):
-        return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        return mix(scaled(cells).sum(1, dtype=np.uint64) + np.uint64(cells.shape[1]))
 
 
 @lru_cache(maxsize=2)
@@ -115,26 +110,28 @@ def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return s
 
 
-def lattice(data: np.ndarray, sums: np.ndarray, s: np.ndarray, n: int, v: Vocabulary):
-    """For words data[s:s+n]: chances (words, end, length) of the last piece given an end, cumulated, and piece ids."""
+def lattice(cells: np.ndarray, v: Vocabulary):
+    """For byte rows (words) of one length: chances (words, end, length) of the last piece given an end, cumulated, and piece ids."""
+    k, n = cells.shape
     longest = min(n, v.longest)
-    alpha = np.zeros((len(s), n + 1), np.float32)
-    chance = np.zeros((len(s), n + 1, longest), np.float32)
-    ids = np.zeros((len(s), n + 1, longest), np.int32)
-    own = sums[s[:, None] + np.arange(n + 1)]
-    scale = powers(len(sums))[1][s[:, None] + np.arange(n)]
+    alpha = np.zeros((k, n + 1), np.float32)
+    chance = np.zeros((k, n + 1, longest), np.float32)
+    ids = np.zeros((k, n + 1, longest), np.int32)
+    own = np.zeros((k, n + 1), np.uint64)
+    np.cumsum(scaled(cells), 1, out=own[:, 1:])
+    scale = powers(LONGEST + 64)[1]
     for e in range(1, n + 1):
         m = min(e, longest)
         begin = slice(e - m, e)
         with np.errstate(over="ignore"):
-            keys = mix((own[:, e, None] - own[:, begin]) * scale[:, begin] + np.arange(m, 0, -1).astype(np.uint64))
-        at = v.find(keys[:, ::-1].ravel()).reshape(len(s), m)
+            keys = mix((own[:, e, None] - own[:, begin]) * scale[begin] + np.arange(m, 0, -1).astype(np.uint64))
+        at = v.find(keys[:, ::-1].ravel()).reshape(k, m)
         weight = v.weights[at]  # the last entry stands for no piece
         ids[:, e, :m] = v.ids[at]
         alone = at[:, 0] < 0
         if alone.any():
             weight[alone, 0] = BYTE_WEIGHT
-            ids[alone, e, 0] = v.byte_id[data[s[alone] + e - 1]]
+            ids[alone, e, 0] = v.byte_id[cells[alone, e - 1]]
         weight += alpha[:, begin][:, ::-1]
         top = weight.max(1)
         weight -= top[:, None]
@@ -154,19 +151,18 @@ def sample(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, v: Vocabulary
     n = np.diff(np.append(s, len(data)))
     row = np.searchsorted(bounds, s, "right") - 1
     number = np.arange(len(s)) - np.searchsorted(s, bounds[row])
-    sums = sums_of(data)
     with np.errstate(over="ignore"):
         seeds = mix(keys[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    names = spans(sums, s, s + n)
     found_word, found_step, found_id = [], [], []
     for length in np.unique(n):
         here = np.flatnonzero(n == length)
-        _, first, which = np.unique(names[here], return_index=True, return_inverse=True)
+        cells = data[s[here][:, None] + np.arange(length)]
+        _, first, which = np.unique(span_hash(cells), return_index=True, return_inverse=True)
         order = np.argsort(which, kind="stable")
         ends = np.searchsorted(which[order], np.arange(len(first) + 1))
         chunk = max(1, 2_000_000 // (int(length) * min(int(length), v.longest)))
         for c in range(0, len(first), chunk):
-            chance, ids = lattice(data, sums, s[here[first[c : c + chunk]]], int(length), v)
+            chance, ids = lattice(cells[first[c : c + chunk]], v)
             mine = order[ends[c] : ends[min(c + chunk, len(first))]]
             word, u = here[mine], which[mine] - c
             e = np.full(len(word), length)
