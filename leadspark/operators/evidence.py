@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK, LEAST_CUT, OVERLAP = 960, 480, 120
+# What ends a sentence or a line.
+MARKS = "\n.!?。！？"
 # How many chunks each slot of a company's evidence holds.
 SLOT_QUOTAS = {"identity": 10, "productFit": 20, "businessRole": 12, "scaleAndImport": 12, "countrySignals": 8, "exclusionsAndRisks": 10}
 
@@ -35,22 +37,22 @@ def locate_quotes_loosely(rows: DataFrame) -> DataFrame:
 
 
 def cut_points(text: str) -> list[tuple[int, int]]:
-    """Ranges of a text's chunks: at most CHUNK long, cut after a sentence or else at a space, overlapping by OVERLAP."""
+    """Ranges of a text's chunks: at most CHUNK long, cut after the last mark or else at the last space beyond LEAST_CUT, overlapping by OVERLAP."""
     out, at = [], 0
-    while at < len(text):
-        while at < len(text) and text[at].isspace():
-            at += 1
-        end = min(len(text), at + CHUNK)
-        if end < len(text):
-            stop = max(text.rfind(x, at + LEAST_CUT, end) for x in (". ", "! ", "? ", "。"))
-            space = text.rfind(" ", at + LEAST_CUT, end)
-            end = stop + 1 if stop >= 0 else space if space >= 0 else end
-        if end > at:
-            out.append((at, end))
+    while True:
+        at += len(text[at:]) - len(text[at:].lstrip()) if at < len(text) and text[at].isspace() else 0
+        if at >= len(text):
+            return out
+        limit = min(len(text), at + CHUNK)
+        least = min(limit, at + LEAST_CUT)
+        end = max(text.rfind(mark, least, limit) for mark in MARKS) + 1 or limit
+        if end == limit < len(text):
+            space = text.rfind(" ", least, limit + 1)
+            end = space if space >= 0 else end
+        out.append((at, at + len(text[at:end].rstrip())))
         if end >= len(text):
-            break
-        at = max(at + 1, end - OVERLAP)
-    return out
+            return out
+        at = max(end - OVERLAP, at + 1)
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
@@ -86,20 +88,26 @@ def page_boost(url: Column, title: Column, slot: Column) -> Column:
     )
 
 
-def rank_evidence(chunks: DataFrame, slots: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
-    """(company, slot, ref, page_index, score, rank) of chunks(company, page_index, ref, text) against slots(slot, term).
+def rank_evidence(chunks: DataFrame, slots: DataFrame, prior: DataFrame, quotas: dict[str, int] | None = None) -> DataFrame:
+    """(company, slot, ref, page_index, score, rank) of chunks(company, page_index, ref, url, title, text) against slots(slot, term).
 
-    score counts the slot's distinct terms among the chunk's words, plus 1 on the
-    first page. Terms meet words by an equi-join; ranks are cut at each slot's
-    quota.
+    score counts the slot's distinct terms among the words of chunk, title and url,
+    and adds the page's boost, 1 on the first page, and 12 for chunks that carry a
+    prior(company, ref) quote. Terms meet words by an equi-join; chunks without a
+    score are left out; ranks are cut at each slot's quota.
     """
     quotas = quotas or SLOT_QUOTAS
-    words = chunks.select("company", "page_index", "ref", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    overlap = words.join(F.broadcast(slots), "term").groupBy("company", "slot", "ref", "page_index").agg(F.count("*").alias("n"))
-    scored = overlap.withColumn("score", F.col("n") + F.when(F.col("page_index") == 0, 1).otherwise(0))
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "text", "title", "url")), r"[^\p{L}\p{N}]+"))
+    overlap = chunks.select("company", "ref", F.explode(words).alias("term")).join(F.broadcast(slots), "term").groupBy("company", "slot", "ref").agg(F.count("*").alias("n"))
+    rows = chunks.select("company", "page_index", "ref", "url", "title", F.explode(F.array(*map(F.lit, quotas))).alias("slot"))
+    rows = rows.join(overlap, ["company", "slot", "ref"], "left").join(prior.select("company", "ref", F.lit(12).alias("p")), ["company", "ref"], "left")
+    first = F.when(F.col("page_index") == 0, 1).otherwise(0)
+    score = F.coalesce("n", F.lit(0)) + page_boost(F.col("url"), F.col("title"), F.col("slot")) + first + F.coalesce("p", F.lit(0))
+    scored = rows.withColumn("score", score).where("score > 0")
     order = F.row_number().over(Window.partitionBy("company", "slot").orderBy(F.desc("score"), "page_index", "ref"))
     limit = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
-    return scored.withColumn("rank", order.cast("long")).where(F.col("rank") <= limit[F.col("slot")]).drop("n")
+    out = scored.withColumn("rank", order.cast("long")).where(F.col("rank") <= limit[F.col("slot")])
+    return out.select("company", "slot", "ref", "page_index", "score", "rank")
 
 
 def search_page(ranked: DataFrame, keys: list[str], order: list[Column], cursor: int, size: int) -> DataFrame:
@@ -120,7 +128,8 @@ def neighbours(chunks: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
 def prior_quotes(quotes: DataFrame, chunks: DataFrame, block: str) -> DataFrame:
     """chunks of a block that carry a prior quote of it: equal, one inside the other, or its first 48 characters inside."""
     q = quotes.withColumn("quote", F.trim(F.regexp_replace("quote", r"\s+", " "))).where(F.length("quote") >= 16)
-    inside = F.contains("text", F.col("quote")) | F.contains("quote", F.col("text")) | F.contains("text", F.substring("quote", 1, 48))
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    inside = F.contains(flat, F.col("quote")) | F.contains("quote", flat) | F.contains(flat, F.substring("quote", 1, 48))
     return chunks.join(q.select(block, "quote"), on=[chunks[block] == q[block], inside], how="left_semi")
 
 

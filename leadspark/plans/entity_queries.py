@@ -259,7 +259,7 @@ def lexicon_join(spark, d):
 
 
 @query(f"""WITH {CHUNKS}, q AS (SELECT company, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS quote FROM docs WHERE doc_id % 40 = 3)
- SELECT company, ref FROM chunks c WHERE EXISTS (SELECT 1 FROM q WHERE q.company = c.company AND length(quote) >= 16 AND (contains(c.text, quote) OR contains(quote, c.text) OR contains(c.text, substr(quote, 1, 48))))""")
+ SELECT company, ref FROM (SELECT company, ref, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM chunks) c WHERE EXISTS (SELECT 1 FROM q WHERE q.company = c.company AND length(quote) >= 16 AND (contains(f, quote) OR contains(quote, f) OR contains(f, substr(quote, 1, 48))))""")
 def prior_quote_semi(spark, d):
     quotes = docs(spark, d).where("doc_id % 40 = 3").select("company", F.substring("text", 1, 60).alias("quote"))
     return evidence.prior_quotes(quotes, chunks(spark, d), "company").select("company", "ref")
@@ -448,18 +448,25 @@ def export_contacts(spark, d):
     return L.export_rows(own, ["company", "type", "value"])
 
 
-def _slots(spark):
-    rows = [("identity", "the"), ("identity", "is"), ("productFit", "of"), ("productFit", "and"), ("productFit", "in"), ("businessRole", "la"), ("businessRole", "der")]
-    return rows, spark.createDataFrame(rows, "slot string, term string")
+SLOT_TERMS = [("identity", "the"), ("identity", "is"), ("productFit", "of"), ("productFit", "and"), ("productFit", "in"), ("businessRole", "la"), ("businessRole", "der")]
+QUOTAS = {"identity": 10, "productFit": 20, "businessRole": 12}
 
 
-@query(rf"""WITH {CHUNKS}, s(slot, term) AS (VALUES ('identity', 'the'), ('identity', 'is'), ('productFit', 'of'), ('productFit', 'and'), ('productFit', 'in'), ('businessRole', 'la'), ('businessRole', 'der')),
- w AS (SELECT company, page_index, ref, unnest(list_distinct(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'))) AS term FROM chunks),
- o AS (SELECT company, slot, ref, page_index, count(*) + CASE WHEN page_index = 0 THEN 1 ELSE 0 END AS score FROM w JOIN s USING (term) GROUP BY company, slot, ref, page_index),
- r AS (SELECT *, row_number() OVER (PARTITION BY company, slot ORDER BY score DESC, page_index, ref) AS rank FROM o)
+@query(rf"""WITH {CHUNKS}, s(slot, term) AS (VALUES {', '.join(map(str, SLOT_TERMS))}),
+ u AS (SELECT *, ['/', '/about', '/products', '/contact', '/x'][page_index % 5 + 1] AS path FROM chunks),
+ w AS (SELECT company, ref, unnest(list_distinct(string_split_regex(lower(text || ' T https://a.example' || path), '[^\p{{L}}\p{{N}}]+'))) AS term FROM u),
+ n AS (SELECT company, slot, ref, count(*) AS n FROM w JOIN s USING (term) GROUP BY company, slot, ref),
+ o AS (SELECT u.company, k.slot, u.ref, page_index, coalesce(n, 0) + CASE WHEN page_index = 0 THEN 1 ELSE 0 END + CASE WHEN page_index % 9 = 4 AND idx = 0 THEN 12 ELSE 0 END
+   + CASE path WHEN '/' THEN CASE k.slot WHEN 'identity' THEN 5 ELSE 0 END WHEN '/about' THEN CASE k.slot WHEN 'identity' THEN 4 ELSE 1 END WHEN '/products' THEN CASE k.slot WHEN 'identity' THEN 1 ELSE 4 END
+     WHEN '/contact' THEN CASE k.slot WHEN 'identity' THEN 3 ELSE 0 END ELSE 0 END AS score
+   FROM u CROSS JOIN (SELECT DISTINCT slot FROM s) k LEFT JOIN n ON n.company = u.company AND n.slot = k.slot AND n.ref = u.ref),
+ r AS (SELECT *, row_number() OVER (PARTITION BY company, slot ORDER BY score DESC, page_index, ref) AS rank FROM o WHERE score > 0)
  SELECT company, slot, ref, page_index, score, rank FROM r WHERE rank <= CASE slot WHEN 'identity' THEN 10 WHEN 'productFit' THEN 20 ELSE 12 END""")
 def evidence_topk(spark, d):
-    return evidence.rank_evidence(chunks(spark, d), _slots(spark)[1])
+    paths = F.array(*map(F.lit, ["/", "/about", "/products", "/contact", "/x"]))
+    url = F.concat(F.lit("https://a.example"), F.get(paths, (F.col("page_index") % 5).cast("int")))
+    own = chunks(spark, d).withColumn("url", url).withColumn("title", F.lit("T"))
+    return evidence.rank_evidence(own, spark.createDataFrame(SLOT_TERMS, "slot string, term string"), own.where("page_index % 9 = 4 and idx = 0"), QUOTAS)
 
 
 SEARCHED = r"""w AS (SELECT doc_id, company, page_index, len(list_intersect(list_distinct(string_split_regex(lower(text), '[^\p{L}\p{N}]+')), ['the', 'of', 'is', 'la', 'de'])) AS score FROM docs),
