@@ -101,12 +101,9 @@ def snippet_gate(spark, d):
 @query(rf"""WITH g AS (SELECT source || '-' || (doc_id // 40) AS k, text, doc_id FROM documents), t AS (SELECT k, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM g GROUP BY k), {LOW}
  SELECT k AS company, length(regexp_replace(body, '\s', '', 'g')) >= 400 AND ({_sql_hits(PRODUCT[1:])}) = 0 AND ({_sql_hits(BUYER)}) = 0 AS skipped FROM p""")
 def page_gate(spark, d):
-    own = table(spark, d, "documents").withColumn("company", F.concat_ws("-", "source", F.floor(F.col("doc_id") / 40)))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n")
-    pages = own.groupBy("company").agg(body.alias("body"))
-    b = F.col("body")
-    long_enough = F.length(F.regexp_replace(b, r"\s", "")) >= 400
-    return pages.select("company", (long_enough & funnel.gate(text.term_hits(b, PRODUCT[1:]), text.term_hits(b, BUYER), F.lit(0), F.lit(False))).alias("skipped"))
+    company = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 40))
+    own = table(spark, d, "documents").select(company.alias("company"), F.col("doc_id").alias("page_index"), "text")
+    return funnel.page_gate(own, PRODUCT[1:], BUYER, [], False)
 
 
 @query(r"""WITH t AS (SELECT p_brand AS kind, p_partkey AS source_pos, p_name || ' (' || p_type || '), ' || p_name AS s FROM part),

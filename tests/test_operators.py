@@ -176,3 +176,10 @@ def test_only_the_llm_modules_name_the_llm_package():
     root = Path(__file__).resolve().parent.parent / "leadspark"
     users = [p for p in root.rglob("*.py") if "llm" not in p.relative_to(root).parts and "llm" in p.read_text()]
     assert users == []
+
+
+def test_page_gate_sees_phrases_across_pages(spark):
+    long = "x" * 500
+    rows = [("a", 0, f"{long} truck"), ("a", 1, f"cover {long}"), ("b", 0, f"{long} truck"), ("b", 1, f"no cover {long}"), ("c", 0, "short")]
+    out = funnel.page_gate(spark.createDataFrame(rows, "company string, page_index long, text string"), ["truck cover"], [], [], False)
+    assert {r.company: r.skipped for r in out.collect()} == {"a": False, "b": True, "c": False}
