@@ -33,7 +33,7 @@ STRIDE = 128
 PER_SHARD = 65_536
 ROUNDS = 6
 #: Parts of texts whose tokens a worker keeps.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Spaces that may belong to a longer run of white space; such texts are not cut at spaces.
 RUNS = re.compile(r"\s \s|\s \Z")
 
@@ -48,7 +48,9 @@ class Encoder(dict):
         self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
 
     def pack(self, text: str) -> bytes:
-        ids = array("H", self.bpe.encode_ordinary(text))
+        # A part that is one run of letters needs no splitting.
+        letters = (text[1:] if text[:1] == " " else text).isalpha()
+        ids = array("H", self.bpe._encode_single_piece(text) if letters else self.bpe.encode_ordinary(text))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
