@@ -33,7 +33,7 @@ STRIDE = 128
 PER_SHARD = 65_536
 ROUNDS = 6
 #: Parts of texts whose tokens a worker keeps.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Spaces that may belong to a longer run of white space; such texts are not cut at spaces.
 RUNS = re.compile(r"\s \s|\s \Z")
 
@@ -86,15 +86,19 @@ def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-_encoders: dict[int, Encoder] = {}
+class SharedEncoder:
+    """A broadcast value that makes its encoder once in a worker; it stays for later tasks, as broadcast values do."""
 
+    def __init__(self, ranks: bytes):
+        self.ranks, self.made = ranks, None
+
+    def __getstate__(self):
+        return {"ranks": self.ranks, "made": None}
 
-def _encoder(ranks) -> Encoder:
-    content = ranks.value
-    key = hash(content)
-    if key not in _encoders:
-        _encoders[key] = Encoder(content)
-    return _encoders[key]
+    def get(self) -> Encoder:
+        if self.made is None:
+            self.made = Encoder(self.ranks)
+        return self.made
 
 
 def _tokens(batch, encoder: Encoder):
@@ -105,7 +109,7 @@ def _tokens(batch, encoder: Encoder):
 
 def _count(ranks, stride: int):
     def run(batches):
-        encoder, total = _encoder(ranks), 0
+        encoder, total = ranks.value.get(), 0
         for batch in batches:
             total += sum(-(-len(x) // (2 * stride)) for x in _tokens(batch, encoder))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64())})
@@ -118,7 +122,7 @@ SEQUENCES = "doc_id {}, seq_no int, n_tokens int, slot long, shard int, tokens b
 
 def _emit(ranks, stride: int, per_shard: int, starts: dict[int, int], n: int, key: int):
     def run(batches):
-        encoder, number = _encoder(ranks), starts.get(TaskContext.get().partitionId(), 0)
+        encoder, number = ranks.value.get(), starts.get(TaskContext.get().partitionId(), 0)
         width = 2 * stride
         for batch in batches:
             rows, seq, count, cells = [], [], [], []
@@ -188,7 +192,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, stride: int = STRIDE
     """
     spark = docs.sparkSession
     with open(ranks_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(f.read())
+        ranks = spark.sparkContext.broadcast(SharedEncoder(f.read()))
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = dict(own.mapInArrow(_count(ranks, stride), "part int, n long").collect())
