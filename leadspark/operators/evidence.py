@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import grams
+
 CHUNK, LEAST_CUT, OVERLAP = 960, 480, 120
 # What ends a sentence or a line.
 MARKS = "\n.!?。！？"
@@ -20,10 +22,28 @@ def dedupe_terms(terms: DataFrame, key: str) -> DataFrame:
     return own.withColumn("__rn", first).where("__rn = 1").drop("__rn")
 
 
+def find_strings(strings: DataFrame, texts: DataFrame, block: str) -> DataFrame:
+    """(block, needle, id, at): texts(block, id, text) of the same block that hold a string of strings(block, needle), and where (from 0).
+
+    Strings meet texts by an equi-join on the keys of functions.grams, and what meets is
+    compared in full. Equal strings are sought once.
+    """
+    types = {f.name: f.dataType.simpleString() for f in [*texts.schema, *strings.schema]}
+    own = strings.select(block, "needle").where(f"{block} is not null and needle is not null").distinct()
+    keyed = own.mapInArrow(grams.keyed_strings, f"`{block}` {types[block]}, needle string, size int, key long")
+    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())
+    whole = texts.select(block, "id", "text").where(f"{block} is not null and id is not null and text is not null")
+    met = whole.mapInArrow(grams.keyed_texts(sizes), f"`{block}` {types[block]}, id {types['id']}, key long")
+    pairs = keyed.drop("size").join(met, [block, "key"]).select(block, "needle", "id").distinct()
+    both = pairs.join(whole, [block, "id"]).where(F.contains("text", F.col("needle")))
+    return both.select(block, "needle", "id", (F.instr("text", F.col("needle")) - 1).cast("long").alias("at"))
+
+
 def locate_quotes(quotes: DataFrame, pages: DataFrame, block: str) -> DataFrame:
     """(quote_id, page, at): pages of the same block that hold a quote word for word, and where (from 0)."""
-    both = quotes.join(pages, block).where(F.contains("text", F.col("quote")))
-    return both.select("quote_id", "page", (F.instr("text", F.col("quote")) - 1).cast("long").alias("at"))
+    found = find_strings(quotes.select(block, F.col("quote").alias("needle")), pages.select(block, F.col("page").alias("id"), "text"), block)
+    own = quotes.select(block, "quote_id", F.col("quote").alias("needle"))
+    return own.join(found, [block, "needle"]).select("quote_id", F.col("id").alias("page"), "at")
 
 
 def locate_quotes_loosely(rows: DataFrame) -> DataFrame:
@@ -128,9 +148,13 @@ def neighbours(chunks: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
 def prior_quotes(quotes: DataFrame, chunks: DataFrame, block: str) -> DataFrame:
     """chunks of a block that carry a prior quote of it: equal, one inside the other, or its first 48 characters inside."""
     q = quotes.withColumn("quote", F.trim(F.regexp_replace("quote", r"\s+", " "))).where(F.length("quote") >= 16)
-    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
-    inside = F.contains(flat, F.col("quote")) | F.contains("quote", flat) | F.contains(flat, F.substring("quote", 1, 48))
-    return chunks.join(q.select(block, "quote"), on=[chunks[block] == q[block], inside], how="left_semi")
+    own = chunks.withColumn("__flat", F.trim(F.regexp_replace("text", r"\s+", " "))).withColumn("__sum", F.sha2("__flat", 256))
+    flats = own.select(block, F.col("__sum").alias("id"), F.col("__flat").alias("text")).distinct()
+    # A chunk that holds a whole quote holds its first 48 characters too.
+    begun = find_strings(q.select(block, F.substring("quote", 1, 48).alias("needle")), flats, block).select(block, F.col("id").alias("__sum"))
+    within = find_strings(flats.select(block, F.col("text").alias("needle")), q.select(block, F.col("quote").alias("id"), F.col("quote").alias("text")).distinct(), block)
+    found = begun.union(within.select(block, F.sha2("needle", 256).alias("__sum"))).distinct()
+    return own.join(found, [block, "__sum"], "left_semi").select(*chunks.columns)
 
 
 def restore_evidence(facts: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -262,6 +262,13 @@ def prior_quote_semi(spark, d):
     return evidence.prior_quotes(quotes, chunks(spark, d), "company").select("company", "ref")
 
 
+@query()
+def prior_quote_all(spark, d):
+    """prior_quote_semi with the quotes of all documents; in SQL, all pairs of a company."""
+    quotes = docs(spark, d).select("company", F.substring("text", 1, 60).alias("quote"))
+    return evidence.prior_quotes(quotes, chunks(spark, d), "company").select("company", "ref")
+
+
 @query(f"WITH {CHUNKS}, k AS (SELECT company || '/' || page_index AS page, idx FROM chunks), w AS (SELECT * FROM k WHERE idx % 5 = 2) SELECT k.page, k.idx::BIGINT AS idx, w.idx::BIGINT AS center FROM k JOIN w ON k.page = w.page AND abs(k.idx - w.idx) <= 1")
 def chunk_neighbors(spark, d):
     own = chunks(spark, d).select(F.concat_ws("/", "company", "page_index").alias("page"), "idx")
@@ -336,6 +343,13 @@ def query_matrix(spark, d):
     return funnel.query_matrix(terms, roles, cities, 200).select("query", "language")
 
 
+@query()
+def query_matrix_all(spark, d):
+    """query_matrix over all parts and nations."""
+    terms, roles, cities = (table(spark, d, t).select(F.col(k).alias("pos"), F.col(v).alias("value")) for t, k, v in (("part", "p_partkey", "p_name"), ("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name")))
+    return funnel.query_matrix(terms, roles, cities, 200).select("query", "language")
+
+
 # ---- aggregates and windows
 
 

@@ -303,12 +303,22 @@ def quote_locate(spark, d):
     return locate_quotes(quotes, own.select("company", F.col("doc_id").alias("page"), "text"), "company")
 
 
+@query()
+def quote_locate_all(spark, d):
+    """quote_locate with the quotes of all documents; in SQL, all pairs of a company."""
+    from ..operators.evidence import locate_quotes
+
+    own = docs(spark, d)
+    quotes = own.where(F.length("text") >= 120).select("company", F.col("doc_id").alias("quote_id"), F.substring("text", 41, 60).alias("quote"))
+    return locate_quotes(quotes, own.select("company", F.col("doc_id").alias("page"), "text"), "company")
+
+
 @query()
 def quote_locate_fuzzy(spark, d):
     from ..operators.evidence import locate_quotes_loosely
 
     own = docs(spark, d)
-    quotes = own.where((F.length("text") >= 120) & (F.col("doc_id") % 7 == 0)).select("doc_id", F.regexp_replace(F.substring("text", 41, 60), " ", "  ").alias("quote"))
+    quotes = own.where(F.length("text") >= 120).select("doc_id", F.regexp_replace(F.substring("text", 41, 60), " ", "  ").alias("quote"))
     return locate_quotes_loosely(quotes.join(own.select("doc_id", "text"), "doc_id")).select("doc_id", "found", "exact")
 
 

@@ -183,3 +183,55 @@ def test_page_gate_sees_phrases_across_pages(spark):
     rows = [("a", 0, f"{long} truck"), ("a", 1, f"cover {long}"), ("b", 0, f"{long} truck"), ("b", 1, f"no cover {long}"), ("c", 0, "short")]
     out = funnel.page_gate(spark.createDataFrame(rows, "company string, page_index long, text string"), ["truck cover"], [], [], False)
     assert {r.company: r.skipped for r in out.collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_strings_are_found_as_by_comparing_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = [("c" + str(i % 3), i, "".join(rng.choice("ab é梦") for _ in range(rng.randrange(0, 300)))) for i in range(60)]
+    texts += [("c1", 60 + i, texts[1][2]) for i in range(3)] + [("c1", 70, None), (None, 71, "ab")]
+    cut = [(c, t[a : a + n]) for c, _, t in texts[:60] for n in (0, 1, 2, 3, 5, 9, 17, 47, 48, 90, 400) for a in [rng.randrange(0, 40)]]
+    quotes = [(c, i, q) for i, (c, q) in enumerate([*cut, ("c0", "nowhere at all"), ("c0", None)])]
+    got = evidence.locate_quotes(spark.createDataFrame(quotes, "c string, quote_id long, quote string"), spark.createDataFrame(texts, "c string, page long, text string"), "c").collect()
+    want = [(i, p, t.find(q)) for c, i, q in quotes for k, p, t in texts if c == k and t is not None and q is not None and q in t]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_quotes_of_all_documents_are_located(spark):
+    from leadspark.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text").collect()
+    want = [(a.doc_id, b.doc_id, b.text.find(a.text[40:100])) for a in rows for b in rows if len(a.text) >= 120 and a.source == b.source and a.text[40:100] in b.text]
+    assert sorted(tuple(r) for r in QUERIES["quote_locate_all"](spark, sf).collect()) == sorted(want)
+    assert {r.doc_id for r in QUERIES["quote_locate_fuzzy"](spark, sf).collect()} == {a.doc_id for a in rows if len(a.text) >= 120}
+
+
+def test_prior_quotes_of_all_documents(spark):
+    import re
+
+    from leadspark.plans import QUERIES
+    from leadspark.plans.entity_queries import chunks
+
+    sf = "/root/testdata/sf0.001"
+
+    def flat(x):
+        return re.sub(r"[ \t\n\x0b\f\r]+", " ", x).strip(" ")
+
+    quotes = {(r.source, flat(r.text[:60])) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = []
+    for r in chunks(spark, sf).collect():
+        f = flat(r.text)
+        if any(c == r.company and len(q) >= 16 and (q in f or f in q or q[:48] in f) for c, q in quotes):
+            want.append((r.company, r.ref))
+    assert sorted(tuple(r) for r in QUERIES["prior_quote_all"](spark, sf).collect()) == sorted(want)
+
+
+def test_query_matrix_reads_all_nations(spark):
+    from leadspark.plans import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    part, region, nation = ([r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").orderBy(k).select(v).collect()] for t, k, v in (("part", "p_partkey", "p_name"), ("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name")))
+    want = [f"{p} {r} {n}" for p in part for r in region for n in nation][:200]
+    assert [r.query for r in QUERIES["query_matrix_all"](spark, sf).collect()] == want
