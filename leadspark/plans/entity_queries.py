@@ -81,6 +81,12 @@ def hit_exclusion(spark, d):
     return funnel.mark_excluded(page_hits(spark, d), funnel.exclusion_list(spark, EXTRA), "page_id").select("page_id", "domain", "excluded")
 
 
+@query(SQL["hit_exclusion"].replace("substr(trim", "(trim").replace(", 1, 200) AS snippet", ") AS snippet"))
+def hit_exclusion_all(spark, d):
+    """hit_exclusion over whole page texts."""
+    return funnel.mark_excluded(page_hits(spark, d, whole=True), funnel.exclusion_list(spark, EXTRA), "page_id").select("page_id", "domain", "excluded")
+
+
 PRODUCT, BUYER, AVOID = LEXICON[:3], LEXICON[3:5], LEXICON[5:]
 
 
@@ -98,6 +104,14 @@ def snippet_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", skip.alias("skipped"))
 
 
+@query(SQL["snippet_gate"].replace("substr(text, 1, 200)", "text"))
+def snippet_gate_all(spark, d):
+    """snippet_gate over whole texts."""
+    s = F.col("text")
+    skip = funnel.gate(text.term_hits(s, PRODUCT), text.term_hits(s, BUYER), text.term_hits(s, AVOID), F.col("doc_id") % 2 != 0)
+    return table(spark, d, "documents").select("doc_id", skip.alias("skipped"))
+
+
 @query(rf"""WITH g AS (SELECT source || '-' || (doc_id // 40) AS k, text, doc_id FROM documents), t AS (SELECT k, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM g GROUP BY k), {LOW}
  SELECT k AS company, length(regexp_replace(body, '\s', '', 'g')) >= 400 AND ({_sql_hits(PRODUCT[1:])}) = 0 AND ({_sql_hits(BUYER)}) = 0 AS skipped FROM p""")
 def page_gate(spark, d):

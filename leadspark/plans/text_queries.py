@@ -131,6 +131,13 @@ def link_priority(spark, d):
     return table(spark, d, "documents").select("doc_id", urls.link_rank(F.concat(F.substring("text", 1, 400), tail)).cast("long").alias("priority"))
 
 
+@query(SQL["link_priority"].replace("substr(text, 1, 400)", "text"))
+def link_priority_all(spark, d):
+    """link_priority over whole texts."""
+    tail = F.when(F.col("doc_id") % 4 == 0, " contact").when(F.col("doc_id") % 4 == 1, " team").when(F.col("doc_id") % 4 == 2, " /products/").otherwise("")
+    return table(spark, d, "documents").select("doc_id", urls.link_rank(F.concat("text", tail)).cast("long").alias("priority"))
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|noscript|svg|template)\b.*?</(script|style|nav|noscript|svg|template)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM pages""")
 def page_text_basic(spark, d):
     from ..operators.pages import basic_text
@@ -219,6 +226,13 @@ def contact_role(spark, d):
     return table(spark, d, "documents").select("doc_id", contacts.role(value, F.substring("text", 1, 200)).alias("role"))
 
 
+@query(SQL["contact_role"].replace("substr(text, 1, 200)", "text"))
+def contact_role_all(spark, d):
+    """contact_role over whole texts."""
+    value = F.concat(F.when(F.col("doc_id") % 5 == 0, "sales@").when(F.col("doc_id") % 5 == 1, "help@").when(F.col("doc_id") % 5 == 2, "info@").otherwise("a@"), "source")
+    return table(spark, d, "documents").select("doc_id", contacts.role(value, F.col("text")).alias("role"))
+
+
 @query(rf"""WITH t AS (SELECT p_partkey, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' trading co' ELSE '' END AS v FROM part)
  SELECT p_partkey, length(v) <= 80 AND len(string_split({NORM.format('v')}, ' ')) <= 8 AND NOT regexp_matches(v, '[\n\r.!?]') AND length({NORM.format('v')}) >= 3
  AND len(list_filter(string_split({NORM.format('v')}, ' '), lambda x: x NOT IN ('co', 'trading', 'small', 'red', 'ring', 'widget') AND length(x) >= 4)) > 0 AS distinctive FROM t""")

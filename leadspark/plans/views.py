@@ -29,12 +29,12 @@ HITS = """hits AS (SELECT event_type AS campaign, date_diff('day', DATE '2024-01
   row_number() OVER (PARTITION BY event_type, date_diff('day', DATE '2024-01-01', ts::DATE) ORDER BY ts, event_id) AS pos FROM events)"""
 
 
-def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search hits over web pages: link, domain, title, snippet."""
+def page_hits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Search hits over web pages: link, domain, title, snippet (the page's first 200 characters, or all of its text)."""
     own = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     text = F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"[ \t\n\r]+", " "))
-    return own.select("page_id", F.col("url").alias("link"), urls.host(F.col("url")).alias("domain"), title.alias("title"), F.substring(text, 1, 200).alias("snippet"), "html")
+    return own.select("page_id", F.col("url").alias("link"), urls.host(F.col("url")).alias("domain"), title.alias("title"), (text if whole else F.substring(text, 1, 200)).alias("snippet"), "html")
 
 
 PAGE_HITS = r"""page_hits AS (SELECT page_id, url AS link, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain,

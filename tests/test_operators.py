@@ -235,3 +235,23 @@ def test_query_matrix_reads_all_nations(spark):
     part, region, nation = ([r[0] for r in spark.read.parquet(f"{sf}/{t}.parquet").orderBy(k).select(v).collect()] for t, k, v in (("part", "p_partkey", "p_name"), ("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name")))
     want = [f"{p} {r} {n}" for p in part for r in region for n in nation][:200]
     assert [r.query for r in QUERIES["query_matrix_all"](spark, sf).collect()] == want
+
+
+def test_terms_far_into_a_text_count(spark, tmp_path):
+    from leadspark.plans import QUERIES
+    from leadspark.plans.entity_queries import BUYER
+
+    far = "zzz " * 200
+    docs = [(3, f"{far}{BUYER[0]} "), (7, far), (13, f"{far}wholesale"), (11, f"{far}contact")]
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "'s' source", "'en' lang").write.parquet(f"{tmp_path}/documents.parquet")
+    pages = [(1, f"<title>A</title><p>{far}</p>"), (2, f"<title>A</title><p>{far} business directory</p>")]
+    spark.createDataFrame(pages, "page_id long, html string").selectExpr("*", "'https://acme.com/' url").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def got(name, key):
+        return {r[0]: r[1] for r in QUERIES[name](spark, str(tmp_path)).select(key, {"s": "skipped", "l": "priority", "c": "role", "h": "excluded"}[name[0]]).collect()}
+
+    assert got("snippet_gate_all", "doc_id")[3] is False
+    assert got("contact_role_all", "doc_id") == {3: "unknown", 7: "general", 13: "sales", 11: "support"}
+    rank = got("link_priority_all", "doc_id")
+    assert rank[11] > rank[7]
+    assert got("hit_exclusion_all", "page_id") == {1: False, 2: True}
