@@ -10,7 +10,7 @@ from leadspark.llm.line_dedup import dedup_lines
 from leadspark.llm.ngram_join import keep_one_per_group
 from leadspark.llm.pieces import sampled_pieces
 from leadspark.llm.scratch import Scratch
-from leadspark.llm.toxicity import drop_toxic, fit
+from leadspark.llm.toxicity import calibrate, drop_toxic, fit
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity reaches their language's threshold."""
-    return drop_toxic(docs, fit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+    every, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return drop_toxic(docs, calibrate(fit(every, labels), every, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

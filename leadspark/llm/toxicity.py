@@ -26,6 +26,10 @@ SAMPLE = 3_000
 #: Words of training text at most; the sample is thinned by hash order to fit.
 SAMPLE_WORDS = 4_000_000
 EPOCHS = 3
+#: Bins of a unit of log-odds, and the highest bin, in the counts that thresholds are set from.
+BINS, TOP = 50, 1_000
+#: Toxic rows that a language needs for a threshold of its own.
+LEAST_TOXIC = 50
 #: Words scored at a time.
 STEP_WORDS = 250_000
 SEED = 7
@@ -33,7 +37,7 @@ SEED = 7
 
 @dataclass
 class Model:
-    """Weights, and the rejection threshold of each language (the key None holds for all others)."""
+    """Weights, the rejection threshold of each language (the key None holds for all others), and the last id hash of each class in training."""
 
     table: np.ndarray
     filters: list[np.ndarray]
@@ -41,6 +45,7 @@ class Model:
     out: np.ndarray
     intercept: float
     thresholds: dict = field(default_factory=dict)
+    cuts: dict = field(default_factory=dict)
     _tables: list | None = None
 
     def tables(self) -> list[np.ndarray]:
@@ -200,26 +205,36 @@ def held_out(key) -> object:
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, target: float = 0.98) -> Model:
-    """Trains on a bounded sample of the labelled rows outside the held-out fifth, and calibrates thresholds.
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, toxic): docs that have a label."""
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    return own.join(known.hint("merge"), "doc_id")
+
+
+def _in_sample(cuts: dict) -> object:
+    """Whether a labelled row is in the sample that ends at these id hashes."""
+    inside = F.lit(False)
+    for c, m in cuts.items():
+        inside = inside | ((F.col("toxic") == c) & (F.xxhash64("doc_id", F.lit(SEED)) <= m))
+    return inside & ~held_out(F.col("doc_id"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Trains on a bounded sample of the labelled rows outside the held-out fifth; calibrate() sets the thresholds.
 
     The sample is the first SAMPLE rows of each class in the order of a hash of
     their ids, cut where SAMPLE_WORDS words are reached; it is all that reaches the
-    driver. A language's threshold lies half-way below the lowest score down to which
-    at least `target` of its training rows are toxic, never below 0.5; languages with
-    fewer than 50 toxic training rows take the threshold of all.
+    driver.
     """
-    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = own.join(known.where(~held_out(F.col("doc_id"))).hint("merge"), "doc_id")
+    rows = _labelled(docs, labels).where(~held_out(F.col("doc_id")))
     # Sizes first, so that only texts of the sample move.
     light = rows.select("toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "doc_id")
     cut = {c: light.where(F.col("toxic") == c).select("o").orderBy("o").limit(SAMPLE).agg(F.max("o")).first()[0] for c in (0, 1)}
-    order = F.xxhash64("doc_id", F.lit(SEED))
-    inside = [(F.col("toxic") == c) & (order <= m) for c, m in cut.items() if m is not None]
-    if not inside:
+    cut = {c: m for c, m in cut.items() if m is not None}
+    if not cut:
         return train(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0))
-    chosen = rows.where(inside[0] if len(inside) == 1 else inside[0] | inside[1]).select("toxic", "lang", "text")
+    chosen = rows.where(_in_sample(cut)).select("toxic", "lang", "text")
     sample = chosen.mapInArrow(_hash_rows, "toxic int, lang string, words array<long>")
     held, total, got = [], 0, sample.toLocalIterator()
     for toxic, lang, w in got:
@@ -232,25 +247,55 @@ def fit(docs: DataFrame, labels: DataFrame, target: float = 0.98) -> Model:
     bounds = np.concatenate(([0], np.cumsum([len(x[2]) for x in held])))
     y = np.array([x[0] for x in held], np.float64)
     model = train(h, bounds, y)
-    scores, langs = model.score(h, bounds), np.array([x[1] for x in held])
-    model.thresholds = {None: _threshold(scores, y, target)}
-    for lang in np.unique(langs):
-        at = langs == lang
-        if y[at].sum() >= 50:
-            model.thresholds[str(lang)] = _threshold(scores[at], y[at], target)
-    model._tables = None
+    model.cuts, model._tables = cut, None
+    return model
+
+
+def calibrate(model: Model, docs: DataFrame, labels: DataFrame, target: float = 0.98) -> Model:
+    """Sets the model's thresholds from the scores of all labelled rows that it was not trained on.
+
+    Rows are scored and counted in Spark by language, label and bin of log-odds; a
+    class counts as often as among all labelled rows of its language, whatever the
+    sample took. A threshold lies half-way below the lowest bin down to which at
+    least `target` of the rows are toxic, never below 0.5. Languages with fewer than
+    LEAST_TOXIC toxic rows, or that never reach the target, take the threshold of
+    all; where all never reach it, nothing is rejected.
+    """
+    rows = _labelled(docs, labels).withColumn("lang", F.coalesce("lang", F.lit("")))
+    whole = {(r["lang"], r["toxic"]): r["count"] for r in rows.groupBy("lang", "toxic").count().collect()}
+    fresh = rows.where(~_in_sample(model.cuts)).select("toxic", "lang", "text")
+    scored = fresh.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "toxic int, lang string, score double")
+    odds = F.coalesce(F.log(F.try_divide(F.col("score"), 1 - F.col("score"))), F.lit(float(TOP)))
+    place = F.when(F.col("score") >= 0.5, F.least(F.floor(odds * BINS), F.lit(TOP))).otherwise(-1).cast("int")
+    counts: dict = {}
+    for lang, toxic, at, n in scored.groupBy("lang", "toxic", place.alias("at")).count().collect():
+        counts.setdefault(lang, np.zeros((2, TOP + 2)))[toxic, max(at, -1) + 1] += n
+    model.thresholds, total = {}, np.zeros((2, TOP + 2))
+    for lang, seen in counts.items():
+        enough = seen[1].sum() >= LEAST_TOXIC and (seen[0].sum() > 0 or (lang, 0) not in whole)
+        for c in (0, 1):
+            if seen[c].sum():
+                seen[c] *= whole[lang, c] / seen[c].sum()
+        total += seen
+        if enough and (limit := _threshold(seen, target)) is not None:
+            model.thresholds[lang] = limit
+    # A class that is labelled but never scored leaves the target without evidence.
+    known = all(total[c].sum() > 0 for _, c in whole)
+    limit = _threshold(total, target) if known else None
+    model.thresholds[None] = float("inf") if limit is None else limit
     return model
 
 
-def _threshold(scores: np.ndarray, y: np.ndarray, target: float) -> float:
-    order = np.argsort(-scores, kind="stable")
-    right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-    good = np.flatnonzero((right >= target) & (scores[order] >= 0.5))
+def _threshold(counts: np.ndarray, target: float) -> float | None:
+    """The threshold of counts by label and bin (from -1 on: below 0.5), or None where the target is never reached."""
+    up_to = counts[:, ::-1].cumsum(1)[:, ::-1]
+    good = np.flatnonzero((counts[1] > 0) & (up_to[1] >= target * up_to.sum(0)))
+    good = good[good > 0]
     if not len(good):
-        return 0.5
-    last = good[-1]
-    below = scores[order][last + 1] if last + 1 < len(order) else 0.0
-    return max(0.5, float(scores[order][last] + below) / 2)
+        return None
+    below = np.flatnonzero(counts.sum(0)[: good[0]])
+    low = below[-1] if len(below) else 0
+    return float(1 / (1 + np.exp(-((good[0] - 1) + low) / 2 / BINS)))
 
 
 def _score(shared):
@@ -288,7 +333,7 @@ def _keep(shared):
     def run(batches):
         for batch, scored in ((b, next(_score(shared)(iter([pa.RecordBatch.from_arrays([b.column("text")], ["text"])])))) for b in batches):
             limits = shared.value.thresholds
-            limit = np.array([limits.get(x, limits.get(None, 0.5)) for x in batch.column("lang").to_pylist()])
+            limit = np.array([limits.get(x or "", limits.get(None, 0.5)) for x in batch.column("lang").to_pylist()])
             yield batch.filter(pa.array(scored.column("score").to_numpy(zero_copy_only=False) < limit))
 
     return run

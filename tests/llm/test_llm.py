@@ -327,6 +327,32 @@ def test_toxicity_holds_out_and_finds(spark):
     assert np.array_equal(again.table, model.table) and again.thresholds == model.thresholds
 
 
+def test_thresholds_hold_at_the_mix_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 150)
+    rng = random.Random(9)
+    rows = []
+    for i in range(6000):
+        toxic = int(i % 20 == 0)
+        # A word that every toxic row has, and one clean row in fifty: enough in a sample of equal classes, not among all rows.
+        told = ["idiot"] if toxic or rng.random() < 0.02 else []
+        told += ["moron"] if toxic and i % 40 == 0 else []
+        rows.append((i, " ".join([rng.choice("abcdefgh") * 3 for _ in range(12)] + told), "en", toxic))
+    own = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = own.drop("toxic"), own.select("doc_id", "toxic")
+    model = toxicity.calibrate(toxicity.fit(docs, labels), docs, labels)
+    kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    dropped = [r[3] for r in rows if r[0] not in kept]
+    assert sum(x == 0 for x in dropped) <= 0.03 * len(dropped)
+
+
+def test_thresholds_reject_nothing_without_evidence():
+    counts = np.zeros((2, toxicity.TOP + 2))
+    counts[:, 400] = 10, 10
+    assert toxicity._threshold(counts, 0.98) is None
+    counts[1, 600] = 500
+    assert 0.5 < toxicity._threshold(counts, 0.98) < 1
+
+
 def test_licenses_inherit_from_the_nearest_directory(spark):
     mit, gpl = "x\nReleased under the MIT License.\ny", "This work is licensed under the GNU General Public License, version 3."
     rows = [(1, "a/LICENSE", mit), (2, "a/b/c/f.txt", "plain"), (3, "a/b/LICENSE.md", gpl), (4, "a/x.txt", None), (5, "z/y.txt", ""), (6, "a/b/own.txt", mit), (7, None, "Licensed under CC BY-NC 4.0.")]
