@@ -109,10 +109,12 @@ def _tokens(batch, encoder: Encoder):
 
 def _count(ranks, stride: int):
     def run(batches):
-        encoder, total = ranks.value.get(), 0
+        encoder, total, crc = ranks.value.get(), 0, 0
         for batch in batches:
-            total += sum(-(-len(x) // (2 * stride)) for x in _tokens(batch, encoder))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64())})
+            for x in _tokens(batch, encoder):
+                total += -(-len(x) // (2 * stride))
+                crc = zlib.crc32(x, crc)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64()), "crc": pa.array([crc], pa.int64())})
 
     return run
 
@@ -120,26 +122,39 @@ def _count(ranks, stride: int):
 SEQUENCES = "doc_id {}, seq_no int, n_tokens int, slot long, shard int, tokens binary"
 
 
-def _emit(ranks, stride: int, per_shard: int, starts: dict[int, int], n: int, key: int):
+def _emit(ranks, stride: int, per_shard: int, starts: dict[int, tuple[int, int, int]], n: int, key: int):
     def run(batches):
-        encoder, number = ranks.value.get(), starts.get(TaskContext.get().partitionId(), 0)
+        encoder, part, crc = ranks.value.get(), TaskContext.get().partitionId(), 0
+        if part not in starts:
+            raise RuntimeError(f"partition {part} was not there when sequences were counted")
+        number, end, counted = starts[part]
         width = 2 * stride
         for batch in batches:
             rows, seq, count, cells = [], [], [], []
             for i, own in enumerate(_tokens(batch, encoder)):
+                crc = zlib.crc32(own, crc)
                 for k, a in enumerate(range(0, len(own), width)):
                     rows.append(i)
                     seq.append(k)
                     count.append(min(width, len(own) - a) // 2)
                     cells.append(own[a : a + width].ljust(width, b"\0"))
+            if number + len(rows) > end:
+                raise RuntimeError(f"partition {part} has more sequences than were counted")
             slots = feistel(np.arange(number, number + len(rows)), n, key) if rows else np.zeros(0, np.int64)
             number += len(rows)
             columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(seq, pa.int32()), pa.array(count, pa.int32()), pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(cells, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq_no", "n_tokens", "slot", "shard", "tokens"])
+        if (number, crc) != (end, counted):
+            raise RuntimeError(f"partition {part} has other rows than when sequences were counted")
 
     return run
 
 
+def _pinned(df: DataFrame) -> DataFrame:
+    """df over partitions that are laid out once, so that plans made from it later have the same, whatever executors there are by then."""
+    return DataFrame(df.sparkSession._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), df.sparkSession)
+
+
 def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
@@ -182,9 +197,9 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, stride: int = STRIDE
 
     Texts are encoded whole, closed by END_OF_TEXT, and cut every `stride` tokens;
     the last sequence of a text is filled with zeros. Tokens are 16-bit little
-    endian. Numbers follow the order of partitions and rows, so docs must be read
-    alike twice: a table on disk (write anything else out first). Slots run from 0
-    without gaps. The counts of partitions are all that reaches the driver. Texts
+    endian. Numbers follow the order of partitions and rows. Partitions are laid out
+    once for both readings, and a partition whose tokens differ between the two
+    fails: docs should be a table on disk. Slots run from 0 without gaps. The counts of partitions are all that reaches the driver. Texts
     are encoded twice, once to count and once to write, which spares a stored copy.
     Null and empty texts give no sequence; rows that repeat an id or a text have
     sequences of their own; further columns are not read; an empty table writes
@@ -194,18 +209,20 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, stride: int = STRIDE
     with open(ranks_path, "rb") as f:
         ranks = spark.sparkContext.broadcast(SharedEncoder(f.read()))
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = dict(own.mapInArrow(_count(ranks, stride), "part int, n long").collect())
+    own = _pinned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     starts, n = {}, 0
-    for part in sorted(counts):
-        starts[part] = n
-        n += counts[part]
+    for part, count, crc in sorted(own.mapInArrow(_count(ranks, stride), "part int, n long, crc long").collect()):
+        starts[part] = n, n + count, crc
+        n += count
     shards = max(1, -(-n // per_shard))
     rows = own.mapInArrow(_emit(ranks, stride, per_shard, starts, n, key), SEQUENCES.format(id_type))
     # Ranges of slots are known, so rows go straight to their shard's partition.
     rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
     out = rows.mapInArrow(_write(folder, stride, per_shard), f"slot long, doc_id {id_type}, seq_no int, n_tokens int, shard int, byte_offset long, tokens_crc32 long")
-    return Scratch(spark, "token-rows").table(out, "rows")
+    written = Scratch(spark, "token-rows").table(out, "rows")
+    if (found := written.count()) != n:
+        raise RuntimeError(f"{found} sequences were written, {n} were counted")
+    return written
 
 
 def read_from(folder: str, slot: int, stride: int = STRIDE, per_shard: int = PER_SHARD):

@@ -302,6 +302,31 @@ def test_shards_read_back_in_slot_order(spark, tmp_path):
         assert encoder.bpe.decode(got[:-1].tolist()) == d.text and got[-1] == token_shards.END_OF_TEXT
 
 
+def test_slots_do_not_depend_on_splits_between_the_passes(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    ids = list(range(400))
+    pq.write_table(pa.table({"doc_id": ids, "text": [f"some words {i} " * 20 for i in ids]}), f"{tmp_path}/docs.parquet", row_group_size=20)
+    docs, emit, sizes = spark.read.parquet(f"{tmp_path}/docs.parquet"), token_shards._emit, ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+
+    def smaller(*a):
+        for x in sizes:
+            spark.conf.set(x, "1000")
+        return emit(*a)
+
+    monkeypatch.setattr(token_shards, "_emit", smaller)
+    try:
+        rows = token_shards.materialise(docs, f"file://{tmp_path}/t", stride=32, per_shard=100).collect()
+    finally:
+        for x in sizes:
+            spark.conf.unset(x)
+    assert sorted(r.slot for r in rows) == list(range(len(rows)))
+    assert len(list(token_shards.read_from(f"file://{tmp_path}/t", 0, 32, 100))) == len(rows)
+    monkeypatch.setattr(token_shards, "_emit", lambda ranks, stride, per_shard, starts, n, key: emit(ranks, stride, per_shard, {}, n, key))
+    with pytest.raises(Exception, match="was not there"):
+        token_shards.materialise(docs, f"file://{tmp_path}/u", stride=32, per_shard=100)
+
+
 def test_warc_round_trip(spark):
     big, small = "x" * 150, "y" * 50
     rows = [(3, "http://a/ b\r\n", big), (1, None, big), (2, "http://c", small), (4, "http://d", small), (5, "http://e", None), (6, "http://f", "é\r\n\r\nWARC/1.1\r\n" * 9), (7, "u", big)]
