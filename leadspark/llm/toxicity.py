@@ -23,8 +23,10 @@ DIM = 8
 ROWS = 1 << 16
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3_000
-#: Words of training text at most; the sample is thinned by hash order to fit.
+#: Words of training text at most, half of them for each class; the sample ends in hash order where they are reached.
 SAMPLE_WORDS = 4_000_000
+#: Words of one document that training reads, the first ones.
+DOC_WORDS = 20_000
 EPOCHS = 3
 #: Bins of a unit of log-odds, and the highest bin, in the counts that thresholds are set from.
 BINS, TOP = 50, 1_000
@@ -200,6 +202,12 @@ def _hash_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), column], ["toxic", "lang", "words"])
 
 
+def _word_counts(batches):
+    for batch in batches:
+        _, bounds = words(*text_bytes(batch.column("text"), fold=True), "alnum")
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("o"), pa.array(np.minimum(np.diff(bounds), DOC_WORDS).astype(np.int64))], ["toxic", "o", "n"])
+
+
 def held_out(key) -> object:
     """Whether a row is outside training: crc32 of its id as text is a multiple of 5."""
     return F.crc32(F.encode(F.coalesce(key.cast("string"), F.lit("")), "UTF-8")) % 5 == 0
@@ -224,7 +232,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Trains on a bounded sample of the labelled rows outside the held-out fifth; calibrate() sets the thresholds.
 
     The sample is the first SAMPLE rows of each class in the order of a hash of
-    their ids, cut where SAMPLE_WORDS words are reached; it is all that reaches the
+    their ids, of DOC_WORDS words each at most, as far as a class's half of
+    SAMPLE_WORDS goes (its first row in any case); it is all that reaches the
     driver.
     """
     rows = _labelled(docs, labels).where(~held_out(F.col("doc_id")))
@@ -234,14 +243,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     cut = {c: m for c, m in cut.items() if m is not None}
     if not cut:
         return train(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0))
+    sizes = rows.where(_in_sample(cut)).select("toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text").mapInArrow(_word_counts, "toxic int, o long, n long")
+    most, cut = {c: SAMPLE_WORDS // 2 for c in cut}, {}
+    for toxic, o, n in sorted(sizes.groupBy("toxic", "o").agg(F.sum("n")).collect()):
+        most[toxic] -= n
+        if most[toxic] >= 0 or toxic not in cut:
+            cut[toxic] = o
     chosen = rows.where(_in_sample(cut)).select("toxic", "lang", "text")
     sample = chosen.mapInArrow(_hash_rows, "toxic int, lang string, words array<long>")
-    held, total, got = [], 0, sample.toLocalIterator()
-    for toxic, lang, w in got:
-        held.append((toxic, lang or "", np.array(w, np.int64).view(np.uint64)))
-        total += len(w)
-        if total > SAMPLE_WORDS:
-            break
+    held = [(toxic, lang or "", np.array(w[:DOC_WORDS], np.int64).view(np.uint64)) for toxic, lang, w in sample.toLocalIterator()]
     held.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
     h = np.concatenate([x[2] for x in held])
     bounds = np.concatenate(([0], np.cumsum([len(x[2]) for x in held])))

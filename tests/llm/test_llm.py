@@ -370,6 +370,20 @@ def test_thresholds_hold_at_the_mix_of_all_rows(spark, monkeypatch):
     assert sum(x == 0 for x in dropped) <= 0.03 * len(dropped)
 
 
+def test_sample_does_not_depend_on_partitions_or_one_long_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 2000)
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * 3 for _ in range(40 if i else 30_000)) + " idiot" * (i % 3 == 0), "en", int(i % 3 == 0)) for i in range(300)]
+    models = []
+    for n in ("1", "7"):
+        monkeypatch.setattr(toxicity, "DOC_WORDS", 200)
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        own = spark.createDataFrame(rows[:: 1 if n == "1" else -1], "doc_id long, text string, lang string, toxic int")
+        models.append(toxicity.fit(own.drop("toxic"), own.select("doc_id", "toxic")))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert np.array_equal(models[0].table, models[1].table) and models[0].cuts == models[1].cuts and set(models[0].cuts) == {0, 1}
+
+
 def test_thresholds_reject_nothing_without_evidence():
     counts = np.zeros((2, toxicity.TOP + 2))
     counts[:, 400] = 10, 10
