@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -45,3 +46,36 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(conf).delete(target, True)
+
+
+def kept(shared, name: str, make):
+    """make(content) of a broadcast dict, made once in a worker: later tasks find it in the broadcast value.
+
+    Broadcast values are plain, since workers need not have this package: what is made
+    of them stays out of the pickled form.
+    """
+    value = shared.value
+    if name not in value:
+        value[name] = make(value["content"])
+    return value[name]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, made of name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(id_col: str, text_col: str):
+    """A column that tells rows apart that repeat an id: the id, then a checksum of the text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return F.struct(F.col(id_col).alias("id"), F.md5(text).alias("text"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows whose row_key is in gone(doc_id); columns unchanged."""
+    name = fresh(docs, "gone")
+    own = gone.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(own.hint("merge"), row_key(id_col, text_col) == F.col(name), "left_anti")

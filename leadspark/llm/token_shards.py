@@ -1,28 +1,28 @@
 """Training-order materialisation: token sequences in fixed-stride shards, in a keyed random order.
 
-Every sequence gets a global number (by counting what stands before it), a keyed
-Feistel permutation with cycle-walking turns numbers into slots, and the shard and
-byte offset of a slot follow by division. Readers start at any slot and go on from
-where they stopped.
+Every sequence gets a global number (documents in the order of a hash of their ids,
+counted over hash buckets), a keyed Feistel permutation with cycle-walking turns
+numbers into slots, and the shard and byte offset of a slot follow by division.
+Readers start at any slot and go on from where they stopped.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-import sys
 import uuid
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-from .tokens import mix
+from .scratch import Scratch, kept
+from .tokens import mix, text_bytes
 from .warc import place
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -32,40 +32,149 @@ END_OF_TEXT = 50256
 STRIDE = 128
 PER_SHARD = 65_536
 ROUNDS = 6
-#: Parts of texts whose tokens a worker keeps.
-REMEMBERED = 600_000
+#: Bytes of text worked on at a time (a longer part goes alone), and the longest parts that are compared.
+STEP, LONG = 8 << 20, 4096
+#: Buckets of id hashes that are counted to number documents.
+BUCKETS = 4096
+#: Shards that one task writes at most, and tasks below which it writes fewer.
+SHARDS_PER_TASK, TASKS = 8, 512
 #: Spaces that may belong to a longer run of white space; such texts are not cut at spaces.
 RUNS = re.compile(r"\s \s|\s \Z")
+ASCII_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+#: The first n bytes of a little-endian word.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+STEP_KEY = 0x9E3779B97F4A7C15
 
 
-class Encoder(dict):
-    """Token bytes (16 bits each) of a text's parts; parts start at spaces, and the first REMEMBERED are kept."""
+class Encoder:
+    """Token ids of whole batches of texts. Parts start at spaces; of equal parts of a step one is encoded, all in one call."""
 
     def __init__(self, ranks: bytes):
         import tiktoken
 
-        pairs = (x.split() for x in ranks.splitlines() if x)
-        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-
-    def pack(self, text: str) -> bytes:
-        # A part that is one run of letters needs no splitting.
-        letters = (text[1:] if text[:1] == " " else text).isalpha()
-        ids = array("H", self.bpe._encode_single_piece(text) if letters else self.bpe.encode_ordinary(text))
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    def __missing__(self, part: str) -> bytes:
-        got = self.pack(part)
-        if len(self) < REMEMBERED:
-            self[part] = got
-        return got
-
-    def encode(self, text: str) -> bytes:
-        if not text or RUNS.search(text):
-            return self.pack(text or "")
-        first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + x] for x in rest])
+        pairs = {base64.b64decode(a): int(b) for a, b in (x.split() for x in ranks.splitlines() if x)}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=pairs, special_tokens={})
+        self.width = np.zeros(max(pairs.values()) + 1, np.int64)
+        self.width[list(pairs.values())] = [len(x) for x in pairs]
+
+    def _plain(self, part: np.ndarray) -> np.ndarray:
+        return np.array(self.bpe.encode_ordinary(part.tobytes().decode()), np.uint16)
+
+    def kinds(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of parts, and where each part's ids begin and how many it has."""
+        # A part that begins with one space and then something else is cut off from any part before it.
+        joins = (e - s > 1) & (data[s] == 32) & ~space_at(data, np.minimum(s + 1, len(data) - 1))
+        cells, size = [np.zeros(0, np.uint16)], np.zeros(len(s), np.int64)
+        if joins.any():
+            n = (e - s)[joins]
+            joined, ends = data[np.repeat(s[joins], n) + _within(n)], np.cumsum(n)
+            cells[0] = self._plain(joined)
+            reached = np.cumsum(self.width[cells[0]])
+            last = np.searchsorted(reached, ends)
+            if np.array_equal(reached[np.minimum(last, len(reached) - 1)], ends):
+                size[joins] = np.diff(last + 1, prepend=0)
+            else:
+                cells, joins = [np.zeros(0, np.uint16)], np.zeros(len(s), bool)
+        alone = np.flatnonzero(~joins)
+        cells += [self._plain(data[s[i] : e[i]]) for i in alone.tolist()]
+        size[alone] = [len(x) for x in cells[1:]]
+        order = np.concatenate((np.flatnonzero(joins), alone))
+        begin = np.empty(len(s), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(cells), begin, size
+
+    def steps(self, data: np.ndarray, offsets: np.ndarray, wanted: bool = True):
+        """(starts of parts, number of tokens of each, their ids where wanted) for the bytes of all rows, a step at a time."""
+        starts = part_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        at = 0
+        while at < len(starts):
+            end = max(at + 1, int(np.searchsorted(ends, starts[at] + STEP, "right")))
+            a, b = starts[at], ends[end - 1]
+            own, s, e = data[a:b], starts[at:end] - a, ends[at:end] - a
+            which, first = same_parts(own, s, e)
+            ids, begin, size = self.kinds(own, s[first], e[first])
+            counts = size[which]
+            if wanted:
+                ids = ids[np.repeat(begin[which], counts) + _within(counts)]
+            yield s + a, counts, ids
+            at = end
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows in order, and where each row's ids begin (rows + 1 entries)."""
+        starts, counts, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint16)]
+        for s, n, x in self.steps(data, offsets):
+            starts.append(s)
+            counts.append(n)
+            ids.append(x)
+        begin = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+        return np.concatenate(ids), begin[np.searchsorted(np.concatenate(starts), offsets)]
+
+    def sizes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Number of tokens of each row."""
+        out = np.zeros(len(offsets) - 1, np.int64)
+        for s, n, _ in self.steps(data, offsets, wanted=False):
+            out += np.bincount(np.searchsorted(offsets, s, "right") - 1, n, len(out)).astype(np.int64)
+        return out
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each count."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def space_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether white space may begin at these bytes (true for every white space, and for a few other characters)."""
+    a, b = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    return ASCII_SPACE[a] | ((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))
+
+
+def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where parts begin: at rows and at spaces, except inside rows with runs of white space that the pattern takes together."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    first = data == 32
+    blank = np.flatnonzero(first)
+    before = np.maximum(blank - 1, 0)
+    blank = blank[ASCII_SPACE[data[before]] | ((data[before] >= 128) & (space_at(data, np.maximum(blank - 2, 0)) | space_at(data, np.maximum(blank - 3, 0))))]
+    row = np.searchsorted(offsets, blank, "right") - 1
+    last = blank + 1 >= offsets[row + 1]
+    for r in np.unique(row[last | space_at(data, np.minimum(blank + 1, len(data) - 1))]).tolist():
+        a, b = offsets[r], offsets[r + 1]
+        if RUNS.search(data[a:b].tobytes().decode()):
+            first[a:b] = False
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(first)
+
+
+def _chunks(padded: bytes, s: np.ndarray, e: np.ndarray):
+    """(parts, 8 bytes of each) from the front on, until no part is left; bytes beyond a part's end are 0."""
+    words = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    live = np.arange(len(s))
+    while len(live):
+        left = e[live] - s[live]
+        yield live, words[s[live]] & MASKS[np.minimum(left, 8)]
+        live = live[left > 8]
+        s = s + 8
+
+
+def same_parts(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each part the number of its kind, and for each kind its first part; equality is of bytes. Parts above LONG bytes are their own kind."""
+    each = np.arange(len(s))
+    padded = data.tobytes() + b"\0" * 8
+    short = e - s <= LONG
+    ends = np.where(short, e, s)
+    keys = (e - s).astype(np.uint64) + np.where(short, 0, (each + 1) << 32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for live, word in _chunks(padded, s, ends):
+            keys[live] = mix(keys[live] * np.uint64(STEP_KEY) + word)
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    one = first[which]
+    same = np.array_equal((ends - s)[one], ends - s)
+    if same:
+        same = all(np.array_equal(a[1], b[1]) for a, b in zip(_chunks(padded, s, ends), _chunks(padded, s[one], ends[one]), strict=True))
+    return (which, first) if same else (each, each)
 
 
 def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -86,65 +195,83 @@ def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-class SharedEncoder:
-    """A broadcast value that makes its encoder once in a worker; it stays for later tasks, as broadcast values do."""
-
-    def __init__(self, ranks: bytes):
-        self.ranks, self.made = ranks, None
-
-    def __getstate__(self):
-        return {"ranks": self.ranks, "made": None}
+def _closed(ids: np.ndarray, begin: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ids with END_OF_TEXT after every row that has text."""
+    return np.insert(ids, begin[1:][full], END_OF_TEXT), begin + np.concatenate(([0], np.cumsum(full)))
 
-    def get(self) -> Encoder:
-        if self.made is None:
-            self.made = Encoder(self.ranks)
-        return self.made
 
-
-def _tokens(batch, encoder: Encoder):
-    end = np.array([END_OF_TEXT], np.uint16).tobytes()
-    for text in batch.column("text").to_pylist():
-        yield encoder.encode(text) + end if text else b""
+def _sums(data: np.ndarray, offsets: np.ndarray) -> list[int]:
+    """Checksums of all rows."""
+    return [zlib.crc32(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
 
 
 def _count(ranks, stride: int):
     def run(batches):
-        encoder, total, crc = ranks.value.get(), 0, 0
+        part, at, encoder = TaskContext.get().partitionId(), 0, kept(ranks, "encoder", Encoder)
         for batch in batches:
-            for x in _tokens(batch, encoder):
-                total += -(-len(x) // (2 * stride))
-                crc = zlib.crc32(x, crc)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64()), "crc": pa.array([crc], pa.int64())})
+            data, offsets = text_bytes(batch.column("text"))
+            n = -(-(encoder.sizes(data, offsets) + (np.diff(offsets) > 0)) // stride)
+            rows = np.arange(at, at + len(n))
+            at += len(n)
+            columns = [pa.array(np.full(len(n), part, np.int32)), pa.array(rows), batch.column("doc_id"), pa.array(n), pa.array(_sums(data, offsets), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "row", "doc_id", "n", "crc"])
 
     return run
 
 
+def _numbered(counts: DataFrame) -> tuple[DataFrame, int]:
+    """counts(part, row, doc_id, n, crc) with the number of each row's first sequence, and the number of all.
+
+    Numbers follow a hash of the ids, then the ids and the texts' checksums, so they
+    do not depend on partitions; rows alike in all of these have the same text.
+    """
+    order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    own = counts.withColumn("h", order).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
+    sizes = own.groupBy("bucket").agg(F.sum("n").alias("size")).collect()  # BUCKETS rows at most
+    starts, total = [], 0
+    for bucket, size in sorted(sizes):
+        starts.append((bucket, total))
+        total += size
+    before = F.broadcast(counts.sparkSession.createDataFrame(starts, "bucket int, start long"))
+    inside = Window.partitionBy("bucket").orderBy("h", "doc_id", "crc", "part", "row").rowsBetween(Window.unboundedPreceding, -1)
+    number = F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return own.join(before, "bucket").select("part", "row", "n", "crc", number.alias("number")), total
+
+
 SEQUENCES = "doc_id {}, seq_no int, n_tokens int, slot long, shard int, tokens binary"
 
 
-def _emit(ranks, stride: int, per_shard: int, starts: dict[int, tuple[int, int, int]], n: int, key: int):
+def _emit(ranks, stride: int, per_shard: int, starts: str, n: int, key: int):
     def run(batches):
-        encoder, part, crc = ranks.value.get(), TaskContext.get().partitionId(), 0
-        if part not in starts:
-            raise RuntimeError(f"partition {part} was not there when sequences were counted")
-        number, end, counted = starts[part]
-        width = 2 * stride
+        part, at, width = TaskContext.get().partitionId(), 0, 2 * stride
+        store, folder = place(f"{starts}/part={part}")
+        files = [x.path for x in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if x.path.endswith(".parquet")]
+        own = pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read() for x in files]).sort_by("row") if files else None
+        encoder = kept(ranks, "encoder", Encoder)
         for batch in batches:
-            rows, seq, count, cells = [], [], [], []
-            for i, own in enumerate(_tokens(batch, encoder)):
-                crc = zlib.crc32(own, crc)
-                for k, a in enumerate(range(0, len(own), width)):
-                    rows.append(i)
-                    seq.append(k)
-                    count.append(min(width, len(own) - a) // 2)
-                    cells.append(own[a : a + width].ljust(width, b"\0"))
-            if number + len(rows) > end:
-                raise RuntimeError(f"partition {part} has more sequences than were counted")
-            slots = feistel(np.arange(number, number + len(rows)), n, key) if rows else np.zeros(0, np.int64)
-            number += len(rows)
-            columns = [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(seq, pa.int32()), pa.array(count, pa.int32()), pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), pa.array(cells, pa.binary())]
+            data, offsets = text_bytes(batch.column("text"))
+            crc = _sums(data, offsets)
+            rows = np.arange(at, at + batch.num_rows)
+            mine = own.slice(at, batch.num_rows) if own else None
+            at += batch.num_rows
+            if batch.num_rows and (mine is None or mine.num_rows < len(rows) or not np.array_equal(mine["row"], rows) or mine["crc"].to_pylist() != crc):
+                raise RuntimeError(f"partition {part} has other rows than when sequences were counted")
+            if not batch.num_rows:
+                continue
+            ids, begin = _closed(*encoder.encode(data, offsets), np.diff(offsets) > 0)
+            size = np.diff(begin)
+            count = -(-size // stride)
+            total = int(count.sum())
+            row = np.repeat(np.arange(len(count)), count)
+            seq = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+            n_tokens = np.minimum(stride, size[row] - seq * stride)
+            cells = np.zeros((total, stride), "<u2")
+            cells[np.arange(stride) < n_tokens[:, None]] = ids
+            slots = feistel(np.asarray(mine["number"])[row] + seq, n, key) if total else np.zeros(0, np.int64)
+            packed = pa.Array.from_buffers(pa.binary(width), total, [None, pa.py_buffer(cells)]).cast(pa.binary())
+            columns = [batch.column("doc_id").take(pa.array(row)), pa.array(seq.astype(np.int32)), pa.array(n_tokens.astype(np.int32)), pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), packed]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "seq_no", "n_tokens", "slot", "shard", "tokens"])
-        if (number, crc) != (end, counted):
+        if own is not None and own.num_rows != at:
             raise RuntimeError(f"partition {part} has other rows than when sequences were counted")
 
     return run
@@ -197,29 +324,33 @@ def materialise(docs: DataFrame, folder: str, key: int = 1, stride: int = STRIDE
 
     Texts are encoded whole, closed by END_OF_TEXT, and cut every `stride` tokens;
     the last sequence of a text is filled with zeros. Tokens are 16-bit little
-    endian. Numbers follow the order of partitions and rows. Partitions are laid out
-    once for both readings, and a partition whose tokens differ between the two
-    fails: docs should be a table on disk. Slots run from 0 without gaps. The counts of partitions are all that reaches the driver. Texts
-    are encoded twice, once to count and once to write, which spares a stored copy.
-    Null and empty texts give no sequence; rows that repeat an id or a text have
-    sequences of their own; further columns are not read; an empty table writes
-    nothing.
+    endian. Numbers follow a hash of the ids, so slots depend on ids, texts and key
+    alone, whatever files, partitions and executors there are; they run from 0
+    without gaps. Texts are encoded twice, once to count and once to write, which
+    spares a stored copy. Partitions are laid out once for both readings, and a
+    partition whose rows differ between the two fails: docs should be a table on
+    disk. Null and empty texts give no sequence; rows that repeat an id or a text
+    have sequences of their own; a null id counts as the empty key; further columns
+    are not read; an empty table writes nothing.
     """
     spark = docs.sparkSession
+    work = Scratch(spark, "token-rows")
     with open(ranks_path, "rb") as f:
-        ranks = spark.sparkContext.broadcast(SharedEncoder(f.read()))
+        ranks = spark.sparkContext.broadcast({"content": f.read()})
     id_type = docs.schema[id_col].dataType.simpleString()
     own = _pinned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    starts, n = {}, 0
-    for part, count, crc in sorted(own.mapInArrow(_count(ranks, stride), "part int, n long, crc long").collect()):
-        starts[part] = n, n + count, crc
-        n += count
+    counts = work.table(own.mapInArrow(_count(ranks, stride), f"part int, row long, doc_id {id_type}, n long, crc long"), "counts")
+    numbered, n = _numbered(counts)
+    starts = work.path("starts")
+    # A file for each partition of docs: its task reads what it needs and nothing else.
+    numbered.repartition("part").write.partitionBy("part").parquet(starts)
     shards = max(1, -(-n // per_shard))
     rows = own.mapInArrow(_emit(ranks, stride, per_shard, starts, n, key), SEQUENCES.format(id_type))
-    # Ranges of slots are known, so rows go straight to their shard's partition.
-    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    # Ranges of slots are known, so rows go straight to the task that writes their shard.
+    each = min(SHARDS_PER_TASK, max(1, shards // TASKS))
+    rows = rows.repartitionById(-(-shards // each), (F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
     out = rows.mapInArrow(_write(folder, stride, per_shard), f"slot long, doc_id {id_type}, seq_no int, n_tokens int, shard int, byte_offset long, tokens_crc32 long")
-    written = Scratch(spark, "token-rows").table(out, "rows")
+    written = work.table(out, "rows")
     if (found := written.count()) != n:
         raise RuntimeError(f"{found} sequences were written, {n} were counted")
     return written
