@@ -3,31 +3,38 @@
 A word's lattice has a node per byte boundary and an edge per piece of a public
 vocabulary. Forward filtering sums the weight of all segmentations up to each
 node; backward sampling draws the last piece, then the one before, and so on, each
-in proportion to the weight that leads there. Pieces hold a space only as their
-first byte, so lattices end at every space and whole batches of words are
-filtered and sampled together in numpy. Draws come from a hash of the row's key,
+in proportion to the weight that leads there. A piece that holds a space is a run of
+spaces or begins with its only space, and none holds a newline, so lattices end
+before every run of spaces and around newlines, and whole batches of words are
+filtered and sampled together in numpy. A word of more than LONGEST bytes is
+filtered and sampled alone, block by block, over its whole length. Draws come from a hash of the row's key,
 the word's number and the step, so a row is segmented alike wherever it runs.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import BYTE, mix, powers, text_bytes
+from .scratch import kept
+from .tokens import BYTE, mix, powers, row_slices, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of a piece is exp(SHARPNESS * score); scores of this vocabulary are negated merge ranks.
 SHARPNESS = 1 / 1500
+#: Scores from here down say that a piece has no rank.
+UNRANKED = -1e8
 #: Log-weight of a byte that no piece need cover.
 BYTE_WEIGHT = -40.0
-#: Words longer than this many bytes are sampled in parts of this length.
+#: Words longer than this many bytes are sampled one at a time, BLOCK positions at a time.
 LONGEST = 128
+BLOCK = 1 << 16
 #: Bytes of text worked on at a time.
 SLICE = 8 << 20
 
@@ -50,10 +57,16 @@ class Vocabulary:
                 self.pieces[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.pieces[i] = model.id_to_piece(i).replace("▁", " ").encode()
-                if model.get_score(i) > -1e8 and b" " not in self.pieces[i][1:]:
-                    names.append(self.pieces[i])
-                    ids.append(i)
-                    weights.append(sharpness * model.get_score(i))
+                # What lattices begin at must cut no piece.
+                if b"\n" in self.pieces[i] or (self.pieces[i].strip(b" ") and b" " in self.pieces[i][1:]):
+                    raise ValueError(f"piece {i} holds a space or newline inside")
+                names.append(self.pieces[i])
+                ids.append(i)
+                weights.append(model.get_score(i))
+        # Runs of spaces have no rank of their own (UNRANKED); scores fall by 1 from piece to piece, and so do theirs.
+        ranked = [(i, w) for i, w in zip(ids, weights, strict=True) if w > UNRANKED]
+        top = max((i + w for i, w in ranked), default=0)
+        weights = [sharpness * (w if w > UNRANKED else top - i) for i, w in zip(ids, weights, strict=True)]
         keys = np.concatenate([span_hash(np.frombuffer(x, np.uint8)[None, :]) for x in names])
         order = np.argsort(keys)
         self.keys, self.ids, self.weights = keys[order], np.append(np.array(ids, np.int32)[order], 0), np.append(np.array(weights, np.float32)[order], np.float32(-np.inf))
@@ -85,29 +98,71 @@ def span_hash(cells: np.ndarray) -> np.ndarray:
         return mix(scaled(cells).sum(1, dtype=np.uint64) + np.uint64(cells.shape[1]))
 
 
-@lru_cache(maxsize=2)
-def vocabulary(content: bytes, sharpness: float) -> Vocabulary:
-    return Vocabulary(content, sharpness)
+def vocabulary(sharpness: float):
+    """For kept(): the vocabulary of a model file's content."""
+    return lambda content: Vocabulary(content, sharpness)
 
 
 def word_starts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where lattices begin: rows, spaces, around newlines, and at most LONGEST bytes apart (between characters)."""
-    first = (data == 32) | (data == 10)
+    """Where lattices begin: rows, runs of spaces, and around newlines."""
+    first = data == 32
+    first[1:] &= data[:-1] != 32
+    first |= data == 10
     first[1:] |= data[:-1] == 10
     first[bounds[:-1][bounds[:-1] < len(data)]] = True
-    s = np.flatnonzero(first)
-    long = np.diff(np.append(s, len(data))) > LONGEST
-    if long.any():
-        more = []
-        for a, b in zip(s[long], np.append(s, len(data))[1:][long[: len(s)]], strict=True):
-            at = a + LONGEST
-            while at < b:
-                while (data[at] & 0xC0) == 0x80 and at > a + LONGEST - 4:
-                    at -= 1
-                more.append(at)
-                at += LONGEST
-        s = np.union1d(s, more)
-    return s
+    return np.flatnonzero(first)
+
+
+def _edges(word: np.ndarray, a: int, b: int, v: Vocabulary):
+    """(end, length, weight, id) of all edges of a word that end after positions a..b-1, by end and length."""
+    begin = max(0, a + 1 - v.longest)
+    own = np.zeros(b - begin + 1, np.uint64)
+    np.cumsum(BYTE[word[begin:b]] * powers(BLOCK + v.longest + 64)[0][: b - begin], out=own[1:])
+    back = powers(BLOCK + v.longest + 64)[1]
+    ends, lengths, places = [], [], []
+    with np.errstate(over="ignore"):
+        for m in range(1, min(v.longest, b) + 1):
+            e = np.arange(max(a + 1, m), b + 1) - begin
+            at = v.find(mix((own[e] - own[e - m]) * back[e - m] + np.uint64(m)))
+            hit = np.flatnonzero(at >= 0) if m > 1 else np.arange(len(e))
+            ends.append(e[hit] + begin)
+            lengths.append(np.full(len(hit), m))
+            places.append(at[hit])
+    end, length, at = np.concatenate(ends), np.concatenate(lengths), np.concatenate(places)
+    order = np.lexsort((length, end))
+    end, length, at = end[order], length[order], at[order]
+    weight = np.where(at >= 0, v.weights[at].astype(np.float64), BYTE_WEIGHT)
+    return end, length, weight, np.where(at >= 0, v.ids[at], v.byte_id[word[end - 1]])
+
+
+def sample_long(word: np.ndarray, seed: np.uint64, v: Vocabulary) -> np.ndarray:
+    """Ids of one word, sampled as by lattice(): log-weights of all positions are kept, edges only block by block."""
+    n, exp, log = len(word), math.exp, math.log
+    alpha = array("d", [0.0])
+    for a in range(0, n, BLOCK):
+        end, length, weight, _ = _edges(word, a, min(n, a + BLOCK), v)
+        at = np.searchsorted(end, np.arange(a + 1, min(n, a + BLOCK) + 2))
+        length, weight = length.tolist(), weight.tolist()
+        for e, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), a + 1):
+            logs = [weight[k] + alpha[e - length[k]] for k in range(lo, hi)]
+            top = max(logs)
+            alpha.append(top + log(sum([exp(x - top) for x in logs])))
+    out, e, step = [], n, 0
+    while e > 0:
+        a = (e - 1) // BLOCK * BLOCK
+        end, length, weight, ids = _edges(word, a, e, v)
+        at = np.searchsorted(end, np.arange(a + 1, e + 2))
+        while e > a:
+            here = slice(at[e - a - 1], at[e - a])
+            logs = np.array([w + alpha[e - m] for w, m in zip(weight[here].tolist(), length[here].tolist(), strict=True)])
+            share = np.cumsum(np.exp(logs - logs.max()))
+            with np.errstate(over="ignore"):
+                draw = float(mix(np.array([seed + np.uint64(step)]))[0] >> np.uint64(40)) / (1 << 24)
+            k = min(int((share <= draw * share[-1]).sum()), len(share) - 1)
+            out.append(ids[here][k])
+            e -= int(length[here][k])
+            step += 1
+    return np.array(out[::-1], np.int32)
 
 
 def lattice(cells: np.ndarray, v: Vocabulary):
@@ -154,7 +209,12 @@ def sample(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, v: Vocabulary
     with np.errstate(over="ignore"):
         seeds = mix(keys[row] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     found_word, found_step, found_id = [], [], []
-    for length in np.unique(n):
+    for w in np.flatnonzero(n > LONGEST):
+        got = sample_long(data[s[w] : s[w] + n[w]], seeds[w], v)[::-1]
+        found_word.append(np.full(len(got), w))
+        found_step.append(np.arange(len(got)))
+        found_id.append(got)
+    for length in np.unique(n[n <= LONGEST]):
         here = np.flatnonzero(n == length)
         cells = data[s[here][:, None] + np.arange(length)]
         _, first, which = np.unique(span_hash(cells), return_index=True, return_inverse=True)
@@ -199,23 +259,14 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(data, offsets[:-1][some], 32), offsets + np.concatenate(([0], np.cumsum(some)))
 
 
-def _parts(offsets: np.ndarray):
-    """Ranges of rows of about SLICE bytes."""
-    at = 0
-    while at < len(offsets) - 1:
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
-        yield at, end
-        at = end
-
-
 def _segment(content, sharpness: float, digest: bool):
     def run(batches):
-        v = vocabulary(content.value, sharpness)
+        v = kept(content, f"vocabulary {sharpness}", vocabulary(sharpness))
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             keys = np.asarray(batch.column("key")).view(np.uint64)
             counts, shas, same, lists = [], [], [], []
-            for a, b in _parts(offsets):
+            for a, b in row_slices(offsets, SLICE):
                 own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 with_marks, marked_at = _marked(own, at)
                 ids, begin = sample(with_marks, marked_at, keys[a:b], v)
@@ -246,12 +297,13 @@ def sampled_pieces(docs: DataFrame, digest: bool = False, seed: int = 1, sharpne
     ids_sha256 is taken of the ids as little-endian 32-bit numbers; lossless says
     whether decoding gave the text back, byte for byte. Characters outside the
     vocabulary, and the vocabulary's own space mark, go by bytes. Null and empty
-    texts have no pieces. Words of more than LONGEST bytes are sampled in parts.
+    texts have no pieces. Every piece of the vocabulary can be drawn, in words of any
+    length.
     Rows that repeat an id and a text are segmented alike; a null id counts as the
     empty key; further columns are not read; an empty table gives an empty result.
     """
     with open(path, "rb") as f:
-        content = docs.sparkSession.sparkContext.broadcast(f.read())
+        content = docs.sparkSession.sparkContext.broadcast({"content": f.read()})
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -261,7 +313,7 @@ def sampled_pieces(docs: DataFrame, digest: bool = False, seed: int = 1, sharpne
 
 def _texts(content, sharpness: float):
     def run(batches):
-        v = vocabulary(content.value, sharpness)
+        v = kept(content, f"vocabulary {sharpness}", vocabulary(sharpness))
         for batch in batches:
             column = batch.column("ids")
             ids = np.asarray(column.flatten()).astype(np.int64)
@@ -274,7 +326,11 @@ def _texts(content, sharpness: float):
 
 
 def decoded_texts(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of rows(doc_id, ids): the inverse of sampled_pieces; null ids give an empty text."""
+    """(doc_id, text) of rows(doc_id, ids): the inverse of sampled_pieces.
+
+    Null and empty ids give an empty text. Rows that repeat an id are decoded each;
+    further columns are not read; an empty table gives an empty result.
+    """
     with open(path, "rb") as f:
-        content = rows.sparkSession.sparkContext.broadcast(f.read())
+        content = rows.sparkSession.sparkContext.broadcast({"content": f.read()})
     return rows.select("doc_id", "ids").mapInArrow(_texts(content, SHARPNESS), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

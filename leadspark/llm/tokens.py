@@ -66,6 +66,15 @@ def text_bytes(column: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.nda
     return data, offsets - offsets[0]
 
 
+def row_slices(offsets: np.ndarray, size: int):
+    """Ranges of rows of about `size` bytes, one row at least."""
+    at = 0
+    while at < len(offsets) - 1:
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
+        yield at, end
+        at = end
+
+
 def _slices(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray):
     """Ranges of about SLICE bytes that cut no word."""
     at, n = 0, len(data)
