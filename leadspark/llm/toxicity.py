@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import kept
 from .tokens import text_bytes, words
 
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-DIM = 8
+DIM = 16
 ROWS = 1 << 16
 #: Labelled rows of each class that training reads at most.
 SAMPLE = 3_000
@@ -27,7 +28,11 @@ SAMPLE = 3_000
 SAMPLE_WORDS = 4_000_000
 #: Words of one document that training reads, the first ones.
 DOC_WORDS = 20_000
-EPOCHS = 3
+EPOCHS = 8
+#: Step size of training.
+RATE = 0.05
+#: Spread of the embeddings at the start, and share of filters that the output ignores in a step.
+SPREAD, DROPPED = 0.1, 0.25
 #: Bins of a unit of log-odds, and the highest bin, in the counts that thresholds are set from.
 BINS, TOP = 50, 1_000
 #: Toxic rows that a language needs for a threshold of its own.
@@ -48,8 +53,14 @@ class Model:
     intercept: float
     thresholds: dict = field(default_factory=dict)
     cuts: dict = field(default_factory=dict)
+    aside: bool = False
     _tables: list | None = None
 
+    def plain(self) -> dict:
+        """What a task needs, without this class: for broadcasting and kept()."""
+        names = ("table", "filters", "bias", "out", "intercept", "thresholds")
+        return {"content": {x: getattr(self, x) for x in names}}
+
     def tables(self) -> list[np.ndarray]:
         """What each row of the embedding table adds to each filter at each offset: a convolution is then a sum of gathers."""
         if self._tables is None:
@@ -85,6 +96,10 @@ class Model:
         return np.concatenate(out)
 
 
+def _made(content: dict) -> Model:
+    return Model(**content)
+
+
 def _crossing(bounds: np.ndarray, some: np.ndarray, o: int) -> np.ndarray:
     """Starts of windows whose word at offset o lies beyond their row (it then adds nothing)."""
     ends, begins = bounds[1:][some], bounds[:-1][some]
@@ -102,72 +117,87 @@ def train(h: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> Model:
     """Fits a model to rows of word hashes and 0/1 labels; the same rows give the same model.
 
     The first embedding coordinate starts at the smoothed log-odds of words that are
-    toxic beyond chance, the rest at small random values; filters, output and the embeddings
-    that filters pick are then trained by Adagrad on the logistic loss.
+    toxic beyond chance, the rest at random values. Half of the filters start at that
+    coordinate, the other half at random directions without a threshold, so that
+    order and company of any words can be learnt. Filters, output and the embeddings
+    that filters pick are trained by Adagrad on the logistic loss, with dropout.
+    Where only one class is present, every score is its smoothed share; without rows
+    scores are low.
     """
     rng = np.random.default_rng(SEED)
-    table = (rng.standard_normal((ROWS, DIM)) * 0.01).astype(np.float32)
-    row = np.repeat(np.arange(len(labels)), np.diff(bounds))
-    words_seen, inverse = np.unique(h, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(labels) + row)
-    word, doc = pairs // len(labels), pairs % len(labels)
-    toxic, all_docs = np.bincount(word, labels[doc], len(words_seen)), np.bincount(word, minlength=len(words_seen))
-    share = labels.mean() if len(labels) else 0.5
-    odds = np.log((toxic + 2 * share) / (all_docs - toxic + 2 * (1 - share)) * (1 - share) / share)
-    # Words that are toxic beyond chance: a Chernoff bound on seeing so many toxic rows, against all words that could.
-    rate = np.clip(toxic / all_docs, 1e-9, 1 - 1e-9)
-    gain = all_docs * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
-    strong = np.flatnonzero((odds > 1.0) & (gain > np.log(10 * max(1, (all_docs >= 3).sum()))))
-    a, b = rows_of(words_seen[strong])
+    table = (rng.standard_normal((ROWS, DIM)) * SPREAD).astype(np.float32)
     table[:, 0] = 0
-    for rows in (a, b):
-        np.maximum.at(table[:, 0], rows, (odds[strong] / 2).clip(0).astype(np.float32))
-    filters = [(rng.standard_normal((w, DIM, FILTERS)) * 0.1).astype(np.float32) for w in WIDTHS]
+    share = labels.mean() if len(labels) else 0.0
+    if 0 < share < 1:
+        words_seen, odds = telling_words(h, bounds, labels)
+        for rows in rows_of(words_seen):
+            np.maximum.at(table[:, 0], rows, (odds / 2).clip(0).astype(np.float32))
+    # Of each width's filters one half starts at the first coordinate, the other half at random directions of the rest.
+    filters = [(rng.standard_normal((w, DIM, FILTERS)) / np.sqrt(w * DIM)).astype(np.float32) for w in WIDTHS]
+    half = FILTERS // 2
+    bias = np.zeros((len(WIDTHS), FILTERS), np.float32)
+    out = (rng.standard_normal((len(WIDTHS), FILTERS)) * 0.1).astype(np.float32)
     for w in filters:
-        w[0, 0, : FILTERS // 2] = 1.0
-    bias = np.full(len(WIDTHS) * FILTERS, -0.8, np.float32)
-    model = Model(table, filters, bias, (rng.standard_normal(len(bias)) * 0.05 + 0.3).astype(np.float32), -2.0)
-    if not len(labels):
+        w[:, :, :half] *= 0.1
+        w[0, 0, :half] = 1.0
+    bias[:, :half], out[:, :half] = -0.8, 0.3
+    prior = float(np.log((labels.sum() + 1) / ((1 - labels).sum() + 1))) if len(labels) else -2.0
+    model = Model(table, filters, bias.ravel(), out.ravel(), prior if share in (0, 1) else -2.0)
+    if not 0 < share < 1:
+        model.out[:] = 0  # one class alone teaches only how common it is
         return model
     squares = {k: 1e-6 for k in ("out", "bias", "intercept")} | {"table": np.full(ROWS, 1e-6), "filters": [np.full(w.shape, 1e-6) for w in filters]}
-    weight = np.where(labels == 1, 0.5 / max(share, 1e-6), 0.5 / max(1 - share, 1e-6))
+    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     for epoch in range(EPOCHS):
         order = rng.permutation(len(labels))
         for part in np.array_split(order, max(1, len(order) // 64)):
-            _step(model, h, bounds, labels, weight, part, squares, 0.1 / (1 + epoch))
+            keep = (rng.random(len(model.out)) >= DROPPED) / (1 - DROPPED)
+            _step(model, h, bounds, labels, weight, part, squares, RATE / (1 + epoch / 2), keep.astype(np.float32))
     return model
 
 
-def _step(model: Model, h, bounds, labels, weight, part, squares, rate) -> None:
-    """One Adagrad step on the rows of `part`."""
+def telling_words(h: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, log-odds) of words that are toxic beyond chance: a Chernoff bound on seeing so many toxic rows, against all words that could."""
+    row = np.repeat(np.arange(len(labels)), np.diff(bounds))
+    words_seen, inverse = np.unique(h, return_inverse=True)
+    pairs = np.unique(inverse.astype(np.int64) * len(labels) + row)
+    word, doc = pairs // len(labels), pairs % len(labels)
+    toxic, all_docs = np.bincount(word, labels[doc], len(words_seen)), np.bincount(word, minlength=len(words_seen))
+    share = labels.mean()
+    odds = np.log((toxic + 2 * share) / (all_docs - toxic + 2 * (1 - share)) * (1 - share) / share)
+    rate = np.clip(toxic / np.maximum(all_docs, 1), 1e-9, 1 - 1e-9)
+    gain = all_docs * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+    strong = np.flatnonzero((odds > 1.0) & (gain > np.log(10 * max(1, (all_docs >= 3).sum()))))
+    return words_seen[strong], odds[strong]
+
+
+def _step(model: Model, h, bounds, labels, weight, part, squares, rate, kept_filters) -> None:
+    """One Adagrad step on the rows of `part`; rows without words teach the intercept."""
     own = [h[bounds[i] : bounds[i + 1]] for i in part]
-    keep = [k for k, x in enumerate(own) if len(x)]
-    if not keep:
-        return
-    own, part = [own[k] for k in keep], part[keep]
-    x = np.concatenate(own)
-    at = np.concatenate(([0], np.cumsum([len(o) for o in own])))
+    some = np.array([k for k, x in enumerate(own) if len(x)], np.int64)
+    x = np.concatenate(own) if len(own) else h[:0]
+    at = np.concatenate(([0], np.cumsum([len(own[k]) for k in some]))).astype(np.int64)
     a, b = rows_of(x)
     vectors = model.table[a] + model.table[b]
-    pre, best = [], []
-    for w in model.filters:
+    z1, best = np.zeros((len(part), len(model.out)), np.float32), []
+    for k, w in enumerate(model.filters):
         act = vectors @ w[0]
         for o in range(1, len(w)):
             more = vectors[o:] @ w[o]
-            more[_crossing(at, np.arange(len(own)), o)] = 0
+            more[_crossing(at, np.arange(len(some)), o)] = 0
             act[: len(act) - o] += more
-        top = np.stack([s + act[s:e].argmax(0) for s, e in zip(at[:-1], at[1:], strict=True)])
+        top = np.stack([s + act[s:e].argmax(0) for s, e in zip(at[:-1], at[1:], strict=True)]) if len(some) else np.zeros((0, FILTERS), np.int64)
         best.append(top)
-        pre.append(np.take_along_axis(act, top, 0))
-    z1 = np.concatenate(pre, 1) + model.bias
-    on = np.maximum(z1, 0)
+        cut = slice(k * FILTERS, (k + 1) * FILTERS)
+        z1[some, cut] = np.take_along_axis(act, top, 0) + model.bias[cut]
+    on = np.maximum(z1, 0) * kept_filters
     p = 1 / (1 + np.exp(-(on @ model.out + model.intercept)))
     g = ((p - labels[part]) * weight[part] / len(part)).astype(np.float32)
-    d1 = (g[:, None] * model.out) * (z1 > 0)
+    d1 = (g[:, None] * model.out * kept_filters) * (z1 > 0)
     g_out, g_bias, g_in = on.T @ g, d1.sum(0), float(g.sum())
-    touched, pulls = [], []
+    touched, pulls = [np.zeros(0, np.int64)], [np.zeros((0, DIM), np.float32)]
     for k, w in enumerate(model.filters):
-        d = d1[:, k * FILTERS : (k + 1) * FILTERS]
+        d = d1[some, k * FILTERS : (k + 1) * FILTERS]
         g_w = np.zeros_like(w)
         for o in range(len(w)):
             pos = best[k] + o
@@ -220,36 +250,47 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(known.hint("merge"), "doc_id")
 
 
-def _in_sample(cuts: dict) -> object:
+def _may_train(aside: bool):
+    """Whether a row may train: it is not held out, nor in the fourth of the others that is set aside for thresholds."""
+    number = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    return ~held_out(F.col("doc_id")) & (F.floor(number / 5) % 4 != 0 if aside else F.lit(True))
+
+
+def _in_sample(cuts: dict, aside: bool) -> object:
     """Whether a labelled row is in the sample that ends at these id hashes."""
     inside = F.lit(False)
     for c, m in cuts.items():
         inside = inside | ((F.col("toxic") == c) & (F.xxhash64("doc_id", F.lit(SEED)) <= m))
-    return inside & ~held_out(F.col("doc_id"))
+    return inside & _may_train(aside)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, aside: bool = False) -> Model:
     """Trains on a bounded sample of the labelled rows outside the held-out fifth; calibrate() sets the thresholds.
 
+    With aside, a fourth of those rows is left to calibrate(). Null labels, ids and
+    documents without a label do not train; a null text is empty; of labels that
+    repeat an id the largest counts, and rows that repeat an id train each. Without
+    labelled rows the model knows nothing and scores are low.
+
     The sample is the first SAMPLE rows of each class in the order of a hash of
     their ids, of DOC_WORDS words each at most, as far as a class's half of
     SAMPLE_WORDS goes (its first row in any case); it is all that reaches the
     driver.
     """
-    rows = _labelled(docs, labels).where(~held_out(F.col("doc_id")))
+    rows = _labelled(docs, labels).where(_may_train(aside))
     # Sizes first, so that only texts of the sample move.
     light = rows.select("toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "doc_id")
     cut = {c: light.where(F.col("toxic") == c).select("o").orderBy("o").limit(SAMPLE).agg(F.max("o")).first()[0] for c in (0, 1)}
     cut = {c: m for c, m in cut.items() if m is not None}
     if not cut:
         return train(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0))
-    sizes = rows.where(_in_sample(cut)).select("toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text").mapInArrow(_word_counts, "toxic int, o long, n long")
+    sizes = rows.where(_in_sample(cut, aside)).select("toxic", F.xxhash64("doc_id", F.lit(SEED)).alias("o"), "text").mapInArrow(_word_counts, "toxic int, o long, n long")
     most, cut = {c: SAMPLE_WORDS // 2 for c in cut}, {}
     for toxic, o, n in sorted(sizes.groupBy("toxic", "o").agg(F.sum("n")).collect()):
         most[toxic] -= n
         if most[toxic] >= 0 or toxic not in cut:
             cut[toxic] = o
-    chosen = rows.where(_in_sample(cut)).select("toxic", "lang", "text")
+    chosen = rows.where(_in_sample(cut, aside)).select("toxic", "lang", "text")
     sample = chosen.mapInArrow(_hash_rows, "toxic int, lang string, words array<long>")
     held = [(toxic, lang or "", np.array(w[:DOC_WORDS], np.int64).view(np.uint64)) for toxic, lang, w in sample.toLocalIterator()]
     held.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
@@ -257,12 +298,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     bounds = np.concatenate(([0], np.cumsum([len(x[2]) for x in held])))
     y = np.array([x[0] for x in held], np.float64)
     model = train(h, bounds, y)
-    model.cuts, model._tables = cut, None
+    model.cuts, model.aside, model._tables = cut, aside, None
     return model
 
 
 def calibrate(model: Model, docs: DataFrame, labels: DataFrame, target: float = 0.98) -> Model:
-    """Sets the model's thresholds from the scores of all labelled rows that it was not trained on.
+    """Sets the model's thresholds from the scores of all labelled rows that it was not trained on, but for the held-out fifth.
 
     Rows are scored and counted in Spark by language, label and bin of log-odds; a
     class counts as often as among all labelled rows of its language, whatever the
@@ -273,8 +314,8 @@ def calibrate(model: Model, docs: DataFrame, labels: DataFrame, target: float =
     """
     rows = _labelled(docs, labels).withColumn("lang", F.coalesce("lang", F.lit("")))
     whole = {(r["lang"], r["toxic"]): r["count"] for r in rows.groupBy("lang", "toxic").count().collect()}
-    fresh = rows.where(~_in_sample(model.cuts)).select("toxic", "lang", "text")
-    scored = fresh.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "toxic int, lang string, score double")
+    fresh = rows.where(~held_out(F.col("doc_id")) & ~_in_sample(model.cuts, model.aside)).select("toxic", "lang", "text")
+    scored = fresh.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), "toxic int, lang string, score double")
     odds = F.coalesce(F.log(F.try_divide(F.col("score"), 1 - F.col("score"))), F.lit(float(TOP)))
     place = F.when(F.col("score") >= 0.5, F.least(F.floor(odds * BINS), F.lit(TOP))).otherwise(-1).cast("int")
     counts: dict = {}
@@ -310,7 +351,7 @@ def _threshold(counts: np.ndarray, target: float) -> float | None:
 
 def _score(shared):
     def run(batches):
-        model = shared.value
+        model = kept(shared, "model", _made)
         for batch in batches:
             out = []
             texts = batch.column("text")
@@ -335,14 +376,14 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {id_type}, score double")
+    scored = own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), f"doc_id {id_type}, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def _keep(shared):
     def run(batches):
         for batch, scored in ((b, next(_score(shared)(iter([pa.RecordBatch.from_arrays([b.column("text")], ["text"])])))) for b in batches):
-            limits = shared.value.thresholds
+            limits = shared.value["content"]["thresholds"]
             limit = np.array([limits.get(x or "", limits.get(None, 0.5)) for x in batch.column("lang").to_pylist()])
             yield batch.filter(pa.array(scored.column("score").to_numpy(zero_copy_only=False) < limit))
 
@@ -350,5 +391,11 @@ def _keep(shared):
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs(text, lang, ...) that score below their language's threshold; columns unchanged."""
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model)), docs.schema)
+    """The rows of docs(text, lang, ...) that score below their language's threshold; columns unchanged.
+
+    Null and empty texts score as the model does without words; a null language
+    counts as an empty name, and one without a threshold takes that of all. Rows that
+    repeat an id or a text are judged each; column names are free, but for text and
+    lang; an empty table stays empty.
+    """
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model.plain())), docs.schema)
