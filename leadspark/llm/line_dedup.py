@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch
+from .scratch import Scratch, fresh
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -35,12 +35,12 @@ def _keys(least: int):
     return run
 
 
-def _rebuild(text_col: str, least: int):
+def _rebuild(text_col: str, least: int, gone_col: str, names: list[str], counts: bool):
     def run(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []
             at = batch.schema.get_field_index(text_col)
-            for text, gone in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column("__gone").to_pylist(), strict=True):
+            for text, gone in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(gone_col).to_pylist(), strict=True):
                 own = (text or b"").split(b"\n")
                 kept = own
                 if gone:
@@ -49,35 +49,39 @@ def _rebuild(text_col: str, least: int):
                 texts.append(text if len(kept) == len(own) else b"\n".join(kept))
                 lines.append(len(own))
                 dropped.append(len(own) - len(kept))
-            columns = {name: batch.column(name) for name in batch.schema.names if name not in ("__gone", "__id", "n_lines", "n_dropped")}
+            columns = {name: batch.column(name) for name in names}
             columns[text_col] = pa.array(texts, pa.binary()).cast(pa.string())
-            columns |= {"n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+            if counts:
+                columns |= {"n_lines": pa.array(lines, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3) -> DataFrame:
-    """docs with repeated lines dropped from the text, and n_lines and n_dropped appended.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 20, least_docs: int = 3, counts: bool = True) -> DataFrame:
+    """docs with repeated lines dropped from the text and, with counts, n_lines and n_dropped appended.
 
     Texts are split at newlines. A line's key is the line without ASCII white space
     at its ends, with A-Z in lower case. Keys of at least `least_chars` code points
-    that at least `least_docs` rows hold lose all their lines except in the row with
-    the largest id that holds them; lines repeated inside that row stay. Other lines
+    that at least `least_docs` ids hold lose all their lines except in rows of the
+    largest id that holds them; lines repeated inside those stay. Other lines
     stay in place. A null text stays null and counts as one empty line. Rows that
-    repeat an id count as documents of their own and are treated alike; rows
-    without an id count but keep their lines. Columns named n_lines and n_dropped
+    repeat an id count as one document and are treated alike; rows without an id do
+    not count and keep their lines. With counts, columns named n_lines and n_dropped
     are replaced; all others pass through. An empty table stays empty.
     """
     work = Scratch(docs.sparkSession, "lines")
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = work.table(own.mapInArrow(_keys(least_chars), f"doc_id {id_type}, k binary"), "keys")
-    often = keys.groupBy("k").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs)
+    often = keys.where("doc_id is not null").distinct().groupBy("k").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs)
     often = work.table(often.select("k", "last"), "often")
-    gone = keys.join(often.hint("merge"), "k").where("doc_id <> last").groupBy("doc_id").agg(F.collect_list("k").alias("__gone"))
-    gone = work.table(gone.withColumnRenamed("doc_id", "__id"), "gone")
-    fields = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
-    schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    rows = docs.join(gone.hint("merge"), docs[id_col] == F.col("__id"), "left")
-    return rows.mapInArrow(_rebuild(text_col, least_chars), schema)
+    gone = keys.join(often.hint("merge"), "k").where("doc_id <> last").groupBy("doc_id").agg(F.collect_set("k").alias("gone"))
+    gone = work.table(gone, "gone")
+    id_name, gone_name = fresh(docs, "gone_id"), fresh(docs, "gone_keys")
+    gone = gone.select(F.col("doc_id").alias(id_name), F.col("gone").alias(gone_name))
+    more = [T.StructField(x, T.LongType()) for x in ("n_lines", "n_dropped") if counts]
+    fields = [f for f in docs.schema.fields if f.name.lower() not in {x.name for x in more}]
+    schema = T.StructType([*fields, *more])
+    rows = docs.join(gone.hint("merge"), docs[id_col] == F.col(id_name), "left").drop(id_name)
+    return rows.mapInArrow(_rebuild(text_col, least_chars, gone_name, [f.name for f in fields], counts), schema)

@@ -23,13 +23,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, row_key, without_rows
 from .tokens import mix, shingles, text_bytes, words
 
 #: A token found in more classes than this is ordered after all others.
 COMMON = 128
 #: Documents in one search group; larger candidate groups are searched in pairs of blocks.
 BLOCK = 1024
+#: Shingles of a block, and of the groups packed together, on average.
+BLOCK_SHINGLES = 1 << 20
 #: Documents that are packed into one search group when candidate groups are small.
 PACK = 1024
 
@@ -76,8 +78,8 @@ def _sets(width: int):
         for batch in batches:
             h, bounds = words(*text_bytes(batch.column("text")))
             with np.errstate(over="ignore"):
-                own = [(_signatures(s)[0], len(s), s.tobytes()) for s in shingles(h, bounds, width)]
-            yield pa.RecordBatch.from_arrays([_longs([x[0] for x in own]), pa.array([x[1] for x in own], pa.int64()), pa.array([x[2] for x in own], pa.binary())], ["c", "n", "tokens"])
+                own = [(*_signatures(s), len(s), s.tobytes()) for s in shingles(h, bounds, width)]
+            yield pa.RecordBatch.from_arrays([_longs([x[0] for x in own]), _longs([x[1] for x in own]), pa.array([x[2] for x in own], pa.int64()), pa.array([x[3] for x in own], pa.binary())], ["s1", "s2", "n", "tokens"])
 
     return run
 
@@ -179,16 +181,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Two rows link when 100 * intersection >= percent * union. component_id is the
     smallest id reachable by links, a row's own id included. Null, empty and blank
     texts have no shingles and no links. Rows that repeat an id or a text are all
-    kept and belong together when their texts link. Rows with a null id link only
-    through an equal text. Further columns are not read. An empty table gives an
+    kept and belong together when their texts link. Ids may be of any type that has
+    an order. Rows with a null id link only through an equal text. Further columns are not read. An empty table gives an
     empty result.
     """
     work = Scratch(docs.sparkSession, "ngram")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = work.table(own.mapInArrow(_sketches(width, percent), "doc_id long, n long, s1 long, s2 long, head array<long>"), "sketches")
-    # One class per set; c names it from here on.
-    classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rid"), F.first("head").alias("head"))
-    classes = work.table(classes.withColumnRenamed("s1", "c"), "classes")
+    id_type = docs.schema[id_col].dataType.simpleString()
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = work.table(own.mapInArrow(_sketches(width, percent), f"doc_id {id_type}, n long, s1 long, s2 long, head array<long>"), "sketches")
+    # One class per set (128 bits and a size); c numbers it from here on, as written.
+    name = ["s1", "s2", "n"]
+    classes = rows.where("n > 0").groupBy(name).agg(F.min("doc_id").alias("rid"), F.first("head").alias("head"))
+    classes = work.table(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
 
     # Of the smaller head of two partners, at most (size - least overlap) tokens lack in the other.
     least = lambda n: f"(({percent} * {n} + 99) div 100)"
@@ -196,10 +200,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shared = work.table(posts.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "shared")
     need = F.expr(f"least({least('t')}, (t - {least('t')} + 1) div 2 + 9)")
     alive = posts.join(shared.select("h").hint("merge"), "h", "left_semi").groupBy("c", "t").agg(F.count("*").alias("m")).where(F.col("m") >= need)
-    alive = work.table(classes.join(alive.select("c").hint("merge"), "c", "left_semi").select(F.col("rid").alias("doc_id")), "survivors")
-    texts = own.join(alive.hint("merge"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_sets(width), "c long, n long, tokens binary").groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    sets = work.table(sets, "sets")
+    alive = work.table(classes.join(alive.select("c").hint("merge"), "c", "left_semi").select("rid", "c", *name), "survivors")
+    texts = own.join(alive.select(F.col("rid").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets(width), "s1 long, s2 long, n long, tokens binary").groupBy(name).agg(F.first("tokens").alias("tokens"))
+    sets = work.table(sets.join(alive.hint("merge"), name).select("c", "n", "tokens"), "sets")
 
     # Prefixes: rare tokens first, so that common ones count only where a set has little else.
     common = shared.where(F.col("df") > COMMON).select("h", F.lit(1).alias("late"))
@@ -217,9 +221,12 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = components(edges, work)
 
     # Search groups: small candidate groups packed together, large ones as pairs of blocks.
-    packs = max(1, groups.count() // PACK)
-    blocks = work.table(groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("m")), "blocks")
-    member = groups.join(banded(sets).select("node", "c").hint("merge"), "node").join(blocks.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    grouped = work.table(groups.join(banded(sets, "n").select("node", "c", "n").hint("merge"), "node"), "grouped")
+    n_sets, n_shingles = grouped.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    packs = max(1, n_sets // PACK, n_shingles // BLOCK_SHINGLES)
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    blocks = work.table(grouped.groupBy("root").agg(size.alias("m")), "blocks")
+    member = grouped.select("root", "node", "c").join(blocks.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     pack = F.when(F.col("m") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs)))
     member = member.select("c", pack.alias("g"), F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j")
@@ -227,15 +234,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = member.join(sets.select("c", "tokens").hint("merge"), "c").groupBy("g", "i", "j").applyInPandas(_search(percent), "a long, b long")
     linked = components(work.table(found, "links"), work)
 
-    named = work.table(classes.select("c", "s2", "n", "rid").join(linked.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "named")
+    named = work.table(classes.select("c", *name, "rid").join(linked.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "named")
     smallest = named.groupBy("root").agg(F.min("rid").alias("component_id"))
-    named = work.table(named.join(smallest.hint("merge"), "root").select(F.col("c").alias("s1"), "s2", "n", "component_id"), "names")
-    out = rows.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), ["s1", "s2", "n"], "left")
+    named = work.table(named.join(smallest.hint("merge"), "root").select(*name, "component_id"), "names")
+    out = rows.select("doc_id", "n", "s1", "s2").join(named.hint("merge"), name, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose id is the smallest of its near-duplicate group; columns unchanged."""
-    groups = ngram_components(docs, id_col, text_col, width, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone.hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of docs that come first in their near-duplicate group, by id and then by a checksum of the text; columns unchanged.
+
+    Groups are those of ngram_components over rows, so an unrelated row that repeats
+    an id stays. Rows alike in id and text stay or go together. A null id comes
+    first. Null, empty and blank texts are in no group and stay. Column names are
+    free; an empty table stays empty.
+    """
+    rows = docs.select(row_key(id_col, text_col).alias("doc_id"), F.col(text_col).alias("text"))
+    groups = ngram_components(rows, width=width, percent=percent)
+    return without_rows(docs, groups.where("doc_id <> component_id"), id_col, text_col)

@@ -36,7 +36,9 @@ def choose_revisits(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) with payload_bytes, payload_digest, record_type and refers_to.
 
     Of rows with equal payloads of at least REVISIT_BYTES bytes, those with the
-    smallest page_id are responses and the others revisits of it.
+    smallest page_id are responses and the others revisits of it. Null html counts
+    as empty; rows that repeat payload and smallest page_id are all responses; a null
+    page_id is never the smallest while there is another. An empty table stays empty.
     """
     own = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumn("payload_bytes", F.octet_length("html").cast("long")).withColumn("payload_digest", F.sha2("html", 256))
@@ -122,12 +124,13 @@ def _normalise(target: str, level: int):
         store, folder = place(target)
         store.create_dir(folder)
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            for path in batch.column("path").to_pylist():
                 name = hashlib.sha256(path.encode()).hexdigest()[:20]
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 index, offset = [], 0
-                with store.open_output_stream(f"{part}.gz", compression=None) as out:
-                    for record, head, http, _ in parse(io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), CHUNK)):
+                origin, name_there = place(path)
+                with origin.open_input_stream(name_there, compression=None, buffer_size=CHUNK) as archive, store.open_output_stream(f"{part}.gz", compression=None) as out:
+                    for record, head, http, _ in parse(io.BufferedReader(gzip.GzipFile(fileobj=archive), CHUNK)):
                         squeeze = zlib.compressobj(level, zlib.DEFLATED, 31)
                         member = squeeze.compress(record) + squeeze.flush()
                         out.write(member)
@@ -147,9 +150,12 @@ def normalise(spark, source: str, target: str, level: int = 6) -> DataFrame:
     """Rewrites every archive below source with a member per record, and an index per archive, into target.
 
     Returns (file, records, bytes), one row per archive. Runs at once. An archive
-    is read by one task, inflated once in pieces, and written record by record.
+    is read by one task as a stream, inflated once, and written record by record, so
+    that a task holds one record and the index entries of its archive. Empty files
+    are passed over; a source without archives gives an empty result. Archives must
+    be in a store that pyarrow.fs opens by its URI.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).where(F.col("length") > 0).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source).where(F.col("length") > 0).select("path")
     done = files.mapInArrow(_normalise(target, level), "file string, records long, bytes long")
     return Scratch(spark, "warc-files").table(done, "files")
 
@@ -179,7 +185,11 @@ def _members(target: str):
 
 
 def read_members(spark, target: str) -> DataFrame:
-    """A row per record of the normalised archives, each read at its offset; response digests are taken of what was read."""
+    """A row per record of the normalised archives, each read at its offset; response digests are taken of what was read.
+
+    Headers that a record lacks are null; repeated records have a row each. target
+    must hold an index, and an empty index has no rows.
+    """
     index = spark.read.schema(INDEX).json(f"{target}/*.jsonl")
     return index.mapInArrow(_members(target), INDEX)
 
