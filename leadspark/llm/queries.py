@@ -86,25 +86,22 @@ QUERIES = {
 
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
-_TEMPLATES = ", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)
+_TEMPLATES = ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(licenses.TEMPLATES))
 
 SQL: dict[str, str] = {
     "op4_license_scans": rf"""
 WITH d AS (SELECT doc_id, coalesce(source, 'none') || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || CASE WHEN doc_id % 100 = 0 THEN 'LICENSE' ELSE doc_id || '.txt' END AS path, text FROM documents),
-t(license, statement) AS (VALUES {_TEMPLATES}),
-l AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line FROM d),
-s AS (SELECT doc_id, path, trim(line) AS statement FROM l WHERE regexp_matches(line, '{licenses.STATES}')),
-u AS (SELECT statement, count(*) AS times FROM s GROUP BY 1),
-tf AS (SELECT statement, term, count(*) AS tf FROM (SELECT statement, unnest(regexp_extract_all(lower(statement), '{licenses.TERM}')) AS term FROM u) GROUP BY ALL),
-tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(statement), '{licenses.TERM}')) AS term FROM t) GROUP BY ALL),
-df AS (SELECT term, sum(k) AS df FROM (SELECT term, times AS k FROM tf JOIN u USING (statement) UNION ALL SELECT term, 1 FROM tt) GROUP BY 1),
-n AS (SELECT coalesce(sum(times), 0) + {len(licenses.TEMPLATES)} AS n FROM u),
-idf AS (SELECT term, ln((1 + n) / (1 + df)::DOUBLE) + 1 AS idf FROM df, n),
-w AS (SELECT statement, term, tf * idf AS w FROM tf JOIN idf USING (term)), v AS (SELECT license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
-wn AS (SELECT statement, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), vn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
-c AS (SELECT w.statement, v.license, round(sum(w.w * v.w) / (any_value(wn.norm) * any_value(vn.norm)), 6) AS cosine FROM w JOIN v USING (term) JOIN wn ON wn.statement = w.statement JOIN vn ON vn.license = v.license GROUP BY ALL),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY statement ORDER BY cosine DESC, license) AS k FROM c) WHERE k = 1 AND cosine >= {licenses.LEAST_COSINE}),
-o AS (SELECT * FROM (SELECT doc_id, license AS own_license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS k FROM s JOIN b USING (statement)) WHERE k = 1),
+t(tid, license, unit) AS (VALUES {_TEMPLATES}),
+u AS (SELECT DISTINCT doc_id, path, unit FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS unit FROM d UNION ALL SELECT doc_id, path, unnest(string_split_regex(text, '{licenses.GAP}')) FROM d
+  UNION ALL SELECT doc_id, path, text FROM d WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENSE_FILE}'))),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM d UNION ALL SELECT unnest(list_distinct(regexp_extract_all(lower(unit), '{licenses.TERM}'))) FROM t) GROUP BY 1),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d) + (SELECT count(*) FROM t)) / (1 + df)::DOUBLE) + 1 AS idf FROM df),
+tf AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM (SELECT DISTINCT unit FROM u)) GROUP BY ALL),
+tt AS (SELECT tid, license, term, count(*) AS tf FROM (SELECT tid, license, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM t) GROUP BY ALL),
+w AS (SELECT unit, term, tf * idf AS w FROM tf JOIN idf USING (term)), v AS (SELECT tid, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+wn AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), vn AS (SELECT tid, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
+c AS (SELECT w.unit, v.license, round(sum(w.w * v.w) / (any_value(wn.norm) * any_value(vn.norm)), 6) AS cosine FROM w JOIN v USING (term) JOIN wn ON wn.unit = w.unit JOIN vn ON vn.tid = v.tid GROUP BY w.unit, v.tid, v.license),
+o AS (SELECT * FROM (SELECT doc_id, license AS own_license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS k FROM u JOIN c USING (unit) WHERE cosine >= {licenses.LEAST_COSINE}) WHERE k = 1),
 f AS (SELECT d.doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, own_license, cosine FROM d LEFT JOIN o ON o.doc_id = d.doc_id),
 h AS (SELECT dir AS above, arg_min(own_license, path) AS dir_license FROM f WHERE own_license IS NOT NULL AND regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENSE_FILE}') GROUP BY 1),
 r AS (SELECT * FROM (SELECT dir, above, dir_license, row_number() OVER (PARTITION BY dir ORDER BY length(above) DESC) AS k FROM (SELECT DISTINCT dir FROM f) JOIN h ON above = dir OR above = '' OR starts_with(dir, above || '/')) WHERE k = 1)
