@@ -545,6 +545,39 @@ def test_licenses_inherit_from_the_nearest_directory(spark):
     }
 
 
+def test_licences_that_are_edited_partial_or_identifiers(spark):
+    texts = dict(licenses.TEMPLATES)
+    mit = next(b for a, b in licenses.TEMPLATES if a == "MIT" and "sublicense" in b)
+    bsd = next(b for a, b in licenses.TEMPLATES if a == "BSD-3-Clause" and "PROCUREMENT" in b)
+    prose = "The river ran past the old mill and the road went on to the town where people met.\n" * 5
+    wrapped = "\n".join("# " + " ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    gpl = "/* This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License, version 3,\n * as published by the Free Software Foundation, or any later version.\n * It is distributed in the hope that it will be useful, WITHOUT ANY WARRANTY. */"
+    rows = [
+        ("a.py", f"{wrapped}\n\nimport os\n{prose}", "MIT"),
+        ("b.py", "Copyright (c) 2019 Some Person\n\n" + mit[: len(mit) // 2] + "\n\n" + prose, "MIT"),
+        ("LICENSE", "Copyright 2020, Somebody. All their own words here.\n\n" + bsd.replace("copyright holder", "university"), "BSD-3-Clause"),
+        ("c.c", "// SPDX-License-Identifier: GPL-3.0-or-later\nint main() {}\n", "GPL-3.0"),
+        ("d.c", "// SPDX-License-Identifier: Apache-2.0\nint main() {}\n", "Apache-2.0"),
+        ("e.c", f"{gpl}\n\nint x;\n{prose}", "GPL-3.0"),
+        ("f.txt", prose, None),
+        ("g.txt", "We asked for a permit to use the mill, and without any warranty it was given, free of charge.\n" + prose, None),
+    ]
+    docs = spark.createDataFrame([(i, f"dir{i}/{p}", t) for i, (p, t, _) in enumerate(rows)] + [(100 + i, None, prose + f" word{i}") for i in range(60)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.own_license for r in licenses.scan_licenses(docs).collect()}
+    assert [got[i] for i in range(len(rows))] == [x for _, _, x in rows] and len(texts) > 10
+    assert all(got[100 + i] is None for i in range(60))
+
+
+def test_light_terms_alone_never_reach_the_cosine():
+    rng = random.Random(1)
+    vectors = [(t, f"w{k}", rng.random() * 5) for t in range(5) for k in rng.sample(range(40), 12)]
+    heavy = set(licenses.heavy_terms(vectors))
+    for t in range(5):
+        own = {k: w for i, k, w in vectors if i == t}
+        light = sum(w * w for k, w in own.items() if k not in heavy) ** 0.5 / sum(w * w for w in own.values()) ** 0.5
+        assert light < licenses.LEAST_COSINE
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_oracle(spark, name):
     con = duckdb.connect()
