@@ -58,7 +58,7 @@ class Encoder:
         self.width[list(pairs.values())] = [len(x) for x in pairs]
 
     def _plain(self, part: np.ndarray) -> np.ndarray:
-        return np.array(self.bpe.encode_ordinary(part.tobytes().decode()), np.uint16)
+        return self.bpe.encode_to_numpy(part.tobytes().decode(), disallowed_special=()).astype(np.uint16)
 
     def kinds(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of parts, and where each part's ids begin and how many it has."""
@@ -136,8 +136,11 @@ def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = data == 32
     blank = np.flatnonzero(first)
-    before = np.maximum(blank - 1, 0)
-    blank = blank[ASCII_SPACE[data[before]] | ((data[before] >= 128) & (space_at(data, np.maximum(blank - 2, 0)) | space_at(data, np.maximum(blank - 3, 0))))]
+    before = data[np.maximum(blank - 1, 0)]
+    doubtful = ASCII_SPACE[before]
+    wide = np.flatnonzero(before >= 128)
+    doubtful[wide] = space_at(data, np.maximum(blank[wide] - 2, 0)) | space_at(data, np.maximum(blank[wide] - 3, 0))
+    blank = blank[doubtful]
     row = np.searchsorted(offsets, blank, "right") - 1
     last = blank + 1 >= offsets[row + 1]
     for r in np.unique(row[last | space_at(data, np.minimum(blank + 1, len(data) - 1))]).tolist():
@@ -166,15 +169,39 @@ def same_parts(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarr
     short = e - s <= LONG
     ends = np.where(short, e, s)
     keys = (e - s).astype(np.uint64) + np.where(short, 0, (each + 1) << 32).astype(np.uint64)
+    rounds = list(_chunks(padded, s, ends))
     with np.errstate(over="ignore"):
-        for live, word in _chunks(padded, s, ends):
+        for live, word in rounds:
             keys[live] = mix(keys[live] * np.uint64(STEP_KEY) + word)
-    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    one = first[which]
-    same = np.array_equal((ends - s)[one], ends - s)
-    if same:
-        same = all(np.array_equal(a[1], b[1]) for a, b in zip(_chunks(padded, s, ends), _chunks(padded, s[one], ends[one]), strict=True))
-    return (which, first) if same else (each, each)
+    # Sorted by their high bits with the part's number in the low ones, which is fast; kinds that share the bits are told apart below.
+    low = np.uint64((1 << len(s).bit_length()) - 1)
+    for known in (_kinds((keys & ~low) | each.astype(np.uint64), low), None):
+        if known is None:
+            _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        else:
+            which, first = known
+        one = first[which]
+        if np.array_equal((ends - s)[one], ends - s) and all(_agree(live, word, one) for live, word in rounds):
+            return which, first
+    return each, each
+
+
+def _agree(live: np.ndarray, word: np.ndarray, one: np.ndarray) -> bool:
+    """Whether all live parts have the bytes of their kind's first part, which is as long and so live too."""
+    all_words = np.empty(len(one), np.uint64)
+    all_words[live] = word
+    return np.array_equal(all_words[one[live]], word)
+
+
+def _kinds(packed: np.ndarray, low: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """For numbers whose high bits say the kind and low bits the part: each part's kind, and each kind's first part."""
+    packed = np.sort(packed)
+    part, high = (packed & low).astype(np.int64), packed & ~low
+    new = np.ones(len(packed), bool)
+    new[1:] = high[1:] != high[:-1]
+    which = np.empty(len(packed), np.int64)
+    which[part] = np.cumsum(new) - 1
+    return which, part[new]
 
 
 def feistel(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
