@@ -92,9 +92,9 @@ def terms_of(text: Column) -> Column:
 
 
 def _weights(units: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """(key, term, w) of units(key, unit): tf * idf."""
+    """(key, term, w) of units(key, unit): (1 + ln tf) * idf."""
     tf = units.select(key, F.explode(terms_of(F.col("unit"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return tf.join(idf.hint("merge"), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("w"))
+    return tf.join(idf.hint("merge"), "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
 
 
 def _norms(vectors: DataFrame, key: str, name: str) -> DataFrame:
@@ -129,8 +129,8 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
 
     Units of a text are its lines, its blocks of lines between blank ones and, for a
     file whose name says licence, the whole text. A unit's vector holds its terms,
-    weighted tf * (ln((1 + n) / (1 + df)) + 1), where n counts files and templates
-    and df those of them that hold the term; its licence is that of the template of
+    weighted (1 + ln tf) * ln((1 + n) / df), where n counts files and templates and
+    df those of them that hold the term; its licence is that of the template of
     the highest cosine (the first by name of equals) if that is at least
     LEAST_COSINE. own_license is that of the file's unit of the highest cosine, then
     the first by name. A directory has the own licence of its licence file (by name;
@@ -151,7 +151,7 @@ def scan_licenses(files: DataFrame, id_col: str = "doc_id", path_col: str = "pat
     df = df.unionAll(model.select(F.explode(F.array_distinct(terms_of(F.col("unit")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     df = work.table(df.groupBy("term").agg(F.sum("df").alias("df")), "df")
     n = own.count() + len(TEMPLATES)
-    idf = df.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.select("term", F.log((1 + F.lit(n)) / F.col("df")).alias("idf"))
     vectors = work.table(_weights(model, "tid", idf), "vectors")
     heavy = F.array(*map(F.lit, heavy_terms([tuple(r) for r in vectors.collect()])))  # the templates' terms: a table of fixed size
 

@@ -95,10 +95,10 @@ t(tid, license, unit) AS (VALUES {_TEMPLATES}),
 u AS (SELECT DISTINCT doc_id, path, unit FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS unit FROM d UNION ALL SELECT doc_id, path, unnest(string_split_regex(text, '{licenses.GAP}')) FROM d
   UNION ALL SELECT doc_id, path, text FROM d WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENSE_FILE}'))),
 df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '{licenses.TERM}'))) AS term FROM d UNION ALL SELECT unnest(list_distinct(regexp_extract_all(lower(unit), '{licenses.TERM}'))) FROM t) GROUP BY 1),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d) + (SELECT count(*) FROM t)) / (1 + df)::DOUBLE) + 1 AS idf FROM df),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM d) + (SELECT count(*) FROM t)) / df::DOUBLE) AS idf FROM df),
 tf AS (SELECT unit, term, count(*) AS tf FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM (SELECT DISTINCT unit FROM u)) GROUP BY ALL),
 tt AS (SELECT tid, license, term, count(*) AS tf FROM (SELECT tid, license, unnest(regexp_extract_all(lower(unit), '{licenses.TERM}')) AS term FROM t) GROUP BY ALL),
-w AS (SELECT unit, term, tf * idf AS w FROM tf JOIN idf USING (term)), v AS (SELECT tid, license, term, tf * idf AS w FROM tt JOIN idf USING (term)),
+w AS (SELECT unit, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term)), v AS (SELECT tid, license, term, (1 + ln(tf)) * idf AS w FROM tt JOIN idf USING (term)),
 wn AS (SELECT unit, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), vn AS (SELECT tid, sqrt(sum(w * w)) AS norm FROM v GROUP BY 1),
 c AS (SELECT w.unit, v.license, round(sum(w.w * v.w) / (any_value(wn.norm) * any_value(vn.norm)), 6) AS cosine FROM w JOIN v USING (term) JOIN wn ON wn.unit = w.unit JOIN vn ON vn.tid = v.tid GROUP BY w.unit, v.tid, v.license),
 o AS (SELECT * FROM (SELECT doc_id, license AS own_license, cosine, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license) AS k FROM u JOIN c USING (unit) WHERE cosine >= {licenses.LEAST_COSINE}) WHERE k = 1),
