@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .urls import registrable
+
 # What counts as an email address and as a phone number.
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PHONE = r"(?:\+\d{1,3}[\s().-]*)?(?:\d[\s().-]*){8,14}\d"
 EMAIL_PARTS = r"(?i)^([A-Z0-9._%+-]+)@([A-Z0-9.-]+\.[A-Z]{2,})$"
+# Words that tell who answers, first match first.
+ROLES = (("sales", "sales|trade|commercial|export|wholesale"), ("support", "help|support|service"), ("general", "info|contact|office|general"))
 
 
 def role(value: Column, nearby: Column) -> Column:
     """Who answers at a contact, by its address and the text around it."""
     text = F.lower(F.concat(value, F.lit(" "), F.coalesce(nearby, F.lit(""))))
-    return (
-        F.when(text.rlike("sales|trade|commercial|export|wholesale"), "sales")
-        .when(text.rlike("help|support|service"), "support")
-        .when(text.rlike("info|contact|office|general"), "general")
-        .otherwise("unknown")
-    )
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in ROLES], F.lit("unknown"))
 
 
 def email_domain(value: Column) -> Column:
@@ -28,6 +27,11 @@ def email_domain(value: Column) -> Column:
     return F.when(found != "", found)
 
 
+def same_domain(found: Column, company: Column) -> Column:
+    """Whether an email's domain and a company's belong to one registrable domain; false where there is none."""
+    return F.coalesce(registrable(found) == registrable(company), F.lit(False))
+
+
 def weighted(*parts: tuple[Column, float]) -> Column:
     """Sum of the weights of true parts, in their order, at most 1."""
     total = F.lit(0.0)
@@ -36,6 +40,7 @@ def weighted(*parts: tuple[Column, float]) -> Column:
     return F.least(F.lit(1.0), total)
 
 
+# Fixed values below: the weights of confidence, rank and label.
 def email_confidence(syntax: Column, mx: Column, same_domain: Column, who: Column) -> Column:
     return weighted((syntax, 0.25), (mx, 0.25), (same_domain, 0.35), (who == "sales", 0.15))
 

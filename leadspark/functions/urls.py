@@ -27,10 +27,22 @@ def host(url: Column) -> Column:
     return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), r"^www\.", "")
 
 
-def registrable(domain: Column) -> Column:
-    """The last two labels of a host (a public-suffix dimension, where one is joined, takes precedence)."""
+# Public suffixes of more than one label.
+PUBLIC_SUFFIXES = (
+    "ac.ae", "ac.jp", "ac.nz", "ac.uk", "ac.za", "co.ae", "co.at", "co.id", "co.il", "co.in", "co.jp", "co.ke", "co.kr", "co.nz", "co.th", "co.uk", "co.za",
+    "com.ar", "com.au", "com.bd", "com.bh", "com.br", "com.cn", "com.co", "com.cy", "com.eg", "com.es", "com.gr", "com.hk", "com.jo", "com.kw", "com.lb",
+    "com.mx", "com.my", "com.ng", "com.om", "com.pe", "com.ph", "com.pk", "com.pl", "com.pt", "com.qa", "com.ro", "com.sa", "com.sg", "com.tr", "com.tw",
+    "com.ua", "com.vn", "edu.au", "edu.sa", "gov.ae", "gov.au", "gov.in", "gov.sa", "gov.uk", "ltd.uk", "me.uk", "med.sa", "ne.jp", "net.ae", "net.au",
+    "net.cn", "net.in", "net.pl", "net.sa", "or.jp", "or.kr", "org.ae", "org.au", "org.br", "org.cn", "org.in", "org.pl", "org.sa", "org.uk", "plc.uk",
+    "pub.sa", "sch.ae", "sch.sa", "web.id",
+)
+
+
+def registrable(domain: Column, public: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
+    """A host's public suffix (one of `public`, else its last label) and the label before it; a host that is itself a suffix stays."""
     parts = F.split(domain, r"\.")
-    return F.when(F.size(parts) <= 2, domain).otherwise(F.array_join(F.slice(parts, -2, 2), "."))
+    last = lambda n: F.array_join(F.slice(parts, -n, n), ".")
+    return F.when(F.size(parts) <= 2, domain).when(last(2).isin(*public), last(3)).otherwise(last(2))
 
 
 def suffixes(domain: Column) -> Column:
@@ -68,3 +80,43 @@ def range_bounds(cidr: str) -> tuple[int, int]:
     base, bits = cidr.split("/")
     low = reduce(lambda a, b: a * 256 + int(b), base.split("."), 0)
     return low, low + 2 ** (32 - int(bits)) - 1
+
+
+def _ipv6_unsafe(ip: Column) -> Column:
+    """Whether an IPv6 literal in lower case is of a range that is never public: ::, ::1, 100::/64, 2001:db8::/32, fc00::/7, fe80::/10, ff00::/8 (fixed values)."""
+    return ip.isin("::", "::1") | ip.rlike("^(0*100:(:|(0+:){3})|2001:0?db8:|f[cd][0-9a-f]{2}:|fe[89ab][0-9a-f]:|ff[0-9a-f]{2}:|(0+:){7}0*[01]$)")
+
+
+def _ipv4_unsafe(ip: Column) -> Column:
+    """Whether an IPv4 literal lies in PRIVATE_RANGES or is no address."""
+    number, parts = ipv4_number(ip), F.split(ip, r"\.")
+    inside = reduce(lambda a, b: a | b, [number.between(*range_bounds(r)) for r in PRIVATE_RANGES])
+    return inside | F.exists(parts, lambda x: x.cast("int") > 255)
+
+
+def unsafe_reason(url: Column) -> Column:
+    """Why a URL must not be fetched: scheme, userinfo, host or address; null where nothing is against it. Names are not resolved."""
+    scheme = F.lower(F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*)://", 1))
+    authority = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
+    name = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", ""))
+    inner = F.regexp_extract(name, r"^\[(.*)\]$", 1)
+    mapped = F.regexp_extract(inner, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
+    v4 = F.when(mapped != "", mapped).when(name.rlike(r"^\d+\.\d+\.\d+\.\d+$"), name)
+    return (
+        F.when(url.isNull() | ~scheme.isin("http", "https"), "scheme")
+        .when(F.contains(authority, F.lit("@")), "userinfo")
+        .when(name.isin("", "[]"), "host")
+        .when(v4.isNotNull() & _ipv4_unsafe(v4), "address")
+        .when(v4.isNull() & (inner != "") & _ipv6_unsafe(inner), "address")
+    )
+
+
+def exclude_domain(domain: Column) -> Column:
+    """The search operator that leaves a domain out."""
+    return F.concat(F.lit("-site:"), domain)
+
+
+def exclude_brand(brand: Column) -> Column:
+    """The search operator that leaves a phrase out, quotes and backslashes blanked; null where nothing is left of it."""
+    value = F.trim(F.regexp_replace(F.regexp_replace(brand, r'["\\\\]', " "), r"\s+", " "))
+    return F.when(value != "", F.concat(F.lit('-"'), value, F.lit('"')))

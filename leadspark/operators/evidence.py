@@ -15,6 +15,15 @@ MARKS = "\n.!?。！？"
 SLOT_QUOTAS = {"identity": 10, "productFit": 20, "businessRole": 12, "scaleAndImport": 12, "countrySignals": 8, "exclusionsAndRisks": 10}
 
 
+#: Rows up to which a table of terms is broadcast.
+SMALL = 100_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df to be broadcast if it has at most SMALL rows, else to be joined by merging."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
+
+
 def dedupe_terms(terms: DataFrame, key: str) -> DataFrame:
     """terms(key, pos, term): trimmed terms of 2 or more characters, the first spelling of each kept."""
     own = terms.withColumn("term", F.trim("term")).where(F.length("term") >= 2)
@@ -34,8 +43,8 @@ def find_strings(strings: DataFrame, texts: DataFrame, block: str) -> DataFrame:
     sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())
     whole = texts.select(block, "id", "text").where(f"{block} is not null and id is not null and text is not null")
     met = whole.mapInArrow(grams.keyed_texts(sizes), f"`{block}` {types[block]}, id {types['id']}, key long")
-    pairs = keyed.drop("size").join(met, [block, "key"]).select(block, "needle", "id").distinct()
-    both = pairs.join(whole, [block, "id"]).where(F.contains("text", F.col("needle")))
+    pairs = keyed.drop("size").hint("merge").join(met, [block, "key"]).select(block, "needle", "id").distinct()
+    both = pairs.hint("merge").join(whole, [block, "id"]).where(F.contains("text", F.col("needle")))
     return both.select(block, "needle", "id", (F.instr("text", F.col("needle")) - 1).cast("long").alias("at"))
 
 
@@ -97,6 +106,7 @@ def chunk_fixed(pages: DataFrame, size: int, overlap: int) -> DataFrame:
 
 def page_boost(url: Column, title: Column, slot: Column) -> Column:
     """What a page's address and title add to a chunk's score in a slot."""
+    # Words and points.
     path = F.lower(F.regexp_replace(F.regexp_replace(url, r"^[a-zA-Z]+://[^/?#]*", ""), r"[?#].*$", ""))
     value = F.concat(path, F.lit(" "), F.lower(title))
     return (
@@ -118,9 +128,9 @@ def rank_evidence(chunks: DataFrame, slots: DataFrame, prior: DataFrame, quotas:
     """
     quotas = quotas or SLOT_QUOTAS
     words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "text", "title", "url")), r"[^\p{L}\p{N}]+"))
-    overlap = chunks.select("company", "ref", F.explode(words).alias("term")).join(F.broadcast(slots), "term").groupBy("company", "slot", "ref").agg(F.count("*").alias("n"))
+    overlap = chunks.select("company", "ref", F.explode(words).alias("term")).join(bounded(slots), "term").groupBy("company", "slot", "ref").agg(F.count("*").alias("n"))
     rows = chunks.select("company", "page_index", "ref", "url", "title", F.explode(F.array(*map(F.lit, quotas))).alias("slot"))
-    rows = rows.join(overlap, ["company", "slot", "ref"], "left").join(prior.select("company", "ref", F.lit(12).alias("p")), ["company", "ref"], "left")
+    rows = rows.join(overlap.hint("merge"), ["company", "slot", "ref"], "left").join(prior.select("company", "ref", F.lit(12).alias("p")).hint("merge"), ["company", "ref"], "left")
     first = F.when(F.col("page_index") == 0, 1).otherwise(0)
     score = F.coalesce("n", F.lit(0)) + page_boost(F.col("url"), F.col("title"), F.col("slot")) + first + F.coalesce("p", F.lit(0))
     scored = rows.withColumn("score", score).where("score > 0")
@@ -142,7 +152,7 @@ def search_page(ranked: DataFrame, keys: list[str], order: list[Column], cursor:
 def neighbours(chunks: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
     """chunks(page, idx, ...) within radius of the wanted(page, idx) chunks of the same page, each once per wanted chunk."""
     w = wanted.select("page", F.explode(F.sequence(F.col("idx") - radius, F.col("idx") + radius)).alias("idx"), F.col("idx").alias("center"))
-    return chunks.join(w, ["page", "idx"])
+    return chunks.join(w.hint("merge"), ["page", "idx"])
 
 
 def prior_quotes(quotes: DataFrame, chunks: DataFrame, block: str) -> DataFrame:
@@ -167,12 +177,12 @@ def evidence_ids(facts: DataFrame, refs: DataFrame) -> DataFrame:
     """(company, ids): ids of the facts behind refs(company, pos, ref), in the order of first mention; the last fact of a ref counts."""
     last = facts.groupBy("company", "ref").agg(F.max_by("id", "pos").alias("id"))
     first = refs.groupBy("company", "ref").agg(F.min("pos").alias("pos"))
-    both = first.join(last, ["company", "ref"])
+    both = first.join(last.hint("merge"), ["company", "ref"])
     return both.groupBy("company").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
 def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
-    """(key, term, times) of texts(key, text) and lexicon(term): an equi-join of word n-grams with the terms, whatever the lexicon's size."""
+    """(key, term, times) of texts(key, text) and lexicon(term): an equi-join of word n-grams with the terms, broadcast only up to SMALL of them."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def grams_of(w, n):
@@ -182,13 +192,21 @@ def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -
 
     # The words are bound by a lambda, so they are made once for a text and not for each position.
     grams = F.flatten(F.transform(F.array(words), lambda w: F.concat(*[grams_of(w, n) for n in range(1, longest + 1)])))
-    found = texts.select(key, F.explode(grams).alias("term")).join(F.broadcast(lexicon.select("term").distinct()), "term")
+    found = texts.select(key, F.explode(grams).alias("term")).join(bounded(lexicon.select("term").distinct()), "term")
     return found.groupBy(key, "term").agg(F.count("*").alias("times"))
 
 
 def facts_from_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
-    """(company, id, kind, term, page_index) of pages(company, page_index, text) and terms(kind, pos, term), numbered in scan order."""
-    found = pages.join(F.broadcast(terms), F.contains(F.lower("text"), F.col("term")))
+    """(company, id, kind, term, page_index) of pages(company, page_index, text) and terms(kind, pos, term), numbered in scan order.
+
+    Up to SMALL terms each is sought in each text; more meet texts by the keys of find_strings.
+    """
+    if terms.limit(SMALL + 1).count() <= SMALL:
+        found = pages.join(F.broadcast(terms), F.contains(F.lower("text"), F.col("term")))
+    else:
+        texts = pages.select(F.lit(0).alias("all"), F.struct("company", "page_index").alias("id"), F.lower("text").alias("text"))
+        held = find_strings(terms.select(F.lit(0).alias("all"), F.col("term").alias("needle")), texts, "all").select(F.col("needle").alias("term"), "id.company", "id.page_index")
+        found = held.join(terms.hint("merge"), "term")
     order = F.row_number().over(Window.partitionBy("company").orderBy("page_index", "kind", "pos"))
     return found.select("company", F.concat(F.lit("ev-"), "company", F.lit("-"), order).alias("id"), "kind", "term", "page_index")
 

@@ -98,3 +98,10 @@ def history(runs: DataFrame, key: str) -> DataFrame:
     ranked = runs.withColumn("__r", order)
     recent = F.transform(F.array_sort(F.collect_list(F.when(F.col("__r") <= 5, F.struct("__r", "run")))), lambda x: x["run"].cast("string"))
     return ranked.groupBy(key).agg(F.count("*").alias("runs"), F.max("finished").alias("last_run"), F.sum(F.coalesce("queries", "planned")).alias("queries"), F.countDistinct("domain").alias("domains"), F.array_join(recent, ",").alias("recent"))
+
+
+def target_history(runs: DataFrame, aliases: DataFrame, mode: str = "serper") -> DataFrame:
+    """history() by country of runs(country, mode, ...) in one search mode; aliases(alias, id) resolve names by trimmed lower case, and runs of unknown countries fall out."""
+    known = aliases.select(F.lower(F.trim("alias")).alias("alias"), "id").distinct()
+    own = runs.where(F.col("mode") == mode).withColumn("alias", F.lower(F.trim("country"))).drop("country")
+    return history(own.join(known.hint("merge"), "alias").withColumnRenamed("id", "country"), "country")

@@ -16,13 +16,13 @@ def rule_violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -
 
 
 def validate_phones(found: DataFrame) -> DataFrame:
-    """found(value, iso, ...) with valid and e164, by a numbering dimension of fixed size."""
+    """found(value, iso, ...) with valid and e164, by a numbering dimension of fixed size; both are null for a country it lacks."""
     plan = found.sparkSession.createDataFrame(NUMBERING, "iso string, code string, lo int, hi int")
     digits = F.regexp_replace("value", r"\D", "")
     abroad = F.col("value").startswith("+") & digits.startswith(F.col("code"))
     national = F.when(abroad, F.substring(digits, F.length("code") + 1, F.length(digits))).otherwise(F.regexp_replace(digits, "^0", ""))
     ok = F.when(F.col("value").startswith("+") & ~abroad, F.lit(False)).otherwise(F.length(national).between(F.col("lo"), F.col("hi")))
-    out = found.join(F.broadcast(plan), "iso").withColumn("valid", ok)
+    out = found.join(F.broadcast(plan), "iso", "left").withColumn("valid", ok)
     return out.withColumn("e164", F.when(ok, F.concat(F.lit("+"), "code", national))).drop("code", "lo", "hi")
 
 
@@ -41,18 +41,18 @@ def submission_violations(leads: DataFrame, facts: DataFrame, refs: DataFrame, c
             "review_required": (F.col("confidence") >= 0.8) | F.col("reviewed"),
         },
     ).select("lead", "rule", "detail")
-    missing = facts.join(chunks, ["company", "ref"], "left_anti").select("lead", F.lit("unknown_chunk").alias("rule"), F.col("ref").alias("detail"))
+    missing = facts.join(chunks.hint("merge"), ["company", "ref"], "left_anti").select("lead", F.lit("unknown_chunk").alias("rule"), F.col("ref").alias("detail"))
     twice = facts.groupBy("lead", "id").agg(F.count("*").alias("n")).where("n > 1").select("lead", F.lit("duplicate_id").alias("rule"), F.col("id").alias("detail"))
-    loose = refs.join(facts, ["lead", "ref"], "left_anti").select("lead", F.lit("missing_fact").alias("rule"), F.col("ref").alias("detail")).distinct()
-    none = leads.join(facts, "lead", "left_anti").select("lead", F.lit("no_evidence").alias("rule"), F.lit("").alias("detail"))
+    loose = refs.join(facts.hint("merge"), ["lead", "ref"], "left_anti").select("lead", F.lit("missing_fact").alias("rule"), F.col("ref").alias("detail")).distinct()
+    none = leads.join(facts.hint("merge"), "lead", "left_anti").select("lead", F.lit("no_evidence").alias("rule"), F.lit("").alias("detail"))
     return scores.unionByName(missing).unionByName(twice).unionByName(loose).unionByName(none)
 
 
 def repair_submissions(facts: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """facts with those that refs name but facts lack, filled from chunks; the kind follows the strongest use."""
     kind = F.when(F.bool_or(F.col("use") == "scale"), "scale").when(F.bool_or(F.col("use") == "product"), "product").when(F.bool_or(F.col("use") == "role"), "business_role").otherwise("product")
-    missing = refs.groupBy("lead", "company", "ref").agg(kind.alias("kind")).join(facts.select("lead", "ref"), ["lead", "ref"], "left_anti")
-    filled = missing.join(chunks.select("company", "ref", F.substring("text", 1, 200).alias("value")), ["company", "ref"])
+    missing = refs.groupBy("lead", "company", "ref").agg(kind.alias("kind")).join(facts.select("lead", "ref").hint("merge"), ["lead", "ref"], "left_anti")
+    filled = missing.join(chunks.hint("merge").select("company", "ref", F.substring("text", 1, 200).alias("value")), ["company", "ref"])
     filled = filled.select("lead", "company", "ref", "kind", "value", F.lit(0.75).alias("confidence"), F.lit(True).alias("repaired"))
     return facts.withColumn("repaired", F.lit(False)).unionByName(filled)
 
@@ -87,3 +87,33 @@ def first_match(rows: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key."""
     rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("__rn", rn).where("__rn = 1").drop("__rn")
+
+
+def consistency_violations(leads: DataFrame, facts: DataFrame, uses: DataFrame, contacts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(lead, rule): submissions that claim what no fact or contact of theirs supports.
+
+    leads(lead, company, name, role, imports, fit, scale, confidence, qualified, risks,
+    recommended), facts(lead, ref, kind), uses(lead, ref) that the qualification
+    names, contacts(company, ref) that are known, chosen(lead, ref) that the
+    submission lists. A null name, role, import capability or recommendation claims
+    nothing.
+    """
+    kinds = facts.groupBy("lead").agg(F.bool_or(F.col("kind") == "identity").alias("has_name"))
+    used = facts.join(uses.hint("merge"), ["lead", "ref"], "left_semi").groupBy("lead")
+    used = used.agg(*[F.bool_or(F.col("kind") == k).alias(f"uses_{k}") for k in ("product", "business_role", "scale")])
+    own = chosen.join(leads.select("lead", "company", "recommended").hint("merge"), "lead")
+    known = own.join(contacts.select("company", "ref", F.lit(True).alias("known")).distinct().hint("merge"), ["company", "ref"], "left")
+    picked = known.groupBy("lead").agg(F.bool_or(F.col("known").isNull()).alias("stranger"), F.bool_or(F.col("known") & (F.col("ref") == F.col("recommended"))).alias("recommends"))
+    rows = leads.join(kinds.hint("merge"), "lead", "left").join(used.hint("merge"), "lead", "left").join(picked.hint("merge"), "lead", "left")
+    has = lambda c: F.coalesce(F.col(c), F.lit(False))
+    rules = {
+        "identity_fact": F.col("name").isNull() | has("has_name"),
+        "role_fact": F.col("role").isNull() | has("uses_business_role"),
+        "import_fact": F.col("imports").isNull() | has("uses_scale"),
+        "fit_fact": (F.col("fit") <= 0) | has("uses_product"),
+        "scale_fact": (F.col("scale") <= 0) | has("uses_scale"),
+        "unknown_contact": ~has("stranger"),
+        "risk_required": ((F.col("confidence") >= 0.8) & F.col("qualified")) | (F.col("risks") > 0),
+        "recommended_contact": F.col("recommended").isNull() | has("recommends"),
+    }
+    return rule_violations(rows, ["lead"], rules)

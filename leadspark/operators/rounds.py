@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import text, urls
 
 # Words that make no brand.
 GENERIC = ("co", "company", "corp", "corporation", "enterprise", "enterprises", "establishment", "global", "group", "inc", "industries", "industry", "international", "llc", "ltd", "service", "services", "shop", "solutions", "store", "trade", "trading", "شركة", "مجموعة", "مؤسسة", "تجارة", "للتجارة")
@@ -87,6 +87,21 @@ def fill_budget(candidates: DataFrame, key: str, chars: int = FILTER_CHARS) -> D
     return rows.select(key, F.aggregate("c", zero, take).alias("s")).select(key, F.col("s.out").alias("filters"), F.col("s.used").alias("used"))
 
 
+def exclusion_filters(seen: DataFrame, brands: DataFrame, key: str, chars: int = FILTER_CHARS) -> DataFrame:
+    """(key, filters, used): what a campaign's next query leaves out: its MAX_DOMAINS most repeated domains, then brands while they fit.
+
+    seen(key, domain, n) with n repeats; brands(key, domain, n, brand, confidence).
+    """
+    order = lambda *c: F.row_number().over(Window.partitionBy(key).orderBy(*c))
+    sites = seen.select(key, urls.exclude_domain(F.col("domain")).alias("token"), F.lit(False).alias("brand"), order(F.desc("n"), "domain").alias("pos")).where(F.col("pos") <= MAX_DOMAINS)
+    named = brands.select(key, urls.exclude_brand(F.col("brand")).alias("token"), "n", "confidence", "brand").where("token is not null")
+    # Of brands of one length only the first MAX_BRANDS can be taken: where one does not fit, no later one does.
+    length = F.row_number().over(Window.partitionBy(key, F.length("token")).orderBy(F.desc("n"), F.desc("confidence"), "brand"))
+    named = named.withColumn("k", length).where(F.col("k") <= MAX_BRANDS)
+    named = named.select(key, "token", F.lit(True).alias("brand"), (order(F.desc("n"), F.desc("confidence"), "brand") + MAX_DOMAINS).alias("pos"))
+    return fill_budget(sites.unionByName(named), key, chars)
+
+
 def replay_saturation(hits: DataFrame, low_new: int = LOW_NEW, max_rounds: int = 10_000) -> DataFrame:
     """(campaign, grp, round, new, executed): rounds after a group saturated are not run, so their hits are not seen.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contacts, records, text, urls
+from ..operators.pages import BOILERPLATE
 from .views import DOCS, LOGS, MESSAGES, PAGE_HITS, docs, logs, messages, page_hits, table
 
 QUERIES = {}
@@ -152,7 +153,7 @@ def page_text_full(spark, d):
     return main_texts(table(spark, d, "pages"), "page_id").select("page_id", "title", "text")
 
 
-_BOILER = r"(?i)^(skip to (main )?content|back to top|privacy policy|cookie policy|terms (of use|and conditions))$|^(follow|connect with) us( on)?\b|^(subscribe|sign up) (to|for) (our )?(newsletter|updates)\b|^(©|\(c\)|copyright\b).*\ball rights reserved\b|^(we (use|value) cookies|this (site|website) uses cookies|by (using|continuing to use) (this|our) (site|website)).*$"
+_BOILER = "(?i)" + "|".join(BOILERPLATE)
 
 
 @query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
@@ -217,7 +218,7 @@ def email_contacts(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(contacts.EMAIL), F.lit(0))).alias("value"), "source").withColumn("value", F.lower("value"))
 
 
-_ROLE = "CASE WHEN regexp_matches({0}, 'sales|trade|commercial|export|wholesale') THEN 'sales' WHEN regexp_matches({0}, 'help|support|service') THEN 'support' WHEN regexp_matches({0}, 'info|contact|office|general') THEN 'general' ELSE 'unknown' END"
+_ROLE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{pattern}') THEN '{name}'" for name, pattern in contacts.ROLES) + " ELSE 'unknown' END"
 
 
 @query(f"WITH t AS (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'sales@' WHEN 1 THEN 'help@' WHEN 2 THEN 'info@' ELSE 'a@' END || source || ' ' || substr(text, 1, 200)) AS v FROM documents) SELECT doc_id, {_ROLE.format('v')} AS role FROM t")
