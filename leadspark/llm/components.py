@@ -18,21 +18,27 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
     result is empty.
     """
     live = work.table(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
-    labels = None
+    labels, held = None, None  # held is the written table behind labels
     while not live.isEmpty():
         both = live.union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = work.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "parents")
+        first = work.table(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("up")), "parents")
+        parent = first
         for _ in range(2):
             next_up = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
             parent = parent.join(next_up, "up").select("node", F.col("top").alias("up"))
         parent = work.table(parent, "jumped")
+        work.done(first)
+        a = parent.select(F.col("node").alias("a"), F.col("up").alias("pa"))
+        b = parent.select(F.col("node").alias("b"), F.col("up").alias("pb"))
+        fewer = live.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        fewer = work.table(fewer, "edges")
+        work.done(live)
+        live = fewer
         if labels is None:
-            labels = parent.select("node", F.col("up").alias("root"))
+            labels, held = parent.select("node", F.col("up").alias("root")), parent
         else:
             to = parent.select(F.col("node").alias("root"), "up")
             labels = work.table(labels.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "labels")
-        a = parent.select(F.col("node").alias("a"), F.col("up").alias("pa"))
-        b = parent.select(F.col("node").alias("b"), F.col("up").alias("pb"))
-        live = live.join(a, "a").join(b, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
-        live = work.table(live, "edges")
+            work.done(held, parent)
+            held = labels
     return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))

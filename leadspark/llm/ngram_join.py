@@ -219,6 +219,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = work.table(stars, "stars")
     edges = prefix.join(stars.hint("merge"), ["h", "band"]).select(F.col("node").alias("a"), F.col("star").alias("b"))
     groups = components(edges, work)
+    work.done(shared, prefix, stars)
 
     # Search groups: small candidate groups packed together, large ones as pairs of blocks.
     grouped = work.table(groups.join(banded(sets, "n").select("node", "c", "n").hint("merge"), "node"), "grouped")
@@ -232,7 +233,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     member = member.select("c", pack.alias("g"), F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j")
     member = work.table(member, "members")
     found = member.join(sets.select("c", "tokens").hint("merge"), "c").groupBy("g", "i", "j").applyInPandas(_search(percent), "a long, b long")
-    linked = components(work.table(found, "links"), work)
+    links = work.table(found, "links")
+    work.done(member, blocks, grouped, sets, alive)
+    linked = components(links, work)
 
     named = work.table(classes.select("c", *name, "rid").join(linked.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "named")
     smallest = named.groupBy("root").agg(F.min("rid").alias("component_id"))

@@ -30,6 +30,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{job}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.written: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -39,7 +40,14 @@ class Scratch:
         """Writes df and returns a reader of what was written."""
         path = self.path(name)
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.written[id(out)] = path
+        return out
+
+    def done(self, *tables: DataFrame) -> None:
+        """Removes tables that nothing reads any more: whatever was made of them must have been written."""
+        for t in tables:
+            self.drop(self.written.pop(id(t)))
 
     def drop(self, path: str) -> None:
         """Removes one folder of this job."""
