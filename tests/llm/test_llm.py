@@ -170,6 +170,36 @@ def test_sharding_law(spark):
     assert abs(heavy - 15_000) < 400
 
 
+def test_shards_and_slots_equal_a_plain_count(spark):
+    import math
+
+    import xxhash
+
+    rng = random.Random(12)
+    rows = [(rng.randrange(700) if rng.random() > 0.02 else None, rng.choice([None, "", "é", "text " * rng.randrange(9)])) for _ in range(900)]
+    weights, grown, buckets = [1.0, 2.5, 1.0], 1.5, 16
+
+    def score(key, shard, weight):
+        digest = hashlib.md5(f"{key}:{shard}".encode()).hexdigest()
+        return -weight / math.log((int(digest[:13], 16) + 0.5) / 2**52)
+
+    want, by_shard = [], {}
+    for i, text in rows:
+        key, data = "" if i is None else str(i), (text or "").encode()
+        scores = [score(key, k, w) for k, w in enumerate(weights)]
+        shard = scores.index(max(scores))
+        more = len(weights) if score(key, len(weights), grown) > max(scores) else shard
+        # xxhash64 of a null is its seed.
+        h = 42 if i is None else xxhash.xxh64(key.encode(), seed=42).intdigest()
+        row = (h % buckets, i is not None, i or 0, zlib.crc32(data), len(data) + 1, i, more)
+        by_shard.setdefault(shard, []).append(row)
+    for shard, own in by_shard.items():
+        want += [(r[5], r[4], r[3], "key", shard, slot, r[6]) for slot, r in enumerate(sorted(own, key=lambda r: r[:5]))]
+    got = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string"), weights, grown, buckets=buckets).collect()
+    plain = lambda r: tuple((x is not None, x) if x is None or isinstance(x, int) else x for x in r)
+    assert sorted(map(tuple, got), key=lambda r: str(plain(r))) == sorted(want, key=lambda r: str(plain(r)))
+
+
 def test_line_keys_and_ties(spark):
     line = "A line that is long enough"
     docs = spark.createDataFrame([(1, f"{line}\nown"), (2, f"  {line.upper()} \nown"), (3, f"{line}\n{line}"), (3, f"x\n{line}"), (4, "short\nshort"), (5, None)], "doc_id long, text string")
