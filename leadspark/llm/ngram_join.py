@@ -4,9 +4,11 @@ Rows with the same shingle set collapse to one class first, so copies never
 meet each other again. A class can only have a partner if enough of its smallest
 shingle hashes occur elsewhere; the rest leaves early. Survivors that share a
 token of their prefixes (rare tokens first) form candidate groups by way of
-star edges, which are linear in the tokens. Within a group an inverted index is
-searched by DivideSkip: short lists are merged, long ones are probed by binary
-search, and documents that reach the required overlap are linked.
+star edges, which are linear in the tokens. A group too large for one task is
+searched token list by token list, or in pairs of blocks, whichever moves less.
+Within a search group an inverted index is searched by DivideSkip: short lists
+are merged, long ones are probed by binary search, and documents that reach the
+required overlap are linked.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .tokens import mix, shingles, text_bytes, words
 
 #: A token found in more classes than this is ordered after all others.
 COMMON = 128
-#: Documents in one search group; larger candidate groups are searched in pairs of blocks.
+#: Documents in one search group; larger candidate groups are searched by token lists or in pairs of blocks.
 BLOCK = 1024
 #: Shingles of a block, and of the groups packed together, on average.
 BLOCK_SHINGLES = 1 << 20
@@ -213,28 +215,42 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # Sizes of partners differ by less than one band, so they share one of two. A set stands in each band as a
     # node of its own, which keeps candidate groups from growing along chains of sizes.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 1))).cast("int")
-    banded = lambda x, *also: x.select("c", *also, F.explode(F.array(band, band + 1)).alias("band")).withColumn("node", F.xxhash64("c", "band"))
-    prefix = work.table(banded(prefix, "h").select("node", "h", "band"), "prefixes")
-    stars = prefix.groupBy("h", "band").agg(F.min("node").alias("star"), F.count("*").alias("k")).where("k > 1").select("h", "band", "star")
-    stars = work.table(stars, "stars")
-    edges = prefix.join(stars.hint("merge"), ["h", "band"]).select(F.col("node").alias("a"), F.col("star").alias("b"))
+    node = F.xxhash64("c", "band")
+    banded = lambda x, *also: x.select("c", "n", *also, F.explode(F.array(band, band + 1)).alias("band"))
+    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    prefix = work.table(banded(prefix, "h"), "prefixes")
+    # One list of sets per token and band. Tokens of near copies have the same list, which counts once.
+    marks = [F.bit_xor(F.xxhash64(node, F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    lists = prefix.groupBy("h", "band").agg(F.min(node).alias("star"), F.count("*").alias("k"), size.alias("m"), F.sum("n").alias("load"), *marks)
+    lists = lists.where("k > 1").groupBy("star", "k", "x1", "x2").agg(F.min_by(F.struct("h", "band", "m", "load"), "h").alias("l"))
+    lists = work.table(lists.select("l.*", "star"), "lists")
+    edges = prefix.join(lists.hint("merge"), ["h", "band"]).select(node.alias("a"), F.col("star").alias("b"))
     groups = components(edges, work)
-    work.done(shared, prefix, stars)
 
-    # Search groups: small candidate groups packed together, large ones as pairs of blocks.
-    grouped = work.table(groups.join(banded(sets, "n").select("node", "c", "n").hint("merge"), "node"), "grouped")
+    # Search groups: small candidate groups packed together; of large ones pairs of blocks, or list by list
+    # (a long list as pairs of blocks) where that moves fewer shingles, as in chains of strangers.
+    sized = banded(sets).withColumn("node", node)
+    grouped = work.table(groups.join(sized.hint("merge"), "node"), "grouped")
     n_sets, n_shingles = grouped.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     packs = max(1, n_sets // PACK, n_shingles // BLOCK_SHINGLES)
-    size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    blocks = work.table(grouped.groupBy("root").agg(size.alias("m")), "blocks")
-    member = grouped.select("root", "node", "c").join(blocks.hint("merge"), "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    blocks = grouped.groupBy("root").agg(size.alias("m"), F.sum("n").alias("load"))
+    rooted = lists.join(groups.select(F.col("node").alias("star"), "root").hint("merge"), "star")
+    by_list = rooted.groupBy("root").agg(F.sum(F.col("load") * F.col("m")).alias("moved"))
+    blocks = blocks.join(by_list.hint("merge"), "root").withColumn("apart", (F.col("m") > 1) & (F.col("moved") < F.col("load") * F.col("m")))
+    blocks = work.table(blocks.select("root", "m", "apart"), "blocks")
+    whole = grouped.select("root", "node", "c").join(blocks.where("not apart").hint("merge"), "root")
     pack = F.when(F.col("m") > 1, F.xxhash64("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(packs)))
-    member = member.select("c", pack.alias("g"), F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j")
-    member = work.table(member, "members")
+    whole = whole.select("c", "node", "m", pack.alias("g"))
+    split = rooted.join(blocks.where("apart").select("root").hint("merge"), "root", "left_semi").select("h", "band", "m")
+    split = prefix.join(split.hint("merge"), ["h", "band"]).select("c", node.alias("node"), "m", F.xxhash64("h", "band", F.lit(1)).alias("g"))
+    part = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    member = whole.unionByName(split).withColumn("part", part)
+    member = work.table(member.select("c", "g", F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j"), "members")
+    work.done(shared, prefix, lists, blocks, grouped)
     found = member.join(sets.select("c", "tokens").hint("merge"), "c").groupBy("g", "i", "j").applyInPandas(_search(percent), "a long, b long")
     links = work.table(found, "links")
-    work.done(member, blocks, grouped, sets, alive)
+    work.done(member, sets, alive)
     linked = components(links, work)
 
     named = work.table(classes.select("c", *name, "rid").join(linked.withColumnRenamed("node", "c").hint("merge"), "c", "left").withColumn("root", F.coalesce("root", "c")), "named")

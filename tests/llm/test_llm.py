@@ -81,6 +81,31 @@ def test_ngram_components_equal_brute_force(spark, monkeypatch, width, percent,
     assert got == brute_components(texts, width, percent)
 
 
+def test_chains_of_strangers_are_searched_list_by_list(spark, monkeypatch):
+    """Each text shares words with its neighbours only: what is moved grows with the texts, not with their square."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    moved = {}
+    plain = ngram_join.Scratch.table
+
+    def spy(self, df, name):
+        out = plain(self, df, name)
+        if name in ("blocks", "members"):
+            moved[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "table", spy)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{j}" for j in range(4 * i, 4 * i + 9)) for i in range(150)]
+    texts += [" ".join([*rng.choice(texts[:150]).split()[:8], f"x{i}"]) for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, width=1, percent=70).collect()}
+    want = brute_components(texts, 1, 70)
+    assert got == want
+    assert len({c for _, c in want.values()}) < len(texts)
+    assert any(r.apart for r in moved["blocks"])
+    assert len(moved["members"]) < 12 * len(texts)
+
+
 def test_group_search_equals_brute_force_on_dense_groups():
     rng = random.Random(5)
     base = list(range(1, 90))
