@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..sources.sinks import new_folder, stored
 
 # Words that make no brand.
 GENERIC = ("co", "company", "corp", "corporation", "enterprise", "enterprises", "establishment", "global", "group", "inc", "industries", "industry", "international", "llc", "ltd", "service", "services", "shop", "solutions", "store", "trade", "trading", "شركة", "مجموعة", "مؤسسة", "تجارة", "للتجارة")
@@ -105,24 +105,31 @@ def exclusion_filters(seen: DataFrame, brands: DataFrame, key: str, chars: int =
 def replay_saturation(hits: DataFrame, low_new: int = LOW_NEW, max_rounds: int = 10_000) -> DataFrame:
     """(campaign, grp, round, new, executed): rounds after a group saturated are not run, so their hits are not seen.
 
-    hits(campaign, grp, round, domain). Each round depends on those before, so a
-    campaign is replayed in one group; campaigns run in parallel.
+    hits(campaign, grp, round, domain); rounds run in the order of (round, grp) within a
+    campaign, max_rounds of them at most. The replay starts with all rounds run and
+    repeats: count what each round would find new, then cut each group where its streak
+    saturates. Each repetition makes at least the next cut final, so it ends after at
+    most as many as a campaign has groups. Keys must not be null.
     """
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen, streak, out, ran = set(), {}, [], 0
-        for (rnd, grp), part in pdf.groupby(["round", "grp"], sort=True):
-            run = streak.get(grp, 0) < SATURATED and ran < max_rounds
-            new = len(set(part["domain"]) - seen) if run else 0
-            if run:
-                seen |= set(part["domain"])
-                streak[grp] = streak.get(grp, 0) + 1 if new <= low_new else 0
-                ran += 1
-            out.append((pdf["campaign"].iloc[0], grp, rnd, new, run))
-        return pd.DataFrame(out, columns=["campaign", "grp", "round", "new", "executed"])
-
-    distinct = hits.select("campaign", "grp", "round", "domain").distinct()
-    return distinct.groupBy("campaign").applyInPandas(replay, "campaign string, grp string, round long, new long, executed boolean")
+    spark = hits.sparkSession
+    save = lambda df: stored(df, new_folder(spark, "replay"))
+    own = save(hits.select("campaign", "grp", "round", "domain").distinct())
+    state = save(own.select("campaign", "grp", "round").distinct().withColumn("executed", F.lit(True)))
+    key, at = ["campaign", "grp", "round"], F.struct("round", "grp")
+    while True:
+        first = F.min(F.when(F.col("executed"), at)).over(Window.partitionBy("campaign", "domain"))
+        seen = own.join(state.hint("merge"), key).withColumn("first", first)
+        found = seen.groupBy(*key, "executed").agg(F.count_if(F.col("first").isNull() | (at <= F.col("first"))).alias("would"))
+        group = Window.partitionBy("campaign", "grp").orderBy("round")
+        island = F.sum(F.when(F.col("would") > low_new, 1).otherwise(0)).over(group)
+        streak = F.count_if(F.col("would") <= low_new).over(Window.partitionBy("campaign", "grp", "island").orderBy("round"))
+        over = F.max(F.col("streak") >= SATURATED).over(group.rowsBetween(Window.unboundedPreceding, -1))
+        run = found.withColumn("island", island).withColumn("streak", streak).withColumn("run", ~F.coalesce(over, F.lit(False)))
+        ran = F.sum(F.col("run").cast("int")).over(Window.partitionBy("campaign").orderBy("round", "grp"))
+        after = save(run.select(*key, "would", F.col("executed").alias("before"), (F.col("run") & (ran <= max_rounds)).alias("executed")))
+        if after.where("before <> executed").isEmpty():
+            return after.select(*key, F.when(F.col("executed"), F.col("would")).otherwise(0).alias("new"), "executed")
+        state = after.select(*key, "executed")
 
 
 def resume_plan(rounds: DataFrame) -> DataFrame:

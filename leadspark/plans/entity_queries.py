@@ -81,12 +81,6 @@ def hit_exclusion(spark, d):
     return funnel.mark_excluded(page_hits(spark, d), funnel.exclusion_list(spark, EXTRA), "page_id").select("page_id", "domain", "excluded")
 
 
-@query(SQL["hit_exclusion"].replace("substr(trim", "(trim").replace(", 1, 200) AS snippet", ") AS snippet"))
-def hit_exclusion_all(spark, d):
-    """hit_exclusion over whole page texts."""
-    return funnel.mark_excluded(page_hits(spark, d, whole=True), funnel.exclusion_list(spark, EXTRA), "page_id").select("page_id", "domain", "excluded")
-
-
 PRODUCT, BUYER, AVOID = LEXICON[:3], LEXICON[3:5], LEXICON[5:]
 
 
@@ -97,16 +91,8 @@ def _sql_hits(terms):
 LOW = r"p AS (SELECT k, low, ' ' || regexp_replace(low, '[^\p{L}\p{N}]', ' ', 'g') || ' ' AS padded, body FROM (SELECT k, body, trim(regexp_replace(lower(body), '\s+', ' ', 'g')) AS low FROM t))"
 
 
-@query(f"WITH t AS (SELECT doc_id AS k, substr(text, 1, 200) AS body FROM documents), {LOW} SELECT k AS doc_id, ({_sql_hits(PRODUCT)}) = 0 AND ({_sql_hits(BUYER)}) = 0 AND (doc_id % 2 = 0 OR ({_sql_hits(AVOID)}) > 0) AS skipped FROM p".replace("doc_id % 2", "k % 2"))
+@query(f"WITH t AS (SELECT doc_id AS k, text AS body FROM documents), {LOW} SELECT k AS doc_id, ({_sql_hits(PRODUCT)}) = 0 AND ({_sql_hits(BUYER)}) = 0 AND (doc_id % 2 = 0 OR ({_sql_hits(AVOID)}) > 0) AS skipped FROM p".replace("doc_id % 2", "k % 2"))
 def snippet_gate(spark, d):
-    s = F.substring("text", 1, 200)
-    skip = funnel.gate(text.term_hits(s, PRODUCT), text.term_hits(s, BUYER), text.term_hits(s, AVOID), F.col("doc_id") % 2 != 0)
-    return table(spark, d, "documents").select("doc_id", skip.alias("skipped"))
-
-
-@query(SQL["snippet_gate"].replace("substr(text, 1, 200)", "text"))
-def snippet_gate_all(spark, d):
-    """snippet_gate over whole texts."""
     s = F.col("text")
     skip = funnel.gate(text.term_hits(s, PRODUCT), text.term_hits(s, BUYER), text.term_hits(s, AVOID), F.col("doc_id") % 2 != 0)
     return table(spark, d, "documents").select("doc_id", skip.alias("skipped"))
@@ -269,16 +255,9 @@ def lexicon_join(spark, d):
     return evidence.lexicon_join(table(spark, d, "documents"), lexicon, "doc_id", 2)
 
 
-@query(f"""WITH {CHUNKS}, q AS (SELECT company, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS quote FROM docs WHERE doc_id % 40 = 3)
+@query(f"""WITH {CHUNKS}, q AS (SELECT company, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS quote FROM docs)
  SELECT company, ref FROM (SELECT company, ref, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS f FROM chunks) c WHERE EXISTS (SELECT 1 FROM q WHERE q.company = c.company AND length(quote) >= 16 AND (contains(f, quote) OR contains(quote, f) OR contains(f, substr(quote, 1, 48))))""")
 def prior_quote_semi(spark, d):
-    quotes = docs(spark, d).where("doc_id % 40 = 3").select("company", F.substring("text", 1, 60).alias("quote"))
-    return evidence.prior_quotes(quotes, chunks(spark, d), "company").select("company", "ref")
-
-
-@query()
-def prior_quote_all(spark, d):
-    """prior_quote_semi with the quotes of all documents; in SQL, all pairs of a company."""
     quotes = docs(spark, d).select("company", F.substring("text", 1, 60).alias("quote"))
     return evidence.prior_quotes(quotes, chunks(spark, d), "company").select("company", "ref")
 
@@ -349,17 +328,8 @@ def propagate_policy(spark, d):
     return T.propagate(strategies, approved, "market").select("id", "market", "hash", "version")
 
 
-@query("""SELECT t || ' ' || r || ' ' || c AS query, 'en' AS language FROM (SELECT p_name AS t, p_partkey AS tp FROM part WHERE p_partkey < 20), (SELECT r_name AS r, r_regionkey AS rp FROM region), (SELECT n_name AS c, n_nationkey AS cp FROM nation WHERE n_nationkey < 5) ORDER BY tp, rp, cp LIMIT 200""")
+@query("""SELECT t || ' ' || r || ' ' || c AS query, 'en' AS language FROM (SELECT p_name AS t, p_partkey AS tp FROM part), (SELECT r_name AS r, r_regionkey AS rp FROM region), (SELECT n_name AS c, n_nationkey AS cp FROM nation) ORDER BY tp, rp, cp LIMIT 200""")
 def query_matrix(spark, d):
-    terms = table(spark, d, "part").where("p_partkey < 20").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("value"))
-    roles = table(spark, d, "region").select(F.col("r_regionkey").alias("pos"), F.col("r_name").alias("value"))
-    cities = table(spark, d, "nation").where("n_nationkey < 5").select(F.col("n_nationkey").alias("pos"), F.col("n_name").alias("value"))
-    return funnel.query_matrix(terms, roles, cities, 200).select("query", "language")
-
-
-@query()
-def query_matrix_all(spark, d):
-    """query_matrix over all parts and nations."""
     terms, roles, cities = (table(spark, d, t).select(F.col(k).alias("pos"), F.col(v).alias("value")) for t, k, v in (("part", "p_partkey", "p_name"), ("region", "r_regionkey", "r_name"), ("nation", "n_nationkey", "n_name")))
     return funnel.query_matrix(terms, roles, cities, 200).select("query", "language")
 
@@ -681,7 +651,10 @@ def distinct_products(spark, d):
     return own.select("o_custkey", F.array_join("values", ",").alias("priorities"))
 
 
-@query("""SELECT source AS company, sha256('[' || string_agg('{"doc_id":' || doc_id || ',"lang":"' || lang || '"}', ',' ORDER BY doc_id) || ']') AS page_fingerprint FROM documents GROUP BY source""")
+_PIECES = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@query(f"""SELECT company, sha256(concat_ws(',', {_PIECES})) AS page_fingerprint FROM (SELECT source AS company, sha256('{{"doc_id":' || doc_id || ',"lang":"' || lang || '"}}') AS h FROM documents) GROUP BY company""")
 def fingerprints(spark, d):
     return evidence.fingerprints(table(spark, d, "documents").withColumnRenamed("source", "company"), "company", ["doc_id", "lang"], "page_fingerprint")
 

@@ -126,15 +126,8 @@ def private_ip_filter(spark, d):
 _RANK = ", ".join(f"CASE WHEN regexp_matches(x, '(?i){p}') THEN {r} ELSE 50 END" for p, r in urls.LINK_RANKS)
 
 
-@query(f"SELECT doc_id, (SELECT greatest({_RANK}) FROM (SELECT substr(text, 1, 400) || CASE doc_id % 4 WHEN 0 THEN ' contact' WHEN 1 THEN ' team' WHEN 2 THEN ' /products/' ELSE '' END AS x))::BIGINT AS priority FROM documents")
+@query(f"SELECT doc_id, (SELECT greatest({_RANK}) FROM (SELECT text || CASE doc_id % 4 WHEN 0 THEN ' contact' WHEN 1 THEN ' team' WHEN 2 THEN ' /products/' ELSE '' END AS x))::BIGINT AS priority FROM documents")
 def link_priority(spark, d):
-    tail = F.when(F.col("doc_id") % 4 == 0, " contact").when(F.col("doc_id") % 4 == 1, " team").when(F.col("doc_id") % 4 == 2, " /products/").otherwise("")
-    return table(spark, d, "documents").select("doc_id", urls.link_rank(F.concat(F.substring("text", 1, 400), tail)).cast("long").alias("priority"))
-
-
-@query(SQL["link_priority"].replace("substr(text, 1, 400)", "text"))
-def link_priority_all(spark, d):
-    """link_priority over whole texts."""
     tail = F.when(F.col("doc_id") % 4 == 0, " contact").when(F.col("doc_id") % 4 == 1, " team").when(F.col("doc_id") % 4 == 2, " /products/").otherwise("")
     return table(spark, d, "documents").select("doc_id", urls.link_rank(F.concat("text", tail)).cast("long").alias("priority"))
 
@@ -221,15 +214,8 @@ def email_contacts(spark, d):
 _ROLE = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '{pattern}') THEN '{name}'" for name, pattern in contacts.ROLES) + " ELSE 'unknown' END"
 
 
-@query(f"WITH t AS (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'sales@' WHEN 1 THEN 'help@' WHEN 2 THEN 'info@' ELSE 'a@' END || source || ' ' || substr(text, 1, 200)) AS v FROM documents) SELECT doc_id, {_ROLE.format('v')} AS role FROM t")
+@query(f"WITH t AS (SELECT doc_id, lower(CASE doc_id % 5 WHEN 0 THEN 'sales@' WHEN 1 THEN 'help@' WHEN 2 THEN 'info@' ELSE 'a@' END || source || ' ' || text) AS v FROM documents) SELECT doc_id, {_ROLE.format('v')} AS role FROM t")
 def contact_role(spark, d):
-    value = F.concat(F.when(F.col("doc_id") % 5 == 0, "sales@").when(F.col("doc_id") % 5 == 1, "help@").when(F.col("doc_id") % 5 == 2, "info@").otherwise("a@"), "source")
-    return table(spark, d, "documents").select("doc_id", contacts.role(value, F.substring("text", 1, 200)).alias("role"))
-
-
-@query(SQL["contact_role"].replace("substr(text, 1, 200)", "text"))
-def contact_role_all(spark, d):
-    """contact_role over whole texts."""
     value = F.concat(F.when(F.col("doc_id") % 5 == 0, "sales@").when(F.col("doc_id") % 5 == 1, "help@").when(F.col("doc_id") % 5 == 2, "info@").otherwise("a@"), "source")
     return table(spark, d, "documents").select("doc_id", contacts.role(value, F.col("text")).alias("role"))
 
@@ -308,21 +294,11 @@ def access_log_filter(spark, d):
     return logs(spark, d).select("event_id", records.keeps_access(method, F.get(paths, (F.col("event_id") % 4).cast("int")), F.lit(None).cast("string"), F.col("status")).alias("kept"))
 
 
-@query(f"""WITH {DOCS}, q AS (SELECT company, doc_id AS quote_id, substr(text, 41, 60) AS quote FROM docs WHERE length(text) >= 120 AND doc_id % 3 = 0)
+@query(f"""WITH {DOCS}, q AS (SELECT company, doc_id AS quote_id, substr(text, 41, 60) AS quote FROM docs WHERE length(text) >= 120)
  SELECT quote_id, d.doc_id AS page, (strpos(d.text, quote) - 1)::BIGINT AS at FROM q JOIN docs d ON d.company = q.company AND contains(d.text, quote)""")
 def quote_locate(spark, d):
     from ..operators.evidence import locate_quotes
 
-    own = docs(spark, d)
-    quotes = own.where((F.length("text") >= 120) & (F.col("doc_id") % 3 == 0)).select("company", F.col("doc_id").alias("quote_id"), F.substring("text", 41, 60).alias("quote"))
-    return locate_quotes(quotes, own.select("company", F.col("doc_id").alias("page"), "text"), "company")
-
-
-@query()
-def quote_locate_all(spark, d):
-    """quote_locate with the quotes of all documents; in SQL, all pairs of a company."""
-    from ..operators.evidence import locate_quotes
-
     own = docs(spark, d)
     quotes = own.where(F.length("text") >= 120).select("company", F.col("doc_id").alias("quote_id"), F.substring("text", 41, 60).alias("quote"))
     return locate_quotes(quotes, own.select("company", F.col("doc_id").alias("page"), "text"), "company")

@@ -29,23 +29,34 @@ HITS = """hits AS (SELECT event_type AS campaign, date_diff('day', DATE '2024-01
   row_number() OVER (PARTITION BY event_type, date_diff('day', DATE '2024-01-01', ts::DATE) ORDER BY ts, event_id) AS pos FROM events)"""
 
 
-def page_hits(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Search hits over web pages: link, domain, title, snippet (the page's first 200 characters, or all of its text)."""
+def page_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search hits over web pages: link, domain, title, snippet (all of the page's text)."""
     own = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     text = F.trim(F.regexp_replace(F.regexp_replace("html", r"<[^>]*>", " "), r"[ \t\n\r]+", " "))
-    return own.select("page_id", F.col("url").alias("link"), urls.host(F.col("url")).alias("domain"), title.alias("title"), (text if whole else F.substring(text, 1, 200)).alias("snippet"), "html")
+    return own.select("page_id", F.col("url").alias("link"), urls.host(F.col("url")).alias("domain"), title.alias("title"), text.alias("snippet"), "html")
 
 
 PAGE_HITS = r"""page_hits AS (SELECT page_id, url AS link, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain,
   regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-  substr(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')), 1, 200) AS snippet, html FROM pages)"""
+  trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS snippet, html FROM pages)"""
+
+
+#: Ids of a source that are numbered together.
+RUN = 4096
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Company pages: a company per source, pages in the order of ids."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("company"), "text", "lang")
-    return own.withColumn("page_index", (F.row_number().over(Window.partitionBy("company").orderBy("doc_id")) - 1).cast("long"))
+    """Company pages: a company per source, pages in the order of ids.
+
+    Runs of ids are counted first, so that no task sorts all pages of a company.
+    """
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("company"), "text", "lang", F.floor(F.col("doc_id") / RUN).alias("run"))
+    before = F.sum("n").over(Window.partitionBy("company").orderBy("run")) - F.col("n")
+    starts = own.groupBy("company", "run").agg(F.count("*").alias("n")).select(F.col("company").alias("c"), F.col("run").alias("r"), before.alias("start"))
+    inside = F.row_number().over(Window.partitionBy("company", "run").orderBy("doc_id")) - 1
+    numbered = own.withColumn("page_index", inside).join(starts.hint("merge"), F.col("company").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r")))
+    return numbered.select("doc_id", "company", "text", "lang", (F.col("start") + F.col("page_index")).cast("long").alias("page_index"))
 
 
 DOCS = "docs AS (SELECT doc_id, source AS company, text, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS page_index FROM documents)"

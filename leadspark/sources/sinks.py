@@ -22,6 +22,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Writes df to path and returns a reader of what was written, which cuts lineage and survives lost executors."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def replace_partitions(df: DataFrame, path: str, column: str) -> None:
     """Writes df so that the partitions it holds replace those at path and all others stay; a task's retry changes nothing."""
     df.write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
