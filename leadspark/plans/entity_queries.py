@@ -268,12 +268,12 @@ def chunk_neighbors(spark, d):
     return evidence.neighbours(own, own.where("idx % 5 = 2"), 1).select("page", F.col("idx").cast("long").alias("idx"), F.col("center").cast("long").alias("center"))
 
 
-@query("""WITH q AS (SELECT source AS key, doc_id AS url, CASE WHEN doc_id % 50 = 7 THEN 'no such quote' ELSE substr(text, 1, 30) END AS quote FROM documents WHERE lang = 'en')
+@query("""WITH q AS (SELECT source || '-' || (doc_id // 20) AS key, doc_id AS url, CASE WHEN doc_id % 50 = 7 THEN 'no such quote' ELSE substr(text, 1, 30) END AS quote FROM documents)
  SELECT key, 'cache' AS mode FROM (SELECT key, bool_and(contains(d.text, quote)) AS ok FROM q JOIN documents d ON d.doc_id = q.url GROUP BY key) WHERE ok""")
 def cache_reuse(spark, d):
     own = table(spark, d, "documents")
     quote = F.when(F.col("doc_id") % 50 == 7, "no such quote").otherwise(F.substring("text", 1, 30))
-    quotes = own.where("lang = 'en'").select(F.col("source").alias("key"), F.col("doc_id").alias("url"), quote.alias("quote"))
+    quotes = own.select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 20)).alias("key"), F.col("doc_id").alias("url"), quote.alias("quote"))
     return T.reusable(quotes.select("key").distinct(), quotes, own.select(F.col("doc_id").alias("url"), "text"))
 
 

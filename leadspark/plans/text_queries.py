@@ -238,10 +238,9 @@ def query_group_id(spark, d):
     return table(spark, d, "customer").select("c_custkey", query_group(given, F.lit(""), F.col("c_mktsegment"), F.col("c_custkey")).alias("group_id"))
 
 
-@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(?:sk|pk|key|token)[-_][A-Za-z0-9._-]{10,}\b', '[REDACTED_TOKEN]', 'g'), '(?i)\b([A-Z0-9._%+-])[^@\s]*@([A-Z0-9.-]+\.[A-Z]{2,})\b', '\1***@\2', 'g')) AS redacted FROM documents
- WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(?:sk|pk|key|token)[-_][A-Za-z0-9._-]{10,}\b', '[REDACTED_TOKEN]', 'g'), '(?i)\b([A-Z0-9._%+-])[^@\s]*@([A-Z0-9.-]+\.[A-Z]{2,})\b', '\1***@\2', 'g')) AS redacted FROM documents""")
 def redact_email_token(spark, d):
-    own = table(spark, d, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    own = table(spark, d, "documents")
     return own.select("doc_id", F.md5(records.redact_words(F.col("text"))).alias("redacted"))
 
 
@@ -350,13 +349,11 @@ def sentence_pick(spark, d):
 @query(rf"""WITH {PAGE_HITS}, t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'About ' || title WHEN 1 THEN title || ' | Home' ELSE 'Home' END AS title, title || ' supplies goods' AS text FROM page_hits),
  c AS (SELECT page_id, title, text, trim(regexp_replace(regexp_replace(title, '(?i)^(about|company profile|welcome to)\s+', ''), '\s+[|–-].*$', '')) AS clean,
    trim(regexp_extract(text, '(?i)^(.{{2,80}}?)(?:\s+is\b|\s+supplies\b|\s+distributes\b)', 1)) AS opening FROM t)
- SELECT page_id, CASE WHEN (clean = '' OR regexp_matches(trim(title), '(?i)^(company profile|home|about us)$')) AND opening <> '' THEN opening ELSE clean END AS name FROM c
- WHERE NOT regexp_matches(title || text, '[^\x00-\x7F]')""")
+ SELECT page_id, CASE WHEN (clean = '' OR regexp_matches(trim(title), '(?i)^(company profile|home|about us)$')) AND opening <> '' THEN opening ELSE clean END AS name FROM c""")
 def canonical_name(spark, d):
     own = page_hits(spark, d)
     title = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("About "), "title")).when(F.col("page_id") % 3 == 1, F.concat("title", F.lit(" | Home"))).otherwise("Home")
     own = own.select("page_id", title.alias("title"), F.concat("title", F.lit(" supplies goods")).alias("text"), "domain")
-    own = own.where(~F.concat("title", "text").rlike(r"[^\x00-\x7F]"))
     return own.select("page_id", text.canonical_name(F.col("title"), F.col("text"), F.col("domain")).alias("name"))
 
 
