@@ -38,7 +38,9 @@ BINS, TOP = 50, 1_000
 #: Toxic rows that a language needs for a threshold of its own.
 LEAST_TOXIC = 50
 #: Words scored at a time.
-STEP_WORDS = 250_000
+STEP_WORDS = 100_000
+#: Bytes of text hashed at a time.
+STEP_BYTES = 1 << 20
 SEED = 7
 
 
@@ -158,11 +160,9 @@ def train(h: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> Model:
 
 def telling_words(h: np.ndarray, bounds: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, log-odds) of words that are toxic beyond chance: a Chernoff bound on seeing so many toxic rows, against all words that could."""
-    row = np.repeat(np.arange(len(labels)), np.diff(bounds))
-    words_seen, inverse = np.unique(h, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(labels) + row)
-    word, doc = pairs // len(labels), pairs % len(labels)
-    toxic, all_docs = np.bincount(word, labels[doc], len(words_seen)), np.bincount(word, minlength=len(words_seen))
+    own = [np.unique(h[s:e]) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+    words_seen, word = np.unique(np.concatenate(own), return_inverse=True)
+    toxic, all_docs = np.bincount(word, np.repeat(labels, [len(x) for x in own]), len(words_seen)), np.bincount(word, minlength=len(words_seen))
     share = labels.mean()
     odds = np.log((toxic + 2 * share) / (all_docs - toxic + 2 * (1 - share)) * (1 - share) / share)
     rate = np.clip(toxic / np.maximum(all_docs, 1), 1e-9, 1 - 1e-9)
@@ -225,17 +225,26 @@ def _step(model: Model, h, bounds, labels, weight, part, squares, rate, kept_fil
         model.table[rows] -= (rate * grads / np.sqrt(squares["table"][rows])[:, None]).astype(np.float32)
 
 
+def _hashed(texts: pa.Array):
+    """Word hashes of the texts and their bounds, about STEP_BYTES of text at a time."""
+    data, offsets = text_bytes(texts, fold=True)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP_BYTES, "right")) - 1)
+        yield words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], "alnum")
+        at = end
+
+
 def _hash_rows(batches):
     for batch in batches:
-        h, bounds = words(*text_bytes(batch.column("text"), fold=True), "alnum")
-        column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), column], ["toxic", "lang", "words"])
+        first = [h[s : min(e, s + DOC_WORDS)].tobytes() for h, bounds in _hashed(batch.column("text")) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(first, pa.binary())], ["toxic", "lang", "words"])
 
 
 def _word_counts(batches):
     for batch in batches:
-        _, bounds = words(*text_bytes(batch.column("text"), fold=True), "alnum")
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("o"), pa.array(np.minimum(np.diff(bounds), DOC_WORDS).astype(np.int64))], ["toxic", "o", "n"])
+        n = np.concatenate([np.zeros(0, np.int64), *[np.diff(bounds) for _, bounds in _hashed(batch.column("text"))]])
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("o"), pa.array(np.minimum(n, DOC_WORDS).astype(np.int64))], ["toxic", "o", "n"])
 
 
 def held_out(key) -> object:
@@ -291,12 +300,12 @@ def fit(docs: DataFrame, labels: DataFrame, aside: bool = False) -> Model:
         if most[toxic] >= 0 or toxic not in cut:
             cut[toxic] = o
     chosen = rows.where(_in_sample(cut, aside)).select("toxic", "lang", "text")
-    sample = chosen.mapInArrow(_hash_rows, "toxic int, lang string, words array<long>")
-    held = [(toxic, lang or "", np.array(w[:DOC_WORDS], np.int64).view(np.uint64)) for toxic, lang, w in sample.toLocalIterator()]
-    held.sort(key=lambda x: (x[0], x[1], len(x[2]), x[2].tobytes()))
-    h = np.concatenate([x[2] for x in held])
-    bounds = np.concatenate(([0], np.cumsum([len(x[2]) for x in held])))
-    y = np.array([x[0] for x in held], np.float64)
+    sample = chosen.mapInArrow(_hash_rows, "toxic int, lang string, words binary")
+    held = sorted((toxic, lang or "", len(w), bytes(w)) for toxic, lang, w in sample.toLocalIterator())
+    y, n_words = np.array([x[0] for x in held], np.float64), [x[2] // 8 for x in held]
+    bounds = np.concatenate(([0], np.cumsum(n_words))).astype(np.int64)
+    h = np.frombuffer(b"".join(x[3] for x in held), np.uint64)
+    del held
     model = train(h, bounds, y)
     model.cuts, model.aside, model._tables = cut, aside, None
     return model
@@ -353,15 +362,7 @@ def _score(shared):
     def run(batches):
         model = kept(shared, "model", _made)
         for batch in batches:
-            out = []
-            texts = batch.column("text")
-            data, offsets = text_bytes(texts, fold=True)
-            at = 0
-            while at < len(texts):  # about four megabytes of text at a time
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
-                h, bounds = words(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], "alnum")
-                out.append(model.score(h, bounds))
-                at = end
+            out = [model.score(h, bounds) for h, bounds in _hashed(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in batch.schema.names if x != "text"], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*[x for x in batch.schema.names if x != "text"], "score"])
 
     return run
