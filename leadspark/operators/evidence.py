@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import grams
+from ..sources.sinks import new_folder, stored
+from .matching import ANYWHERE, WORD, match_terms
+from .tables import number_rows
 
 CHUNK, LEAST_CUT, OVERLAP = 960, 480, 120
 # What ends a sentence or a line.
@@ -136,7 +139,9 @@ def rank_evidence(chunks: DataFrame, slots: DataFrame, prior: DataFrame, quotas:
     scored = rows.withColumn("score", score).where("score > 0")
     order = F.row_number().over(Window.partitionBy("company", "slot").orderBy(F.desc("score"), "page_index", "ref"))
     limit = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
-    out = scored.withColumn("rank", order.cast("long")).where(F.col("rank") <= limit[F.col("slot")])
+    # A literal bound lets Spark keep the first rows of each group before the shuffle; a company is never sorted whole.
+    first_rows = scored.withColumn("rank", order).where(F.col("rank") <= max(quotas.values()))
+    out = first_rows.withColumn("rank", F.col("rank").cast("long")).where(F.col("rank") <= limit[F.col("slot")])
     return out.select("company", "slot", "ref", "page_index", "score", "rank")
 
 
@@ -181,34 +186,25 @@ def evidence_ids(facts: DataFrame, refs: DataFrame) -> DataFrame:
     return both.groupBy("company").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"))
 
 
-def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
-    """(key, term, times) of texts(key, text) and lexicon(term): an equi-join of word n-grams with the terms, broadcast only up to SMALL of them."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+def lexicon_join(texts: DataFrame, lexicon: DataFrame, key: str) -> DataFrame:
+    """(key, term, times) of texts(key, text) and lexicon(term): how often a text's words in a row are those of a term; only matches are moved."""
+    words = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " "))
+    found = match_terms(texts.select(key, words.alias("text")), lexicon.select("term", F.lit(WORD).alias("rule")), key)
+    return found.groupBy(key, "term").agg(F.sum("times").cast("long").alias("times"))
 
-    def grams_of(w, n):
-        starts = F.sequence(F.lit(0), F.size(w) - n)
-        joined = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
-        return F.when(F.size(w) >= n, joined).otherwise(F.array().cast("array<string>"))
 
-    # The words are bound by a lambda, so they are made once for a text and not for each position.
-    grams = F.flatten(F.transform(F.array(words), lambda w: F.concat(*[grams_of(w, n) for n in range(1, longest + 1)])))
-    found = texts.select(key, F.explode(grams).alias("term")).join(bounded(lexicon.select("term").distinct()), "term")
-    return found.groupBy(key, "term").agg(F.count("*").alias("times"))
-
-
-def facts_from_pages(pages: DataFrame, terms: DataFrame) -> DataFrame:
+def facts_from_pages(pages: DataFrame, terms: DataFrame, span: int = 1024) -> DataFrame:
     """(company, id, kind, term, page_index) of pages(company, page_index, text) and terms(kind, pos, term), numbered in scan order.
 
-    Up to SMALL terms each is sought in each text; more meet texts by the keys of find_strings.
+    The terms are one dictionary, so a page is read once. Facts are written before they
+    are numbered, runs of `span` pages at a time.
     """
-    if terms.limit(SMALL + 1).count() <= SMALL:
-        found = pages.join(F.broadcast(terms), F.contains(F.lower("text"), F.col("term")))
-    else:
-        texts = pages.select(F.lit(0).alias("all"), F.struct("company", "page_index").alias("id"), F.lower("text").alias("text"))
-        held = find_strings(terms.select(F.lit(0).alias("all"), F.col("term").alias("needle")), texts, "all").select(F.col("needle").alias("term"), "id.company", "id.page_index")
-        found = held.join(terms.hint("merge"), "term")
-    order = F.row_number().over(Window.partitionBy("company").orderBy("page_index", "kind", "pos"))
-    return found.select("company", F.concat(F.lit("ev-"), "company", F.lit("-"), order).alias("id"), "kind", "term", "page_index")
+    texts = pages.select(F.struct("company", "page_index").alias("id"), F.lower("text").alias("text"))
+    held = match_terms(texts, terms.select("term", F.lit(ANYWHERE).alias("rule")), "id").select("id.company", "id.page_index", "term")
+    found = held.hint("merge").join(terms.select("kind", "pos", "term"), "term").select("company", "page_index", "kind", "pos", "term")
+    found = stored(found, new_folder(pages.sparkSession, "facts"))
+    rows = number_rows(found, ["company"], F.floor(F.col("page_index") / span), ["page_index", "kind", "pos"], "place")
+    return rows.select("company", F.concat(F.lit("ev-"), "company", F.lit("-"), "place").alias("id"), "kind", "term", "page_index")
 
 
 def distinct_in_order(rows: DataFrame, key: str, value: str, pos: str) -> DataFrame:

@@ -23,6 +23,25 @@ def latest_n(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> D
     return rows.withColumn("rank", rank.cast("long")).where(F.col("rank") <= n)
 
 
+def number_rows(rows: DataFrame, keys: list[str], run: Column, order: list, name: str = "rank") -> DataFrame:
+    """rows with `name`: the place of each row (from 1) among the rows of its keys, ordered by run, then order.
+
+    Rows are numbered inside runs, after the counts of the runs before, so no task
+    sorts a whole key; null keys are keys. rows is read twice: write it first where it
+    is costly.
+    """
+    own = rows.withColumn("__run", run)
+    counts = own.groupBy(*keys, "__run").agg(F.count("*").alias("__c"))
+    before = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)], F.col("__run").alias("__of"), F.coalesce(before, F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__run").orderBy(*order))
+    met = F.col("__run").eqNullSafe(F.col("__of"))
+    for i, k in enumerate(keys):
+        met = met & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    numbered = own.withColumn("__inside", inside).join(starts.hint("merge"), met)
+    return numbered.select(*rows.columns, (F.col("__start") + F.col("__inside")).alias(name))
+
+
 def validity(versions: DataFrame, key: str, at: str, seq: str) -> DataFrame:
     """Approved versions with valid_from and valid_to; the next approval supersedes the one before."""
     w = Window.partitionBy(key).orderBy(at, seq)

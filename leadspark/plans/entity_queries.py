@@ -52,7 +52,7 @@ def funnel_reasons(spark, d):
 
 @query(f"""WITH {PAGE_HITS}, o AS (SELECT 'q' || (page_id % 5) AS query, page_id // 50 + 1 AS page, page_id, link, title, snippet, domain,
    row_number() OVER (PARTITION BY page_id % 5, page_id // 50 ORDER BY page_id) - 1 AS idx FROM page_hits),
- r AS (SELECT query, link, page * 1000 + idx AS seq, CASE WHEN page_id % 3 = 0 THEN page_id ELSE (page - 1) * 10 + idx + 1 END AS position, title, snippet,
+ r AS (SELECT query, link, {{'page': page, 'idx': idx}} AS seq, CASE WHEN page_id % 3 = 0 THEN page_id ELSE (page - 1) * 10 + idx + 1 END AS position, title, snippet,
    CASE WHEN len(string_split(domain, '.')) <= 2 THEN domain ELSE array_to_string(string_split(domain, '.')[-2:], '.') END AS domain FROM o),
  g AS (SELECT query, link, min(seq) AS first, arg_max({{'p': position, 't': title, 'd': domain}}, seq) AS last FROM r GROUP BY query, link),
  k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY first) AS hit_pos FROM g)
@@ -108,7 +108,7 @@ def page_gate(spark, d):
 
 @query(r"""WITH t AS (SELECT p_brand AS kind, p_partkey AS source_pos, p_name || ' (' || p_type || '), ' || p_name AS s FROM part),
  ph AS (SELECT kind, source_pos, list_concat(list_concat([trim(regexp_extract(s, '\(([^)]+)\)', 1))], list_filter([trim(regexp_replace(x, '\([^)]*\)', '', 'g')) FOR x IN string_split(s, ',')], lambda p: length(p) BETWEEN 3 AND 80)), [s]) AS a FROM t),
- e AS (SELECT kind, source_pos * 1000 + unnest(range(len(a))) AS pos, unnest(a) AS term FROM ph),
+ e AS (SELECT kind, {'s': source_pos, 'p': unnest(range(len(a)))} AS pos, unnest(a) AS term FROM ph),
  k AS (SELECT *, row_number() OVER (PARTITION BY kind, lower(term) ORDER BY pos) AS rn FROM e WHERE length(term) >= 2)
  SELECT kind, string_agg(term, '|' ORDER BY pos) AS terms FROM k WHERE rn = 1 GROUP BY kind""")
 def lexicon_compile(spark, d):
@@ -116,35 +116,54 @@ def lexicon_compile(spark, d):
     return funnel.compile_lexicon(parts).select("kind", F.array_join("terms", "|").alias("terms"))
 
 
-COUNTRY = {"suffix": ".ae", "calling_code": "+971", "cities": ["idiot", "clown", "worthless"], "names": ["the", "licensed"], "business_suffixes": ["with", "für"]}
-
-
-def _sql_any(terms):
-    one = lambda t: rf"regexp_matches(text, '(?i)(?:^|[^A-Za-z0-9]){t}(?:$|[^A-Za-z0-9])')" if t.isascii() else f"contains(lower(text), '{t}')"
-    return "bool_or(" + " OR ".join(one(t) for t in terms) + ")"
-
-
-SCORED = f"""c AS (SELECT 'd' || doc_id AS company, text, CASE WHEN doc_id % 3 = 0 THEN 'x.ae' ELSE 'x.com' END AS domain, CASE WHEN doc_id % 4 = 0 THEN '+971 50 1' ELSE '+1 2' END AS phone FROM documents),
- s AS (SELECT company, any_value(domain) AS domain, any_value(phone) AS phone, {_sql_any(COUNTRY['cities'])} AS city, {_sql_any(COUNTRY['names'])} AS addr, {_sql_any(COUNTRY['business_suffixes'])} AS suf FROM c GROUP BY company),
- score AS (SELECT company, least(100, CASE WHEN ends_with(domain, '.ae') THEN 25 ELSE 0 END + CASE WHEN starts_with(replace(phone, ' ', ''), '+971') THEN 25 ELSE 0 END
-   + CASE WHEN addr THEN 25 ELSE 0 END + CASE WHEN city THEN 20 ELSE 0 END + CASE WHEN suf THEN 15 ELSE 0 END)::BIGINT AS score FROM s)"""
+# A profile for each language of the documents; words and suffixes are such as the tables hold.
+PROFILES = [
+    ("en", ".org", "+1", ["New York", "clown", "idiot"], ["licensed", "the"], ["with", "für"]),
+    ("de", ".net", "+49", ["worthless", "einst", "der"], ["licensed under", "und"], ["GmbH", "für"]),
+    ("fr", ".com", "+1", ["idiot", "désir", "une"], ["licensed", "pour"], ["avec", "SARL"]),
+    ("es", ".example.com", "+1", ["", "clown", "señal", "los"], ["del", "license"], ["S.A.", "con"]),
+]
+PROFILE = "country string, domain_suffix string, calling_code string, cities array<string>, names array<string>, business_suffixes array<string>"
+_WORDS = ", ".join(f"('{c}', '{kind}', {pos}, '{w}', '{'' if w.isascii() else 'x'}')" for c, _, _, *lists in PROFILES for kind, words in zip(("city", "address", "business_suffix"), lists, strict=True) for pos, w in enumerate(words) if w)
+_CODES = ", ".join(str(p[:3]) for p in PROFILES)
+# Companies are the pages of a source among 400 ids, in the country of their first page, at the host of the web page numbered like it.
+SCORED = rf"""g AS (SELECT source || '-' || (doc_id // 400) AS company, doc_id AS page_index, 'doc:' || doc_id AS url, text, lang FROM documents WHERE source IS NOT NULL),
+ f AS (SELECT company, arg_min(lang, page_index) AS country, min(page_index) AS page_id FROM g GROUP BY company),
+ c AS (SELECT company, country, regexp_replace(lower(regexp_extract(p.url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain, p.url AS homepage FROM f LEFT JOIN pages p USING (page_id)),
+ t(country, kind, pos, value, free) AS (VALUES {_WORDS}), z(country, domain_suffix, calling_code) AS (VALUES {_CODES}),
+ m AS (SELECT company, country, kind, pos, value, page_index, url, CASE WHEN free = 'x' THEN contains(lower(text), lower(value)) ELSE regexp_matches(lower(text), '(?:^|[^a-z0-9])' || replace(lower(value), '.', '\.') || '(?:$|[^a-z0-9])') END AS inside,
+   CASE WHEN free = 'x' THEN contains(lower(url), lower(value)) ELSE regexp_matches(lower(url), '(?:^|[^a-z0-9])' || replace(lower(value), '.', '\.') || '(?:$|[^a-z0-9])') END AS beside
+   FROM g JOIN (SELECT company, country FROM f) USING (company) JOIN t USING (country)),
+ k AS (SELECT company, kind, pos, value, arg_min(url, page_index) FILTER (inside) AS source_url FROM m WHERE inside OR beside GROUP BY ALL),
+ w AS (SELECT company, kind, arg_min(value, pos) AS value, arg_min(coalesce(source_url, '-'), pos) AS source_url FROM k GROUP BY ALL),
+ p AS (SELECT company, page_index, unnest(regexp_extract_all(text, '{contacts.PHONE}')) AS value, url FROM g),
+ q AS (SELECT company, arg_min(p.url, page_index) AS source_url FROM p JOIN f USING (company) JOIN z USING (country) WHERE starts_with(regexp_replace(value, '\s+', '', 'g'), calling_code) GROUP BY company),
+ s AS (SELECT company, 1 AS place, 'domain' AS kind, domain_suffix AS value, homepage AS source_url, 25 AS weight FROM c JOIN z USING (country) WHERE ends_with(domain, domain_suffix)
+   UNION ALL SELECT company, 2, 'phone', calling_code, source_url, 25 FROM q JOIN f USING (company) JOIN z USING (country)
+   UNION ALL SELECT company, CASE kind WHEN 'city' THEN 3 WHEN 'address' THEN 4 ELSE 5 END, kind, value, source_url, CASE kind WHEN 'city' THEN 20 WHEN 'address' THEN 25 ELSE 15 END FROM w),
+ score AS (SELECT company, country, least(100, coalesce(sum(weight), 0))::BIGINT AS score, coalesce(string_agg(kind || '=' || value || '@' || source_url, '|' ORDER BY place), '') AS signals FROM c LEFT JOIN s USING (company) GROUP BY company, country)"""
 
 
 def scored(spark, d):
-    own = table(spark, d, "documents").select(F.concat(F.lit("d"), "doc_id").alias("company"), "text", "doc_id")
-    companies = own.select("company", F.when(F.col("doc_id") % 3 == 0, "x.ae").otherwise("x.com").alias("domain"), F.when(F.col("doc_id") % 4 == 0, "+971 50 1").otherwise("+1 2").alias("phone"))
-    return funnel.country_score(companies, own.select("company", "text"), COUNTRY)
+    own = table(spark, d, "documents").where("source is not null").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 400)).alias("company"), F.col("doc_id").alias("page_index"), F.concat(F.lit("doc:"), "doc_id").alias("url"), "text", "lang")
+    sites = table(spark, d, "pages").select(F.col("page_id").alias("first"), urls.host(F.col("url")).alias("domain"), F.col("url").alias("homepage"))
+    first = own.groupBy("company").agg(F.min_by("lang", "page_index").alias("country"), F.min("page_index").alias("first"))
+    companies = first.join(sites, "first", "left").drop("first")
+    phones = own.select("company", "page_index", "url", F.posexplode(F.regexp_extract_all("text", F.lit(contacts.PHONE), F.lit(0))).alias("i", "value"))
+    phones = phones.select("company", F.struct("page_index", "i").alias("pos"), "value", F.col("url").alias("source_url"))
+    return funnel.country_score(companies, own.select("company", "page_index", "url", "text"), phones, spark.createDataFrame(PROFILES, PROFILE))
 
 
-@query(f"WITH {SCORED} SELECT company, score, score >= 35 AS matched FROM score")
+@query(f"WITH {SCORED} SELECT company, country, score, score >= 35 AS matched, signals FROM score")
 def country_score(spark, d):
-    return scored(spark, d)
+    told = F.transform("signals", lambda s: F.concat(s["kind"], F.lit("="), s["value"], F.lit("@"), F.coalesce(s["source_url"], F.lit("-"))))
+    return scored(spark, d).withColumn("signals", F.array_join(told, "|"))
 
 
-@query(f"WITH {SCORED} SELECT CASE WHEN score < 50 THEN 'country_rejected' ELSE 'kept' END AS status, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM score GROUP BY 1")
+@query(f"WITH {SCORED} SELECT country, CASE WHEN score < 50 THEN 'country_rejected' ELSE 'kept' END AS status, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM score GROUP BY ALL")
 def country_gate(spark, d):
     own = scored(spark, d).withColumn("status", F.when(F.col("score") < 50, "country_rejected").otherwise("kept"))
-    return own.groupBy("status").agg(F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
+    return own.groupBy("country", "status").agg(F.count("*").alias("n"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
 
 
 @query("""SELECT o_orderkey, o_custkey AS market FROM orders JOIN (SELECT o_custkey AS m, max(o_orderkey) AS v FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON m = o_custkey WHERE o_orderstatus <> 'F' AND o_orderkey < v""")
@@ -252,7 +271,7 @@ TERMS = ["the", "of the", "in the", "idiot", "der", "de la", "the and"]
  SELECT doc_id, term, count(*) AS times FROM g WHERE term IN ({', '.join(f"'{t}'" for t in TERMS)}) GROUP BY ALL""")
 def lexicon_join(spark, d):
     lexicon = spark.createDataFrame([(t,) for t in TERMS], "term string")
-    return evidence.lexicon_join(table(spark, d, "documents"), lexicon, "doc_id", 2)
+    return evidence.lexicon_join(table(spark, d, "documents"), lexicon, "doc_id")
 
 
 @query(f"""WITH {CHUNKS}, q AS (SELECT company, trim(regexp_replace(substr(text, 1, 60), '\\s+', ' ', 'g')) AS quote FROM docs)

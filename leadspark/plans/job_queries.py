@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.scoring import score_companies
 from ..sources import readers, sinks
 from ..streaming import jobs
-from .views import LEADS, LOGS, leads, logs, table
+from .views import HITS, LEADS, LOGS, hits, leads, logs, table
 
 QUERIES = {}
 SQL = {}
@@ -96,10 +96,18 @@ def stream_dedupe(spark, d):
     return spark.read.parquet(f"{path}/out").select("campaign", "domain")
 
 
-@query("SELECT event_type AS campaign, count(*) AS raw, count(DISTINCT user_id) AS new FROM events GROUP BY 1")
+@query(f"""WITH {HITS}, h AS (SELECT (pos % 3)::VARCHAR AS campaign, campaign AS grp, round, domain FROM hits),
+ f AS (SELECT campaign, domain, min({{'round': round, 'grp': grp}}) AS first FROM h GROUP BY ALL),
+ r AS (SELECT h.campaign, h.grp, h.round, count(*) AS raw, count(DISTINCT h.domain) FILTER (first.round = h.round AND first.grp = h.grp) AS new FROM h JOIN f USING (campaign, domain) GROUP BY ALL),
+ b AS (SELECT campaign, grp, max(round) FILTER (new > 7) AS good, max(round) AS last FROM r GROUP BY ALL),
+ g AS (SELECT campaign, grp, count(*) AS executed, sum(raw)::BIGINT AS raw, sum(new)::BIGINT AS new, (sum(raw) - sum(new))::BIGINT AS repeats, arg_max(new, round) AS last_new, count(*) FILTER (good IS NULL OR round > good) AS streak FROM r JOIN b USING (campaign, grp) GROUP BY ALL)
+ SELECT campaign, grp, executed, raw, new, repeats, last_new, streak, streak >= 3 AS saturated, CASE WHEN sum(executed) OVER (PARTITION BY campaign) >= 90 THEN 'max_queries' WHEN bool_and(streak >= 3) OVER (PARTITION BY campaign) THEN 'all_groups_saturated' ELSE 'running' END AS reason FROM g""")
 def stream_discovery_state(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
     path = sinks.new_folder(spark, "discovery")
-    jobs.run_to_end(jobs.discovery_state(event_stream(spark, d)), f"{path}/out", f"{path}/state", "update")
-    last = spark.read.parquet(f"{path}/out").groupBy("campaign").agg(F.max_by(F.struct("raw", "new"), "batch").alias("x"))
-    return last.select("campaign", "x.raw", "x.new")
+    own = hits(spark, d).select((F.col("pos") % 3).cast("string").alias("campaign"), F.col("campaign").alias("grp"), "round", "domain")
+    own.repartition(6).write.parquet(f"{path}/landing")
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 3).parquet(f"{path}/landing")
+    jobs.run_to_end(jobs.discovery_state(stream, buckets=8), f"{path}/out", f"{path}/state", "append")
+    states = spark.read.parquet(f"{path}/out")
+    return jobs.discovery_groups(states).join(jobs.discovery_status(states, 90).select("campaign", "reason").hint("merge"), "campaign")

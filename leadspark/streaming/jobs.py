@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+
+from ..operators.rounds import LOW_NEW, SATURATED, stop_reason
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-COUNTS = StructType([StructField("campaign", StringType()), StructField("raw", LongType()), StructField("new", LongType()), StructField("seen", LongType())])
 
 
 def log_metrics(logs: DataFrame, late: str = "1 day") -> DataFrame:
@@ -27,31 +28,104 @@ def new_companies(hits: DataFrame, ttl: str | None = None) -> DataFrame:
     return hits.dropDuplicates(["campaign", "domain"])
 
 
-class DiscoveryState(StatefulProcessor):
-    """Domains that a campaign has seen, and its counts, across rounds."""
+class FirstPlaces(StatefulProcessor):
+    """Where each domain of one bucket of a campaign was seen first: (round, grp), the order in which rounds run."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.first = handle.getMapState("first", "domain string", "round long, grp string", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        raw: Counter = Counter()
+        new: Counter = Counter()
+        least: dict[str, tuple[int, str]] = {}
+        for pdf in rows:
+            for domain, round_, grp in zip(pdf["domain"], pdf["round"], pdf["grp"], strict=True):
+                place = int(round_), grp
+                raw[place] += 1
+                least[domain] = min(place, least.get(domain, place))
+        for domain, place in least.items():
+            held = self.first.getValue((domain,))
+            if held is None or place < tuple(held):
+                self.first.updateValue((domain,), place)
+                new[place] += 1
+                if held is not None:  # an earlier round came late: the find moves to it
+                    new[tuple(held)] -= 1
+        places = sorted(raw | {p: 0 for p in new})
+        yield pd.DataFrame({"campaign": key[0], "grp": [g for _, g in places], "round": [r for r, _ in places], "raw": [raw[p] for p in places], "new": [new[p] for p in places]})
+
+    def close(self) -> None:
+        pass
+
+
+class GroupYield(StatefulProcessor):
+    """Rounds of a query group: hits and new domains of each, and the streak of poor rounds at the end."""
+
+    def __init__(self, low_new: int, low_rate: float, saturated: int, ttl_ms: int | None):
+        self.low_new, self.low_rate, self.saturated, self.ttl_ms = low_new, low_rate, saturated, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.domains = handle.getMapState("domains", StructType([StructField("domain", StringType())]), StructType([StructField("n", IntegerType())]))
-        self.totals = handle.getValueState("totals", StructType([StructField("raw", LongType()), StructField("new", LongType())]))
+        self.rounds = handle.getMapState("rounds", "round long", "raw long, new long", self.ttl_ms)
+        self.updates = handle.getValueState("updates", "n long", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        raw, new = self.totals.get() if self.totals.exists() else (0, 0)
+        known = {k[0]: (v[0], v[1]) for k, v in self.rounds.iterator()}
         for pdf in rows:
-            raw += len(pdf)
-            for domain, n in pdf["domain"].value_counts().items():
-                had = self.domains.getValue((domain,))[0] if self.domains.containsKey((domain,)) else 0
-                new += had == 0
-                self.domains.updateValue((domain,), (int(had + n),))
-        self.totals.update((int(raw), int(new)))
-        yield pd.DataFrame({"campaign": [key[0]], "raw": [raw], "new": [new], "seen": [new]})
+            for round_, raw, new in zip(pdf["round"], pdf["raw"], pdf["new"], strict=True):
+                held = known.get(int(round_), (0, 0))
+                known[int(round_)] = held[0] + int(raw), held[1] + int(new)
+                self.rounds.updateValue((int(round_),), known[int(round_)])
+        streak = 0
+        for at in sorted(known, reverse=True):
+            raw, new = known[at]
+            if new > self.low_new and new > self.low_rate * raw:
+                break
+            streak += 1
+        n = (self.updates.get()[0] if self.updates.exists() else 0) + 1
+        self.updates.update((n,))
+        raw, new = (sum(x[i] for x in known.values()) for i in (0, 1))
+        yield pd.DataFrame({"campaign": [key[0]], "grp": [key[1]], "seq": [n], "executed": [len(known)], "raw": [raw], "new": [new], "repeats": [raw - new], "last_new": [known[max(known)][1]], "streak": [streak], "saturated": [streak >= self.saturated]})
 
     def close(self) -> None:
         pass
 
 
-def discovery_state(hits: DataFrame) -> DataFrame:
-    """(campaign, raw, new, seen) after every micro-batch; state grows with a campaign's domains and ends with the campaign."""
-    return hits.groupBy("campaign").transformWithStateInPandas(statefulProcessor=DiscoveryState(), outputStructType=COUNTS, outputMode="Update", timeMode="None")
+PLACES = "campaign string, grp string, round long, raw long, new long"
+GROUPS = "campaign string, grp string, seq long, executed long, raw long, new long, repeats long, last_new long, streak long, saturated boolean"
+
+
+def discovery_state(hits: DataFrame, buckets: int = 64, low_new: int = LOW_NEW, low_rate: float = 0.0, saturated: int = SATURATED, ttl_ms: int | None = None) -> DataFrame:
+    """GROUPS rows of the hits(campaign, grp, round, domain) so far, for every group that a micro-batch touches.
+
+    Two stateful operators in a chain: one keyed by campaign and bucket of domains,
+    which knows where each domain was seen first, and one keyed by group, which adds
+    up rounds; so no campaign sits in one task. A round is poor if at most low_new
+    of its domains, or low_rate of its hits, are new; `saturated` poor rounds in a
+    row at the end saturate the group. seq counts a group's rows: the highest is its state. Rounds
+    may come in parts and late: the state is that of all hits so far in the order of
+    (round, grp). Hits with a null in these columns are left out. With ttl_ms, what
+    was not touched for so long is forgotten; Spark then goes on with batches without
+    data, so such a query runs until it is stopped.
+    """
+    mode = "ProcessingTime" if ttl_ms else "None"
+    own = hits.select("campaign", "grp", F.col("round").cast("long").alias("round"), "domain").dropna()
+    own = own.withColumn("bucket", F.pmod(F.xxhash64("domain"), F.lit(buckets)))
+    places = own.groupBy("campaign", "bucket").transformWithStateInPandas(FirstPlaces(ttl_ms), PLACES, "Append", mode)
+    return places.groupBy("campaign", "grp").transformWithStateInPandas(GroupYield(low_new, low_rate, saturated, ttl_ms), GROUPS, "Append", mode)
+
+
+def discovery_groups(states: DataFrame) -> DataFrame:
+    """The last state of each group of discovery_state()'s rows."""
+    names = ["executed", "raw", "new", "repeats", "last_new", "streak", "saturated"]
+    return states.groupBy("campaign", "grp").agg(F.max_by(F.struct(*names), "seq").alias("s")).select("campaign", "grp", "s.*")
+
+
+def discovery_status(states: DataFrame, max_queries: int) -> DataFrame:
+    """(campaign, executed, reason): why each campaign stops, or running; a plan that has ended is for its planner to know."""
+    own = stop_reason(discovery_groups(states), "campaign", "executed", "saturated", max_queries)
+    return own.withColumn("reason", F.when(F.col("reason") == "plan_exhausted", "running").otherwise(F.col("reason")))
 
 
 def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None:

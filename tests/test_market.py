@@ -1,9 +1,12 @@
 """Domains, addresses, phones and search operators: golden cases."""
 
+import json
+import random
+
 from pyspark.sql import functions as F
 
 from leadspark.functions import contacts, urls
-from leadspark.operators import evidence, funnel, quality
+from leadspark.operators import evidence, funnel, matching, quality, tables
 
 
 def one(spark, column):
@@ -42,14 +45,57 @@ def test_phones_of_unlisted_countries_stay(spark):
     assert got == {"AE": (True, "+971501234567"), "DE": (None, None)}
 
 
+def plain_places(text, term, rule):
+    """All places of a term, overlapping ones too."""
+    beside = lambda c: c.isalnum() and (rule == matching.WORD or c.isascii())
+    out = []
+    for i in range(len(text) - len(term) + 1):
+        j = i + len(term)
+        if text[i:j] == term and (rule == matching.ANYWHERE or not (i and beside(text[i - 1])) and not (j < len(text) and beside(text[j]))):
+            out.append(i)
+    return out
+
+
+def test_dictionaries_are_matched_like_a_plain_search(spark):
+    rng = random.Random(4)
+    bits = ["a", "ab", "aba", "b", " ", "é", "-", ".", "\U0001f600", "\n", "(x)", "&&", "[a", "9"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(150)] + [None, "", "ab" * 20_000]
+    terms = sorted({("".join(rng.choice(bits) for _ in range(rng.randrange(1, 4))), rng.choice([matching.ANYWHERE, matching.WORD, matching.ASCII])) for _ in range(60)})
+    rows = [*enumerate(texts), (0, texts[0]), (None, "ab")]
+    t, d = spark.createDataFrame(rows, "k long, text string"), spark.createDataFrame([*terms, terms[0], ("", matching.WORD), (None, matching.WORD), ("ab", None)], "term string, rule string")
+    want = sorted((k, w, r, found[0], len(found)) for k, x in rows if x and k is not None for w, r in terms if (found := plain_places(x, w, r)))
+    for most in (matching.AUTOMATON_BYTES, 0):
+        got = sorted(map(tuple, matching.match_terms(t, d, "k", most).collect()))
+        assert got == want and len(want) > 300, most
+    many = spark.range(1000).selectExpr("concat('zq', id) AS term", "'word' AS rule")
+    assert [tuple(r) for r in matching.match_terms(spark.createDataFrame([(1, "a zq17 zq999 zq1000")], "k long, text string"), many, "k").orderBy("at").collect()] == [(1, "zq17", "word", 2, 1), (1, "zq999", "word", 7, 1)]
+    assert matching.match_terms(t, d.limit(0), "k").count() == 0 == matching.match_terms(t.limit(0), d, "k").count()
+
+
 def test_terms_beyond_the_bound_give_the_same(spark, monkeypatch):
-    texts = spark.createDataFrame([(1, 0, "steel pipes and steel valves"), (1, 1, "copper wire"), (2, 0, "no such thing")], "company long, page_index long, text string")
+    texts = spark.createDataFrame([(1, 0, "steel pipes and steel valves"), (1, 1, "copper wire"), (2, 0, "no such thing"), (1, 2000, "steel")], "company long, page_index long, text string")
     terms = spark.createDataFrame([("product", 0, "steel"), ("product", 1, "wire"), ("scale", 2, "pipes")], "kind string, pos long, term string")
     rows = lambda: sorted(map(tuple, evidence.facts_from_pages(texts, terms).collect()))
-    words = lambda: sorted(map(tuple, evidence.lexicon_join(texts.withColumnRenamed("company", "k"), terms, "k", 2).collect()))
+    words = lambda: sorted(map(tuple, evidence.lexicon_join(texts.withColumnRenamed("company", "k"), terms, "k").collect()))
     before = rows(), words()
-    monkeypatch.setattr(evidence, "SMALL", 1)
-    assert (rows(), words()) == before and before[0]
+    monkeypatch.setattr(matching, "AUTOMATON_BYTES", 0)
+    assert (rows(), words()) == before and (1, "ev-1-4", "product", "steel", 2000) in before[0]
+
+
+def test_order_holds_beyond_a_thousand(spark):
+    parts = spark.createDataFrame([("k", 0, ",".join(f"first{i}" for i in range(1500))), ("k", 1, "second")], "kind string, source_pos int, text string")
+    assert funnel.compile_lexicon(parts).first().terms[-1] == "second"
+    body = lambda tag, n: json.dumps({"organic": [{"title": tag, "link": f"https://{tag}{i}.example/"} for i in range(n)]})
+    hits = funnel.flatten_responses(spark.createDataFrame([("q", 1, body("a", 1200)), ("q", 2, body("b", 1))], "query string, page int, body string"), per_query=5000)
+    assert hits.orderBy(F.desc("hit_pos")).first().title == "b" and hits.count() == 1201
+
+
+def test_rows_are_numbered_like_a_window(spark):
+    rows = [(k, i, j) for k in ("a", None, "b") for i in range(40) for j in range(i % 3)] + [("a", None, 0)]
+    df = spark.createDataFrame(rows, "k string, i long, j long")
+    got = tables.number_rows(df, ["k"], F.floor(F.col("i") / 7), ["i", "j"]).collect()
+    want = {(k, i, j): n + 1 for key in ("a", None, "b") for n, (k, i, j) in enumerate(sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is not None, r[1] or 0, r[2])))}
+    assert {(r.k, r.i, r.j): r["rank"] for r in got} == want
 
 
 def test_excluded_domains_are_a_plain_list():

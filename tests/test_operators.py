@@ -48,13 +48,19 @@ def test_sample_companies_score_as_expected(spark):
     assert [r.id for r in leads.rank_leads(own.withColumn("g", F.lit(1)), ["g"]).orderBy("rank").collect()][-1] == "repair"
 
 
-def test_country_score_does_not_match_inside_words(spark):
-    companies = spark.createDataFrame([("a", "x.ae", "+971 50 123 4567"), ("b", "y.com", None)], "company string, domain string, phone string")
-    texts = spark.createDataFrame([("a", "Dubai office, United Arab Emirates. Acme LLC"), ("b", "We create value. المملكة العربية السعودية")], "company string, text string")
-    uae = {"suffix": ".ae", "calling_code": "+971", "cities": ["Dubai"], "names": ["United Arab Emirates"], "business_suffixes": ["LLC"]}
-    saudi = {"suffix": ".sa", "calling_code": "+966", "cities": ["Riyadh"], "names": ["السعودية"], "business_suffixes": ["CR"]}
-    assert {r.company: r.score for r in funnel.country_score(companies, texts, uae).collect()} == {"a": 100, "b": 0}
-    assert {r.company: r.score for r in funnel.country_score(companies, texts, saudi).collect()}["b"] == 25
+def test_country_signals_have_kind_value_and_source(spark):
+    companies = spark.createDataFrame([("a", "ae", "X.ae", "https://x.ae/"), ("b", "ae", "y.com", "https://y.com/"), ("c", "sa", "z.com", None), ("d", None, None, None), ("e", "ae", "w.ae", "https://w.ae/")], "company string, country string, domain string, homepage string")
+    pages = [("a", 0, "https://x.ae/", "Sharjah branch"), ("a", 1, "https://x.ae/contact", "Dubai office, United Arab Emirates. Acme L.L.C."), ("a", 2, "https://x.ae/more", "dubai again"), ("b", 0, "https://y.com/dubai", "We create value. Dubaian LLCs"), ("c", 0, "https://z.com/", "تقع في المملكة العربية السعودية"), ("d", 0, None, "Dubai"), ("e", 0, "u", None)]
+    pages = spark.createDataFrame(pages, "company string, page_index long, url string, text string")
+    phones = spark.createDataFrame([("a", 2, "+971 4 1", "https://x.ae/more"), ("a", 1, "+9 71 50 123", "https://x.ae/contact"), ("a", 0, "+1 2", "https://x.ae/"), ("b", 0, "+966 1", "https://y.com/")], "company string, pos long, value string, source_url string")
+    profiles = [("ae", ".ae", "+971", ["Abu Dhabi", "Dubai", "Sharjah"], ["UAE", "United Arab Emirates"], ["LLC", "L.L.C.", " "]), ("sa", ".sa", "+966", ["Riyadh"], ["السعودية"], ["CR"])]
+    profiles = spark.createDataFrame(profiles, "country string, domain_suffix string, calling_code string, cities array<string>, names array<string>, business_suffixes array<string>")
+    got = {r.company: (r.score, r.matched, [tuple(s) for s in r.signals]) for r in funnel.country_score(companies, pages, phones, profiles).collect()}
+    contact = "https://x.ae/contact"
+    assert got["a"] == (100, True, [("domain", ".ae", "https://x.ae/"), ("phone", "+971", contact), ("city", "Dubai", contact), ("address", "United Arab Emirates", contact), ("business_suffix", "L.L.C.", contact)])
+    assert got["b"] == (20, False, [("city", "Dubai", None)])  # in an address only
+    assert got["c"] == (25, False, [("address", "السعودية", "https://z.com/")])
+    assert got["d"] == (0, False, []) and got["e"] == (25, False, [("domain", ".ae", "https://w.ae/")])
 
 
 def test_contact_checks(spark):
