@@ -17,7 +17,7 @@ from .ngram_join import ngram_components
 from .pieces import sampled_pieces
 from .sharding import assign_shards
 from .token_shards import token_shards
-from .toxicity import fit, toxicity_scores
+from .toxicity import calibrate, fit, toxicity_scores
 from .warc import round_trip
 
 
@@ -49,8 +49,8 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity_scores(docs, calibrate(fit(docs, labels, aside=True), docs, labels))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

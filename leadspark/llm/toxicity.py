@@ -26,7 +26,7 @@ ROWS = 1 << 16
 SAMPLE = 3_000
 #: Words of training text at most, half of them for each class; the sample ends in hash order where they are reached.
 SAMPLE_WORDS = 4_000_000
-#: Words of one document that training reads, the first ones.
+#: Labelled rows of more words do not train; all that do are read whole.
 DOC_WORDS = 20_000
 EPOCHS = 8
 #: Step size of training.
@@ -237,14 +237,16 @@ def _hashed(texts: pa.Array):
 
 def _hash_rows(batches):
     for batch in batches:
-        first = [h[s : min(e, s + DOC_WORDS)].tobytes() for h, bounds in _hashed(batch.column("text")) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(first, pa.binary())], ["toxic", "lang", "words"])
+        whole = [h[s:e].tobytes() if e - s <= DOC_WORDS else None for h, bounds in _hashed(batch.column("text")) for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        out = pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("lang"), pa.array(whole, pa.binary())], ["toxic", "lang", "words"])
+        yield out.filter(out.column("words").is_valid())
 
 
 def _word_counts(batches):
     for batch in batches:
         n = np.concatenate([np.zeros(0, np.int64), *[np.diff(bounds) for _, bounds in _hashed(batch.column("text"))]])
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("o"), pa.array(np.minimum(n, DOC_WORDS).astype(np.int64))], ["toxic", "o", "n"])
+        out = pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("o"), pa.array(n.astype(np.int64))], ["toxic", "o", "n"])
+        yield out.filter(pa.array(n <= DOC_WORDS))
 
 
 def held_out(key) -> object:
@@ -260,9 +262,9 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _may_train(aside: bool):
-    """Whether a row may train: it is not held out, nor in the fourth of the others that is set aside for thresholds."""
+    """Whether a row may train: it is not held out, nor in the eighth of the others that is set aside for thresholds."""
     number = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
-    return ~held_out(F.col("doc_id")) & (F.floor(number / 5) % 4 != 0 if aside else F.lit(True))
+    return ~held_out(F.col("doc_id")) & (F.floor(number / 5) % 8 != 0 if aside else F.lit(True))
 
 
 def _in_sample(cuts: dict, aside: bool) -> object:
@@ -276,14 +278,14 @@ def _in_sample(cuts: dict, aside: bool) -> object:
 def fit(docs: DataFrame, labels: DataFrame, aside: bool = False) -> Model:
     """Trains on a bounded sample of the labelled rows outside the held-out fifth; calibrate() sets the thresholds.
 
-    With aside, a fourth of those rows is left to calibrate(). Null labels, ids and
+    With aside, an eighth of those rows is left to calibrate(). Null labels, ids and
     documents without a label do not train; a null text is empty; of labels that
     repeat an id the largest counts, and rows that repeat an id train each. Without
     labelled rows the model knows nothing and scores are low.
 
     The sample is the first SAMPLE rows of each class in the order of a hash of
-    their ids, of DOC_WORDS words each at most, as far as a class's half of
-    SAMPLE_WORDS goes (its first row in any case); it is all that reaches the
+    their ids, without those of more than DOC_WORDS words, as far as a class's half
+    of SAMPLE_WORDS goes (its first row in any case); it is all that reaches the
     driver.
     """
     rows = _labelled(docs, labels).where(_may_train(aside))
@@ -369,16 +371,25 @@ def _score(shared):
 
 
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted): one row per row of docs, scored over the whole text.
+    """(doc_id, held_out, score, predicted, rejected): one row per row of docs, scored over the whole text.
 
-    Only the text enters the score. Null, empty and blank texts score as the model
+    Only the text enters the score. rejected compares it with the threshold of the
+    row's language, as drop_toxic() does; it is null where docs has no column lang or
+    the model no thresholds. Null, empty and blank texts score as the model
     does without words. Rows that repeat an id or a text score alike; further
     columns are not read; an empty table gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), f"doc_id {id_type}, score double")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    scored = own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), f"doc_id {id_type}, lang string, score double")
+    limit = F.lit(model.thresholds.get(None)).cast("double")
+    for name, own_limit in model.thresholds.items():
+        if name is not None:
+            limit = F.when(F.coalesce("lang", F.lit("")) == name, own_limit).otherwise(limit)
+    known = "lang" in docs.columns and bool(model.thresholds)
+    rejected = (F.col("score") >= limit) if known else F.lit(None).cast("boolean")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), rejected.alias("rejected"))
 
 
 def _keep(shared):

@@ -561,6 +561,26 @@ def test_thresholds_hold_at_the_mix_of_all_rows(spark, monkeypatch):
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
     dropped = [r[3] for r in rows if r[0] not in kept]
     assert sum(x == 0 for x in dropped) <= 0.03 * len(dropped)
+    # The column says what the filter drops, by the threshold of the row's language, else by that of all.
+    for limits in (model.thresholds, {"de": 0.0, None: float("inf")}, {"en": 0.0, None: float("inf")}):
+        model.thresholds = limits
+        told = {r.doc_id for r in toxicity.toxicity_scores(docs, model).collect() if not r.rejected}
+        assert told == {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
+    assert not told and {r.rejected for r in toxicity.toxicity_scores(docs.drop("lang"), model).collect()} == {None}
+
+
+def test_long_labelled_rows_do_not_train_and_all_others_train_whole(spark, monkeypatch):
+    """The last word of a text counts; a text beyond the bound adds nothing."""
+    monkeypatch.setattr(toxicity, "DOC_WORDS", 50)
+    rows = [(i, "calm words " * 20 + ("idiot" if i % 2 else "fine"), "en", i % 2) for i in range(200)]
+    long = [(1000 + i, "moron fine " * 40, "en", 1) for i in range(100)]
+    fitted = []
+    for own in (rows, rows + long):
+        df = spark.createDataFrame(own, "doc_id long, text string, lang string, toxic int")
+        fitted.append(toxicity.fit(df.drop("toxic"), df.select("doc_id", "toxic")))
+    assert np.array_equal(fitted[0].table, fitted[1].table)
+    h, bounds = hashed(["calm words " * 20 + "idiot", "calm words " * 20 + "fine"])
+    assert (fitted[0].score(h, bounds) >= 0.5).tolist() == [True, False]
 
 
 def test_sample_does_not_depend_on_partitions_or_one_long_text(spark, monkeypatch):
@@ -664,8 +684,8 @@ sys.path.insert(0, {repo!r})
 import os
 from pyspark.sql import SparkSession
 import __spark_entry__ as entry
-spark = SparkSession.builder.master("local-cluster[1,2,1024]").config(map={{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.checkpoint.dir": {folder!r}, "spark.executorEnv.PYTHONPATH": "", "spark.executorEnv.PYTHONSAFEPATH": "1"}}).getOrCreate()
-spark.sparkContext.setLogLevel("OFF")
+spark = SparkSession.builder.master("local-cluster[1,2,1024]").config(map={{"spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": {folder!r}, "spark.executorEnv.PYTHONPATH": "", "spark.executorEnv.PYTHONSAFEPATH": "1"}}).getOrCreate()
+spark.sparkContext.setLogLevel("ERROR")
 def seen(batches):
     import importlib.util, pyarrow as pa
     for b in batches:
@@ -678,6 +698,20 @@ spark.stop()
 """
 
 
+def spark_home(tmp_path):
+    """A Spark home of links, whose folder for the workers of a local cluster is a plain folder that can be written."""
+    from pathlib import Path
+
+    import pyspark
+
+    home = tmp_path / "home"
+    (home / "work").mkdir(parents=True)
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    return str(home)
+
+
 def test_executors_need_no_copy_of_the_package(tmp_path):
     import os
     import subprocess
@@ -685,10 +719,11 @@ def test_executors_need_no_copy_of_the_package(tmp_path):
     from pathlib import Path
 
     repo = str(Path(line_dedup.__file__).resolve().parents[2])
-    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_DIST_CLASSPATH")}
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_DIST_CLASSPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    env |= {"SPARK_HOME": spark_home(tmp_path), "SPARK_LOCAL_IP": "127.0.0.1", "SPARK_LOCAL_DIRS": str(tmp_path / "local"), "SPARK_SCALA_VERSION": "2.13", "PYSPARK_PYTHON": sys.executable}
     run = subprocess.run([sys.executable, "-c", FOREIGN.format(repo=repo, folder=f"file://{tmp_path}/shared", sf=SF)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     ran = [x.split() for x in run.stdout.splitlines() if x.startswith("RAN")]
-    assert len(ran) == 11 and all(x[3] == "True" for x in ran), run.stdout + run.stderr[-3000:]
+    assert len(ran) == 14 and all(x[3] == "True" for x in ran), run.stdout[-2000:] + run.stderr[:3000] + run.stderr[-3000:]
 
 
 def test_pipeline_stages_keep_their_word(spark):
