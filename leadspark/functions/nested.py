@@ -54,8 +54,10 @@ def json_string(c: Column) -> Column:
 
 
 def _closed(what: Column, parts: Column, scalar: Column) -> Column:
-    body = F.array_join(parts, ",")
-    return F.when(what == "object", F.concat(F.lit("{"), body, F.lit("}"))).when(what == "array", F.concat(F.lit("["), body, F.lit("]"))).otherwise(scalar)
+    """A container of its parts, or the scalar; the parts stand in the expression once, since levels nest in them."""
+    is_object = what == "object"
+    whole = F.concat(F.when(is_object, "{").otherwise("["), F.array_join(parts, ","), F.when(is_object, "}").otherwise("]"))
+    return F.when(what.isin("object", "array"), whole).otherwise(scalar)
 
 
 def canonical_json(v: Column, depth: int = DEPTH) -> Column:
@@ -110,4 +112,4 @@ def redact_json(json: Column) -> Column:
     is redacted as a text, and given as a JSON string; null stays null.
     """
     v = F.try_parse_json(json)
-    return F.when(v.isNull(), json_string(redact(json))).otherwise(_redacted(json, v, 0))
+    return F.when(v.isNotNull(), _redacted(json, v, 0)).when(json.isNotNull(), json_string(redact(json)))

@@ -121,8 +121,8 @@ def compile_schema(schema: dict, root: dict | None = None, path: str = "$") -> l
 
         def wrong(v: Column) -> Column:
             plain = [k for k in kinds if k != "integer"]
-            fits = kind(v).isin(*plain) if plain else F.lit(False)
-            return ~(fits | (number(v) == F.floor(number(v)))) if "integer" in kinds else ~fits
+            fits = kind(v).isin(*plain, "")  # null for what is absent
+            return ~(fits | F.coalesce(number(v) == F.floor(number(v)), F.lit(False))) if "integer" in kinds else ~fits
 
         out.append((path, "type", wrong, kind))
     if "const" in schema:
@@ -133,7 +133,7 @@ def compile_schema(schema: dict, root: dict | None = None, path: str = "$") -> l
             hit = F.lit(False)
             for value in schema["enum"]:
                 hit = hit | F.coalesce(_literal(v, value), F.lit(False))
-            return ~hit
+            return F.when(kind(v).isNotNull(), ~hit)
 
         out.append((path, "enum", unlisted, None))
     if "pattern" in schema:

@@ -330,13 +330,6 @@ def unique_brand(spark, d):
     return R.unique_brands(own).select("brand", F.col("domain").alias("nation"))
 
 
-@query("SELECT p_partkey, 'hash' AS field FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT p_partkey, 'market' FROM part WHERE p_partkey % 15 = 0")
-def hash_mismatch(spark, d):
-    own = table(spark, d, "part").select("p_partkey", F.sha2("p_name", 256).alias("hash"), F.col("p_brand").alias("market"))
-    record = own.select("p_partkey", F.when(F.col("p_partkey") % 10 == 0, "stale").otherwise(F.col("hash")).alias("hash"), F.when(F.col("p_partkey") % 15 == 0, "other").otherwise(F.col("market")).alias("market"))
-    return quality.mismatches(own, record, "p_partkey", ["hash", "market"])
-
-
 @query(f"""WITH {POLICIES}, a AS (SELECT market, 'h' || max(version) AS hash FROM policies WHERE status = 'approved' GROUP BY market)
  SELECT p.version AS id, p.market, CASE WHEN a.hash IS NOT NULL AND 'h' || p.version <> a.hash AND status <> 'reviewed' THEN a.hash ELSE 'h' || p.version END AS hash,
  CASE WHEN a.hash IS NOT NULL AND 'h' || p.version <> a.hash AND status <> 'reviewed' THEN 2 ELSE 1 END AS version FROM policies p LEFT JOIN a USING (market)""")

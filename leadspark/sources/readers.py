@@ -29,6 +29,12 @@ def read_dimension(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     return own.where(~F.col("file").rlike("/schema/"))
 
 
+def read_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(market, version, json, file): one row per file below path/market=<market>/version=<version>; filters on both prune folders."""
+    own = spark.read.schema("value string, market string, version string").option("wholetext", True).text(path)
+    return own.select("market", "version", F.trim("value").alias("json"), F.col("_metadata.file_path").alias("file"))
+
+
 def manual_urls(spark: SparkSession, urls: list[str]) -> DataFrame:
     """Candidates a user typed in."""
     return spark.createDataFrame([(u, "manual") for u in urls], "url string, search_mode string")
