@@ -59,7 +59,7 @@ def email_same_domain(spark, d):
 
 
 _HOST = r"regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)"
-_MADE = {1: "'ftp://' || h", 2: "'https://user:pw@' || h || '/x'", 3: "'http:///nohost'", 4: "'http://10.' || (page_id % 256) || '.0.1/'", 5: "'http://[::ffff:192.168.0.' || (page_id % 256) || ']/'", 6: "'http://[2001:db8::' || (page_id % 10) || ']:80/'", 7: "'http://' || (page_id % 224) || '.8.8.8/a'", 8: "'http://[2a00:1450::' || (page_id % 10) || ']/'"}
+_MADE = {1: "'ftp://' || h", 2: "'https://user:pw@' || h || '/x'", 3: "'http://?q=' || page_id", 4: "'http://10.' || (page_id % 256) || '.0.1/'", 5: "'http://[::ffff:192.168.0.' || (page_id % 256) || ']/'", 6: "'http://[2001:db8::' || (page_id % 10) || ']:80/'", 7: "'http://' || (page_id % 224 * 16777216 + page_id) || '/a'", 8: "'http://[2a00:1450::' || (page_id % 10) || ']/'"}
 _REASONS = {1: "'scheme'", 2: "'userinfo'", 3: "'host'", 4: "'address'", 5: "'address'", 6: "'address'", 7: "CASE WHEN page_id % 224 IN (0, 10, 127) THEN 'address' END", 8: "NULL"}
 
 

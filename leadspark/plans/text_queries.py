@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import contacts, records, text, urls
+from ..functions import addresses, contacts, records, text, urls
 from ..operators.pages import BOILERPLATE
 from .views import DOCS, LOGS, MESSAGES, PAGE_HITS, docs, logs, messages, page_hits, table
 
@@ -109,7 +109,7 @@ def url_domain(spark, d):
 
 
 IP = r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-_RANGES = ", ".join("({}, {})".format(*urls.range_bounds(r)) for r in urls.PRIVATE_RANGES)
+_RANGES = ", ".join("({}, {})".format(*addresses.range_bounds(r)) for r in addresses.PRIVATE_RANGES if ":" not in r)
 
 
 @query(rf"""WITH i AS (SELECT doc_id, unnest(regexp_extract_all(text, '{IP}')) AS ip FROM documents),
@@ -176,21 +176,18 @@ def page_title(spark, d):
     return page_hits(spark, d).select("page_id", F.coalesce(F.nullif(text.collapse(F.col("title")), F.lit("")), "domain").alias("title"))
 
 
-_RANKX = ", ".join(f"CASE WHEN regexp_matches(href || ' ' || label, '(?i){p}') THEN {r} ELSE 50 END" for p, r in urls.LINK_RANKS)
+_RANKX = ", ".join(f"CASE WHEN regexp_matches(hint, '(?i){p}') THEN {r} ELSE 50 END" for p, r in urls.LINK_RANKS)
 
 
-@query(rf"""WITH {PAGE_HITS}, a AS (SELECT page_id, domain, unnest(regexp_extract_all(replace(html, 'href="/t', 'href="/products/t'), '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href,
-   unnest(regexp_extract_all(replace(html, 'href="/t', 'href="/products/t'), '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS label FROM page_hits),
- b AS (SELECT page_id, regexp_replace(CASE WHEN starts_with(href, '/') THEN 'https://' || domain || href ELSE href END, '#.*$', '') AS url, domain, greatest({_RANKX}) AS p FROM a
-   WHERE regexp_matches(href || ' ' || label, '{urls.PAGE_HINT}')),
- c AS (SELECT page_id, url, p FROM b WHERE regexp_matches(url, '(?i)^https?://') AND regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '') = domain
-   AND NOT regexp_matches(regexp_replace(url, '\?.*$', ''), '{urls.BINARY_PATH}'))
- SELECT page_id, url, max(p)::BIGINT AS priority FROM c GROUP BY page_id, url""")
+@query(rf"""WITH a AS (SELECT page_id, regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1) AS root, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1)) AS href,
+   unnest(regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2)) AS label FROM (SELECT page_id, url, replace(html, 'href="/t', 'href="/products/t') AS html FROM pages)),
+ b AS (SELECT page_id, root || regexp_replace(href, '[^/]/+$', '') AS url, href, href || ' ' || trim(label) AS hint FROM a WHERE starts_with(href, '/'))
+ SELECT page_id, url, max(greatest({_RANKX}))::BIGINT AS priority FROM b WHERE regexp_matches(hint, '{urls.PAGE_HINT}') AND NOT regexp_matches(href, '{urls.BINARY_PATH}') GROUP BY page_id, url""")
 def related_links(spark, d):
     from ..operators.pages import related_links as op
 
     html = F.replace("html", F.lit('href="/t'), F.lit('href="/products/t'))
-    return op(page_hits(spark, d).select("page_id", "domain", html.alias("html")), "page_id")
+    return op(table(spark, d, "pages").select("page_id", "url", html.alias("html")), "page_id")
 
 
 @query(rf"""WITH e AS (SELECT source AS domain, doc_id, 'email' AS type, lower(unnest(regexp_extract_all(text, '{_EMAIL}'))) AS value, text FROM documents),

@@ -1,12 +1,13 @@
 """Domains, addresses, phones and search operators: golden cases."""
 
+import ipaddress
 import json
 import random
 
 from pyspark.sql import functions as F
 
-from leadspark.functions import contacts, urls
-from leadspark.operators import evidence, funnel, matching, quality, tables
+from leadspark.functions import addresses, contacts, links, urls
+from leadspark.operators import evidence, funnel, matching, pages as pagesops, quality, tables
 
 
 def one(spark, column):
@@ -24,8 +25,8 @@ def test_registrable_domains_end_at_the_public_suffix(spark):
 
 def test_unsafe_urls(spark):
     cases = {
-        "https://example.com/a": None, "ftp://example.com": "scheme", "javascript:alert(1)": "scheme", None: "scheme", "http://u:p@example.com": "userinfo", "http:///x": "host",
-        "http://127.0.0.1/": "address", "http://8.8.8.8:80/": None, "http://172.31.0.1": "address", "http://172.32.0.1": None, "http://999.1.1.1": "address",
+        "https://example.com/a": None, "ftp://example.com": "scheme", "javascript:alert(1)": "scheme", None: "scheme", "http://u:p@example.com": "userinfo", "http:///x": None,
+        "http://127.0.0.1/": "address", "http://8.8.8.8:80/": None, "http://172.31.0.1": "address", "http://172.32.0.1": None, "http://999.1.1.1": "host",
         "http://[::1]/": "address", "http://[::ffff:10.0.0.1]/": "address", "http://[::ffff:8.8.8.8]/": None, "http://[fe80::1]/": "address", "http://[fd00::2]:90/": "address",
         "http://[2001:db8::1]/": "address", "http://[2606:4700::1]/": None, "http://[100::5]/": "address", "http://[0:0:0:0:0:0:0:1]/": "address",
     }
@@ -33,6 +34,69 @@ def test_unsafe_urls(spark):
         assert one(spark, urls.unsafe_reason(F.lit(url).cast("string"))) == want, url
 
 
+def test_addresses_count_in_every_spelling(spark):
+    cases = {
+        "http://2130706433/": "address", "http://0x7f.0.0.1/": "address", "http://127.1/": "address", "http://0177.0.0.1": "address", "http://0x7F000001": "address", "http://10.1": "address", "http://192.168.257": "address", "http://127.0.0.1./": "address",
+        "http://[0::1]/": "address", "http://[0:0:0:0:0:ffff:10.0.0.1]/": "address", "http://[::FFFF:7f00:1]/": "address", "http://[::ffff:8.8.8.8]/": None, "http://[::]/": "address", "http://[FE80::1]": "address", "http://[ff02::1]": "address", "http://[1::8]": None,
+        "http://host:99999/": "host", "http://host:65535/": None, "http://host:080/": None, "http://host:/": None, "http://4294967296/": "host", "http://1.2.3.4.5/": "host", "http://256.1.1.1/": "host", "http://1.2.65536": "host", "http://09.1.1.1": "host", "http://0x/": "address",
+        "http://[1::2::3]/": "host", "http://[12345::]/": "host", "http://[1:2:3]/": "host", "http://[1:2:3:4:5:6:7:8]": None, "http://[1:2:3:4:5:6:7::]": None, "http://[::1.2.3]": "host", "http://[::01.2.3.4]": "host", "http://[::1": "host",
+        "http:///127.0.0.1": "address", "http:\\\\127.0.0.1": "address", " http://127.0.0.1 ": "address", "http://exa\nmple.com": None, "http://a b.com/": "host", "http://a%20b.com": "host", "http://": "host", "http://?x": "host", "http://@host/": None, "http://:@host/": None, "http://:p@host/": "userinfo", "HTTP://Example.COM": None,
+        "http://1.2.3.com": None, "http://1.example.0x": "host", "javascript:alert(1)": "scheme", "": "scheme", "http://100.64.0.1": "address", "http://100.128.0.1": None, "http://198.19.255.255": "address", "http://255.255.255.255": "address",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "url string, want string").withColumn("got", urls.unsafe_reason(F.col("url"))).collect()
+    assert not [(r.url, r.want, r.got) for r in rows if r.want != r.got]
+
+
+def test_addresses_equal_the_plain_parser(spark):
+    rng = random.Random(8)
+    texts = [str(ipaddress.ip_address(rng.getrandbits(32))) for _ in range(40)] + [str(ipaddress.IPv6Address(rng.getrandbits(128) & ~((1 << 16 * rng.randrange(8)) - 1) & rng.getrandbits(128))) for _ in range(60)]
+    texts += [ipaddress.IPv6Address(rng.getrandbits(128)).exploded for _ in range(20)]
+    texts += ["".join(rng.choice("0:1f.g") for _ in range(rng.randrange(1, 14))) for _ in range(200)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", addresses.ipv6_hex(F.col("t")).alias("six"), addresses.ipv4_hex(F.col("t")).alias("four")).collect()
+    for r in rows:
+        try:
+            ip = ipaddress.ip_address(r.t)
+        except ValueError:
+            assert r.six is None, r.t
+            continue
+        want = f"{int(ip) + ((0xFFFF << 32) if ip.version == 4 else 0):032x}"
+        assert (r.four if ip.version == 4 else r.six) == want, r.t
+
+
+def test_ranges_are_joined_by_their_leading_bits(spark):
+    rng = random.Random(9)
+    ranges = [*addresses.PRIVATE_RANGES, "8.8.0.0/16", "8.8.8.0/24", "8.8.8.8/32", "0.0.0.0/0", "2a00::/11"]
+    ips = [str(ipaddress.IPv4Address(rng.getrandbits(32))) for _ in range(80)] + [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(40)] + ["8.8.8.8", "8.8.9.1", "::", "::1", "127.0.0.1", "fe80::1", "10.255.255.255", "11.0.0.0"]
+    table = addresses.range_prefixes(spark.createDataFrame([(r,) for r in [*ranges, "no range", "1.2.3.4/40", "1.2.3.4"]], "cidr string"))
+    own = spark.createDataFrame([(i,) for i in ips], "ip string").withColumn("a", F.coalesce(addresses.ipv4_hex(F.col("ip")), addresses.ipv6_hex(F.col("ip"))))
+    got = {tuple(r) for r in addresses.join_ranges(own, table, "ip", "a").collect()}
+    assert got == {(i, r) for i in ips for r in ranges if ipaddress.ip_address(i).version == ipaddress.ip_network(r).version and ipaddress.ip_address(i) in ipaddress.ip_network(r)}
+
+
+def test_references_resolve_as_the_standard_says(spark):
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g/", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x", "": "http://a/b/c/d;p?q",
+        ".": "http://a/b/c/", "./": "http://a/b/c/", "..": "http://a/b/", "../": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g",
+        "./../g": "http://a/b/g", "g/./h": "http://a/b/c/g/h", "g/../h": "http://a/b/c/h", "g;x=1/../y": "http://a/b/c/y", "g?y/../x": "http://a/b/c/g?y/../x", "mailto:x@y": None, "javascript:void(0)": None, "https://x.com": "https://x.com/", "HTTPS://x.com/a/../b": "https://x.com/b", "\\g": "http://a/g", "%2e%2E/g": "http://a/b/g",
+    }
+    rows = spark.createDataFrame(list(cases.items()), "ref string, want string").withColumn("got", links.resolve(F.lit(base), F.col("ref"))).collect()
+    assert not [(r.ref, r.want, r.got) for r in rows if r.want != r.got]
+
+
+def test_links_are_read_like_tags(spark):
+    html = """<head><base href='/shop/'><script>document.write('<a href="/products/no">x</a>')</script></head><!-- <a href="/contact/no">c</a> -->
+    <A data-href="/about/no" class=x HREF = 'about.html'><b>Ab</b>out <i>us</i></A> <a href=contact>Write</a><a title="a > b" href="../products/list?utm_x=1&amp;p=2#top">All
+    of <span>them</span></a><a href="https://www.acme.example/team/">We</a><a href="https://other.example/products">x</a><a name="products">none</a>
+    <a href="mailto:products@acme.example">m</a><a href="/files/brand.PDF">brand</a><a href="/x1">Contact &amp; branch<a href="/x2">nothing here</a><a href="/x1">team</a><a href="">company"""
+    pages = spark.createDataFrame([(1, "https://acme.example/de/index.html", html), (2, "https://acme.example/de/index.html", '<a href="profile">p</a>'), (3, None, html), (4, "https://acme.example", None), (5, "x", "")], "k long, url string, html string")
+    got = {(r.k, r.url): r.priority for r in pagesops.related_links(pages, "k").collect()}
+    assert got == {
+        (1, "https://acme.example/shop/about.html"): 95, (1, "https://acme.example/shop/contact"): 100, (1, "https://acme.example/products/list?p=2"): 90, (1, "https://www.acme.example/team"): 60,
+        (1, "https://acme.example/x1"): 100, (1, "https://acme.example/shop"): 95, (2, "https://acme.example/de/profile"): 95,
+    }
+
+
 def test_search_operators_blank_quotes(spark):
     assert one(spark, urls.exclude_brand(F.lit('Acme "Steel"\\Works'))) == '-"Acme Steel Works"'
     assert one(spark, urls.exclude_brand(F.lit('""'))) is None
