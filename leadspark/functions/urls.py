@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import addresses
@@ -41,11 +41,41 @@ PUBLIC_SUFFIXES = (
 )
 
 
-def registrable(domain: Column, public: tuple[str, ...] = PUBLIC_SUFFIXES) -> Column:
-    """A host's public suffix (one of `public`, else its last label) and the label before it; a host that is itself a suffix stays."""
-    parts = F.split(domain, r"\.")
-    last = lambda n: F.array_join(F.slice(parts, -n, n), ".")
-    return F.when(F.size(parts) <= 2, domain).when(last(2).isin(*public), last(3)).otherwise(last(2))
+# Suffixes of which any label below is public too, labels that are not for all that, and suffixes of three labels.
+SUFFIX_RULES = (*PUBLIC_SUFFIXES, "*.bd", "*.ck", "!www.ck", "*.er", "*.fk", "*.jm", "*.kh", "*.mm", "*.np", "*.pg", "*.kawasaki.jp", "!city.kawasaki.jp", "*.kobe.jp", "!city.kobe.jp", "k12.ca.us", "lib.ca.us", "pvt.k12.ma.us")
+
+
+def registrable(domain: Column, rules: tuple[str, ...] = SUFFIX_RULES) -> Column:
+    """A host's public suffix and the label before it; a host that is itself a suffix stays.
+
+    Of the rules that fit (plain, *. for any label, ! for exceptions) an exception wins,
+    else the longest; without one the last label is the suffix.
+    """
+    plain, wild, exempt = [r for r in rules if r[0] not in "*!"], [r[2:] for r in rules if r[0] == "*"], [r[1:] for r in rules if r[0] == "!"]
+    longest = max([r.count(".") + 1 for r in rules], default=1)
+
+    def cut(parts: Column) -> Column:
+        last = lambda n: F.array_join(F.slice(parts, -F.least(F.lit(n), F.size(parts)), F.least(F.lit(n), F.size(parts))), ".")
+        length = F.lit(1)
+        for k in range(2, longest + 1):
+            length = F.when((F.size(parts) >= k) & (last(k).isin(*plain, "") | last(k - 1).isin(*wild, "")), k).otherwise(length)
+        for k in range(2, longest + 1):
+            length = F.when((F.size(parts) >= k) & last(k).isin(*exempt, ""), k - 1).otherwise(length)
+        return addresses.let(F.least(length + 1, F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+
+    return addresses.let(F.split(domain, r"\."), cut)
+
+
+def registrable_by(hosts: DataFrame, rules: DataFrame, host: str) -> DataFrame:
+    """(host, site) of the distinct hosts, by rules(rule) of any number: an equi-join of all suffixes with the rules; the result is that of registrable()."""
+    mark = F.substring("rule", 1, 1)
+    own = rules.select(F.when(mark == "!", "!").when(mark == "*", "*").otherwise("").alias("kind"), F.regexp_replace("rule", r"^(\*\.|!)", "").alias("key")).where("key <> ''").distinct()
+    once = hosts.select(F.col(host).alias("host")).where("host is not null").distinct()
+    ends = once.select("host", F.posexplode(F.reverse(suffixes(F.col("host")))).alias("k", "key"))
+    met = ends.hint("merge").join(own, "key").groupBy("host").agg(F.max(F.when(F.col("kind") == "!", F.col("k"))).alias("exempt"), F.max(F.when(F.col("kind") == "*", F.col("k") + 2).when(F.col("kind") == "", F.col("k") + 1)).alias("length"))
+    parts = F.split("host", r"\.")
+    size = F.least(F.coalesce("exempt", "length", F.lit(1)) + 1, F.size(parts))
+    return once.join(met.hint("merge"), "host", "left").select("host", F.array_join(F.slice(parts, -size, size), ".").alias("site"))
 
 
 def suffixes(domain: Column) -> Column:

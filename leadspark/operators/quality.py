@@ -5,8 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values: (country, calling code, shortest and longest national number).
-NUMBERING = (("AE", "971", 8, 9), ("SA", "966", 8, 9), ("US", "1", 10, 10), ("GB", "44", 9, 10))
+# Fixed values: (country, calling code, trunk prefix, shortest and longest national number).
+NUMBERING = (
+    ("AE", "971", "0", 8, 9), ("AR", "54", "0", 10, 11), ("AT", "43", "0", 7, 12), ("AU", "61", "0", 9, 9), ("BD", "880", "0", 8, 10), ("BE", "32", "0", 8, 9), ("BH", "973", "", 8, 8), ("BR", "55", "0", 10, 11), ("CA", "1", "1", 10, 10), ("CH", "41", "0", 9, 9),
+    ("CL", "56", "", 9, 9), ("CN", "86", "0", 10, 11), ("CO", "57", "", 8, 10), ("CZ", "420", "", 9, 9), ("DE", "49", "0", 6, 11), ("DK", "45", "", 8, 8), ("DZ", "213", "0", 8, 9), ("EG", "20", "0", 8, 10), ("ES", "34", "", 9, 9), ("FI", "358", "0", 6, 10),
+    ("FR", "33", "0", 9, 9), ("GB", "44", "0", 9, 10), ("GR", "30", "", 10, 10), ("HU", "36", "06", 8, 9), ("ID", "62", "0", 8, 12), ("IE", "353", "0", 8, 9), ("IN", "91", "0", 10, 10), ("IQ", "964", "0", 8, 10), ("IR", "98", "0", 10, 10), ("IT", "39", "", 6, 11),
+    ("JO", "962", "0", 8, 9), ("JP", "81", "0", 9, 10), ("KE", "254", "0", 9, 9), ("KR", "82", "0", 8, 10), ("KW", "965", "", 8, 8), ("KZ", "7", "8", 10, 10), ("LB", "961", "0", 7, 8), ("MA", "212", "0", 9, 9), ("MX", "52", "", 10, 10), ("MY", "60", "0", 8, 10),
+    ("NG", "234", "0", 8, 10), ("NL", "31", "0", 9, 9), ("NO", "47", "", 8, 8), ("NZ", "64", "0", 8, 10), ("OM", "968", "", 8, 8), ("PH", "63", "0", 8, 10), ("PK", "92", "0", 9, 10), ("PL", "48", "", 9, 9), ("PT", "351", "", 9, 9), ("QA", "974", "", 8, 8),
+    ("RO", "40", "0", 9, 9), ("RU", "7", "8", 10, 10), ("SA", "966", "0", 8, 9), ("SE", "46", "0", 7, 9), ("SG", "65", "", 8, 8), ("TH", "66", "0", 8, 9), ("TN", "216", "", 8, 8), ("TR", "90", "0", 10, 10), ("UA", "380", "0", 9, 9), ("US", "1", "1", 10, 10),
+    ("VN", "84", "0", 9, 10), ("YE", "967", "0", 7, 9), ("ZA", "27", "0", 9, 9),
+)
+# Area codes of countries that share the calling code of another one, which has all the rest.
+SHARED = {
+    "CA": (204, 226, 236, 249, 250, 289, 306, 343, 365, 403, 416, 418, 431, 437, 438, 450, 506, 514, 519, 548, 579, 581, 587, 604, 613, 639, 647, 672, 705, 709, 778, 780, 782, 807, 819, 825, 867, 873, 902, 905),
+    "KZ": (6, 7),
+}
+
+
+def number_prefixes(numbering: tuple = NUMBERING, shared: dict = SHARED) -> dict[str, str]:
+    """Country by the leading digits of its international numbers; the longest that fits counts."""
+    out = {code: iso for iso, code, *_ in numbering if iso not in shared}
+    codes = {iso: code for iso, code, *_ in numbering}
+    return out | {f"{codes[iso]}{area}": iso for iso, areas in shared.items() for area in areas}
 
 
 def rule_violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -16,14 +36,32 @@ def rule_violations(rows: DataFrame, key: list[str], rules: dict[str, Column]) -
 
 
 def validate_phones(found: DataFrame) -> DataFrame:
-    """found(value, iso, ...) with valid and e164, by a numbering dimension of fixed size; both are null for a country it lacks."""
-    plan = found.sparkSession.createDataFrame(NUMBERING, "iso string, code string, lo int, hi int")
-    digits = F.regexp_replace("value", r"\D", "")
-    abroad = F.col("value").startswith("+") & digits.startswith(F.col("code"))
-    national = F.when(abroad, F.substring(digits, F.length("code") + 1, F.length(digits))).otherwise(F.regexp_replace(digits, "^0", ""))
-    ok = F.when(F.col("value").startswith("+") & ~abroad, F.lit(False)).otherwise(F.length(national).between(F.col("lo"), F.col("hi")))
-    out = found.join(F.broadcast(plan), "iso", "left").withColumn("valid", ok)
-    return out.withColumn("e164", F.when(ok, F.concat(F.lit("+"), "code", national))).drop("code", "lo", "hi")
+    """found(value, iso, ...) with valid, e164, country and in_country, by the numbering plan.
+
+    A number that begins with + or 00 tells its country by the longest prefix that
+    fits; any other is one of the country iso, less its trunk prefix. valid says
+    whether the national number has a length of its country, in_country whether
+    that is iso. Without a known country all but in_country are null; a value
+    without digits is not valid. The plan is of fixed size and stands in the
+    expression, so no row is moved.
+    """
+    prefixes = number_prefixes()
+    table = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    of, codes, trunks = table(prefixes.items()), table((i, c) for i, c, *_ in NUMBERING), table((i, t) for i, _, t, *_ in NUMBERING)
+    least, most = table((i, lo) for i, *_, lo, _ in NUMBERING), table((i, hi) for i, *_, hi in NUMBERING)
+    abroad = F.trim("value").rlike(r"^(\+|00)")
+    own = found.withColumn("__d", F.regexp_replace("value", r"\D", "")).withColumn("__abroad", abroad)
+    own = own.withColumn("__d", F.when(F.col("__abroad"), F.regexp_replace("__d", "^00", "")).otherwise(F.col("__d")))
+    told = F.coalesce(*[F.try_element_at(of, F.substring("__d", 1, n)) for n in range(max(map(len, prefixes)), 0, -1)])
+    own = own.withColumn("country", F.when(F.col("__abroad"), told).when(F.try_element_at(codes, F.col("iso")).isNotNull(), F.col("iso")))
+    code, trunk = F.try_element_at(codes, F.col("country")), F.try_element_at(trunks, F.col("country"))
+    inland = F.when((trunk != "") & F.startswith("__d", trunk), F.substr("__d", F.length(trunk) + 1)).otherwise(F.col("__d"))
+    own = own.withColumn("__n", F.when(F.col("__abroad"), F.substr("__d", F.length(code) + 1)).otherwise(inland))
+    size = F.length("__n")
+    valid = size.between(F.try_element_at(least, F.col("country")), F.try_element_at(most, F.col("country")))
+    own = own.withColumn("valid", F.when(F.col("__abroad") & F.col("country").isNull(), F.lit(False)).otherwise(valid))
+    own = own.withColumn("e164", F.when(F.col("valid"), F.concat(F.lit("+"), code, F.col("__n")))).withColumn("in_country", F.coalesce(F.col("valid") & (F.col("country") == F.col("iso")), F.lit(False)))
+    return own.drop("__d", "__abroad", "__n")
 
 
 def submission_violations(leads: DataFrame, facts: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -679,9 +679,12 @@ def site_page_topk(spark, d):
 
 @query()
 def site_page_select(spark, d):
-    own = page_hits(spark, d).select("domain", "page_id", F.col("link").alias("url"))
-    before = F.lag("url").over(Window.partitionBy("domain").orderBy("page_id"))
-    return P.crawl_frontier(own.select("domain", before.alias("src"), "url", (50 + F.col("page_id") % 7).cast("long").alias("priority")), 20, 4)
+    """A site's pages link to the three after them; the link's priority is the rank of the page's title and its length."""
+    own = page_hits(spark, d).select("domain", "page_id", F.col("link").alias("url"), (urls.link_rank(F.col("title")) + F.length("html") % 40).alias("priority"))
+    order = Window.partitionBy("domain").orderBy("page_id")
+    before = F.array(*[F.lag("url", i).over(order) for i in (1, 2, 3)])
+    sources = own.withColumn("before", before).select("domain", "url", "priority", F.explode(F.when(F.get("before", F.lit(0)).isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.filter("before", lambda x: x.isNotNull()))).alias("src"))
+    return P.crawl_frontier(sources, own, 20)
 
 
 # ---- sets and tables

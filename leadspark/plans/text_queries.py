@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import addresses, contacts, records, text, urls
+from ..operators import quality
 from ..operators.pages import BOILERPLATE
 from .views import DOCS, LOGS, MESSAGES, PAGE_HITS, docs, logs, messages, page_hits, table
 
@@ -102,7 +103,10 @@ def url_canonical(spark, d):
     return table(spark, d, "pages").select("page_id", urls.canonical(F.col("url")).alias("url"))
 
 
-@query(rf"""WITH {PAGE_HITS} SELECT page_id, domain, CASE WHEN len(string_split(domain, '.')) <= 2 THEN domain
+_PUBLIC = ", ".join(f"'{x}'" for x in urls.PUBLIC_SUFFIXES)
+
+
+@query(rf"""WITH {PAGE_HITS} SELECT page_id, domain, CASE WHEN len(string_split(domain, '.')) <= 2 THEN domain WHEN array_to_string(string_split(domain, '.')[-2:], '.') IN ({_PUBLIC}) THEN array_to_string(string_split(domain, '.')[-3:], '.')
  ELSE array_to_string(string_split(domain, '.')[-2:], '.') END AS registrable FROM page_hits""")
 def url_domain(spark, d):
     return page_hits(spark, d).select("page_id", "domain", urls.registrable(F.col("domain")).alias("registrable"))
@@ -324,17 +328,23 @@ def chunk_fixed(spark, d):
     return op(docs(spark, d).select("company", "page_index", "text"), 960, 120).select("ref", "company", "page_index", "at", F.md5("chunk").alias("chunk_md5"))
 
 
-@query(rf"""WITH p AS (SELECT doc_id, trim(unnest(regexp_extract_all(text, '{_PHONE}'))) AS value FROM documents),
- n AS (SELECT doc_id, value, regexp_replace(value, '\D', '', 'g') AS digits, starts_with(value, '+') AS intl FROM p),
- m(iso, code, lo, hi) AS (VALUES ('AE', '971', 8, 9), ('SA', '966', 8, 9), ('US', '1', 10, 10), ('GB', '44', 9, 10))
- SELECT doc_id, value, m.iso, CASE WHEN intl AND starts_with(digits, code) THEN length(digits) - length(code) BETWEEN lo AND hi ELSE NOT intl AND length(regexp_replace(digits, '^0', '')) BETWEEN lo AND hi END AS valid,
- CASE WHEN intl AND starts_with(digits, code) AND length(digits) - length(code) BETWEEN lo AND hi THEN '+' || digits WHEN NOT intl AND length(regexp_replace(digits, '^0', '')) BETWEEN lo AND hi THEN '+' || code || regexp_replace(digits, '^0', '') END AS e164
- FROM n CROSS JOIN m WHERE m.iso = 'US'""")
-def phone_validate(spark, d):
-    from ..operators.quality import validate_phones
+_PLAN = ", ".join(map(str, quality.NUMBERING))
+_PREFIXES = ", ".join(map(str, quality.number_prefixes().items()))
+_LANDS = {"en": "US", "de": "DE", "fr": "FR", "es": "ES"}
 
-    found = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(contacts.PHONE), F.lit(0))).alias("value"))
-    return validate_phones(found.withColumn("value", F.trim("value")).withColumn("iso", F.lit("US")))
+
+@query(rf"""WITH p AS (SELECT doc_id, lang, trim(unnest(regexp_extract_all(text, '{_PHONE}'))) AS value FROM documents),
+ n AS (SELECT row_number() OVER () AS r, doc_id, value, CASE lang {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _LANDS.items())} END AS iso, regexp_matches(value, '^(\+|00)') AS abroad, regexp_replace(value, '\D', '', 'g') AS d FROM p),
+ m(iso, code, trunk, lo, hi) AS (VALUES {_PLAN}), x(prefix, iso) AS (VALUES {_PREFIXES}),
+ k AS (SELECT r, arg_max(x.iso, length(prefix)) AS land FROM n JOIN x ON abroad AND starts_with(regexp_replace(d, '^00', ''), prefix) GROUP BY r),
+ c AS (SELECT n.*, CASE WHEN abroad THEN land ELSE iso END AS country FROM n LEFT JOIN k USING (r)),
+ s AS (SELECT c.*, code, lo, hi, CASE WHEN abroad THEN substr(regexp_replace(d, '^00', ''), length(code) + 1) WHEN trunk <> '' AND starts_with(d, trunk) THEN substr(d, length(trunk) + 1) ELSE d END AS own FROM c LEFT JOIN m ON m.iso = c.country),
+ v AS (SELECT *, CASE WHEN abroad AND country IS NULL THEN false ELSE length(own) BETWEEN lo AND hi END AS valid FROM s)
+ SELECT doc_id, value, iso, country, valid, CASE WHEN valid THEN '+' || code || own END AS e164, coalesce(valid AND country = iso, false) AS in_country FROM v""")
+def phone_validate(spark, d):
+    lands = F.create_map(*[F.lit(x) for pair in _LANDS.items() for x in pair])
+    found = table(spark, d, "documents").select("doc_id", F.try_element_at(lands, F.col("lang")).alias("iso"), F.explode(F.regexp_extract_all("text", F.lit(contacts.PHONE), F.lit(0))).alias("value"))
+    return quality.validate_phones(found.withColumn("value", F.trim("value")))
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents)

@@ -103,10 +103,26 @@ def test_search_operators_blank_quotes(spark):
     assert one(spark, urls.exclude_domain(F.lit("x.ae"))) == "-site:x.ae"
 
 
-def test_phones_of_unlisted_countries_stay(spark):
-    found = spark.createDataFrame([("+971 50 123 4567", "AE"), ("030 123456", "DE")], "value string, iso string")
-    got = {r.iso: (r.valid, r.e164) for r in quality.validate_phones(found).collect()}
-    assert got == {"AE": (True, "+971501234567"), "DE": (None, None)}
+def test_phones_tell_their_country(spark):
+    cases = [
+        ("+971 50 123 4567", "AE", True, "+971501234567", "AE", True), ("050 123 4567", "AE", True, "+971501234567", "AE", True), ("00966 11 123 4567", "AE", True, "+966111234567", "SA", False), ("+44 20 7946 0958", "GB", True, "+442079460958", "GB", True),
+        ("020 7946 0958", "GB", True, "+442079460958", "GB", True), ("+1 416 555 0100", "US", True, "+14165550100", "CA", False), ("+1 (212) 555-0100", "US", True, "+12125550100", "US", True), ("1-212-555-0100", "US", True, "+12125550100", "US", True), ("+7 701 123 45 67", "RU", True, "+77011234567", "KZ", False),
+        ("8 495 123 45 67", "RU", True, "+74951234567", "RU", True), ("06 1 123 4567", "HU", True, "+3611234567", "HU", True), ("+999 123 456 789", "AE", False, None, None, False), ("+971 1", "AE", False, None, "AE", False), ("12", "AE", False, None, "AE", False),
+        ("030 123456", "XX", None, None, None, False), ("030 123456", None, None, None, None, False), ("none", "AE", False, None, "AE", False), (None, "AE", None, None, "AE", False), ("+39 06 1234 5678", "IT", True, "+390612345678", "IT", True), ("05 0123", "SG", False, None, "SG", False),
+    ]
+    found = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i long, value string, iso string")
+    got = {r.i: (r.valid, r.e164, r.country, r.in_country) for r in quality.validate_phones(found).collect()}
+    assert not [(c, got[i]) for i, c in enumerate(cases) if got[i] != c[2:]]
+    assert len({n[0] for n in quality.NUMBERING}) == len(quality.NUMBERING) >= 40
+
+
+def test_suffix_rules_have_wildcards_and_exceptions(spark):
+    cases = {"a.b.shop.ck": "b.shop.ck", "shop.ck": "shop.ck", "ck": "ck", "www.ck": "www.ck", "a.www.ck": "www.ck", "x.y.kawasaki.jp": "x.y.kawasaki.jp", "a.x.y.kawasaki.jp": "x.y.kawasaki.jp", "a.city.kawasaki.jp": "city.kawasaki.jp", "kawasaki.jp": "kawasaki.jp", "my.school.k12.ca.us": "school.k12.ca.us", "a.b.pvt.k12.ma.us": "b.pvt.k12.ma.us", "shop.co.uk": "shop.co.uk", "a.shop.com.sa": "shop.com.sa", "a.example.com": "example.com", "localhost": "localhost", "": ""}
+    hosts = spark.createDataFrame([(h, w, 1) for h, w in cases.items()] * 2 + [(None, None, 1)], "host string, want string, key int")
+    rows = hosts.withColumn("got", urls.registrable(F.col("host"))).collect()
+    assert not [(r.host, r.want, r.got) for r in rows if r.want != r.got]
+    rules = spark.createDataFrame([(r,) for r in urls.SUFFIX_RULES], "rule string")
+    assert {r.host: r.site for r in urls.registrable_by(hosts, rules, "host").collect()} == cases
 
 
 def plain_places(text, term, rule):

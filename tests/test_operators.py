@@ -181,10 +181,61 @@ def test_all_violations_at_once(spark):
     assert got == {"score_range", "review_required", "unknown_chunk", "duplicate_id", "missing_fact"}
 
 
-def test_crawl_frontier_visits_once(spark):
-    rows = [("d", None, "/", 0), ("d", "/", "/a", 95), ("d", "/a", "/", 50), ("d", "/a", "/b", 60), ("d", "/b", "/c", 100)]
-    out = pages.crawl_frontier(spark.createDataFrame(rows, "domain string, src string, url string, priority long"), 3, 2).orderBy("rank").collect()
-    assert [(r.url, r.hop) for r in out] == [("/", 0), ("/a", 1), ("/b", 2)]
+def plain_crawl(edges, pages, redirects, budget, hops=5):
+    """One queue per site, as a crawler runs it."""
+    out = {}
+    for domain in {e[0] for e in edges}:
+        moved, there = {u: t for d, u, t in sorted(redirects, reverse=True) if d == domain}, {u for d, u in pages if d == domain}
+
+        def fetch(url):
+            for _ in range(hops + 1):
+                if url not in moved:
+                    return url if url in there else None
+                url = moved[url]
+            return None
+
+        queue = [(-p, u) for d, s, u, p in edges if d == domain and s is None]
+        queue = sorted(q for q in queue if fetch(q[1]))[:1]
+        attempted, captured = set(), []
+        while queue and len(captured) < budget:
+            queue.sort()
+            _, url = queue.pop(0)
+            if url in attempted:
+                continue
+            attempted.add(url)
+            final = fetch(url)
+            if final is None or final in captured:
+                continue
+            captured.append(final)
+            queue += [(-p, u) for d, s, u, p in edges if d == domain and s == final and u not in attempted]
+        out |= {(domain, u): i + 1 for i, u in enumerate(captured)}
+    return out
+
+
+@pytest.mark.parametrize("budget", [1, 4, 9])
+def test_crawl_frontier_equals_one_queue_per_site(spark, budget):
+    rng = random.Random(budget)
+    edges, all_pages, redirects = [], [], []
+    for d in range(14):
+        n = rng.choice([1, 5, 40])
+        names = [f"/{rng.randrange(100)}-{i}" for i in range(n)]
+        all_pages += [(f"d{d}", u) for u in names if rng.random() < 0.85 or u == names[0]]
+        redirects += [(f"d{d}", u, rng.choice(names)) for u in names[1:] if rng.random() < 0.25]
+        edges += [(f"d{d}", None, names[0], 0)] + [(f"d{d}", rng.choice(names), rng.choice([*names, "/gone"]), rng.choice([50, 60, 90, 95, 100, 110])) for _ in range(6 * n)]
+    e = spark.createDataFrame(edges, "domain string, src string, url string, priority long")
+    p, r = spark.createDataFrame(all_pages, "domain string, url string"), spark.createDataFrame(redirects, "domain string, url string, to string")
+    got = {(x.domain, x.url): x["rank"] for x in pages.crawl_frontier(e, p, budget, r).collect()}
+    assert got == plain_crawl(edges, all_pages, redirects, budget)
+    if budget == 4:
+        got = {(x.domain, x.url): x["rank"] for x in pages.crawl_frontier(e, p, budget).collect()}
+        assert got == plain_crawl(edges, all_pages, [], budget)
+        assert pages.crawl_frontier(e.limit(0), p, budget, r).count() == 0
+
+
+def test_redirects_are_followed_to_their_end(spark):
+    chain = [("d", f"/{i}", f"/{i + 1}") for i in range(7)] + [("d", "/a", "/b"), ("d", "/b", "/a"), ("d", "/self", "/self"), ("e", "/0", "/x")]
+    got = {(r.domain, r.url): r.final for r in pages.final_urls(spark.createDataFrame(chain, "domain string, url string, to string")).collect()}
+    assert got == {("d", f"/{i}"): "/7" if i >= 2 else None for i in range(7)} | {("d", "/a"): None, ("d", "/b"): None, ("d", "/self"): None, ("e", "/0"): "/x"}
 
 
 @pytest.mark.parametrize("name", ["round_counters", "lead_ranking", "evidence_topk"])
