@@ -18,13 +18,15 @@ MARKS = "\n.!?。！？"
 SLOT_QUOTAS = {"identity": 10, "productFit": 20, "businessRole": 12, "scaleAndImport": 12, "countrySignals": 8, "exclusionsAndRisks": 10}
 
 
-#: Rows up to which a table of terms is broadcast.
-SMALL = 100_000
+#: Rows and bytes up to which a table is broadcast.
+SMALL, SMALL_BYTES = 100_000, 8 << 20
 
 
 def bounded(df: DataFrame) -> DataFrame:
-    """df to be broadcast if it has at most SMALL rows, else to be joined by merging."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df.hint("merge")
+    """df to be broadcast if it has at most SMALL rows and its columns, as text, SMALL_BYTES; else to be joined by merging."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, held = df.limit(SMALL + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if rows <= SMALL and held <= SMALL_BYTES else df.hint("merge")
 
 
 def dedupe_terms(terms: DataFrame, key: str) -> DataFrame:
@@ -55,7 +57,7 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame, block: str) -> DataFrame:
     """(quote_id, page, at): pages of the same block that hold a quote word for word, and where (from 0)."""
     found = find_strings(quotes.select(block, F.col("quote").alias("needle")), pages.select(block, F.col("page").alias("id"), "text"), block)
     own = quotes.select(block, "quote_id", F.col("quote").alias("needle"))
-    return own.join(found, [block, "needle"]).select("quote_id", F.col("id").alias("page"), "at")
+    return own.join(found.hint("merge"), [block, "needle"]).select("quote_id", F.col("id").alias("page"), "at")
 
 
 def locate_quotes_loosely(rows: DataFrame) -> DataFrame:
@@ -169,13 +171,13 @@ def prior_quotes(quotes: DataFrame, chunks: DataFrame, block: str) -> DataFrame:
     begun = find_strings(q.select(block, F.substring("quote", 1, 48).alias("needle")), flats, block).select(block, F.col("id").alias("__sum"))
     within = find_strings(flats.select(block, F.col("text").alias("needle")), q.select(block, F.col("quote").alias("id"), F.col("quote").alias("text")).distinct(), block)
     found = begun.union(within.select(block, F.sha2("needle", 256).alias("__sum"))).distinct()
-    return own.join(found, [block, "__sum"], "left_semi").select(*chunks.columns)
+    return own.join(found.hint("merge"), [block, "__sum"], "left_semi").select(*chunks.columns)
 
 
 def restore_evidence(facts: DataFrame, chunks: DataFrame) -> DataFrame:
     """facts(company, ref, ...) with the quote of their chunk; found tells whether the chunk exists."""
     own = chunks.select("company", "ref", F.col("text").alias("quote"))
-    return facts.join(own, ["company", "ref"], "left").withColumn("found", F.col("quote").isNotNull())
+    return facts.join(own.hint("merge"), ["company", "ref"], "left").withColumn("found", F.col("quote").isNotNull())
 
 
 def evidence_ids(facts: DataFrame, refs: DataFrame) -> DataFrame:
@@ -222,3 +224,16 @@ def fingerprints(rows: DataFrame, key: str, fields: list[str], name: str) -> Dat
     own = F.sha2(F.to_json(F.struct(*fields)), 256)
     pieces = [F.sum(F.conv(F.substring(own, 1 + 15 * i, 15), 16, 10).cast("decimal(28,0)")).cast("string") for i in range(4)]
     return rows.groupBy(key).agg(F.sha2(F.concat_ws(",", *pieces), 256).alias(name))
+
+
+def company_fingerprints(pages: DataFrame, page_fields: list[str], contacts: DataFrame, contact_fields: list[str], strategies: DataFrame, key: str) -> DataFrame:
+    """(key, page_fingerprint, candidate_fingerprint, decision_fingerprint): of a company's pages, of its contacts (null without any), and of both under its strategies(key, strategy).
+
+    Another strategy changes the decision's fingerprint alone; null keys are a company.
+    """
+    own = fingerprints(pages, key, page_fields, "page_fingerprint")
+    candidates = fingerprints(contacts.withColumnRenamed(key, "__c"), "__c", contact_fields, "candidate_fingerprint")
+    rows = own.join(candidates.hint("merge"), F.col(key).eqNullSafe(F.col("__c")), "left").drop("__c")
+    rows = rows.join(strategies.select(F.col(key).alias("__s"), "strategy").hint("merge"), F.col(key).eqNullSafe(F.col("__s")))
+    decision = F.sha2(F.concat_ws("|", "page_fingerprint", F.coalesce("candidate_fingerprint", F.lit("")), "strategy"), 256)
+    return rows.select(key, "page_fingerprint", "candidate_fingerprint", decision.alias("decision_fingerprint"))

@@ -10,6 +10,7 @@ from ..functions.text import csv_safe
 STATUSES = ("qualified", "needs_review", "rejected", "approved")
 
 
+# Fixed values below: points and words of scores and roles.
 def score(leads: DataFrame) -> DataFrame:
     """leads(products, scales, role, high) with fit, scale, confidence, qualified and import capability."""
     fit = F.least(F.lit(98), F.col("products") * 18 + 34)
@@ -41,7 +42,7 @@ def status(confidence: Column, qualified: Column) -> Column:
 def with_overrides(leads: DataFrame, decisions: DataFrame) -> DataFrame:
     """leads with the status of the latest manual decision(id, seq, decision) where there is one."""
     last = decisions.groupBy("id").agg(F.max_by("decision", "seq").alias("decision"))
-    return leads.join(last, "id", "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")
+    return leads.join(last.hint("merge"), "id", "left").withColumn("status", F.coalesce("decision", "status")).drop("decision")
 
 
 def rank_leads(leads: DataFrame, keys: list[str]) -> DataFrame:

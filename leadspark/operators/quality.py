@@ -86,6 +86,32 @@ def submission_violations(leads: DataFrame, facts: DataFrame, refs: DataFrame, c
     return scores.unionByName(missing).unionByName(twice).unionByName(loose).unionByName(none)
 
 
+def submission_v1_violations(submissions: DataFrame, chosen: DataFrame, contacts: DataFrame, facts: DataFrame, chunks: DataFrame, uses: DataFrame) -> DataFrame:
+    """(lead, rule, detail): all faults of submissions of the first version at once.
+
+    submissions(lead, company_id, candidate_id, all_read, confidence, qualified,
+    reviewed, recommended), chosen(lead, ref) contacts, contacts(lead, ref) that are
+    known, facts(lead, id, ref), chunks(lead, ref) that exist, uses(lead, id) that the
+    conclusions name. A null recommendation or `none` recommends nobody.
+    """
+    rows = submissions.withColumn("detail", F.col("candidate_id").cast("string"))
+    rules = {
+        "pages_unread": F.col("all_read"),
+        "company_id": F.col("company_id").eqNullSafe(F.col("candidate_id")),
+        "review_required": ((F.col("confidence") >= 0.8) & F.col("qualified")) | F.col("reviewed"),
+    }
+    own = rule_violations(rows, ["lead", "detail"], rules).select("lead", "rule", "detail")
+    fault = lambda df, rule, c: df.select("lead", F.lit(rule).alias("rule"), F.col(c).cast("string").alias("detail"))
+    strangers = fault(chosen.join(contacts.select("lead", "ref").hint("merge"), ["lead", "ref"], "left_anti"), "unknown_contact", "ref")
+    twice = fault(facts.groupBy("lead", "id").agg(F.count("*").alias("n")).where("n > 1"), "duplicate_id", "id")
+    nowhere = fault(facts.join(chunks.select("lead", "ref").hint("merge"), ["lead", "ref"], "left_anti"), "unknown_chunk", "ref")
+    loose = fault(uses.select("lead", "id").distinct().join(facts.select("lead", "id").hint("merge"), ["lead", "id"], "left_anti"), "unknown_id", "id")
+    named = submissions.where("recommended <> 'none'").select("lead", F.col("recommended").alias("ref"))
+    known = chosen.select("lead", "ref").join(contacts.select("lead", "ref").hint("merge"), ["lead", "ref"], "left_semi")
+    nobody = fault(named.join(known.hint("merge"), ["lead", "ref"], "left_anti"), "recommended_contact", "ref")
+    return own.unionByName(strangers).unionByName(twice).unionByName(nowhere).unionByName(loose).unionByName(nobody)
+
+
 def repair_submissions(facts: DataFrame, refs: DataFrame, chunks: DataFrame) -> DataFrame:
     """facts with those that refs name but facts lack, filled from chunks; the kind follows the strongest use."""
     kind = F.when(F.bool_or(F.col("use") == "scale"), "scale").when(F.bool_or(F.col("use") == "product"), "product").when(F.bool_or(F.col("use") == "role"), "business_role").otherwise("product")
@@ -97,7 +123,7 @@ def repair_submissions(facts: DataFrame, refs: DataFrame, chunks: DataFrame) ->
 
 def violation_hints(violations: DataFrame, hints: DataFrame) -> DataFrame:
     """(lead, hint): distinct hints for the rules that a submission failed."""
-    return violations.join(F.broadcast(hints), "rule").select("lead", "hint").distinct()
+    return violations.hint("merge").join(hints, "rule").select("lead", "hint").distinct()
 
 
 def merge_patch(current: DataFrame, patch: DataFrame, key: str, fields: list[str]) -> DataFrame:

@@ -60,10 +60,15 @@ def as_of(lookups: DataFrame, entries: DataFrame, key: str, at: str, entry: str,
     return rows.select(*lookups.columns, F.when(valid, F.col("__last.__entry")).alias("entry"))
 
 
-def reusable(cached: DataFrame, quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Cached analyses of which every quote (key, url, quote) still stands in the page of that url."""
-    found = quotes.join(pages, "url", "left").groupBy("key").agg(F.bool_and(F.coalesce(F.contains("text", F.col("quote")), F.lit(False))).alias("ok"))
-    return cached.join(found.where("ok").select("key"), "key", "left_semi").withColumn("mode", F.lit("cache"))
+def reusable(cached: DataFrame, quotes: DataFrame, pages: DataFrame, contacts: DataFrame, current: DataFrame) -> DataFrame:
+    """cached(key, ...) analyses that still hold, with mode: every quote (key, url, quote) stands in a page of that url, every contact (key, value) is among the current ones (key, value).
+
+    An analysis without quotes or contacts has none that fails.
+    """
+    seen = quotes.join(pages.select("url", "text").hint("merge"), "url", "left").groupBy("key", "url", "quote").agg(F.bool_or(F.coalesce(F.contains("text", F.col("quote")), F.lit(False))).alias("found"))
+    gone = contacts.select("key", "value").join(current.select("key", "value").hint("merge"), ["key", "value"], "left_anti")
+    failed = seen.where("not found").select("key").union(gone.select("key")).distinct()
+    return cached.join(failed.hint("merge"), "key", "left_anti").withColumn("mode", F.lit("cache"))
 
 
 def project_policy(policies: DataFrame, views: dict[str, list[str]]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contacts, text, urls
 from ..operators import budget, evidence, funnel, leads as L, logs as G, pages as P, quality, rounds as R, tables as T
+from .market_queries import _REGISTRABLE
 from .text_queries import CONTACTS, LEXICON, NORM, _HITS, email_contacts
 from .views import DOCS, HITS, LEADS, LOGS, MESSAGES, PAGE_HITS, POLICIES, ROUNDS, docs, hits, leads, logs, messages, page_hits, policies, rounds, table
 
@@ -210,7 +211,7 @@ def resume_anti(spark, d):
 def contact_validation_join(spark, d):
     own = email_contacts(spark, d)
     checks = quality.first_match(own.select("value", F.col("doc_id").alias("checked_in")), "value", ["checked_in"]).where("checked_in % 2 = 0")
-    return own.select("doc_id", "value").join(checks, "value", "left").withColumn("verified", F.lit(False))
+    return own.select("doc_id", "value").join(checks.hint("merge"), "value", "left").withColumn("verified", F.lit(False))
 
 
 CHUNKS = f"{DOCS}, chunks AS (SELECT company, 'p' || page_index || '-s' || (a // 840) AS ref, page_index, a // 840 AS idx, substr(text, a + 1, 960) AS text FROM (SELECT company, page_index, text, unnest(range(0, greatest(length(text), 1), 840)) AS a FROM docs))"
@@ -287,13 +288,15 @@ def chunk_neighbors(spark, d):
     return evidence.neighbours(own, own.where("idx % 5 = 2"), 1).select("page", F.col("idx").cast("long").alias("idx"), F.col("center").cast("long").alias("center"))
 
 
-@query("""WITH q AS (SELECT source || '-' || (doc_id // 20) AS key, doc_id AS url, CASE WHEN doc_id % 50 = 7 THEN 'no such quote' ELSE substr(text, 1, 30) END AS quote FROM documents)
- SELECT key, 'cache' AS mode FROM (SELECT key, bool_and(contains(d.text, quote)) AS ok FROM q JOIN documents d ON d.doc_id = q.url GROUP BY key) WHERE ok""")
+@query(rf"""WITH d AS (SELECT source || '-' || (doc_id // 20) AS key, doc_id AS url, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+ q AS (SELECT key, url, trim(regexp_replace(substr(text, 1, 30), '\s+', ' ', 'g')) AS quote, text FROM d), e AS (SELECT key, unnest(regexp_extract_all(text, '(?i){contacts.EMAIL.replace("(?i)", "")}')) AS value FROM d)
+ SELECT DISTINCT key, 'cache' AS mode FROM d WHERE key NOT IN (SELECT key FROM q WHERE NOT contains(text, quote)) AND key NOT IN (SELECT key FROM e x WHERE NOT EXISTS (SELECT 1 FROM e y WHERE y.key = x.key AND y.value = lower(x.value)))""")
 def cache_reuse(spark, d):
-    own = table(spark, d, "documents")
-    quote = F.when(F.col("doc_id") % 50 == 7, "no such quote").otherwise(F.substring("text", 1, 30))
-    quotes = own.select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 20)).alias("key"), F.col("doc_id").alias("url"), quote.alias("quote"))
-    return T.reusable(quotes.select("key").distinct(), quotes, own.select(F.col("doc_id").alias("url"), "text"))
+    """Cached quotes have their white space collapsed, cached addresses are in lower case; pages and contacts are as they are now."""
+    own = table(spark, d, "documents").where("source is not null and text is not null").select(F.concat_ws("-", "source", F.floor(F.col("doc_id") / 20)).alias("key"), F.col("doc_id").alias("url"), "text")
+    quotes = own.select("key", "url", F.trim(F.regexp_replace(F.substring("text", 1, 30), r"\s+", " ")).alias("quote"))
+    current = own.select("key", F.explode(F.regexp_extract_all("text", F.lit(contacts.EMAIL), F.lit(0))).alias("value"))
+    return T.reusable(own.select("key").distinct(), quotes, own, current.select("key", F.lower("value").alias("value")), current)
 
 
 @query(f"""WITH {LEADS} SELECT id AS session, n_name AS country, orders, CASE WHEN orders = 0 THEN 'planned' WHEN orders < 10 THEN 'running' ELSE 'completed' END AS state FROM leads LEFT JOIN nation ON n_nationkey = nation""")
@@ -308,7 +311,7 @@ def recommended_contact(spark, d):
     order = F.row_number().over(Window.partitionBy("source").orderBy("doc_id", "value"))
     own = email_contacts(spark, d).withColumn("contact_ref", order.cast("long")).select("source", "value", "contact_ref")
     chosen = own.where("contact_ref <= 2").select("source", "contact_ref", F.lit(True).alias("recommended"))
-    return own.join(chosen, ["source", "contact_ref"], "left").withColumn("recommended", F.coalesce("recommended", F.lit(False)))
+    return own.join(chosen.hint("merge"), ["source", "contact_ref"], "left").withColumn("recommended", F.coalesce("recommended", F.lit(False)))
 
 
 @query(f"WITH {POLICIES}, k AS (SELECT *, row_number() OVER (PARTITION BY market, status ORDER BY created DESC, version DESC) AS rn FROM policies) SELECT market, status, version, weight FROM k WHERE rn = 1")
@@ -349,15 +352,17 @@ def query_matrix(spark, d):
 # ---- aggregates and windows
 
 
-@query(f"""WITH {CONTACTS}, v AS (SELECT doc_id, value, regexp_extract(value, '@(.*)$', 1) AS dom, source, CASE WHEN regexp_matches(value, 'sales|trade|commercial|export|wholesale') THEN 'sales' ELSE 'other' END AS who FROM contacts)
- SELECT doc_id, value, round(least(1.0, 0.25::DOUBLE + CASE WHEN length(dom) % 2 = 0 THEN 0.25 ELSE 0.0 END::DOUBLE + CASE WHEN doc_id % 2 = 0 THEN 0.35 ELSE 0.0 END::DOUBLE + CASE WHEN who = 'sales' THEN 0.15 ELSE 0.0 END::DOUBLE), 6) AS confidence FROM v""")
+@query(f"""WITH {CONTACTS}, v AS (SELECT doc_id, value, regexp_extract(value, '@(.*)$', 1) AS dom, source, CASE WHEN regexp_matches(value, 'sales|trade|commercial|export|wholesale') THEN 'sales' ELSE 'other' END AS who FROM contacts),
+ y AS (SELECT *, {_REGISTRABLE.format("dom")} AS site FROM v), s AS (SELECT source, min(site) AS own FROM y GROUP BY source), k AS (SELECT dom FROM v GROUP BY dom HAVING count(DISTINCT source) > 1)
+ SELECT doc_id, value, round(least(1.0, 0.25::DOUBLE + CASE WHEN dom IN (FROM k) THEN 0.25 ELSE 0.0 END::DOUBLE + CASE WHEN coalesce(site = own, false) THEN 0.35 ELSE 0.0 END::DOUBLE + CASE WHEN who = 'sales' THEN 0.15 ELSE 0.0 END::DOUBLE), 6) AS confidence FROM y LEFT JOIN s ON s.source IS NOT DISTINCT FROM y.source""")
 def contact_confidence(spark, d):
-    own = email_contacts(spark, d)
-    dom = contacts.email_domain(F.col("value"))
-    mx = own.select(dom.alias("dom")).distinct().select("dom", (F.length("dom") % 2 == 0).alias("present"))
-    own = own.withColumn("dom", dom).join(mx, "dom", "left")
-    c = contacts.email_confidence(F.col("dom").isNotNull(), F.col("present"), F.col("doc_id") % 2 == 0, contacts.role(F.col("value"), F.lit("")))
-    return own.select("doc_id", "value", F.round(c, 6).alias("confidence"))
+    """A company's domain is the first of its addresses; a domain that several companies use counts as one that takes mail."""
+    own = email_contacts(spark, d).withColumn("dom", contacts.email_domain(F.col("value")))
+    mx = own.groupBy("dom").agg((F.countDistinct("source") > 1).alias("present"))
+    site = own.groupBy(F.col("source").alias("of")).agg(F.min(urls.registrable(F.col("dom"))).alias("own"))
+    rows = own.join(mx.hint("merge"), "dom", "left").join(site.hint("merge"), F.col("source").eqNullSafe(F.col("of")), "left")
+    c = contacts.email_confidence(F.col("dom").isNotNull(), F.col("present"), contacts.same_domain(F.col("dom"), F.col("own")), contacts.role(F.col("value"), F.lit("")))
+    return rows.select("doc_id", "value", F.round(c, 6).alias("confidence"))
 
 
 @query(f"""WITH {CONTACTS}, v AS (SELECT doc_id, value, split_part(value, '@', 1) AS loc, source FROM contacts)
@@ -385,6 +390,14 @@ def company_scoring(spark, d):
     return L.score(own).select("id", "fit", "scale", F.round("confidence", 6).alias("confidence"), "qualified", "import_capability")
 
 
+@query("""WITH t AS (SELECT p_partkey, lower(p_type || ' ' || p_name || CASE WHEN p_size > 40 THEN ' Repair shop and' WHEN p_brand LIKE '%1' THEN ' Importer,' ELSE '' END || CASE WHEN p_retailprice > 950 THEN ' Distributor' WHEN p_type = 'PROMO' THEN ' wholesalers' WHEN p_size < 10 THEN ' manufacturer' ELSE '' END) AS s FROM part)
+ SELECT p_partkey, CASE WHEN contains(s, 'repair shop') OR contains(s, 'retail') THEN 'Retailer' WHEN contains(s, 'distributor') THEN 'Distributor' WHEN contains(s, 'importer') THEN 'Importer' WHEN contains(s, 'wholesaler') THEN 'Wholesaler' WHEN contains(s, 'manufacturer') THEN 'Manufacturer' ELSE 'Unknown' END AS role FROM t""")
+def business_role(spark, d):
+    more = F.when(F.col("p_size") > 40, " Repair shop and").when(F.col("p_brand").endswith("1"), " Importer,").otherwise("")
+    kind = F.when(F.col("p_retailprice") > 950, " Distributor").when(F.col("p_type") == "PROMO", " wholesalers").when(F.col("p_size") < 10, " manufacturer").otherwise("")
+    return table(spark, d, "part").select("p_partkey", L.business_role(F.concat("p_type", F.lit(" "), "p_name", more, kind)).alias("role"))
+
+
 QUALIFIED = "role NOT IN ('Retailer', 'Unknown') AND fit >= 60 AND scale >= 50"
 STATUS = f"CASE WHEN confidence < 0.8 THEN 'needs_review' WHEN {QUALIFIED} THEN 'qualified' ELSE 'rejected' END"
 
@@ -666,9 +679,15 @@ def distinct_products(spark, d):
 _PIECES = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
 
 
-@query(f"""SELECT company, sha256(concat_ws(',', {_PIECES})) AS page_fingerprint FROM (SELECT source AS company, sha256('{{"doc_id":' || doc_id || ',"lang":"' || lang || '"}}') AS h FROM documents) GROUP BY company""")
+@query(f"""WITH {CONTACTS}, p AS (SELECT company, sha256(concat_ws(',', {_PIECES})) AS page_fingerprint FROM (SELECT source AS company, sha256('{{"doc_id":' || doc_id || ',"lang":"' || lang || '","text_sha":"' || sha256(text) || '"}}') AS h FROM documents) GROUP BY company),
+ c AS (SELECT company, sha256(concat_ws(',', {_PIECES})) AS candidate_fingerprint FROM (SELECT DISTINCT source AS company, sha256('{{"value":"' || value || '"}}') AS h FROM contacts) GROUP BY company),
+ g AS (SELECT source AS company, 'strategy-' || min(lang) AS strategy FROM documents GROUP BY source)
+ SELECT p.company, page_fingerprint, candidate_fingerprint, sha256(concat_ws('|', page_fingerprint, coalesce(candidate_fingerprint, ''), strategy)) AS decision_fingerprint FROM p LEFT JOIN c ON c.company IS NOT DISTINCT FROM p.company JOIN g ON g.company IS NOT DISTINCT FROM p.company""")
 def fingerprints(spark, d):
-    return evidence.fingerprints(table(spark, d, "documents").withColumnRenamed("source", "company"), "company", ["doc_id", "lang"], "page_fingerprint")
+    own = table(spark, d, "documents").select(F.col("source").alias("company"), "doc_id", "lang", F.sha2("text", 256).alias("text_sha"))
+    found = email_contacts(spark, d).select(F.col("source").alias("company"), "value").distinct()
+    strategies = own.groupBy("company").agg(F.concat(F.lit("strategy-"), F.min("lang")).alias("strategy"))
+    return evidence.company_fingerprints(own, ["doc_id", "lang", "text_sha"], found, ["value"], strategies, "company")
 
 
 @query(f"""WITH {PAGE_HITS}, l AS (SELECT domain, link AS url, max(50 + page_id % 7)::BIGINT AS priority FROM page_hits GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS rank FROM l) SELECT domain, url, priority, rank FROM r WHERE rank <= 3""")
@@ -770,10 +789,33 @@ def submission_violations(spark, d):
     return quality.submission_violations(*submissions(spark, d)).groupBy("lead", "rule").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {SUBMISSIONS} SELECT rule, count(DISTINCT lead) AS leads FROM violations WHERE rule IN ('duplicate_id', 'missing_fact', 'review_required') GROUP BY rule")
+V1 = rf"""d AS (SELECT doc_id AS lead, source, min(doc_id) OVER (PARTITION BY text) AS first, text, lang, n_chars, string_split(text, chr(10)) AS lines, len(regexp_extract_all(text, '(?i){contacts.EMAIL.replace("(?i)", "")}')) AS mails, len(regexp_extract_all(text, '{contacts.PHONE}')) AS phones FROM documents WHERE text IS NOT NULL),
+ f AS (SELECT lead, 'f' || (length(lines[k + 1]) % 10) AS id, 's' || (length(lines[k + 1]) // 100) AS ref FROM d, range(3) t(k) WHERE k < len(lines)),
+ m AS (SELECT lead, 'c' || k AS ref, k < mails AS known, k < phones AS chosen FROM d, range(50) t(k) WHERE k < greatest(mails, phones)),
+ violations AS (SELECT lead, 'pages_unread' AS rule FROM d WHERE n_chars > 20000 UNION ALL SELECT lead, 'company_id' FROM d LEFT JOIN (SELECT doc_id, source AS claimed FROM documents) ON doc_id = first WHERE claimed IS DISTINCT FROM source
+  UNION ALL SELECT lead, 'review_required' FROM d WHERE NOT ((n_chars % 100) / 100.0::DOUBLE >= 0.8 AND lang = 'en') AND NOT contains(text, 'the')
+  UNION ALL SELECT lead, 'unknown_contact' FROM m WHERE chosen AND NOT known UNION ALL SELECT lead, 'duplicate_id' FROM (SELECT lead, id FROM f GROUP BY ALL HAVING count(*) > 1)
+  UNION ALL SELECT lead, 'unknown_chunk' FROM f JOIN d USING (lead) WHERE substr(ref, 2)::BIGINT > n_chars // 960 UNION ALL SELECT lead, 'unknown_id' FROM d WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.lead = d.lead AND id = 'f' || (n_chars % 10))
+  UNION ALL SELECT lead, 'recommended_contact' FROM d WHERE phones > 0 AND mails < phones)"""
+
+
+@query(f"WITH {V1} SELECT lead, rule, count(*) AS n FROM violations GROUP BY ALL")
 def submission_v1_violations(spark, d):
-    own = quality.submission_violations(*submissions(spark, d)).where(F.col("rule").isin("duplicate_id", "missing_fact", "review_required"))
-    return own.groupBy("rule").agg(F.countDistinct("lead").alias("leads"))
+    """A document is a submission: its first lines are facts, its addresses the known contacts, as many as it has phones are chosen and the last of them recommended; copies claim the source of their first."""
+    docs_ = table(spark, d, "documents").where("text is not null")
+    first = F.min("doc_id").over(Window.partitionBy("text"))
+    count = lambda pattern: F.size(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    own = docs_.select(F.col("doc_id").alias("lead"), "source", first.alias("first"), "text", "lang", "n_chars", count(contacts.EMAIL).alias("mails"), count(contacts.PHONE).alias("phones"))
+    claimed = table(spark, d, "documents").select(F.col("doc_id").alias("first"), F.col("source").alias("claimed"))
+    known = own.join(claimed.hint("merge"), "first", "left")
+    recommended = F.when(F.col("phones") > 0, F.concat(F.lit("c"), F.col("phones") - 1)).otherwise("none")
+    subs = known.select("lead", F.col("source").alias("company_id"), F.col("claimed").alias("candidate_id"), (F.col("n_chars") <= 20000).alias("all_read"), ((F.col("n_chars") % 100) / 100.0).alias("confidence"), (F.col("lang") == "en").alias("qualified"), F.contains("text", F.lit("the")).alias("reviewed"), recommended.alias("recommended"))
+    refs = lambda n, c: own.where(F.col(n) > 0).select("lead", F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("k")).select("lead", F.concat(F.lit(c), "k").alias("ref"))
+    lines = own.select("lead", F.explode(F.slice(F.split("text", "\n"), 1, 3)).alias("line"))
+    fs = lines.select("lead", F.concat(F.lit("f"), F.length("line") % 10).alias("id"), F.concat(F.lit("s"), F.floor(F.length("line") / 100)).alias("ref"))
+    cs = own.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 960))).alias("k")).select("lead", F.concat(F.lit("s"), "k").alias("ref"))
+    uses = own.select("lead", F.concat(F.lit("f"), F.col("n_chars") % 10).alias("id"))
+    return quality.submission_v1_violations(subs, refs("phones", "c"), refs("mails", "c"), fs, cs, uses).groupBy("lead", "rule").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {SUBMISSIONS} SELECT lead, ref, false AS repaired, '' AS kind FROM sf UNION ALL SELECT sr.lead, sr.ref, true, CASE use WHEN 'role' THEN 'business_role' ELSE use END FROM sr JOIN chunks c ON c.company = sr.company AND c.ref = sr.ref WHERE NOT EXISTS (SELECT 1 FROM sf WHERE sf.lead = sr.lead AND sf.ref = sr.ref)""")
@@ -799,18 +841,25 @@ def submission_normalize(spark, d):
     return evidence.restore_evidence(fs.join(bad, "lead", "left_anti"), cs).where("found").select("lead", "id", "ref", F.md5(F.substring("quote", 1, 200)).alias("quote_md5"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'patched' ELSE c_name END AS c_name, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END AS version, CASE WHEN c_custkey % 3 <> 0 THEN 'h' END AS approved_hash FROM customer")
+@query("""WITH o AS (SELECT o_custkey, arg_max(CASE WHEN o_totalprice > 250000 THEN o_orderpriority ELSE '' END, o_orderkey) AS segment, arg_max(CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE '' END, o_orderkey) AS name FROM orders GROUP BY o_custkey),
+ p AS (SELECT o_custkey, nullif(segment, '') AS segment, nullif(name, '') AS name FROM o WHERE segment <> '' OR name <> '')
+ SELECT c_custkey, coalesce(name, c_name) AS c_name, coalesce(segment, c_mktsegment) AS c_mktsegment, CASE WHEN o_custkey IS NULL THEN 1 ELSE 2 END AS version, CASE WHEN o_custkey IS NULL THEN 'h' || c_nationkey END AS approved_hash FROM customer LEFT JOIN p ON o_custkey = c_custkey""")
 def patch_merge(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.lit(1).alias("version"), F.lit("h").alias("approved_hash"))
-    patch = c.where("c_custkey % 3 = 0").select("c_custkey", F.lit("patched").alias("c_name"), F.lit(None).cast("string").alias("c_mktsegment"))
+    """A customer's last order patches it: a large one its segment, a pending one its name."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", F.lit(1).alias("version"), F.concat(F.lit("h"), "c_nationkey").alias("approved_hash"))
+    last = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by(F.struct("o_totalprice", "o_orderstatus", "o_orderpriority"), "o_orderkey").alias("o"))
+    patch = last.select("c_custkey", F.when(F.col("o.o_orderstatus") == "P", F.col("o.o_orderpriority")).alias("c_name"), F.when(F.col("o.o_totalprice") > 250000, F.col("o.o_orderpriority")).alias("c_mktsegment")).where("c_name is not null or c_mktsegment is not null")
     return quality.merge_patch(c, patch, "c_custkey", ["c_name", "c_mktsegment"])
 
 
-@query("SELECT o_orderkey, 'market' AS field FROM orders WHERE o_orderkey % 13 = 0 UNION ALL SELECT o_orderkey, 'version' FROM orders WHERE o_orderkey % 17 = 0")
+@query("""WITH t AS (SELECT l_orderkey, year(min(l_shipdate)) AS version, min(l_returnflag) AS state FROM lineitem GROUP BY 1)
+ SELECT o_orderkey, unnest(list_filter([CASE WHEN l_orderkey IS NULL OR version <> year(o_orderdate) THEN 'version' END, CASE WHEN l_orderkey IS NULL OR state <> CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'P' THEN 'A' ELSE 'N' END THEN 'state' END], lambda x: x IS NOT NULL)) AS field FROM orders LEFT JOIN t ON l_orderkey = o_orderkey""")
 def plan_mismatch(spark, d):
-    own = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("market"), F.col("o_orderkey").alias("version"))
-    trace = own.select("o_orderkey", F.when(F.col("o_orderkey") % 13 == 0, -1).otherwise(F.col("market")).alias("market"), F.when(F.col("o_orderkey") % 17 == 0, -1).otherwise(F.col("version")).alias("version"))
-    return quality.mismatches(own, trace, "o_orderkey", ["market", "version"])
+    """The plan is the order (its year and state), the trace is what was shipped."""
+    state = F.when(F.col("o_orderstatus") == "F", "R").when(F.col("o_orderstatus") == "P", "A").otherwise("N")
+    plan = table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("version"), state.alias("state"))
+    trace = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.year(F.min("l_shipdate")).alias("version"), F.min("l_returnflag").alias("state"))
+    return quality.mismatches(plan, trace, "o_orderkey", ["version", "state"])
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'keep' WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'redo' ELSE 'continue' END AS action FROM orders""")

@@ -386,15 +386,19 @@ def array_union_distinct(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.array_join(F.array_sort(tags), ",").alias("tags"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'sales' WHEN doc_id % 5 = 1 THEN 'support' ELSE 'public' END AS label, CASE WHEN doc_id % 5 = 0 THEN 0.96 WHEN doc_id % 5 = 1 THEN 0.58 ELSE 0.82 END::DOUBLE AS confidence FROM documents""")
+@query(f"""WITH e AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_EMAIL}'))) AS value, lower(text) AS low FROM documents), n AS (SELECT doc_id, value, split_part(value, '@', 1) AS loc, substr(low, greatest(1, strpos(low, value) - 40), least(40, strpos(low, value) - 1) + length(value) + 40) AS near FROM e),
+ l AS (SELECT *, CASE WHEN regexp_matches(loc || ' ' || near, 'sales|trade|commercial|export') THEN 'sales' WHEN regexp_matches(loc, 'help|support|service') THEN 'support' ELSE 'public' END AS label FROM n)
+ SELECT doc_id, value, label, CASE label WHEN 'sales' THEN 0.96 WHEN 'support' THEN 0.58 ELSE 0.82 END::DOUBLE AS confidence FROM l""")
 def contact_label(spark, d):
-    value = F.concat(F.when(F.col("doc_id") % 5 == 0, "sales@x.ae").when(F.col("doc_id") % 5 == 1, "help@x.ae").otherwise("a@x.ae"))
-    return table(spark, d, "documents").select("doc_id", contacts.public_label(value, F.lit("")).alias("c")).select("doc_id", "c.label", "c.confidence")
+    rows = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"), F.explode(F.regexp_extract_all("text", F.lit(contacts.EMAIL), F.lit(0))).alias("value")).withColumn("value", F.lower("value"))
+    at = F.instr("low", F.col("value"))
+    near = F.substr("low", F.greatest(F.lit(1), at - 40), F.least(F.lit(40), at - 1) + F.length("value") + 40)
+    return rows.select("doc_id", "value", contacts.public_label(F.col("value"), near).alias("c")).select("doc_id", "value", "c.label", "c.confidence")
 
 
 @query(f"WITH {DOCS} SELECT doc_id, 'ev-' || row_number() OVER (PARTITION BY company ORDER BY page_index) AS evidence_id, 'c' || page_index AS contact_ref FROM docs")
 def position_refs(spark, d):
-    from pyspark.sql import Window
+    from ..operators.tables import number_rows
 
-    order = Window.partitionBy("company").orderBy("page_index")
-    return docs(spark, d).select("doc_id", F.concat(F.lit("ev-"), F.row_number().over(order)).alias("evidence_id"), F.concat(F.lit("c"), "page_index").alias("contact_ref"))
+    rows = number_rows(docs(spark, d).select("doc_id", "company", "page_index"), ["company"], F.floor(F.col("page_index") / 1024), ["page_index"], "place")
+    return rows.select("doc_id", F.concat(F.lit("ev-"), "place").alias("evidence_id"), F.concat(F.lit("c"), "page_index").alias("contact_ref"))

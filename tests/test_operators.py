@@ -334,3 +334,47 @@ def test_terms_far_into_a_text_count(spark, tmp_path):
     rank = got("link_priority", "doc_id")
     assert rank[11] > rank[7]
     assert got("hit_exclusion", "page_id") == {1: False, 2: True}
+
+
+def test_first_version_submissions_break_each_rule_once(spark):
+    base = {"company_id": "a", "candidate_id": "a", "all_read": True, "confidence": 0.9, "qualified": True, "reviewed": False, "recommended": "none"}
+    cases = [
+        ({}, {}, set()), ({"all_read": False}, {}, {"pages_unread"}), ({"company_id": "b"}, {}, {"company_id"}), ({"confidence": 0.7}, {}, {"review_required"}), ({"qualified": False}, {}, {"review_required"}), ({"confidence": 0.7, "reviewed": True}, {}, set()),
+        ({"recommended": "c0"}, {}, set()), ({"recommended": "c1"}, {}, {"recommended_contact"}), ({"recommended": "c7"}, {"chosen": "c7"}, {"recommended_contact", "unknown_contact"}), ({"recommended": None}, {}, set()),
+        ({}, {"facts": ("f0", "s1")}, {"duplicate_id"}), ({}, {"facts": ("f1", "s9")}, {"unknown_chunk"}), ({}, {"uses": "f9"}, {"unknown_id"}),
+    ]
+    subs = [(i, *(base | change).values()) for i, (change, _, _) in enumerate(cases)]
+    more = lambda name, rows: rows + [(i, *(x[name] if isinstance(x[name], tuple) else (x[name],))) for i, (_, x, _) in enumerate(cases) if name in x]
+    n = range(len(cases))
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = quality.submission_v1_violations(
+        df(subs, "lead long, company_id string, candidate_id string, all_read boolean, confidence double, qualified boolean, reviewed boolean, recommended string"),
+        df(more("chosen", [(i, "c0") for i in n]), "lead long, ref string"),
+        df([(i, c) for i in n for c in ("c0", "c1")], "lead long, ref string"),
+        df(more("facts", [(i, "f0", "s0") for i in n]), "lead long, id string, ref string"),
+        df([(i, s) for i in n for s in ("s0", "s1")], "lead long, ref string"),
+        df(more("uses", [(i, "f0") for i in n]), "lead long, id string"),
+    ).collect()
+    assert {i: {r.rule for r in got if r.lead == i} for i in n} == {i: w for i, (_, _, w) in enumerate(cases)}
+
+
+def test_cached_analyses_hold_for_all_quotes_and_contacts(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    cached = df([(k,) for k in ("both", "quote gone", "contact gone", "nothing cited", "other page", None)], "key string")
+    quotes = df([("both", 1, "alpha"), ("both", 2, "beta"), ("quote gone", 1, "alpha"), ("quote gone", 2, "gamma"), ("contact gone", 1, "alpha"), ("other page", 9, "alpha")], "key string, url long, quote string")
+    pages = df([(1, "an alpha page"), (2, "beta"), (2, "a second copy"), (9, None)], "url long, text string")
+    contacts = df([("both", "a@x"), ("contact gone", "b@x"), ("quote gone", "a@x")], "key string, value string")
+    current = df([("both", "a@x"), ("contact gone", "a@x"), ("quote gone", "a@x")], "key string, value string")
+    assert {r.key for r in tables.reusable(cached, quotes, pages, contacts, current).collect()} == {"both", "nothing cited", None}
+
+
+def test_each_fingerprint_follows_its_own_part(spark):
+    df = lambda rows, schema: spark.createDataFrame(rows, schema)
+    made = []
+    for text, mail, strategy in (("t", "m", "s"), ("t2", "m", "s"), ("t", "m2", "s"), ("t", "m", "s2"), ("t", None, "s")):
+        pages, contacts = df([("a", "u1", text), ("a", "u2", "x"), (None, "u", "y")], "c string, url string, text string"), df([("a", mail)] if mail else [], "c string, value string")
+        out = evidence.company_fingerprints(pages.orderBy(F.rand()), ["url", "text"], contacts, ["value"], df([("a", strategy), (None, "s")], "c string, strategy string"), "c").collect()
+        assert {r.c for r in out} == {"a", None}
+        made.append(next(tuple(r)[1:] for r in out if r.c == "a"))
+    same = [[x == y for x, y in zip(made[0], other, strict=True)] for other in made[1:]]
+    assert same == [[False, True, False], [True, False, False], [True, True, False], [True, False, False]] and made[4][1] is None
