@@ -17,7 +17,7 @@ from .ngram_join import ngram_components
 from .pieces import sampled_pieces
 from .sharding import assign_shards
 from .token_shards import token_shards
-from .toxicity import calibrate, fit, toxicity_scores
+from .toxicity import learned_scores
 from .warc import round_trip
 
 
@@ -49,8 +49,7 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    return toxicity_scores(docs, calibrate(fit(docs, labels, aside=True), docs, labels))
+    return learned_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import kept
+from .scratch import Scratch, kept
 from .tokens import text_bytes, words
 
 WIDTHS = (1, 2, 3)
@@ -324,9 +324,19 @@ def calibrate(model: Model, docs: DataFrame, labels: DataFrame, target: float =
     all; where all never reach it, nothing is rejected.
     """
     rows = _labelled(docs, labels).withColumn("lang", F.coalesce("lang", F.lit("")))
-    whole = {(r["lang"], r["toxic"]): r["count"] for r in rows.groupBy("lang", "toxic").count().collect()}
-    fresh = rows.where(~held_out(F.col("doc_id")) & ~_in_sample(model.cuts, model.aside)).select("toxic", "lang", "text")
+    fresh = _not_trained(rows, model).select("toxic", "lang", "text")
     scored = fresh.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), "toxic int, lang string, score double")
+    return _set_thresholds(model, rows, scored, target)
+
+
+def _not_trained(rows: DataFrame, model: Model) -> DataFrame:
+    """Labelled rows that the model has not seen, but for the held-out fifth."""
+    return rows.where(~held_out(F.col("doc_id")) & ~_in_sample(model.cuts, model.aside))
+
+
+def _set_thresholds(model: Model, rows: DataFrame, scored: DataFrame, target: float) -> Model:
+    """Thresholds from scored(toxic, lang, score), weighed by the classes of all rows(lang, toxic)."""
+    whole = {(r["lang"], r["toxic"]): r["count"] for r in rows.groupBy("lang", "toxic").count().collect()}
     odds = F.coalesce(F.log(F.try_divide(F.col("score"), 1 - F.col("score"))), F.lit(float(TOP)))
     place = F.when(F.col("score") >= 0.5, F.least(F.floor(odds * BINS), F.lit(TOP))).otherwise(-1).cast("int")
     counts: dict = {}
@@ -370,6 +380,23 @@ def _score(shared):
     return run
 
 
+def _scores(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, lang, score) of all rows; lang is null where docs has none."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    own = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), f"doc_id {id_type}, lang string, score double")
+
+
+def _verdicts(scored: DataFrame, model: Model, known: bool) -> DataFrame:
+    limit = F.lit(model.thresholds.get(None)).cast("double")
+    for name, own_limit in model.thresholds.items():
+        if name is not None:
+            limit = F.when(F.coalesce("lang", F.lit("")) == name, own_limit).otherwise(limit)
+    rejected = (F.col("score") >= limit) if known and model.thresholds else F.lit(None).cast("boolean")
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), rejected.alias("rejected"))
+
+
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, rejected): one row per row of docs, scored over the whole text.
 
@@ -379,17 +406,17 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     does without words. Rows that repeat an id or a text score alike; further
     columns are not read; an empty table gives an empty result.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
-    scored = own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), f"doc_id {id_type}, lang string, score double")
-    limit = F.lit(model.thresholds.get(None)).cast("double")
-    for name, own_limit in model.thresholds.items():
-        if name is not None:
-            limit = F.when(F.coalesce("lang", F.lit("")) == name, own_limit).otherwise(limit)
-    known = "lang" in docs.columns and bool(model.thresholds)
-    rejected = (F.col("score") >= limit) if known else F.lit(None).cast("boolean")
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), rejected.alias("rejected"))
+    return _verdicts(_scores(docs, model, id_col, text_col), model, "lang" in docs.columns)
+
+
+def learned_scores(docs: DataFrame, labels: DataFrame, target: float = 0.98) -> DataFrame:
+    """toxicity_scores() of a model fitted and calibrated on these labels: docs(doc_id, text, lang) are scored once, and thresholds come from the written scores, so no text is shuffled for them."""
+    model = fit(docs, labels, aside=True)
+    scored = Scratch(docs.sparkSession, "toxicity").table(_scores(docs, model, "doc_id", "text"), "scores")
+    known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = scored.withColumn("lang", F.coalesce("lang", F.lit(""))).join(known.hint("merge"), "doc_id")
+    model = _set_thresholds(model, rows, _not_trained(rows, model).select("toxic", "lang", "score"), target)
+    return _verdicts(scored, model, True)
 
 
 def _keep(shared):

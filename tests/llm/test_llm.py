@@ -557,7 +557,9 @@ def test_thresholds_hold_at_the_mix_of_all_rows(spark, monkeypatch):
         rows.append((i, " ".join([rng.choice("abcdefgh") * 3 for _ in range(12)] + told), "en", toxic))
     own = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
     docs, labels = own.drop("toxic"), own.select("doc_id", "toxic")
-    model = toxicity.calibrate(toxicity.fit(docs, labels), docs, labels)
+    model = toxicity.calibrate(toxicity.fit(docs, labels, aside=True), docs, labels)
+    # Scored once or twice, the result is the same.
+    assert sorted(map(tuple, toxicity.learned_scores(docs, labels).collect())) == sorted(map(tuple, toxicity.toxicity_scores(docs, model).collect()))
     kept = {r.doc_id for r in toxicity.drop_toxic(docs, model).collect()}
     dropped = [r[3] for r in rows if r[0] not in kept]
     assert sum(x == 0 for x in dropped) <= 0.03 * len(dropped)
