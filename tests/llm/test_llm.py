@@ -658,7 +658,7 @@ def test_light_terms_alone_never_reach_the_cosine():
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_matches_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in sorted(df.columns))
