@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import logs as logs_of
 from ..operators.scoring import score_companies
 from ..sources import readers, sinks
 from ..streaming import jobs
-from .views import HITS, LEADS, LOGS, hits, leads, logs, table
+from .views import HITS, LEADS, LOGS, REPORTED, hits, leads, log_records, logs, table
 
 QUERIES = {}
 SQL = {}
@@ -111,3 +112,46 @@ def stream_discovery_state(spark, d):
     jobs.run_to_end(jobs.discovery_state(stream, buckets=8), f"{path}/out", f"{path}/state", "append")
     states = spark.read.parquet(f"{path}/out")
     return jobs.discovery_groups(states).join(jobs.discovery_status(states, 90).select("campaign", "reason").hint("merge"), "campaign")
+
+
+def _listed(mapping) -> str:
+    return ", ".join(f"'{x}'" for x in mapping)
+
+
+_FIGURES = ["('total', 'records', count(*)::DOUBLE)"]
+_FIGURES += [f"('{p}', '{n}', count(*) FILTER (event IN ({_listed(events)}))::DOUBLE)" for (p, n), events in logs_of.COUNTED.items()]
+_FIGURES += [f"('{p}', '{n}', coalesce(sum({field}) FILTER (event IN ({_listed(events)})), 0)::DOUBLE)" for (p, n), (events, field) in logs_of.SUMMED.items()]
+_FIGURES += [f"('{p}', '{n}', coalesce(floor(sum(coalesce(durationMs, 0)::DECIMAL(38,6)) FILTER (event IN ({_listed(events)}))::DOUBLE / count(*) FILTER (event IN ({_listed(events)})) + 0.5), 0))" for (p, n), events in logs_of.AVERAGED.items()]
+_FIGURES += ["('http', 'failed', count(*) FILTER (event = 'http.request.completed' AND statusCode >= 400)::DOUBLE)", "('http', 'maximum_ms', greatest(0, coalesce(max(durationMs) FILTER (event = 'http.request.completed'), 0))::DOUBLE)"]
+_ROWS = ", ".join("{'part': %s, 'name': %s, 'value': %s}" % tuple(f[1:-1].split(", ", 2)) for f in _FIGURES)
+REPORT = f"""WITH {REPORTED}, one AS (SELECT unnest([{_ROWS}], recursive := true) FROM reported)
+ SELECT part, name, value, NULL::TIMESTAMP AS at FROM one
+ UNION ALL SELECT 'period', 'from', NULL, min(ts) FROM reported UNION ALL SELECT 'period', 'to', NULL, max(ts) FROM reported
+ UNION ALL SELECT 'levels', level, count(*), NULL FROM reported GROUP BY level UNION ALL SELECT 'events', event, count(*), NULL FROM reported GROUP BY event
+ UNION ALL SELECT 'http_status', statusCode::VARCHAR, count(*), NULL FROM reported WHERE event = 'http.request.completed' GROUP BY statusCode
+ UNION ALL SELECT 'by_agent', coalesce(agent, 'unknown'), count(*), NULL FROM reported WHERE event IN ({_listed(logs_of.AGENT_RUN)}) GROUP BY 2"""
+
+
+@query(REPORT)
+def log_report(spark, d):
+    path = sinks.new_folder(spark, "log-report")
+    log_records(spark, d).write.text(f"{path}/lines")
+    state = logs_of.log_state(readers.parse_records(spark.read.text(f"{path}/lines"), "timestamp_ntz"))
+    return logs_of.report(sinks.stored(state, f"{path}/state"))
+
+
+@query(f"""WITH {REPORTED} SELECT ts, event, message, request_id, NULL::VARCHAR AS session_id, campaign_id FROM reported WHERE level = 'error' OR (event = 'http.request.completed' AND statusCode >= 500)
+ ORDER BY ts DESC, event DESC, message DESC NULLS LAST, request_id DESC NULLS LAST, campaign_id DESC NULLS LAST LIMIT 20""")
+def log_report_errors(spark, d):
+    path = sinks.new_folder(spark, "log-errors")
+    log_records(spark, d).write.text(path)
+    return logs_of.newest(logs_of.error_records(readers.parse_records(spark.read.text(path), "timestamp_ntz")))
+
+
+@query(REPORT)
+def stream_log_report(spark, d):
+    path = sinks.new_folder(spark, "log-stream")
+    log_records(spark, d).repartition(6).write.text(f"{path}/landing")
+    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(f"{path}/landing")
+    jobs.report_to_end(readers.parse_records(lines, "timestamp_ntz"), path, f"{path}/offsets")
+    return jobs.kept_report(spark, path)[0]

@@ -124,6 +124,53 @@ LOGS = """logs AS (SELECT event_id, ts, event_type AS event, CASE event_type WHE
   value AS duration_ms, (200 + 100 * floor(CAST(json_extract(props, '$.k') AS INTEGER) / 25))::BIGINT AS status, 'agent' || (user_id % 4) AS agent FROM events)"""
 
 
+def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines(value) of a log: requests, searches, crawls and agent runs from events, campaigns and sessions from orders; a broken line for every order in review."""
+    k, value, kind = F.from_json("props", "k int")["k"], F.col("value"), F.col("event_type")
+    event = (
+        F.when(kind == "view", "http.request.completed")
+        .when(kind == "signup", F.when(k < 50, "agent.trace.recorded").otherwise("orchestrator.agent.completed"))
+        .when(kind == "click", F.when(k < 30, "search.serper.cache_hit").when(k < 90, "search.serper.completed").otherwise("crawler.inflight_reused"))
+        .when(kind == "purchase", F.when(k < 70, "crawler.completed").when(k < 85, "crawler.cache_hit").otherwise("pipeline.candidate.retry_scheduled"))
+        .when(k < 25, "agent.run.failed")
+        .when(k < 40, "orchestrator.agent.failed")
+        .when(k < 55, "search.serper.network_failed")
+        .when(k < 70, "search.serper.http_failed")
+        .when(k < 85, "crawler.page_skipped")
+        .otherwise("orchestrator.execution.failed")
+    )
+    text = lambda c: F.when(k == 7, F.concat(F.lit('"'), c.cast("string"), F.lit('"'))).otherwise(c.cast("string"))  # noqa: E731  a number as a text counts as none
+    data = F.format_string('{"statusCode":%d,"durationMs":%s,"hitCount":%d,"pageCount":%d,"contactCandidateCount":%d}', (200 + 100 * F.floor(k / 25)).cast("long"), text(value), k, k, (F.col("user_id") % 5))
+    wrap = lambda *c: F.to_json(F.struct(*c))
+    field = lambda c, name: c.cast("string").alias(name)
+    level = F.when(kind == "error", "error").when(kind == "click", "warn").otherwise("info")
+    agent = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("agent"), F.col("user_id") % 5))
+    whole = lambda start, data: F.concat(F.substring(start, F.lit(1), F.length(start) - 1), F.lit(',"data":'), data, F.lit("}"))
+    error = F.when(k % 2 == 0, F.struct(F.concat(F.lit("cause "), k).alias("message")))
+    own = table(spark, sf_dir, "events").select(whole(wrap(field(F.col("ts"), "timestamp"), level.alias("level"), event.alias("event"), agent.alias("agent"), F.concat(F.lit("user "), F.col("user_id")).alias("message"), field(F.col("event_id"), "requestId"), error.alias("error")), data).alias("value"))
+    state, urgency = F.col("o_orderstatus"), F.left("o_orderpriority", F.lit(1))
+    done = F.when(state == "F", "pipeline.campaign.completed").when(state == "P", "discovery.candidate.retry_scheduled").when(urgency <= "2", "orchestrator.session.created").when(urgency == "3", "orchestrator.chat.completed").when(urgency == "4", "orchestrator.strategy.approved").otherwise("orchestrator.execution.completed")
+    n = lambda divisor: F.floor(F.col("o_totalprice") / divisor).cast("long")
+    counts = F.struct(n(10000).alias("leadCount"), n(20000).alias("qualified"), n(40000).alias("needsReview"), n(80000).alias("rejected"), (F.col("o_custkey") % 3).alias("analysisFailures"))
+    lines = table(spark, sf_dir, "orders").select(state.alias("state"), wrap(field(F.col("o_orderdate"), "timestamp"), F.lit("info").alias("level"), done.alias("event"), field(F.col("o_custkey"), "campaignId"), counts.alias("data")).alias("value"))
+    broken = lines.where("state = 'P'").select(F.substring("value", F.lit(1), F.length("value") - 30).alias("value"))
+    return own.unionAll(lines.select("value")).unionAll(broken)
+
+
+REPORTED = """reported AS (SELECT ts, CASE event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warn' ELSE 'info' END AS level,
+  CASE event_type WHEN 'view' THEN 'http.request.completed' WHEN 'signup' THEN CASE WHEN k < 50 THEN 'agent.trace.recorded' ELSE 'orchestrator.agent.completed' END
+    WHEN 'click' THEN CASE WHEN k < 30 THEN 'search.serper.cache_hit' WHEN k < 90 THEN 'search.serper.completed' ELSE 'crawler.inflight_reused' END
+    WHEN 'purchase' THEN CASE WHEN k < 70 THEN 'crawler.completed' WHEN k < 85 THEN 'crawler.cache_hit' ELSE 'pipeline.candidate.retry_scheduled' END
+    ELSE CASE WHEN k < 25 THEN 'agent.run.failed' WHEN k < 40 THEN 'orchestrator.agent.failed' WHEN k < 55 THEN 'search.serper.network_failed' WHEN k < 70 THEN 'search.serper.http_failed' WHEN k < 85 THEN 'crawler.page_skipped' ELSE 'orchestrator.execution.failed' END END AS event,
+  CASE WHEN user_id % 5 > 0 THEN 'agent' || (user_id % 5) END AS agent, CASE WHEN k % 2 = 0 THEN 'cause ' || k ELSE 'user ' || user_id END AS message, event_id::VARCHAR AS request_id, NULL::VARCHAR AS campaign_id,
+  (200 + 100 * floor(k / 25))::BIGINT AS statusCode, CASE WHEN k <> 7 THEN value::DECIMAL(38,6) END AS durationMs, k::DECIMAL(38,6) AS hitCount, k::DECIMAL(38,6) AS pageCount, (user_id % 5)::DECIMAL(38,6) AS contactCandidateCount,
+  0::DECIMAL(38,6) AS leadCount, 0::DECIMAL(38,6) AS qualified, 0::DECIMAL(38,6) AS needsReview, 0::DECIMAL(38,6) AS rejected, 0::DECIMAL(38,6) AS analysisFailures
+  FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+ UNION ALL SELECT o_orderdate, 'info', CASE o_orderstatus WHEN 'F' THEN 'pipeline.campaign.completed' WHEN 'P' THEN 'discovery.candidate.retry_scheduled'
+    ELSE CASE WHEN left(o_orderpriority, 1) <= '2' THEN 'orchestrator.session.created' WHEN left(o_orderpriority, 1) = '3' THEN 'orchestrator.chat.completed' WHEN left(o_orderpriority, 1) = '4' THEN 'orchestrator.strategy.approved' ELSE 'orchestrator.execution.completed' END END,
+  NULL, NULL, NULL, o_custkey::VARCHAR, 0, NULL, 0, 0, 0, floor(o_totalprice / 10000), floor(o_totalprice / 20000), floor(o_totalprice / 40000), floor(o_totalprice / 80000), o_custkey % 3 FROM orders)"""
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat messages with an estimate of their tokens."""
     from ..functions.text import token_estimate

@@ -23,6 +23,16 @@ def parse_log(lines: DataFrame) -> DataFrame:
     return own.select(*[c for c in lines.columns if c != "value"], "r.*")
 
 
+REPORTED = "timestamp string, level string, event string, agent string, message string, requestId string, sessionId string, campaignId string, error struct<message: string>, data string"
+
+
+def parse_records(lines: DataFrame, time: str = "timestamp") -> DataFrame:
+    """Records of lines(value) as log reports read them, data as JSON; lines that are no JSON object go, as does a last one cut short."""
+    own = lines.select(F.from_json("value", REPORTED).alias("r")).where("r.event is not null and r.timestamp is not null")
+    names = {"ts": F.col("r.timestamp").try_cast(time), "request_id": F.col("r.requestId"), "session_id": F.col("r.sessionId"), "campaign_id": F.col("r.campaignId"), "error_message": F.col("r.error.message")}
+    return own.select(*[c.alias(n) for n, c in names.items()], "r.level", "r.event", "r.agent", "r.message", "r.data")
+
+
 def read_dimension(spark: SparkSession, glob: str, schema: str) -> DataFrame:
     """One row per JSON file, with its path; files of a schema folder are left out."""
     own = spark.read.option("multiLine", True).schema(schema).json(glob).withColumn("file", F.input_file_name())

@@ -6,10 +6,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import logs as logs_of
 from ..operators.rounds import LOW_NEW, SATURATED, stop_reason
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -136,3 +137,49 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str) -> None
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     query.awaitTermination()
+
+
+def _slots(spark: SparkSession, path: str, before: int | None = None) -> tuple[int | None, int]:
+    """(slot of the last batch, or of the last one before a number, and the slot to write next)."""
+    held = {r.slot: r.batch for r in spark.read.parquet(path).groupBy("slot").agg(F.max("batch").alias("batch")).collect()}
+    known = {slot: batch for slot, batch in held.items() if before is None or batch < before}
+    last = max(known, key=known.get, default=None)
+    return last, 1 - last if last is not None else 0
+
+
+def _fold(rows: DataFrame, merge, path: str, number: int) -> None:
+    """Writes merge(what was held before batch `number`, and its rows) beside what was held.
+
+    Two slots take turns: the one of the batch before is only read, so a batch that
+    runs again finds the same and gives the same.
+    """
+    last, target = _slots(rows.sparkSession, path, number) if number else (None, 0)
+    if last is not None:
+        rows = rows.unionByName(rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/slot={last}"))
+    merge(rows).withColumn("batch", F.lit(number).cast("long")).coalesce(1).write.mode("overwrite").parquet(f"{path}/slot={target}")
+
+
+def fold_report(records: DataFrame, number: int, path: str, errors: int = 20) -> None:
+    """Adds a batch of records to the report kept at path; running a batch again changes nothing.
+
+    What is kept does not grow with the records: the state of logs.log_state() and the
+    newest errors.
+    """
+    records.persist()
+    try:
+        _fold(logs_of.log_state(records), logs_of.merged_states, f"{path}/state", number)
+        _fold(logs_of.error_records(records), lambda rows: logs_of.newest(rows, errors), f"{path}/errors", number)
+    finally:
+        records.unpersist()
+
+
+def kept_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(figures, newest errors) of all batches folded so far."""
+    state, errors = (spark.read.parquet(f"{path}/{name}/slot={_slots(spark, f'{path}/{name}')[0] or 0}").drop("batch") for name in ("state", "errors"))
+    return logs_of.report(state), errors
+
+
+def report_to_end(records: DataFrame, path: str, checkpoint: str) -> None:
+    """Folds all that a stream of records has into the report at path, and stops."""
+    query = records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, number: fold_report(df, number, path)).start()
+    query.awaitTermination()
