@@ -6,16 +6,18 @@ node; backward sampling draws the last piece, then the one before, and so on, ea
 in proportion to the weight that leads there. A piece that holds a space is a run of
 spaces or begins with its only space, and none holds a newline, so lattices end
 before every run of spaces and around newlines, and whole batches of words are
-filtered and sampled together in numpy. A word of more than LONGEST bytes is
-filtered and sampled alone, block by block, over its whole length. Draws come from a hash of the row's key,
-the word's number and the step, so a row is segmented alike wherever it runs.
+filtered and sampled together in numpy. A word of more than LONGEST bytes (text
+without spaces) also ends where two characters meet that meet in no piece: every
+segmentation has an end there, so its parts can be drawn apart. What is longer even
+so is filtered and sampled alone, block by block, over its whole length. Draws come
+from a hash of the row's key, the word's number and the step, so a row is segmented
+alike wherever it runs.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ SHARPNESS = 1 / 1500
 UNRANKED = -1e8
 #: Log-weight of a byte that no piece need cover.
 BYTE_WEIGHT = -40.0
-#: Words longer than this many bytes are sampled one at a time, BLOCK positions at a time.
+#: Words longer than this many bytes are parted where no piece crosses; parts longer than it are sampled one at a time, BLOCK positions at a time.
 LONGEST = 128
 BLOCK = 1 << 16
 #: Bytes of text worked on at a time.
@@ -72,6 +74,9 @@ class Vocabulary:
         self.keys, self.ids, self.weights = keys[order], np.append(np.array(ids, np.int32)[order], 0), np.append(np.array(weights, np.float32)[order], np.float32(-np.inf))
         self.may = np.zeros(1 << 20, bool)
         self.may[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        self.meets = np.zeros(1 << 20, bool)
+        for name in names:
+            self.meets[pair_places(name.decode())] = True
         self.longest = max(map(len, names))
         self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
         self.at = np.concatenate(([0], np.cumsum([len(x) for x in self.pieces])))
@@ -86,6 +91,23 @@ class Vocabulary:
         return out
 
 
+def pair_places(text: str) -> np.ndarray:
+    """Places in a table of 2**20 for each two neighbouring characters of a text."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        return (mix((points[:-1] << np.uint64(32)) + points[1:]) >> np.uint64(44)).astype(np.int64)
+
+
+def parts(word: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Where a word's parts begin, but for the first: between characters that no piece holds side by side. Bytes that are no UTF-8 are left whole."""
+    try:
+        text = word.tobytes().decode()
+    except UnicodeDecodeError:
+        return np.zeros(0, np.int64)
+    begins = np.flatnonzero((word & 0xC0) != 0x80)[1:]
+    return begins[~v.meets[pair_places(text)]]
+
+
 def scaled(cells: np.ndarray) -> np.ndarray:
     """Byte values times the power of their column."""
     with np.errstate(over="ignore"):
@@ -135,34 +157,64 @@ def _edges(word: np.ndarray, a: int, b: int, v: Vocabulary):
     return end, length, weight, np.where(at >= 0, v.ids[at], v.byte_id[word[end - 1]])
 
 
+def _sums(alpha: list, at: list, length: list, weight: list) -> list:
+    """Log-weights of the positions that follow those in alpha, from each one's edges at[i]:at[i + 1]; logarithms are added up one by one."""
+    exp, log, out = math.exp, math.log, alpha[:]
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        e = len(out)
+        logs = [weight[k] + out[e - length[k]] for k in range(lo, hi)]
+        top = max(logs)
+        out.append(top + log(sum([exp(x - top) for x in logs])))
+    return out[len(alpha) :]
+
+
+def _fast_sums(alpha: list, at: list, length: list, weight: list) -> list | None:
+    """_sums() over plain weights, scaled anew where they get small or large; None where their range is beyond that of a number."""
+    log, shift, reach = math.log, alpha[-1], max(length)
+    factors = np.exp(weight).tolist()
+    with np.errstate(over="ignore"):
+        near = np.exp(np.array(alpha) - shift).tolist()
+    out = []
+    for lo, hi in zip(at[:-1], at[1:], strict=True):
+        e, x = len(near), 0.0
+        for k in range(lo, hi):
+            x += factors[k] * near[e - length[k]]
+        if not 0.0 < x < math.inf:
+            return None
+        out.append(log(x) + shift)
+        near.append(x)
+        if not 1e-200 < x < 1e200:
+            near[-reach:] = [y / x for y in near[-reach:]]
+            shift = out[-1]
+    return out
+
+
 def sample_long(word: np.ndarray, seed: np.uint64, v: Vocabulary) -> np.ndarray:
-    """Ids of one word, sampled as by lattice(): log-weights of all positions are kept, edges only block by block."""
-    n, exp, log = len(word), math.exp, math.log
-    alpha = array("d", [0.0])
+    """Ids of one word, sampled as by lattice(): a last piece is drawn for every position, block by block, and those that lead to the end stay."""
+    n = len(word)
+    alpha, back, last = [0.0], np.empty(n + 1, np.int32), np.empty(n + 1, np.int32)
     for a in range(0, n, BLOCK):
-        end, length, weight, _ = _edges(word, a, min(n, a + BLOCK), v)
-        at = np.searchsorted(end, np.arange(a + 1, min(n, a + BLOCK) + 2))
-        length, weight = length.tolist(), weight.tolist()
-        for e, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), a + 1):
-            logs = [weight[k] + alpha[e - length[k]] for k in range(lo, hi)]
-            top = max(logs)
-            alpha.append(top + log(sum([exp(x - top) for x in logs])))
-    out, e, step = [], n, 0
+        b = min(n, a + BLOCK)
+        end, length, weight, ids = _edges(word, a, b, v)
+        at = np.searchsorted(end, np.arange(a + 1, b + 2))
+        plain = at.tolist(), length.tolist(), weight.tolist()
+        got = _fast_sums(alpha, *plain) or _sums(alpha, *plain)
+        known = np.array(alpha + got)  # begins at position a + 1 - len(alpha)
+        logs = weight + known[end - length - (a + 1 - len(alpha))]
+        count = np.diff(at)
+        share = np.cumsum(np.exp(logs - np.repeat(np.maximum.reduceat(logs, at[:-1]), count)))
+        before = np.concatenate(([0.0], share))[at[:-1]]
+        with np.errstate(over="ignore"):
+            draw = (mix(seed + np.arange(a + 1, b + 1).astype(np.uint64)) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+        goal = before + draw * (share[at[1:] - 1] - before)
+        pick = at[:-1] + np.minimum(np.add.reduceat((share <= np.repeat(goal, count)).astype(np.int64), at[:-1]), count - 1)
+        back[a + 1 : b + 1], last[a + 1 : b + 1] = length[pick], ids[pick]
+        alpha = known[-v.longest :].tolist()
+    ends, e = [], n
     while e > 0:
-        a = (e - 1) // BLOCK * BLOCK
-        end, length, weight, ids = _edges(word, a, e, v)
-        at = np.searchsorted(end, np.arange(a + 1, e + 2))
-        while e > a:
-            here = slice(at[e - a - 1], at[e - a])
-            logs = np.array([w + alpha[e - m] for w, m in zip(weight[here].tolist(), length[here].tolist(), strict=True)])
-            share = np.cumsum(np.exp(logs - logs.max()))
-            with np.errstate(over="ignore"):
-                draw = float(mix(np.array([seed + np.uint64(step)]))[0] >> np.uint64(40)) / (1 << 24)
-            k = min(int((share <= draw * share[-1]).sum()), len(share) - 1)
-            out.append(ids[here][k])
-            e -= int(length[here][k])
-            step += 1
-    return np.array(out[::-1], np.int32)
+        ends.append(e)
+        e -= int(back[e])
+    return last[np.array(ends[::-1])]
 
 
 def lattice(cells: np.ndarray, v: Vocabulary):
@@ -204,6 +256,10 @@ def sample(data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, v: Vocabulary
     if not len(s):
         return np.zeros(0, np.int32), np.zeros(len(bounds), np.int64)
     n = np.diff(np.append(s, len(data)))
+    long = np.flatnonzero(n > LONGEST)
+    if len(long):
+        s = np.sort(np.concatenate([s, *[s[w] + parts(data[s[w] : s[w] + n[w]], v) for w in long]]))
+        n = np.diff(np.append(s, len(data)))
     row = np.searchsorted(bounds, s, "right") - 1
     number = np.arange(len(s)) - np.searchsorted(s, bounds[row])
     with np.errstate(over="ignore"):

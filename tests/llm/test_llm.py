@@ -353,6 +353,59 @@ def test_samples_follow_the_lattice(vocabulary):
         assert abs(seen.get(key, 0) / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
 
 
+def test_long_words_are_sampled_as_short_ones(vocabulary):
+    word, n = b" thing", 20_000
+    exact = segmentations(vocabulary, word)
+    total = np.logaddexp.reduce(list(exact.values()))
+    data, seeds, seen = np.frombuffer(word, np.uint8), tokens.stream(9, n), {}
+    for seed in seeds:
+        key = tuple(vocabulary.pieces[i] for i in pieces.sample_long(data, seed, vocabulary))
+        seen[key] = seen.get(key, 0) + 1
+    assert set(seen) <= set(exact)
+    for key, w in exact.items():
+        p = np.exp(w - total)
+        assert abs(seen.get(key, 0) / n - p) < 5 * (p * (1 - p) / n) ** 0.5 + 1e-3
+
+
+def spaceless(n):
+    rng = random.Random(4)
+    some = lambda letters: "".join(rng.choice(letters) for _ in range(n))
+    return ["a" * n, some("acgt"), some("abcdefghijklmnopqrstuvwxyz"), some("的一是在不了有和人这中大为上个国我日本"), some("0123456789abcdef"), some("éßज़😀a-")]
+
+
+def test_no_piece_crosses_a_part(vocabulary):
+    inside = [(x, len(x)) for x in vocabulary.pieces if len(x) > 1]
+    for text in spaceless(300):
+        data = text.encode()
+        begins = pieces.parts(np.frombuffer(data, np.uint8), vocabulary)
+        crossed = set()
+        for x, n in inside:
+            at = data.find(x)
+            while at >= 0:
+                crossed.update(range(at + 1, at + n))
+                at = data.find(x, at + 1)
+        assert not crossed & set(begins.tolist())
+    assert len(pieces.parts(np.frombuffer(b"\xff\xfe" * 99, np.uint8), vocabulary)) == 0
+
+
+def test_sums_of_plain_weights_equal_those_of_logarithms(vocabulary):
+    for text in spaceless(3000):
+        word = np.frombuffer(text.encode(), np.uint8)
+        end, length, weight, _ = pieces._edges(word, 0, len(word), vocabulary)
+        at = np.searchsorted(end, np.arange(1, len(word) + 2)).tolist()
+        slow, fast = pieces._sums([0.0], at, length.tolist(), weight.tolist()), pieces._fast_sums([0.0], at, length.tolist(), weight.tolist())
+        assert np.allclose(slow, fast, rtol=1e-12, atol=1e-9)
+    # A range that no number holds: the slow way is taken.
+    assert pieces._fast_sums([0.0], [0, 1, 2], [1, 2], [-900.0, -1.0]) is None
+
+
+def test_spaceless_texts_keep_all_bytes(vocabulary):
+    for text in spaceless(pieces.BLOCK + 5000):
+        data = np.frombuffer((" " + text + " " + text[:200]).encode(), np.uint8)
+        ids, at = pieces.sample(data, np.array([0, len(data)]), tokens.stream(9, 1), vocabulary)
+        assert pieces.decode(ids, at, vocabulary)[0].tobytes() == data.tobytes()
+
+
 def test_pieces_are_lossless_and_reproducible(spark):
     docs = edge_docs(spark).where("doc_id is not null")
     first = pieces.sampled_pieces(docs)
