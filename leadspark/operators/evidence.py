@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,14 +61,58 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame, block: str) -> DataFrame:
     return own.join(found.hint("merge"), [block, "needle"]).select("quote_id", F.col("id").alias("page"), "at")
 
 
-def locate_quotes_loosely(rows: DataFrame) -> DataFrame:
-    """rows(quote, text) with found: the text's own span for the quote, with any white space and any quote marks or dashes."""
-    quoted = F.regexp_replace("quote", r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    pattern = F.regexp_replace(F.trim(quoted), r"\s+", r"\\s+")
-    pattern = F.regexp_replace(F.regexp_replace(pattern, "[\"'“”‘’]", "[\"'“”‘’]"), "[-–—]", "[-–—]")
-    loose = F.when(F.length("quote") >= 12, F.regexp_substr("text", pattern))
-    exact = F.contains("text", F.col("quote"))
-    return rows.withColumn("exact", exact).withColumn("found", F.when(exact, F.col("quote")).otherwise(loose))
+# White space, and what stands for typographic marks, when a quote is sought loosely.
+SPACES = "\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+TYPOGRAPHIC, PLAIN = "\u2018\u2019\u201c\u201d\u2013\u2014", "''\"\"--"
+ELLIPSIS = "\u2026"
+LEAST_LOOSE = 12
+
+
+def folded(c: Column) -> Column:
+    """A text with runs of white space as one space, none at its ends, and plain quote marks, dashes and dots."""
+    plain = F.replace(F.translate(c, TYPOGRAPHIC, PLAIN), F.lit(ELLIPSIS), F.lit("..."))
+    return F.trim(F.regexp_replace(plain, f"[{SPACES}]+", " "))
+
+
+def origin(text: str, at: int, length: int) -> tuple[int, int]:
+    """Where a span of the folded text lies in the text itself, as (begin, end)."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = np.isin(points, [ord(x) for x in SPACES])
+    width = np.where(points == ord(ELLIPSIS), 3, 1)
+    width[space] = 0
+    width[np.flatnonzero(space[1:] & ~space[:-1]) + 1] = 1  # a run of spaces counts where it begins, one at the start not at all
+    ends = np.cumsum(width)
+    return int(np.searchsorted(ends, at, "right")), int(np.searchsorted(ends, at + length - 1, "right")) + 1
+
+
+def _origins(text: pd.Series, at: pd.Series, length: pd.Series) -> pd.DataFrame:
+    spans = [origin(t, int(a), int(n)) if t is not None else (None, None) for t, a, n in zip(text, at, length, strict=True)]
+    return pd.DataFrame({"begin": pd.array([x for x, _ in spans], "Int32"), "end": pd.array([x for _, x in spans], "Int32")})
+
+
+def locate_quotes_loosely(quotes: DataFrame, pages: DataFrame, block: str) -> DataFrame:
+    """(block, quote_id, page, quotes, pages, found, at, exact): pages of the same block that hold a quote, and their own words for it.
+
+    A quote is sought word for word first; else, if it has LEAST_LOOSE characters
+    when folded(), with any white space, quote marks, dashes and dots. found is the
+    first such span of the page's text and `at` its place (from 0). Equal quotes and
+    equal texts of a block are sought once: quote_id and page are the least ids among
+    equals, quotes and pages their numbers, so copies are not multiplied. Folded
+    quotes meet folded texts by find_strings(). Nulls and blank quotes are not found;
+    an empty table gives an empty result; ids that repeat count as often.
+    """
+    own = quotes.where(F.col(block).isNotNull() & F.col("quote").isNotNull()).groupBy(block, "quote").agg(F.min("quote_id").alias("quote_id"), F.count("*").alias("quotes"))
+    own = own.withColumn("needle", folded(F.col("quote"))).where("needle <> ''")
+    texts = pages.where(F.col(block).isNotNull() & F.col("text").isNotNull()).groupBy(block, F.sha2("text", 256).alias("digest"))
+    texts = texts.agg(F.min("page").alias("page"), F.count("*").alias("pages"), F.first("text").alias("text")).withColumn("folded", folded(F.col("text")))
+    met = find_strings(own.select(block, "needle"), texts.select(block, F.col("digest").alias("id"), F.col("folded").alias("text")), block)
+    both = own.join(met.withColumnRenamed("id", "digest").hint("merge"), [block, "needle"]).hint("merge").join(texts.select(block, "digest", "page", "pages", "text"), [block, "digest"])
+    both = both.withColumn("exact", F.contains("text", F.col("quote"))).where(F.col("exact") | (F.length("needle") >= LEAST_LOOSE))
+    origins = F.pandas_udf(_origins, "struct<begin: int, end: int>")
+    both = both.withColumn("span", origins(F.when(~F.col("exact"), F.col("text")), "at", F.length("needle")))
+    begin = F.when(F.col("exact"), F.instr("text", F.col("quote")) - 1).otherwise(F.col("span.begin")).cast("long")
+    found = F.when(F.col("exact"), F.col("quote")).otherwise(F.substring("text", F.col("span.begin") + 1, F.col("span.end") - F.col("span.begin")))
+    return both.select(block, "quote_id", "page", "quotes", "pages", found.alias("found"), begin.alias("at"), "exact")
 
 
 def cut_points(text: str) -> list[tuple[int, int]]:

@@ -304,13 +304,26 @@ def quote_locate(spark, d):
     return locate_quotes(quotes, own.select("company", F.col("doc_id").alias("page"), "text"), "company")
 
 
-@query()
+def _folded(c: str) -> str:
+    return rf"""trim(regexp_replace(replace(translate({c}, '‘’“”–—', '''''""--'), '…', '...'), '\s+', ' ', 'g'))"""
+
+
+@query(rf"""WITH {DOCS}, r AS (SELECT company, doc_id, replace(replace(replace(substr(text, 41, 60), ' ', '  '), '-', '—'), '''', '’') AS quote FROM docs WHERE length(text) >= 120),
+ q AS (SELECT company, quote, min(doc_id) AS quote_id, count(*) AS quotes, {_folded("quote")} AS needle FROM r GROUP BY company, quote),
+ p AS (SELECT company, text, min(doc_id) AS page, count(*) AS pages, {_folded("text")} AS folded FROM docs GROUP BY company, text),
+ m AS (SELECT *, contains(text, quote) AS exact,
+  replace(replace(replace(replace(regexp_replace(needle, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g'), ' ', '\s+'), '-', '[-–—]'), '''', '[''‘’]'), '"', '["“”]') AS pattern FROM q JOIN p USING (company) WHERE needle <> '' AND contains(folded, needle)),
+ f AS (SELECT *, CASE WHEN exact THEN quote ELSE regexp_extract(text, pattern) END AS found FROM m WHERE exact OR length(needle) >= 12)
+ SELECT company, quote_id, page, quotes, pages, found, (strpos(text, found) - 1)::BIGINT AS "at", exact FROM f""")
 def quote_locate_fuzzy(spark, d):
     from ..operators.evidence import locate_quotes_loosely
 
     own = docs(spark, d)
-    quotes = own.where(F.length("text") >= 120).select("doc_id", F.regexp_replace(F.substring("text", 41, 60), " ", "  ").alias("quote"))
-    return locate_quotes_loosely(quotes.join(own.select("doc_id", "text"), "doc_id")).select("doc_id", "found", "exact")
+    quote = F.substring("text", 41, 60)
+    for plain, other in ((" ", "  "), ("-", "—"), ("'", "’")):
+        quote = F.replace(quote, F.lit(plain), F.lit(other))
+    quotes = own.where(F.length("text") >= 120).select("company", F.col("doc_id").alias("quote_id"), quote.alias("quote"))
+    return locate_quotes_loosely(quotes, own.select("company", F.col("doc_id").alias("page"), "text"), "company")
 
 
 @query()
