@@ -2,6 +2,7 @@
 
 A string's key is the least hash among the grams of its first bytes; a text has the
 least hash of every window of the same size, and so has the key of each string in it.
+A filter of the strings' keys, made first, holds back the other keys of the texts.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pyarrow as pa
 SIZES = ((16, 32), (8, 8), (4, 4), (2, 2), (1, 1))
 #: Bytes keyed at a time (a longer text goes alone).
 STEP = 4 << 20
+#: Of the filter of the strings' keys: bits for each key, most bits (as a power of two, 32 MB), marks for each key.
+KEY_BITS, MOST_BITS, MARKS = 16, 28, 3
 U = np.uint64
 
 
@@ -27,11 +30,13 @@ def size_of(length: int) -> int:
     return next((i for i, (k, w) in enumerate(SIZES) if length >= k + w - 1), len(SIZES))
 
 
-def window_keys(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): the distinct window keys of each row of data."""
+def window_keys(data: np.ndarray, bounds: np.ndarray, size: int, passes=None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the distinct window keys of each row of data, of those for which passes(row, key) holds."""
     rows = np.arange(len(bounds) - 1)
     if size == len(SIZES):
-        return rows, np.zeros(len(rows), np.int64)
+        h = np.zeros(len(rows), U)
+        live = rows if passes is None else passes(rows, h)
+        return rows[live], h[live].view(np.int64)
     k, w = SIZES[size]
     if len(data) < k + w - 1:
         return rows[:0], np.zeros(0, np.int64)
@@ -47,6 +52,9 @@ def window_keys(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nda
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     row, h = row[new], h[new]
+    if passes is not None:
+        live = passes(row, h)
+        row, h = row[live], h[live]
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
@@ -61,26 +69,69 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def keyed_texts(sizes: list[int]):
-    """For mapInArrow over (..., text): the other columns and key, a row for each key of the text in these sizes."""
+def mark(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place of keys in a filter of 2 ** bits bits."""
+    return (_mix(keys + U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - bits)).astype(np.int64)
+
+
+def marked(bits: int):
+    """For mapInArrow over (key): the words of a filter of 2 ** bits bits that these keys set, as (word, value)."""
+
+    def run(batches):
+        for batch in batches:
+            own = np.asarray(batch.column("key")).view(U)
+            at = np.unique(np.concatenate([mark(own, k, bits) for k in range(MARKS)]))
+            word, first = np.unique(at >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(U(1) << (at & 63).astype(U), first) if len(at) else np.zeros(0, U)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["word", "value"])
+
+    return run
+
+
+def passing(keys: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    """Which keys pass the filter: all that were marked, and few others."""
+    live = np.arange(len(keys))
+    for k in range(MARKS):
+        at = mark(keys[live], k, bits)
+        live = live[(bitmap[at >> 6] >> (at & 63).astype(U)) & U(1) == 1]
+    return live
+
+
+def _seeds(batch: pa.RecordBatch) -> np.ndarray:
+    return _mix(np.asarray(batch.column("seed")).view(U))
+
+
+def keyed_texts(sizes: list[int], shared, bits: int):
+    """For mapInArrow over (..., text, seed): the rows of which a key in these sizes passes the filter, with keys, the list of those.
+
+    A key is mixed with the row's seed, so rows of different seeds do not meet.
+    """
 
     def run(batches):
+        bitmap = np.frombuffer(shared.value, U)
         for batch in batches:
-            data, offsets = _bytes(batch.column("text"))
-            names, at = [x for x in batch.schema.names if x != "text"], 0
+            batch = batch.filter(batch.column("text").is_valid())  # here and not in the plan, which would make the text twice
+            (data, offsets), seeds = _bytes(batch.column("text")), _seeds(batch)
+            names, at = [x for x in batch.schema.names if x != "seed"], 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
-                for size in sizes:
-                    row, key = window_keys(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], size)
-                    taken = pa.array(row + at, pa.int64())
-                    yield pa.RecordBatch.from_arrays([*[batch.column(x).take(taken) for x in names], pa.array(key)], [*names, "key"])
+                own = seeds[at:end]
+                found = [window_keys(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], size, lambda row, h: passing(h ^ own[row], bitmap, bits)) for size in sizes]
+                row, key = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+                order = np.argsort(row, kind="stable")
+                row, key = row[order], (key.view(U) ^ own[row]).view(np.int64)[order]
+                rows, first = np.unique(row, return_index=True)
+                if len(rows):
+                    keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(key))
+                    taken = pa.array(rows + at, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[batch.column(x).take(taken) for x in names], keys], [*names, "keys"])
                 at = end
 
     return run
 
 
 def keyed_strings(batches):
-    """For mapInArrow over (..., needle): all columns, size and key, one row for each string."""
+    """For mapInArrow over (..., needle, seed): all columns but the seed, size and key, one row for each string."""
     for batch in batches:
         data, offsets = _bytes(batch.column("needle"))
         size = np.array([size_of(int(x)) for x in np.diff(offsets)], np.int32)
@@ -91,4 +142,5 @@ def keyed_strings(batches):
                 firsts = (offsets[own][:, None] + np.arange(k + w - 1)).ravel()
                 row, got = window_keys(data[firsts], np.arange(len(own) + 1) * (k + w - 1), s)
                 key[own[row]] = got
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(size), pa.array(key)], [*batch.schema.names, "size", "key"])
+        names = [x for x in batch.schema.names if x != "seed"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(size), pa.array((key.view(U) ^ _seeds(batch)).view(np.int64))], [*names, "size", "key"])

@@ -37,20 +37,41 @@ def dedupe_terms(terms: DataFrame, key: str) -> DataFrame:
     return own.withColumn("__rn", first).where("__rn = 1").drop("__rn")
 
 
+def meet_strings(strings: DataFrame, texts: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, own): pairs(block, needle, id) of strings(block, needle) and texts(block, id, text, ...) of a block that share a key, and all texts in such pairs, written.
+
+    Every text that holds a string is in a pair with it; a pair may be of strangers.
+    Keys are those of functions.grams. A filter of the strings' keys goes over the
+    texts, which are read once, and only keys that pass it are shuffled. Equal
+    strings are sought once. The filter has at most 32 MB; beyond some sixteen million
+    strings more keys pass it.
+    """
+    spark = texts.sparkSession
+    folder = new_folder(spark, "strings")
+    types = {f.name: f.dataType.simpleString() for f in [*texts.schema, *strings.schema]}
+    seed = F.xxhash64(block).alias("seed")
+    listed = strings.select(block, "needle").where(f"{block} is not null and needle is not null").distinct().select("*", seed)
+    keyed = stored(listed.mapInArrow(grams.keyed_strings, f"`{block}` {types[block]}, needle string, size int, key long"), f"{folder}/keyed")
+    counts = {r["size"]: r["n"] for r in keyed.groupBy("size").agg(F.count("*").alias("n")).collect()}
+    bits = min(grams.MOST_BITS, max(16, (grams.KEY_BITS * sum(counts.values())).bit_length()))
+    words = keyed.select("key").mapInArrow(grams.marked(bits), "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    content = np.zeros(1 << (bits - 6), np.uint64)
+    content[words["word"].to_numpy()] = words["value"].to_numpy().view(np.uint64)
+    whole = texts.where(f"{block} is not null and id is not null")
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.schema)
+    shared = spark.sparkContext.broadcast(content.tobytes())
+    own = stored(whole.select("*", seed).mapInArrow(grams.keyed_texts(sorted(counts), shared, bits), f"{held}, keys array<long>"), f"{folder}/texts")
+    met = own.select(block, "id", F.explode("keys").alias("key"))
+    return keyed.drop("size").hint("merge").join(met, [block, "key"]).select(block, "needle", "id").distinct(), own.drop("keys")
+
+
 def find_strings(strings: DataFrame, texts: DataFrame, block: str) -> DataFrame:
     """(block, needle, id, at): texts(block, id, text) of the same block that hold a string of strings(block, needle), and where (from 0).
 
-    Strings meet texts by an equi-join on the keys of functions.grams, and what meets is
-    compared in full. Equal strings are sought once.
+    Strings meet texts by meet_strings(), and what meets is compared in full.
     """
-    types = {f.name: f.dataType.simpleString() for f in [*texts.schema, *strings.schema]}
-    own = strings.select(block, "needle").where(f"{block} is not null and needle is not null").distinct()
-    keyed = own.mapInArrow(grams.keyed_strings, f"`{block}` {types[block]}, needle string, size int, key long")
-    sizes = sorted(r[0] for r in keyed.select("size").distinct().collect())
-    whole = texts.select(block, "id", "text").where(f"{block} is not null and id is not null and text is not null")
-    met = whole.mapInArrow(grams.keyed_texts(sizes), f"`{block}` {types[block]}, id {types['id']}, key long")
-    pairs = keyed.drop("size").hint("merge").join(met, [block, "key"]).select(block, "needle", "id").distinct()
-    both = pairs.hint("merge").join(whole, [block, "id"]).where(F.contains("text", F.col("needle")))
+    pairs, own = meet_strings(strings, texts.select(block, "id", "text"), block)
+    both = pairs.hint("merge").join(own, [block, "id"]).where(F.contains("text", F.col("needle")))
     return both.select(block, "needle", "id", (F.instr("text", F.col("needle")) - 1).cast("long").alias("at"))
 
 
@@ -104,9 +125,11 @@ def locate_quotes_loosely(quotes: DataFrame, pages: DataFrame, block: str) -> Da
     own = quotes.where(F.col(block).isNotNull() & F.col("quote").isNotNull()).groupBy(block, "quote").agg(F.min("quote_id").alias("quote_id"), F.count("*").alias("quotes"))
     own = own.withColumn("needle", folded(F.col("quote"))).where("needle <> ''")
     texts = pages.where(F.col(block).isNotNull() & F.col("text").isNotNull()).groupBy(block, F.sha2("text", 256).alias("digest"))
-    texts = texts.agg(F.min("page").alias("page"), F.count("*").alias("pages"), F.first("text").alias("text")).withColumn("folded", folded(F.col("text")))
-    met = find_strings(own.select(block, "needle"), texts.select(block, F.col("digest").alias("id"), F.col("folded").alias("text")), block)
-    both = own.join(met.withColumnRenamed("id", "digest").hint("merge"), [block, "needle"]).hint("merge").join(texts.select(block, "digest", "page", "pages", "text"), [block, "digest"])
+    texts = texts.agg(F.min("page").alias("page"), F.count("*").alias("pages"), F.first("text").alias("own"))
+    texts = texts.select(block, F.col("digest").alias("id"), "page", "pages", "own", folded(F.col("own")).alias("text"))
+    pairs, met = meet_strings(own.select(block, "needle"), texts, block)
+    both = own.join(pairs.hint("merge"), [block, "needle"]).hint("merge").join(met, [block, "id"]).where(F.contains("text", F.col("needle")))
+    both = both.withColumn("at", F.instr("text", F.col("needle")) - 1).drop("text").withColumnRenamed("own", "text")
     both = both.withColumn("exact", F.contains("text", F.col("quote"))).where(F.col("exact") | (F.length("needle") >= LEAST_LOOSE))
     origins = F.pandas_udf(_origins, "struct<begin: int, end: int>")
     both = both.withColumn("span", origins(F.when(~F.col("exact"), F.col("text")), "at", F.length("needle")))
@@ -208,13 +231,21 @@ def neighbours(chunks: DataFrame, wanted: DataFrame, radius: int) -> DataFrame:
 
 
 def prior_quotes(quotes: DataFrame, chunks: DataFrame, block: str) -> DataFrame:
-    """chunks of a block that carry a prior quote of it: equal, one inside the other, or its first 48 characters inside."""
-    q = quotes.withColumn("quote", F.trim(F.regexp_replace("quote", r"\s+", " "))).where(F.length("quote") >= 16)
-    own = chunks.withColumn("__flat", F.trim(F.regexp_replace("text", r"\s+", " "))).withColumn("__sum", F.sha2("__flat", 256))
-    flats = own.select(block, F.col("__sum").alias("id"), F.col("__flat").alias("text")).distinct()
+    """chunks of a block that carry a prior quote of it: equal, one inside the other, or its first 48 characters inside.
+
+    Chunks are written with the hash of their flat text and read from there; a chunk
+    is sought in quotes only if it is no longer than the longest of them.
+    """
+    flat = lambda c: F.trim(F.regexp_replace(c, r"[^\S ]\s*| \s+", " "))  # noqa: E731  one space alone stays as it is
+    folder = new_folder(chunks.sparkSession, "prior-quotes")
+    q = stored(quotes.select(block, flat(F.col("quote")).alias("quote")).where(F.length("quote") >= 16).distinct(), f"{folder}/quotes")
+    longest = q.agg(F.max(F.length("quote"))).first()[0] or 0
+    own = stored(chunks.withColumn("__sum", F.sha2(flat(F.col("text")), 256)), f"{folder}/chunks")
+    flats = own.select(block, F.col("__sum").alias("id"), flat(F.col("text")).alias("text"))
     # A chunk that holds a whole quote holds its first 48 characters too.
     begun = find_strings(q.select(block, F.substring("quote", 1, 48).alias("needle")), flats, block).select(block, F.col("id").alias("__sum"))
-    within = find_strings(flats.select(block, F.col("text").alias("needle")), q.select(block, F.col("quote").alias("id"), F.col("quote").alias("text")).distinct(), block)
+    short = flats.where(F.length("text") <= longest).select(block, F.col("text").alias("needle"))
+    within = find_strings(short, q.select(block, F.col("quote").alias("id"), F.col("quote").alias("text")), block)
     found = begun.union(within.select(block, F.sha2("needle", 256).alias("__sum"))).distinct()
     return own.join(found.hint("merge"), [block, "__sum"], "left_semi").select(*chunks.columns)
 

@@ -408,3 +408,27 @@ def test_each_fingerprint_follows_its_own_part(spark):
         made.append(next(tuple(r)[1:] for r in out if r.c == "a"))
     same = [[x == y for x, y in zip(made[0], other, strict=True)] for other in made[1:]]
     assert same == [[False, True, False], [True, False, False], [True, True, False], [True, False, False]] and made[4][1] is None
+
+
+def test_only_keys_of_the_strings_leave_the_texts(spark):
+    from leadspark.operators import evidence
+
+    words = [" ".join(f"w{i * 131 + k}" for k in range(200)) for i in range(300)]
+    texts = spark.createDataFrame([("a", i, w) for i, w in enumerate(words)] + [("b", 0, words[0]), ("a", 900, None), (None, 901, words[1])], "block string, id long, text string")
+    strings = spark.createDataFrame([("a", words[7][40:100]), ("a", "w0 w1 w2 w3 w4"), ("a", "w2"), ("b", words[7][40:100]), ("a", None)], "block string, needle string")
+    pairs, own = evidence.meet_strings(strings, texts, "block")
+    got = {(r.block, r.needle, r.id) for r in evidence.find_strings(strings, texts, "block").collect()}
+    want = {(b, n, i) for b, n in {tuple(r) for r in strings.collect()} if n for tb, i, t in map(tuple, texts.collect()) if t and tb == b and n in t}
+    assert got == want
+    assert want <= {(r.block, r.needle, r.id) for r in pairs.collect()}
+    apart = spark.createDataFrame([("a", words[7][40:100])], "block string, needle string")
+    assert evidence.meet_strings(apart, texts, "block")[1].count() < 10  # 300 texts of a have no such key
+
+
+def test_prior_quotes_seek_short_chunks_alone(spark):
+    from leadspark.operators import evidence
+
+    long = "the quoted sentence is here and goes on for a while"
+    quotes = spark.createDataFrame([("a", f"  {long}\n"), ("a", "short one"), ("a", None), (None, long)], "company string, quote string")
+    chunks = spark.createDataFrame([("a", 1, f"x {long} y " + "z " * 400), ("a", 2, "sentence is  here"), ("a", 3, "other " * 300), ("a", 4, None), ("b", 5, long), ("a", 6, "")], "company string, ref long, text string")
+    assert sorted(r.ref for r in evidence.prior_quotes(quotes, chunks, "company").collect()) == [1, 2, 6]
