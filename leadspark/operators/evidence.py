@@ -91,8 +91,10 @@ LEAST_LOOSE = 12
 
 def folded(c: Column) -> Column:
     """A text with runs of white space as one space, none at its ends, and plain quote marks, dashes and dots."""
-    plain = F.replace(F.translate(c, TYPOGRAPHIC, PLAIN), F.lit(ELLIPSIS), F.lit("..."))
-    return F.trim(F.regexp_replace(plain, f"[{SPACES}]+", " "))
+    marks = F.replace(F.translate(c, TYPOGRAPHIC, PLAIN), F.lit(ELLIPSIS), F.lit("..."))
+    plain = F.when(c.rlike(f"[{TYPOGRAPHIC}{ELLIPSIS}]"), marks).otherwise(c)  # most texts have none, and translate() is slow
+    # The looks ahead pass over words and single spaces, for which the long class would be slow.
+    return F.trim(F.regexp_replace(plain, f"(?=[^!-~])(?: (?=[^!-~])[{SPACES}]+|(?! )[{SPACES}]+)", " "))
 
 
 def origin(text: str, at: int, length: int) -> tuple[int, int]:

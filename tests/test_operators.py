@@ -432,3 +432,12 @@ def test_prior_quotes_seek_short_chunks_alone(spark):
     quotes = spark.createDataFrame([("a", f"  {long}\n"), ("a", "short one"), ("a", None), (None, long)], "company string, quote string")
     chunks = spark.createDataFrame([("a", 1, f"x {long} y " + "z " * 400), ("a", 2, "sentence is  here"), ("a", 3, "other " * 300), ("a", 4, None), ("b", 5, long), ("a", 6, "")], "company string, ref long, text string")
     assert sorted(r.ref for r in evidence.prior_quotes(quotes, chunks, "company").collect()) == [1, 2, 6]
+
+
+def test_folding_leaves_single_spaces_and_plain_text(spark):
+    from leadspark.operators.evidence import SPACES, folded
+
+    texts = ["a b  c", " a\tb ", "a \u00a0\u2003b\u3000c", "\u201ca\u201d \u2014 b\u2026", "", "  ", "a\n\n b", "\u00e9 \u4e2d  \u6587"]
+    want = [" ".join(x for x in "".join(" " if c in SPACES else {"\u201c": '"', "\u201d": '"', "\u2014": "-", "\u2026": "..."}.get(c, c) for c in t).split(" ") if x) for t in texts]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", folded(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == want
