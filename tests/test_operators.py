@@ -441,3 +441,19 @@ def test_folding_leaves_single_spaces_and_plain_text(spark):
     want = [" ".join(x for x in "".join(" " if c in SPACES else {"\u201c": '"', "\u201d": '"', "\u2014": "-", "\u2026": "..."}.get(c, c) for c in t).split(" ") if x) for t in texts]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", folded(F.col("t")).alias("t")).orderBy("i").collect()
     assert [r.t for r in rows] == want
+
+
+def test_first_version_submissions_agree_with_sql_on_many_phones_and_nulls(spark, tmp_path):
+    import duckdb
+
+    from leadspark.plans import ORACLES, QUERIES
+
+    phones, mails = " ".join(f"+49 170 {i:07d} x" for i in range(60)), " ".join(f"u{i}@ex.com" for i in range(70))
+    rows = [(1, phones, "en", "a"), (2, "12345\v67890\v12 the", "en", "a"), (3, mails, "de", "e"), (4, "b" * 82, None, None), (5, "b" * 82, "en", "c"), (6, "", "en", "c"), (7, None, "en", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.when(F.col("doc_id") != 5, F.length("text")))
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((r.lead, r.rule, r.n) for r in QUERIES["submission_v1_violations"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(f"SELECT lead, rule, n FROM ({ORACLES['submission_v1_violations']})").fetchall())
+    assert (1, "unknown_contact", 60) in got and (4, "review_required", 1) in got
