@@ -19,7 +19,10 @@ REDACTED_DEPTH, REDACTED_MEMBERS = 6, 100
 
 def kind(v: Column) -> Column:
     """object, array, string, number, boolean, null, or other (dates and the like); null for what is absent."""
-    s = F.call_function("schema_of_variant", v)
+    return _with(F.call_function("schema_of_variant", v), _kind)
+
+
+def _kind(s: Column) -> Column:
     return (
         F.when(s == "STRING", "string")
         .when(F.startswith(s, F.lit("OBJECT<")), "object")
@@ -81,26 +84,32 @@ def content_hash(json: Column, length: int = 64) -> Column:
     return F.substring(F.sha2(canonical_json(F.try_parse_json(json)), 256), 1, length)
 
 
+def _with(c: Column, use) -> Column:
+    """use(c), c being made once for a row: what a lambda refers to is a value, where an expression that stands twice is made twice."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def _redacted(raw: Column, v: Column, depth: int) -> Column:
     if depth > REDACTED_DEPTH:
         return F.lit('"[MAX_DEPTH]"')
+
     # VARIANT sorts names; the text keeps their order, which says what the first members are.
-    texts = F.from_json(raw, "map<string,string>")
-    first = F.slice(F.map_keys(texts), 1, REDACTED_MEMBERS)
-    named = members(v)
-    fields = F.transform(first, lambda k: F.struct(k.alias("name"), F.element_at(texts, k).alias("raw"), F.element_at(named, k).alias("value")))
+    texts = F.slice(F.map_entries(F.from_json(raw, "map<string,string>")), 1, REDACTED_MEMBERS)
     listed = F.slice(F.from_json(raw, "array<string>"), 1, REDACTED_MEMBERS)
-    own = items(v)
-    plain = F.transform(listed, lambda x, i: F.struct(F.lit(None).cast("string").alias("name"), x.alias("raw"), F.get(own, i).alias("value")))
-    what = kind(v)
+    member = lambda name, raw, value: F.struct(name.alias("name"), raw.alias("raw"), value.alias("value"))
+    fields = _with(members(v), lambda own: F.transform(texts, lambda m: member(m["key"], m["value"], F.element_at(own, m["key"]))))
+    plain = _with(items(v), lambda own: F.transform(listed, lambda x, i: member(F.lit(None).cast("string"), x, F.get(own, i))))
 
     def part(m: Column) -> Column:
         inner = F.when(m["name"].rlike(SENSITIVE_KEY), F.lit('"[REDACTED]"')).otherwise(_redacted(m["raw"], m["value"], depth + 1))
         return F.concat(F.when(m["name"].isNotNull(), F.concat(json_string(m["name"]), F.lit(":"))).otherwise(""), inner)
 
-    parts = F.transform(F.when(what == "object", fields).when(what == "array", plain), part)
-    text = json_string(redact(F.try_variant_get(v, "$", "string")))
-    return _closed(what, parts, F.when(what == "string", text).otherwise(F.to_json(v)))
+    def whole(what: Column) -> Column:
+        parts = F.transform(F.when(what == "object", fields).when(what == "array", plain), part)  # stands once, since levels nest in it
+        text = json_string(redact(F.try_variant_get(v, "$", "string")))
+        return _closed(what, parts, F.when(what == "string", text).otherwise(F.to_json(v)))
+
+    return _with(kind(v), whole)
 
 
 def redact_json(json: Column) -> Column:
@@ -111,5 +120,5 @@ def redact_json(json: Column) -> Column:
     stay; what lies below REDACTED_DEPTH levels becomes a mark. A text that is no JSON
     is redacted as a text, and given as a JSON string; null stays null.
     """
-    v = F.try_parse_json(json)
-    return F.when(v.isNotNull(), _redacted(json, v, 0)).when(json.isNotNull(), json_string(redact(json)))
+    parsed = lambda v: F.when(v.isNotNull(), _redacted(json, v, 0)).when(json.isNotNull(), json_string(redact(json)))
+    return _with(F.try_parse_json(json), parsed)

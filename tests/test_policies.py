@@ -175,3 +175,19 @@ def test_only_named_versions_are_opened(spark, tmp_path):
     assert problems(m) == [("kw", "v1", "json"), ("qa", "v7", "missing"), ("sa", "v1", "hash")]
     wrong = spark.createDataFrame([("ae", "v2", hashed(sa)), ("ae", "v2", "h")], "market string, version string, hash string")
     assert sorted(tuple(r) for r in policies.policy_problems(wrong, v).collect()) == [("ae", "v2", "hash"), ("ae", "v2", "market"), ("ae", "v2", "market")]
+
+
+def test_redaction_makes_each_level_once_and_is_dealt_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leadspark.functions import nested
+    from leadspark.plans import QUERIES
+
+    plan = spark.range(1).select(nested.redact_json(F.col("id").cast("string")).alias("r"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("schema_of_variant") <= nested.REDACTED_DEPTH + 1
+    spark.range(200).select(F.col("id").alias("c_custkey"), F.lit("Customer#1").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit("X").alias("c_mktsegment")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = QUERIES["redact_nested"](spark, str(tmp_path)).withColumn("p", F.spark_partition_id())
+    assert rows.select("p").distinct().count() > 1 and rows.count() == 200
+    text = '{"b":[{"api_key":1,"x":"a@b.example"},[],{},null,"7"],"a":1.5}'
+    got = spark.createDataFrame([(text,), ("no json",), (None,), ("[]",)], "t string").select(nested.redact_json(F.col("t")).alias("r")).collect()
+    assert got[0].r == '{"b":[{"api_key":"[REDACTED]","x":"a***@b.example"},[],{},null,"7"],"a":1.5}' and got[2].r is None and got[3].r == "[]"
