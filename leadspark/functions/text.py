@@ -109,3 +109,12 @@ def canonical_name(title: Column, text: Column, domain: Column) -> Column:
     opening = F.trim(F.regexp_extract(text, r"(?i)^(.{2,80}?)(?:\s+is\b|\s+supplies\b|\s+distributes\b)", 1))
     generic = (clean == "") | F.trim(title).rlike(r"(?i)^(company profile|home|about us)$")
     return F.when(generic & (opening != ""), opening).otherwise(clean)
+
+
+def distinct_terms(terms: Column) -> Column:
+    """array<struct<pos, term>> of an array<struct<pos, term>>: trimmed terms of 2 or more characters, the first spelling of each kept, in their order."""
+    own = F.filter(F.transform(terms, lambda t: F.struct(F.lower(F.trim(t["term"])).alias("low"), t["pos"].alias("pos"), F.trim(t["term"]).alias("term"))), lambda t: F.length(t["term"]) >= 2)
+    bound = lambda c, use: F.get(F.transform(F.array(c), use), F.lit(0))  # noqa: E731  c is made once
+    first = lambda s: F.filter(s, lambda t, i: (i == 0) | (F.get(s, i - 1)["low"] != t["low"]))
+    kept = bound(F.sort_array(own), first)
+    return F.sort_array(F.transform(kept, lambda t: F.struct(t["pos"].alias("pos"), t["term"].alias("term"))))

@@ -45,12 +45,12 @@ def token_set(spark, d):
  k AS (SELECT doc_id, trim(term) AS term, pos, row_number() OVER (PARTITION BY doc_id, lower(trim(term)) ORDER BY pos) AS rn FROM t WHERE length(trim(term)) >= 2)
  SELECT doc_id, count(*) AS n_terms, md5(string_agg(term, ' ' ORDER BY pos)) AS terms FROM k WHERE rn = 1 GROUP BY doc_id""")
 def dedupe_terms(spark, d):
-    from ..operators.evidence import dedupe_terms as op
-
-    terms = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "term"))
-    kept = op(terms, "doc_id")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"])
-    return kept.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.md5(F.array_join(ordered, " ")).alias("terms"))
+    # A text is moved once, whole, and its terms not at all; rows that repeat an id are one document.
+    own = table(spark, d, "documents").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    terms = F.flatten(F.transform("texts", lambda t: F.transform(F.split(t, " "), lambda x, i: F.struct(i.alias("pos"), x.alias("term")))))
+    # explode() of one list, since a condition on a column goes down into the plan and makes it twice.
+    kept = own.select("doc_id", F.explode(F.array(text.distinct_terms(terms))).alias("kept")).where(F.size("kept") > 0)
+    return kept.select("doc_id", F.size("kept").cast("long").alias("n_terms"), F.md5(F.array_join(F.transform("kept", lambda t: t["term"]), " ")).alias("terms"))
 
 
 @query(r"""WITH t AS (SELECT p_partkey, trim(p_name || ' (' || p_type || '), ' || p_brand || '; x') AS s FROM part),

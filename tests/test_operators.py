@@ -457,3 +457,19 @@ def test_first_version_submissions_agree_with_sql_on_many_phones_and_nulls(spark
     got = sorted((r.lead, r.rule, r.n) for r in QUERIES["submission_v1_violations"](spark, str(tmp_path)).collect())
     assert got == sorted(con.sql(f"SELECT lead, rule, n FROM ({ORACLES['submission_v1_violations']})").fetchall())
     assert (1, "unknown_contact", 60) in got and (4, "review_required", 1) in got
+
+
+def test_terms_of_a_text_are_not_shuffled(spark, tmp_path):
+    from leadspark.plans import QUERIES
+
+    rows = [(1, "Aa b aa  cc AA Dd cc"), (2, "x y"), (3, None), (None, "ee EE"), (4, "bb cc"), (4, "dd ff BB gg"), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["dedupe_terms"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "posexplode" not in plan
+    got = {r.doc_id: (r.n_terms, r.terms) for r in df.collect()}
+    import hashlib
+
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert got.pop(4)[0] == 5
+    assert got == {1: (3, md5("Aa cc Dd")), None: (1, md5("ee"))}
