@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from .matching import ANYWHERE, WORD, match_terms
 from .tables import number_rows
 
 CHUNK, LEAST_CUT, OVERLAP = 960, 480, 120
+#: Characters of pages whose chunks a task holds at a time (a longer page goes alone).
+CUT_CHARS = 1 << 20
 # What ends a sentence or a line.
 MARKS = "\n.!?。！？"
 # How many chunks each slot of a company's evidence holds.
@@ -160,13 +163,26 @@ def cut_points(text: str) -> list[tuple[int, int]]:
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
-    """(ref, company, page_index, snippet_index, chunk) of pages(company, page_index, text). A cut depends on the one before, so each page is cut in Python, batch by batch."""
-
-    @F.pandas_udf("array<struct<i:int,chunk:string>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"i": i, "chunk": t[a:b]} for i, (a, b) in enumerate(cut_points(t or ""))])
-
-    rows = pages.select("company", "page_index", F.inline(cut(F.coalesce("text", F.lit("")))))
+    """(ref, company, page_index, snippet_index, chunk) of pages(company, page_index, text). A cut depends on the one before, so each page is cut in Python; chunks leave it after CUT_CHARS characters of pages, so a task holds no more than that and one batch of texts."""
+
+    def cut(batches):
+        for batch in batches:
+            keys, texts = [batch.column(c) for c in ("company", "page_index")], batch.column("text")
+            rows, numbers, chunks, size = [], [], [], 0
+            for r in range(batch.num_rows):
+                text = texts[r].as_py() or ""
+                for i, (a, b) in enumerate(cut_points(text)):
+                    rows.append(r)
+                    numbers.append(i)
+                    chunks.append(text[a:b])
+                size += len(text)
+                if size >= CUT_CHARS or r == batch.num_rows - 1:
+                    taken = pa.array(rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[k.take(taken) for k in keys], pa.array(numbers, pa.int32()), pa.array(chunks, pa.string())], ["company", "page_index", "i", "chunk"])
+                    rows, numbers, chunks, size = [], [], [], 0
+
+    types = {f.name: f.dataType.simpleString() for f in pages.schema}
+    rows = pages.select("company", "page_index", "text").mapInArrow(cut, f"company {types['company']}, page_index {types['page_index']}, i int, chunk string")
     return rows.select(F.concat(F.lit("p"), "page_index", F.lit("-s"), "i").alias("ref"), "company", "page_index", F.col("i").cast("long").alias("snippet_index"), "chunk")
 
 

@@ -473,3 +473,29 @@ def test_terms_of_a_text_are_not_shuffled(spark, tmp_path):
     md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert got.pop(4)[0] == 5
     assert got == {1: (3, md5("Aa cc Dd")), None: (1, md5("ee"))}
+
+
+def test_chunks_leave_a_task_part_by_part(spark):
+    captured = {}
+
+    class Pages:
+        schema = spark.createDataFrame([], "company string, page_index long, text string").schema
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, f, schema):
+            captured["cut"] = f
+            return spark.createDataFrame([], schema)
+
+    evidence.chunk_pages(Pages())
+    import pyarrow as pa
+
+    texts = [f"{i} " + "word. " * 5000 for i in range(400)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(["c"] * len(texts)), pa.array(range(len(texts))), pa.array(texts)], ["company", "page_index", "text"])
+    sizes, got = [], []
+    for out in captured["cut"]([batch]):
+        sizes.append(out.nbytes)
+        got += list(zip(*[out.column(c).to_pylist() for c in ("page_index", "i", "chunk")], strict=True))
+    assert max(sizes) < 2 * evidence.CUT_CHARS + 200_000 < batch.nbytes
+    assert got == [(p, i, t[a:b]) for p, t in enumerate(texts) for i, (a, b) in enumerate(evidence.cut_points(t or ""))]
