@@ -7,8 +7,10 @@ equi-join on gram keys, and what meets is counted by patterns. Both give the sam
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,11 +67,16 @@ def matched(text: Column, terms: list[tuple[str, str]]) -> Column:
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = _automaton(terms)
         for texts in batches:
-            out = []
-            for text in texts.to_pylist():
+            ends, found = array("i", [0]), [array("i") for _ in range(3)]
+            for value in texts:  # one text at a time becomes an object
+                text = value.as_py()
                 seen = _places(automaton, text) if text and automaton else {}
-                out.append([{"n": n, "at": seen[n][0], "times": seen[n][1]} for n in sorted(seen)])
-            yield pa.array(out, kind)
+                for n in sorted(seen):
+                    for column, x in zip(found, (n, *seen[n]), strict=True):
+                        column.append(x)
+                ends.append(len(found[0]))
+            columns = [pa.array(np.frombuffer(c, np.int32) if c else [], pa.int32()) for c in found]
+            yield pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32), pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind.value_type)), type=kind)
 
     return F.arrow_udf(find, FOUND)(text)
 

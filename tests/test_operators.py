@@ -475,6 +475,17 @@ def test_terms_of_a_text_are_not_shuffled(spark, tmp_path):
     assert got == {1: (3, md5("Aa cc Dd")), None: (1, md5("ee"))}
 
 
+def _most_objects(run) -> int:
+    """The most memory, in bytes, that Python objects take while run() goes on."""
+    import tracemalloc
+
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
 def test_chunks_leave_a_task_part_by_part(spark):
     captured = {}
 
@@ -499,3 +510,18 @@ def test_chunks_leave_a_task_part_by_part(spark):
         got += list(zip(*[out.column(c).to_pylist() for c in ("page_index", "i", "chunk")], strict=True))
     assert max(sizes) < 2 * evidence.CUT_CHARS + 200_000 < batch.nbytes
     assert got == [(p, i, t[a:b]) for p, t in enumerate(texts) for i, (a, b) in enumerate(evidence.cut_points(t or ""))]
+
+
+def test_matching_makes_one_text_an_object_at_a_time(spark, monkeypatch):
+    import pyarrow as pa
+
+    from leadspark.operators import matching
+
+    captured = {}
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: captured.setdefault("find", f) and (lambda c: c))
+    matching.matched(F.lit("x"), [("ab", matching.ANYWHERE), ("b", matching.ANYWHERE), ("zz", matching.WORD)])
+    texts = pa.array([f"{i} ab b " + "x" * 20_000 for i in range(500)] + [None, "", "zz"])
+    out = []
+    assert _most_objects(lambda: out.extend(captured["find"](iter([texts])))) < 2_000_000
+    got = out[0].to_pylist()
+    assert [r["n"] for r in got[7]] == [0, 1] and got[7][1] == {"n": 1, "at": 3, "times": 2} and got[500:502] == [[], []] and got[502] == [{"n": 2, "at": 0, "times": 1}]
