@@ -19,7 +19,7 @@ REDACTED_DEPTH, REDACTED_MEMBERS = 6, 100
 
 def kind(v: Column) -> Column:
     """object, array, string, number, boolean, null, or other (dates and the like); null for what is absent."""
-    return _with(F.call_function("schema_of_variant", v), _kind)
+    return _kind(F.call_function("schema_of_variant", v))
 
 
 def _kind(s: Column) -> Column:
@@ -109,7 +109,7 @@ def _redacted(raw: Column, v: Column, depth: int) -> Column:
         text = json_string(redact(F.try_variant_get(v, "$", "string")))
         return _closed(what, parts, F.when(what == "string", text).otherwise(F.to_json(v)))
 
-    return _with(kind(v), whole)
+    return _with(_with(F.call_function("schema_of_variant", v), _kind), whole)
 
 
 def redact_json(json: Column) -> Column:
