@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, row_key, without_rows
-from .tokens import mix, row_slices, stream, text_bytes, words
+from .tokens import batch_parts, mix, stream, text_bytes, words
 
 #: A passage counts when SPAN tokens in a row hold at most SUBSTITUTIONS mismatches.
 SPAN, SUBSTITUTIONS = 13, 2
@@ -125,9 +125,8 @@ def _suspects(shared, bits: int):
     def run(batches):
         bitmap, count = np.frombuffer(shared.value["content"], np.uint64), 0
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"), fold=True)
-            for a, b in row_slices(offsets, SLICE_BYTES):
-                h, bounds = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], "alnum")
+            for part in batch_parts(batch, "text", SLICE_BYTES):
+                h, bounds = _tokens(part)
                 at, seed = _positions(h, bounds, SPAN)
                 live = passing(seed, bitmap, bits)
                 at, seed = at[live], seed[live]
@@ -137,7 +136,7 @@ def _suspects(shared, bits: int):
                 rows = np.unique(row)
                 cuts = np.append(np.searchsorted(row, rows), len(row)).astype(np.int32)
                 pairs = pa.StructArray.from_arrays([pa.array(seed.view(np.int64)), pa.array((at - bounds[row]).astype(np.int32))], ["seed", "position"])
-                columns = [pa.array(_numbers(len(rows), count)), batch.column("doc_id").take(pa.array(rows + a)), pa.array(np.diff(bounds)[rows].astype(np.int32)), _cells(h, bounds, rows.tolist()), pa.ListArray.from_arrays(pa.array(cuts), pairs)]
+                columns = [pa.array(_numbers(len(rows), count)), part.column("doc_id").take(pa.array(rows)), pa.array(np.diff(bounds)[rows].astype(np.int32)), _cells(h, bounds, rows.tolist()), pa.ListArray.from_arrays(pa.array(cuts), pairs)]
                 count += len(rows)
                 yield pa.RecordBatch.from_arrays(columns, ["uid", "doc_id", "words", "tokens", "hits"])
 
@@ -158,7 +157,7 @@ def overlap(same: np.ndarray) -> tuple[int, int]:
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in (part for batch in batches for part in batch_parts(batch, "mine", SLICE_BYTES)):
         pairs = zip(batch.column("mine").to_pylist(), batch.column("theirs").to_pylist(), strict=True)
         got = [overlap(np.frombuffer(x, np.uint64) == np.frombuffer(y, np.uint64)) for x, y in pairs]
         keep = pa.array([i for i, x in enumerate(got) if x[0]], pa.int64())

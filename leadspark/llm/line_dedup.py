@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch, fresh
+from .tokens import batch_parts
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -24,7 +25,7 @@ def line_key(line: bytes, least: int) -> bytes | None:
 
 def _keys(least: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in batch_parts(batch, "text")):
             rows, keys = [], []
             for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 own = {line_key(x, least) for x in (text or b"").split(b"\n")} - {None}
@@ -37,7 +38,7 @@ def _keys(least: int):
 
 def _rebuild(text_col: str, least: int, gone_col: str, names: list[str], counts: bool):
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in batch_parts(batch, text_col)):
             texts, lines, dropped = [], [], []
             at = batch.schema.get_field_index(text_col)
             for text, gone in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(gone_col).to_pylist(), strict=True):

@@ -26,7 +26,7 @@ from pyspark.sql import Window
 
 from .components import components
 from .scratch import Scratch, row_key, without_rows
-from .tokens import mix, shingles, text_bytes, words
+from .tokens import batch_parts, mix, shingles, text_bytes, words
 
 #: A token found in more classes than this is ordered after all others.
 COMMON = 128
@@ -59,7 +59,7 @@ def _longs(values: list) -> pa.Array:
 
 def _sketches(width: int, percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in batch_parts(batch, "text")):
             h, bounds = words(*text_bytes(batch.column("text")))
             ns, names, heads = [], [], []
             with np.errstate(over="ignore"):
@@ -77,7 +77,7 @@ def _sketches(width: int, percent: int):
 
 def _sets(width: int):
     def run(batches):
-        for batch in batches:
+        for batch in (part for batch in batches for part in batch_parts(batch, "text")):
             h, bounds = words(*text_bytes(batch.column("text")))
             with np.errstate(over="ignore"):
                 own = [(*_signatures(s), len(s), s.tobytes()) for s in shingles(h, bounds, width)]
@@ -87,7 +87,7 @@ def _sets(width: int):
 
 
 def _explode_tokens(batches):
-    for batch in batches:
+    for batch in (part for batch in batches for part in batch_parts(batch, "tokens")):
         counts = np.asarray(batch.column("n"))
         flat = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("c")), counts)), pa.array(np.repeat(counts, counts)), pa.array(flat)], ["c", "n", "h"])

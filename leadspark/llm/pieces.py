@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import kept
-from .tokens import BYTE, mix, powers, row_slices, text_bytes
+from .tokens import BYTE, batch_parts, mix, powers, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Weight of a piece is exp(SHARPNESS * score); scores of this vocabulary are negated merge ranks.
@@ -38,7 +38,7 @@ BYTE_WEIGHT = -40.0
 LONGEST = 128
 BLOCK = 1 << 16
 #: Bytes of text worked on at a time.
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 
 class Vocabulary:
@@ -318,29 +318,19 @@ def _marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _segment(content, sharpness: float, digest: bool):
     def run(batches):
         v = kept(content, f"vocabulary {sharpness}", vocabulary(sharpness))
-        for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            keys = np.asarray(batch.column("key")).view(np.uint64)
-            counts, shas, same, lists = [], [], [], []
-            for a, b in row_slices(offsets, SLICE):
-                own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                with_marks, marked_at = _marked(own, at)
-                ids, begin = sample(with_marks, marked_at, keys[a:b], v)
-                counts.append(np.diff(begin))
-                if digest:
-                    back, back_at = decode(ids, begin, v)
-                    for k in range(b - a):
-                        shas.append(hashlib.sha256(ids[begin[k] : begin[k + 1]].astype("<u4").tobytes()).hexdigest())
-                        same.append(np.array_equal(back[back_at[k] : back_at[k + 1]], with_marks[marked_at[k] : marked_at[k + 1]]))
-                else:
-                    lists.append(ids)
-            count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-            first = [batch.column("doc_id"), pa.array(count, pa.int64())]
+        for batch in (part for batch in batches for part in batch_parts(batch, "text", SLICE)):
+            with_marks, marked_at = _marked(*text_bytes(batch.column("text")))
+            ids, begin = sample(with_marks, marked_at, np.asarray(batch.column("key")).view(np.uint64), v)
+            first = [batch.column("doc_id"), pa.array(np.diff(begin), pa.int64())]
             if digest:
+                shas, same = [], []
+                back, back_at = decode(ids, begin, v)
+                for k in range(len(batch)):
+                    shas.append(hashlib.sha256(ids[begin[k] : begin[k + 1]].astype("<u4").tobytes()).hexdigest())
+                    same.append(np.array_equal(back[back_at[k] : back_at[k + 1]], with_marks[marked_at[k] : marked_at[k + 1]]))
                 yield pa.RecordBatch.from_arrays([*first, pa.array(shas, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids_sha256", "lossless"])
             else:
-                at = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*first, pa.ListArray.from_arrays(at, pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))], ["doc_id", "n_pieces", "ids"])
+                yield pa.RecordBatch.from_arrays([*first, pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))], ["doc_id", "n_pieces", "ids"])
 
     return run
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
+#: Bytes of a column that batch_parts() puts into a part.
+PART = 4 << 20
 U = np.uint64
 
 
@@ -75,6 +77,13 @@ def row_slices(offsets: np.ndarray, size: int):
         at = end
 
 
+def batch_parts(batch: pa.RecordBatch, name: str, size: int = PART):
+    """A batch in parts of about `size` bytes of a text or binary column, one row at least: what a task holds and hands on then follows the part, since Spark's batches have up to 64 MB."""
+    lengths = pc.binary_length(batch.column(name)).fill_null(0)
+    for a, b in row_slices(np.concatenate(([0], np.cumsum(np.asarray(lengths, np.int64)))), size):
+        yield batch.slice(a, b - a)
+
+
 def _slices(data: np.ndarray, starts: np.ndarray, breaks: np.ndarray):
     """Ranges of about SLICE bytes that cut no word."""
     at, n = 0, len(data)

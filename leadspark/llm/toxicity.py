@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, kept
-from .tokens import text_bytes, words
+from .tokens import batch_parts, text_bytes, words
 
 WIDTHS = (1, 2, 3)
 FILTERS = 12
@@ -421,7 +421,7 @@ def learned_scores(docs: DataFrame, labels: DataFrame, target: float = 0.98) ->
 
 def _keep(shared):
     def run(batches):
-        for batch, scored in ((b, next(_score(shared)(iter([pa.RecordBatch.from_arrays([b.column("text")], ["text"])])))) for b in batches):
+        for batch, scored in ((b, next(_score(shared)(iter([pa.RecordBatch.from_arrays([b.column("text")], ["text"])])))) for batch in batches for b in batch_parts(batch, "text")):
             limits = shared.value["content"]["thresholds"]
             limit = np.array([limits.get(x or "", limits.get(None, 0.5)) for x in batch.column("lang").to_pylist()])
             yield batch.filter(pa.array(scored.column("score").to_numpy(zero_copy_only=False) < limit))

@@ -38,6 +38,23 @@ def test_words_agree_with_a_plain_split():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_a_task_works_on_parts_of_a_batch():
+    """Spark hands over up to 64 MB at a time; what tasks hold and hand on follows 4 MB, with the same rows."""
+    rng = random.Random(4)
+    lines = [" ".join(f"w{rng.randrange(5000)}" for _ in range(12)) for _ in range(40_000)]
+    texts = ["\n".join(lines[i * 7000 : i * 7000 + 40_000]) for i in range(5)] + [None, ""]
+    n = [100_000 * i for i in range(1, 6)]
+    ids, hashes = pa.array(range(len(texts)), pa.int64()), [np.arange(x, dtype=np.int64).tobytes() for x in n]
+    docs = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string()), pa.array([None] * len(texts), pa.list_(pa.binary()))], ["doc_id", "text", "gone"])
+    sets = pa.RecordBatch.from_arrays([ids[:5], pa.array(n, pa.int64()), pa.array(hashes, pa.binary())], ["c", "n", "tokens"])
+    work = [(ngram_join._sketches(5, 80), docs), (ngram_join._sets(5), docs), (ngram_join._explode_tokens, sets), (line_dedup._keys(20), docs), (line_dedup._rebuild("text", 20, "gone", ["doc_id", "text"], False), docs)]
+    for run, batch in work:
+        got, single = list(run(iter([batch]))), list(run(batch.slice(i, 1) for i in range(len(batch))))
+        assert len(got) > 1
+        assert pa.Table.from_batches(got).combine_chunks() == pa.Table.from_batches(single).combine_chunks()
+        assert max(x.nbytes for x in got) < 16 << 20
+
+
 def near_texts(rng, groups=12, size=6):
     words = [f"w{i}" for i in range(400)]
     out = []
