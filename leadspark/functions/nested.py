@@ -89,6 +89,12 @@ def _with(c: Column, use) -> Column:
     return F.get(F.transform(F.array(c), use), F.lit(0))
 
 
+def number_at(v: Column, name: str, to: str) -> Column:
+    """The member of that name as a number of type `to`; null for what is absent or of another kind. v, the member and its kind are made once for a row."""
+    own = lambda x: _with(F.call_function("schema_of_variant", x), lambda s: F.when(_kind(s) == "number", F.try_variant_get(x, "$", to)))
+    return _with(at(v, name), own)
+
+
 def _redacted(raw: Column, v: Column, depth: int) -> Column:
     if depth > REDACTED_DEPTH:
         return F.lit('"[MAX_DEPTH]"')

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.nested import at, kind
+from ..functions.nested import number_at
 
 # Names of events, and the parts of a report that count them or sum a number of their data.
 REQUEST = ("http.request.completed",)
@@ -52,8 +52,7 @@ ERRORS = ["ts", "event", "message", "request_id", "session_id", "campaign_id"]
 
 def _number(data: Column, name: str) -> Column:
     """A number of a record's data; null for what is absent or of another kind."""
-    own = at(data, name)
-    return F.when(kind(own) == "number", F.try_variant_get(own, "$", EXACT))
+    return number_at(data, name, EXACT)
 
 
 def log_state(records: DataFrame) -> DataFrame:

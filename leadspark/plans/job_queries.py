@@ -151,7 +151,8 @@ def log_report_errors(spark, d):
 @query(REPORT)
 def stream_log_report(spark, d):
     path = sinks.new_folder(spark, "log-stream")
-    log_records(spark, d).repartition(6).write.text(f"{path}/landing")
-    lines = spark.readStream.option("maxFilesPerTrigger", 2).text(f"{path}/landing")
+    cores = max(2, spark.sparkContext.defaultParallelism)  # three batches, each with a file for every core
+    log_records(spark, d).repartition(3 * cores).write.text(f"{path}/landing")
+    lines = spark.readStream.option("maxFilesPerTrigger", cores).text(f"{path}/landing")
     jobs.report_to_end(readers.parse_records(lines, "timestamp_ntz"), path, f"{path}/offsets")
     return jobs.kept_report(spark, path)[0]

@@ -28,9 +28,11 @@ REPORTED = "timestamp string, level string, event string, agent string, message
 
 def parse_records(lines: DataFrame, time: str = "timestamp") -> DataFrame:
     """Records of lines(value) as log reports read them, data as JSON; lines that are no JSON object go, as does a last one cut short."""
-    own = lines.select(F.from_json("value", REPORTED).alias("r")).where("r.event is not null and r.timestamp is not null")
-    names = {"ts": F.col("r.timestamp").try_cast(time), "request_id": F.col("r.requestId"), "session_id": F.col("r.sessionId"), "campaign_id": F.col("r.campaignId"), "error_message": F.col("r.error.message")}
-    return own.select(*[c.alias(n) for n, c in names.items()], "r.level", "r.event", "r.agent", "r.message", "r.data")
+    # A generator reads its argument once for a row; a filter on fields of a parsed column would be pushed below it and parse again.
+    parsed = F.filter(F.array(F.from_json("value", REPORTED)), lambda r: r["event"].isNotNull() & r["timestamp"].isNotNull())
+    own = lines.select(F.inline(parsed))
+    names = {"ts": F.col("timestamp").try_cast(time), "request_id": F.col("requestId"), "session_id": F.col("sessionId"), "campaign_id": F.col("campaignId"), "error_message": F.col("error.message")}
+    return own.select(*[c.alias(n) for n, c in names.items()], "level", "event", "agent", "message", "data")
 
 
 def read_dimension(spark: SparkSession, glob: str, schema: str) -> DataFrame:

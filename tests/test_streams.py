@@ -146,3 +146,10 @@ def test_report_of_a_stream_goes_on_after_a_restart(spark, tmp_path):
         jobs.report_to_end(readers.parse_records(lines), f"{tmp_path}/report", f"{tmp_path}/offsets")
         got = figures(jobs.kept_report(spark, f"{tmp_path}/report")[0])
         assert got == figures(logs.report(logs.log_state(records(spark, SOME_LINES * (i + 1)))))
+
+
+def test_a_log_line_is_parsed_once(spark):
+    from leadspark.sources.readers import parse_records
+
+    plan = parse_records(spark.createDataFrame([("{}",)], "value string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
