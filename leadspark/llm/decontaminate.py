@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, row_key, without_rows
+from .scratch import Scratch, row_key, small_batches, without_rows
 from .tokens import batch_parts, mix, stream, text_bytes, words
 
 #: A passage counts when SPAN tokens in a row hold at most SUBSTITUTIONS mismatches.
@@ -184,7 +184,7 @@ def contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     work = Scratch(spark, "leaks")
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), tests.schema["item_id"].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     test = tests.select("item_id", F.col("text").cast("string").alias("text"))
     items = work.table(test.mapInArrow(_items, f"iid long, item_id {item_type}, words int, tokens binary, seeds array<struct<seed: long, place: int>>"), "items")
     index = work.table(items.select("iid", F.col("words").alias("m"), F.inline("seeds")), "index")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import Scratch, fresh
+from .scratch import Scratch, fresh, small_batches
 from .tokens import batch_parts
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     work = Scratch(docs.sparkSession, "lines")
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = work.table(own.mapInArrow(_keys(least_chars), f"doc_id {id_type}, k binary"), "keys")
     often = keys.where("doc_id is not null").distinct().groupBy("k").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= least_docs)
     often = work.table(often.select("k", "last"), "often")

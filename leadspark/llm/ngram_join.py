@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .components import components
-from .scratch import Scratch, row_key, without_rows
+from .scratch import Scratch, row_key, small_batches, without_rows
 from .tokens import batch_parts, mix, shingles, text_bytes, words
 
 #: A token found in more classes than this is ordered after all others.
@@ -189,7 +189,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     work = Scratch(docs.sparkSession, "ngram")
     id_type = docs.schema[id_col].dataType.simpleString()
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = work.table(own.mapInArrow(_sketches(width, percent), f"doc_id {id_type}, n long, s1 long, s2 long, head array<long>"), "sketches")
     # One class per set (128 bits and a size); c numbers it from here on, as written.
     name = ["s1", "s2", "n"]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import kept
+from .scratch import kept, small_batches
 from .tokens import BYTE, batch_parts, mix, powers, text_bytes
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -351,7 +351,7 @@ def sampled_pieces(docs: DataFrame, digest: bool = False, seed: int = 1, sharpne
     with open(path, "rb") as f:
         content = docs.sparkSession.sparkContext.broadcast({"content": f.read()})
     key = F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(seed))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), key.alias("key"))
     id_type = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, lossless boolean" if digest else "ids array<int>"
     return own.mapInArrow(_segment(content, sharpness, digest), f"doc_id {id_type}, n_pieces long, {rest}")
@@ -379,4 +379,4 @@ def decoded_texts(rows: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """
     with open(path, "rb") as f:
         content = rows.sparkSession.sparkContext.broadcast({"content": f.read()})
-    return rows.select("doc_id", "ids").mapInArrow(_texts(content, SHARPNESS), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return small_batches(rows).select("doc_id", "ids").mapInArrow(_texts(content, SHARPNESS), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

@@ -14,6 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of the batches that Spark hands to Python, see small_batches().
+BATCH = 2 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in whose session Spark now hands at most about BATCH bytes (one row at least) to Python at a time, unless a bound is set there.
+
+    Spark's own bound is 64 MB: it holds such a batch as columns and once more as the
+    message to the worker, outside the heap, and the worker holds it too. No result
+    depends on the bound, which counts when a plan runs.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name, None) is None:
+        df.sparkSession.conf.set(name, BATCH)
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset (single machine), a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, kept
+from .scratch import Scratch, kept, small_batches
 from .tokens import batch_parts, text_bytes, words
 
 WIDTHS = (1, 2, 3)
@@ -257,7 +257,7 @@ def held_out(key) -> object:
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, lang, toxic): docs that have a label."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = small_batches(docs).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     return own.join(known.hint("merge"), "doc_id")
 
 
@@ -384,7 +384,7 @@ def _scores(docs: DataFrame, model: Model, id_col: str, text_col: str) -> DataFr
     """(doc_id, lang, score) of all rows; lang is null where docs has none."""
     id_type = docs.schema[id_col].dataType.simpleString()
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    own = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
+    own = small_batches(docs).select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     return own.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model.plain())), f"doc_id {id_type}, lang string, score double")
 
 
@@ -437,4 +437,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     repeat an id or a text are judged each; column names are free, but for text and
     lang; an empty table stays empty.
     """
-    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model.plain())), docs.schema)
+    return small_batches(docs).mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model.plain())), docs.schema)

@@ -55,6 +55,43 @@ def test_a_task_works_on_parts_of_a_batch():
         assert max(x.nbytes for x in got) < 16 << 20
 
 
+def test_spark_hands_small_batches_to_tasks(spark, monkeypatch):
+    """Whole partitions of text would stand outside the heap and in the worker at once; a bound of the session's own stays."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def watched(make):
+        def made(*a):
+            run = make(*a)
+
+            def small(batches):
+                for batch in batches:
+                    if batch.nbytes > 4 << 20:
+                        raise ValueError(f"a batch of {batch.nbytes} bytes")
+                    yield batch
+
+            return lambda batches: run(small(batches))
+
+        return made
+
+    for module, names in ((toxicity, ("_score", "_keep")), (line_dedup, ("_keys", "_rebuild")), (ngram_join, ("_sketches",)), (decontaminate, ("_suspects",)), (pieces, ("_segment",))):
+        for name in names:
+            monkeypatch.setattr(module, name, watched(getattr(module, name)))
+    docs = spark.range(0, 250, 1, 1).selectExpr("id as doc_id", "repeat(concat('some words ', id, ' '), 1500) as text", "'en' as lang")
+    tests = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20)))], "item_id long, text string")
+    model = toxicity.train(np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0))
+    model.thresholds = {None: 2.0}
+    jobs = [lambda: toxicity.toxicity_scores(docs, model), lambda: toxicity.drop_toxic(docs, model), lambda: line_dedup.dedup_lines(docs), lambda: ngram_join.keep_one_per_group(docs, width=5, percent=80), lambda: decontaminate.drop_contaminated(docs, tests), lambda: pieces.sampled_pieces(docs)]
+    try:
+        for job in jobs:
+            spark.conf.unset(bound)
+            assert job().count() > 0
+        spark.conf.set(bound, "1m")
+        pieces.sampled_pieces(docs)
+        assert spark.conf.get(bound) == "1m"
+    finally:
+        spark.conf.unset(bound)
+
+
 def near_texts(rng, groups=12, size=6):
     words = [f"w{i}" for i in range(400)]
     out = []
