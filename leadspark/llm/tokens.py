@@ -2,7 +2,7 @@
 
 Words are hashed to 64 bits with a polynomial over byte values, taken from
 prefix sums, so the cost per byte is a few vector operations and no Python
-string is made. Work arrays cover about a megabyte of text at a time.
+string is made. Work arrays cover about 256 KB of text at a time.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 #: Bytes of a column that batch_parts() puts into a part.
 PART = 4 << 20
 U = np.uint64

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -55,6 +56,17 @@ def test_a_task_works_on_parts_of_a_batch():
         assert max(x.nbytes for x in got) < 16 << 20
 
 
+def test_words_need_little_beside_their_hashes():
+    """What a worker holds while it hashes is a small multiple of a slice, whatever the text has."""
+    data, offsets = tokens.text_bytes(pa.array([" ".join(["w" * 60] * 65_000)], pa.string()))
+    tokens.words(data[:100], np.array([0, 100]))
+    tracemalloc.start()
+    tokens.words(data, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+
+
 def test_spark_hands_small_batches_to_tasks(spark, monkeypatch):
     """Whole partitions of text would stand outside the heap and in the worker at once; a bound of the session's own stays."""
     bound = "spark.sql.execution.arrow.maxBytesPerBatch"
