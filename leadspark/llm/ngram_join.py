@@ -28,12 +28,14 @@ from .components import components
 from .scratch import Scratch, row_key, small_batches, without_rows
 from .tokens import batch_parts, mix, shingles, text_bytes, words
 
-#: A token found in more classes than this is ordered after all others.
+#: Tokens are ordered by the number of classes that have them; beyond this number by its power of two.
 COMMON = 128
 #: Documents in one search group; larger candidate groups are searched by token lists or in pairs of blocks.
 BLOCK = 1024
 #: Shingles of a block, and of the groups packed together, on average.
 BLOCK_SHINGLES = 1 << 20
+#: Looking up a token of a set in a long list costs as much as counting so many entries of the list.
+PROBE = 100
 #: Documents that are packed into one search group when candidate groups are small.
 PACK = 1024
 
@@ -147,6 +149,7 @@ def link_group(sets: list[np.ndarray], percent: int) -> np.ndarray:
         candidates, counts = candidates[best], counts[best]
         at, step = 0, 4
         mine = find(order[x])
+        far = None  # how many of the long lists each set is in
         while at < len(candidates):
             some, have = candidates[at : at + step], counts[at : at + step]
             at, step = at + step, min(step * 4, max(4, 1_000_000 // (aside + 1)))
@@ -154,7 +157,11 @@ def link_group(sets: list[np.ndarray], percent: int) -> np.ndarray:
             some, have = some[other], have[other]
             if not len(some):
                 continue
-            if aside:
+            if aside and far is None and len(some) * aside * PROBE > before[cut:].sum():
+                far = np.bincount(np.concatenate([posting[lists_at[t] : lists_at[t] + c] for t, c in zip(own[cut:], before[cut:], strict=True)]), minlength=k)
+            if far is not None:
+                have = have + far[some]
+            elif aside:
                 probe = (own[cut:, None].astype(np.int64) * k + some[None, :]).ravel()
                 hit = keys[np.minimum(np.searchsorted(keys, probe), len(keys) - 1)] == probe
                 have = have + hit.reshape(aside, len(some)).sum(0)
@@ -207,22 +214,26 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = texts.mapInArrow(_sets(width), "s1 long, s2 long, n long, tokens binary").groupBy(name).agg(F.first("tokens").alias("tokens"))
     sets = work.table(sets.join(alive.hint("merge"), name).select("c", "n", "tokens"), "sets")
 
-    # Prefixes: rare tokens first, so that common ones count only where a set has little else.
-    common = shared.where(F.col("df") > COMMON).select("h", F.lit(1).alias("late"))
-    tokens = sets.mapInArrow(_explode_tokens, "c long, n long, h long").join(common.hint("merge"), "h", "left")
-    order = Window.partitionBy("c").orderBy(F.coalesce("late", F.lit(0)), "h")
-    prefix = tokens.withColumn("k", F.row_number().over(order)).where(F.expr(f"k <= n - {least('n')} + 1"))
+    # Prefixes: the rarest tokens of all survivors first, so that strangers, who share common ones, seldom meet. A token
+    # of one class meets nobody and goes before the shuffle; counted from the common end, the ranks of the others stay.
+    tokens = sets.mapInArrow(_explode_tokens, "c long, n long, h long")
+    counts = work.table(tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "counts")
+    work.done(shared)
+    rarity = F.when(F.col("df") <= COMMON, F.col("df")).otherwise(COMMON + F.floor(F.log2("df")))
+    common_first = Window.partitionBy("c").orderBy(rarity.desc(), F.desc("h"))
+    prefix = tokens.join(counts.hint("merge"), "h").withColumn("k", F.row_number().over(common_first)).where(F.expr(f"k >= {least('n')}"))
     # Sizes of partners differ by less than one band, so they share one of two. A set stands in each band as a
     # node of its own, which keeps candidate groups from growing along chains of sizes.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / (percent - 1))).cast("int")
     node = F.xxhash64("c", "band")
-    banded = lambda x, *also: x.select("c", "n", *also, F.explode(F.array(band, band + 1)).alias("band"))
+    banded = lambda x, *also: x.select("c", "n", *also, band.alias("own"), F.explode(F.array(band, band + 1)).alias("band"))
     size = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     prefix = work.table(banded(prefix, "h"), "prefixes")
     # One list of sets per token and band. Tokens of near copies have the same list, which counts once.
     marks = [F.bit_xor(F.xxhash64(node, F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    lists = prefix.groupBy("h", "band").agg(F.min(node).alias("star"), F.count("*").alias("k"), size.alias("m"), F.sum("n").alias("load"), *marks)
-    lists = lists.where("k > 1").groupBy("star", "k", "x1", "x2").agg(F.min_by(F.struct("h", "band", "m", "load"), "h").alias("l"))
+    # Two sets of one band meet in it; in the next one only sets of both bands have to.
+    lists = prefix.groupBy("h", "band").agg(F.min(node).alias("star"), F.count("*").alias("k"), size.alias("m"), F.sum("n").alias("load"), F.max("own").alias("own"), *marks)
+    lists = lists.where("k > 1 and own = band").groupBy("star", "k", "x1", "x2").agg(F.min_by(F.struct("h", "band", "m", "load"), "h").alias("l"))
     lists = work.table(lists.select("l.*", "star"), "lists")
     edges = prefix.join(lists.hint("merge"), ["h", "band"]).select(node.alias("a"), F.col("star").alias("b"))
     groups = components(edges, work)
@@ -244,10 +255,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     split = rooted.join(blocks.where("apart").select("root").hint("merge"), "root", "left_semi").select("h", "band", "m")
     split = prefix.join(split.hint("merge"), ["h", "band"]).select("c", node.alias("node"), "m", F.xxhash64("h", "band", F.lit(1)).alias("g"))
     part = F.pmod(F.xxhash64("node"), F.col("m")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
+    others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda j: (j != F.col("part")) | (F.col("m") == 1))  # a pair searches both blocks within, too
+    pairs = F.transform(others, lambda j: F.struct(F.least("part", j).alias("i"), F.greatest("part", j).alias("j")))
     member = whole.unionByName(split).withColumn("part", part)
     member = work.table(member.select("c", "g", F.explode(pairs).alias("p")).select("c", "g", "p.i", "p.j"), "members")
-    work.done(shared, prefix, lists, blocks, grouped)
+    work.done(counts, prefix, lists, blocks, grouped)
     found = member.join(sets.select("c", "tokens").hint("merge"), "c").groupBy("g", "i", "j").applyInPandas(_search(percent), "a long, b long")
     links = work.table(found, "links")
     work.done(member, sets, alive)

@@ -192,6 +192,51 @@ def test_group_search_equals_brute_force_on_dense_groups():
     assert len({(to[i], find(i)) for i in range(len(sets))}) == len({find(i) for i in range(len(sets))}) == len(set(to))
 
 
+def test_strangers_with_common_words_are_no_candidates(spark, monkeypatch):
+    """A text's own words come first, so what is searched are near copies alone, each in one band and a block with itself in no pair of its own."""
+    searched = {}
+    plain = ngram_join.Scratch.table
+
+    def spy(self, df, name):
+        out = plain(self, df, name)
+        if name in ("survivors", "members"):
+            searched[name] = out.collect()
+        return out
+
+    monkeypatch.setattr(ngram_join.Scratch, "table", spy)
+    rng = random.Random(7)
+    texts = [" ".join([f"own{i}x{j}" for j in range(55)] + rng.sample([f"all{j}" for j in range(900)], 45)) for i in range(120)]
+    texts += [" ".join([*t.split()[:-2], f"y{i}", f"z{i}"]) for i, t in enumerate(texts[:6])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, width=1, percent=85).collect()}
+    assert got == brute_components(texts, 1, 85)
+    assert [got[120 + i][1] for i in range(6)] == list(range(6))
+    assert len(searched["survivors"]) > 60
+    assert len(searched["members"]) == 12
+
+
+@pytest.mark.parametrize("probe", [0, 100, 10**9])
+def test_long_lists_are_looked_up_or_counted_alike(monkeypatch, probe):
+    monkeypatch.setattr(ngram_join, "PROBE", probe)
+    rng = random.Random(11)
+    sets = [np.array(sorted({x if rng.random() > 0.075 else rng.randrange(1000, 10**6) for x in range(1, 300)}), np.uint64) for _ in range(120)]
+    to = ngram_join.link_group(sets, 85)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    assert 1 < len({find(i) for i in range(len(sets))}) < len(sets)
+    assert list(to) == [find(i) for i in range(len(sets))]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (200, 300), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in components(edges, Scratch(spark, "test")).collect()}
