@@ -1,8 +1,10 @@
 """Keys under which a text and every string that it holds meet, so that containment begins as an equi-join.
 
-A string's key is the least hash among the grams of its first bytes; a text has the
-least hash of every window of the same size, and so has the key of each string in it.
-A filter of the strings' keys, made first, holds back the other keys of the texts.
+A string's key is a hash of its first bytes, as many as the largest of SIZES that it
+has; a text has the hash of every window of the same size, and so has the key of each
+string in it. A filter of the strings' keys, made first, holds back the other keys of
+the texts, so a text is handed on under few keys beside those of strings that begin as
+one of its windows does.
 """
 
 from __future__ import annotations
@@ -10,12 +12,12 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-#: (bytes of a gram, grams of a window), each for strings of at least gram + window - 1 bytes; longest first.
-SIZES = ((16, 32), (8, 8), (4, 4), (2, 2), (1, 1))
-#: Bytes keyed at a time (a longer text goes alone).
-STEP = 4 << 20
+#: Bytes of a window, each for strings of at least so many; longest first. Long strings may begin alike, so the steps are small there.
+SIZES = (256, 128, 64, 56, 48, 32, 16, 8, 4, 2, 1)
+#: Bytes keyed at a time (a longer text goes alone), few enough for a core's cache.
+STEP = 1 << 17
 #: Of the filter of the strings' keys: bits for each key, most bits (as a power of two, 32 MB), marks for each key.
-KEY_BITS, MOST_BITS, MARKS = 16, 28, 3
+KEY_BITS, MOST_BITS, MARKS = 32, 28, 6
 U = np.uint64
 
 
@@ -25,41 +27,48 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+FACTORS = _mix(np.arange(1, MARKS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
 def size_of(length: int) -> int:
     """The place in SIZES for a string of so many bytes; len(SIZES) for the empty one."""
-    return next((i for i, (k, w) in enumerate(SIZES) if length >= k + w - 1), len(SIZES))
-
-
-def window_keys(data: np.ndarray, bounds: np.ndarray, size: int, passes=None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): the distinct window keys of each row of data, of those for which passes(row, key) holds."""
-    rows = np.arange(len(bounds) - 1)
-    if size == len(SIZES):
-        h = np.zeros(len(rows), U)
-        live = rows if passes is None else passes(rows, h)
-        return rows[live], h[live].view(np.int64)
-    k, w = SIZES[size]
-    if len(data) < k + w - 1:
-        return rows[:0], np.zeros(0, np.int64)
-    h, span, factor = _mix(data.astype(U) + U(1)), 1, 0x9E3779B97F4A7C15
-    while span < k:
-        h, span, factor = h[:-span] * U(factor) + h[span:], span * 2, factor * factor % (1 << 64)
-    h, span = _mix(h ^ U(k)), 1
-    while span < w:
-        h, span = np.minimum(h[:-span], h[span:]), span * 2
-    row = np.repeat(rows, np.diff(bounds))[: len(h)]
-    inside = np.arange(len(h)) + (k + w - 1) <= bounds[1:][row]
-    row, h = row[inside], h[inside]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    row, h = row[new], h[new]
-    if passes is not None:
-        live = passes(row, h)
-        row, h = row[live], h[live]
-    order = np.lexsort((h, row))
-    row, h = row[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    return row[new], h[new].view(np.int64)
+    return next((i for i, k in enumerate(SIZES) if length >= k), len(SIZES))
+
+
+def window_hashes(data: np.ndarray, sizes: list[int]):
+    """(size, hashes): for each of these sizes the hashes of all windows of data, shorter windows first."""
+    h, span, factor = None, 1, 0x9E3779B97F4A7C15
+    for size in sorted(sizes, reverse=True):
+        k = SIZES[size]
+        if len(data) < k:
+            return
+        h = _mix(data.astype(U) + U(1)) if h is None else h
+        while 2 * span <= k:
+            h, span, factor = h[:-span] * U(factor) + h[span:], span * 2, factor * factor % (1 << 64)
+        yield size, h if span == k else h[: span - k] * U(factor) + h[k - span :]  # else two windows that overlap
+
+
+def window_keys(data: np.ndarray, bounds: np.ndarray, sizes: list[int], seeds: np.ndarray, passes) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the distinct window keys of each row of data that pass, each row's mixed with its seed."""
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    if len(SIZES) in sizes:  # the empty string is in all
+        live = passes(seeds)
+        rows.append(live)
+        keys.append(seeds[live])
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    seed = seeds[row]
+    for size, h in window_hashes(data, [s for s in sizes if s < len(SIZES)]):
+        key = h ^ seed[: len(h)]
+        live = passes(key)
+        live = live[live + SIZES[size] <= bounds[1:][row[live]]]
+        rows.append(row[live])
+        keys.append(key[live])
+    row, key = np.concatenate(rows), np.concatenate(keys)
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+    return row[new], key[new].view(np.int64)
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +80,7 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def mark(keys: np.ndarray, k: int, bits: int) -> np.ndarray:
     """The k-th place of keys in a filter of 2 ** bits bits."""
-    return (_mix(keys + U((k + 1) * 0x9E3779B97F4A7C15 % (1 << 64))) >> U(64 - bits)).astype(np.int64)
+    return ((keys * FACTORS[k]) >> U(64 - bits)).view(np.int64)
 
 
 def marked(bits: int):
@@ -92,8 +101,8 @@ def passing(keys: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
     """Which keys pass the filter: all that were marked, and few others."""
     live = np.arange(len(keys))
     for k in range(MARKS):
-        at = mark(keys[live], k, bits)
-        live = live[(bitmap[at >> 6] >> (at & 63).astype(U)) & U(1) == 1]
+        at = mark(keys if k == 0 else keys[live], k, bits)
+        live = live[(bitmap[at >> 6] >> (at & 63).view(U)) & U(1) == 1]
     return live
 
 
@@ -115,11 +124,7 @@ def keyed_texts(sizes: list[int], shared, bits: int):
             names, at = [x for x in batch.schema.names if x != "seed"], 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
-                own = seeds[at:end]
-                found = [window_keys(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], size, lambda row, h: passing(h ^ own[row], bitmap, bits)) for size in sizes]
-                row, key = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
-                order = np.argsort(row, kind="stable")
-                row, key = row[order], (key.view(U) ^ own[row]).view(np.int64)[order]
+                row, key = window_keys(data[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at], sizes, seeds[at:end], lambda key: passing(key, bitmap, bits))
                 rows, first = np.unique(row, return_index=True)
                 if len(rows):
                     keys = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(key))
@@ -135,12 +140,11 @@ def keyed_strings(batches):
     for batch in batches:
         data, offsets = _bytes(batch.column("needle"))
         size = np.array([size_of(int(x)) for x in np.diff(offsets)], np.int32)
-        key = np.zeros(len(size), np.int64)
-        for s, (k, w) in enumerate(SIZES):
+        key = np.zeros(len(size), U)
+        for s, k in enumerate(SIZES):
             own = np.flatnonzero(size == s)
             if len(own):
-                firsts = (offsets[own][:, None] + np.arange(k + w - 1)).ravel()
-                row, got = window_keys(data[firsts], np.arange(len(own) + 1) * (k + w - 1), s)
-                key[own[row]] = got
+                firsts = data[(offsets[own][:, None] + np.arange(k)).ravel()]
+                key[own] = next(window_hashes(firsts, [s]))[1][::k]
         names = [x for x in batch.schema.names if x != "seed"]
-        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(size), pa.array((key.view(U) ^ _seeds(batch)).view(np.int64))], [*names, "size", "key"])
+        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], pa.array(size), pa.array((key ^ _seeds(batch)).view(np.int64))], [*names, "size", "key"])

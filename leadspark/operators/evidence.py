@@ -46,7 +46,7 @@ def meet_strings(strings: DataFrame, texts: DataFrame, block: str) -> tuple[Data
     Every text that holds a string is in a pair with it; a pair may be of strangers.
     Keys are those of functions.grams. A filter of the strings' keys goes over the
     texts, which are read once, and only keys that pass it are shuffled. Equal
-    strings are sought once. The filter has at most 32 MB; beyond some sixteen million
+    strings are sought once. The filter has at most 32 MB; beyond some eight million
     strings more keys pass it.
     """
     spark = texts.sparkSession

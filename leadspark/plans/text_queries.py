@@ -318,7 +318,7 @@ def _folded(c: str) -> str:
 def quote_locate_fuzzy(spark, d):
     from ..operators.evidence import locate_quotes_loosely
 
-    own = docs(spark, d)
+    own = table(spark, d, "documents").withColumnRenamed("source", "company")
     quote = F.substring("text", 41, 60)
     for plain, other in ((" ", "  "), ("-", "—"), ("'", "’")):
         quote = F.replace(quote, F.lit(plain), F.lit(other))

@@ -525,3 +525,43 @@ def test_matching_makes_one_text_an_object_at_a_time(spark, monkeypatch):
     assert _most_objects(lambda: out.extend(captured["find"](iter([texts])))) < 2_000_000
     got = out[0].to_pylist()
     assert [r["n"] for r in got[7]] == [0, 1] and got[7][1] == {"n": 1, "at": 3, "times": 2} and got[500:502] == [[], []] and got[502] == [{"n": 2, "at": 0, "times": 1}]
+
+
+def test_strings_that_begin_alike_meet_their_own_texts_alone(spark):
+    """What a join moves grows with the texts that hold a string, not with the pairs of texts that share words with it."""
+    quotes = [("k", f"the and of the in of the and to the {i:04d} {i * 7919 % 9973:04d} and so {i:05d} it goes") for i in range(200)]
+    texts = [("k", i, f"{i} before {q} after {i}") for i, (_, q) in enumerate(quotes)]
+    pairs, _ = evidence.meet_strings(spark.createDataFrame(quotes, "block string, needle string"), spark.createDataFrame(texts, "block string, id long, text string"), "block")
+    assert sorted((r.needle, r.id) for r in pairs.collect()) == sorted((q, i) for i, (_, q) in enumerate(quotes))
+
+
+def test_every_text_passes_with_the_keys_of_the_strings_it_holds(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from leadspark.functions import grams
+
+    monkeypatch.setattr(grams, "STEP", 500)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab é") for _ in range(rng.choice((0, 1, 3, 40, 130, 400)))) for _ in range(80)]
+    strings = sorted({t[a : a + n] for t in texts for n in (0, 1, 2, 5, 9, 17, 31, 33, 50, 57, 65, 129, 260) for a in [rng.randrange(max(1, len(t) - n + 1))]})
+    seed = lambda n: pa.array([12345] * n, pa.int64())
+    (keyed,) = grams.keyed_strings([pa.RecordBatch.from_arrays([pa.array(strings), seed(len(strings))], ["needle", "seed"])])
+    bits, content = 20, np.zeros(1 << 14, np.uint64)
+    for batch in grams.marked(bits)([keyed.select(["key"])]):
+        content[batch.column("word").to_numpy()] |= batch.column("value").to_numpy().view(np.uint64)
+
+    class Shared:
+        value = content.tobytes()
+
+    found = {}
+    sizes = sorted(set(keyed.column("size").to_pylist()))
+    for batch in grams.keyed_texts(sizes, Shared, bits)([pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(len(texts))), seed(len(texts))], ["text", "id", "seed"])]):
+        found |= {i: set(keys) for i, keys in zip(batch.column("id").to_pylist(), batch.column("keys").to_pylist(), strict=True)}
+    for string, key in zip(keyed.column("needle").to_pylist(), keyed.column("key").to_pylist(), strict=True):
+        for i, text in enumerate(texts):
+            if string in text:
+                assert key in found[i]
+    assert len(sizes) > 9
