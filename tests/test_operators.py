@@ -535,6 +535,23 @@ def test_strings_that_begin_alike_meet_their_own_texts_alone(spark):
     assert sorted((r.needle, r.id) for r in pairs.collect()) == sorted((q, i) for i, (_, q) in enumerate(quotes))
 
 
+def test_prior_quotes_that_begin_alike_meet_few_chunks(spark, monkeypatch):
+    met = []
+    plain = evidence.meet_strings
+
+    def spy(*args):
+        pairs, own = plain(*args)
+        met.append(pairs.count())
+        return pairs, own
+
+    monkeypatch.setattr(evidence, "meet_strings", spy)
+    begin = [f"the and of the in of the and {i:04d} {i * 7919 % 9973:04d} and so {i:05d}" for i in range(150)]
+    quotes = spark.createDataFrame([("k", f"{b} it goes on") for b in begin], "company string, quote string")
+    chunks = spark.createDataFrame([("k", i, f"{i} before {b} after {i} and then some more") for i, b in enumerate(begin[:100])] + [("k", 900, "nothing of the kind is in here, of the and in of the and")], "company string, ref long, text string")
+    assert sorted(r.ref for r in evidence.prior_quotes(quotes, chunks, "company").collect()) == list(range(100))
+    assert met[0] == 100
+
+
 def test_every_text_passes_with_the_keys_of_the_strings_it_holds(monkeypatch):
     import random
 
